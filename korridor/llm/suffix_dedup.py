@@ -241,14 +241,15 @@ def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 20_000) -> DataFr
     found = cut(texts.mapInArrow(_find(width), _ddl(ANCHOR)), "anchors")
     same_name, same_pair = Window.partitionBy("name"), Window.partitionBy("name", "context").orderBy("doc_id", "lo")
     ranked = (
-        found.filter(~F.col("repeat")).drop("repeat")
+        found.filter(~F.col("repeat")).repartition("name")  # one exchange serves both windows
         .withColumn("rank", F.rank().over(same_pair))
         .withColumn("size", F.sum((F.row_number().over(same_pair) == 1).cast("int")).over(same_name))
         .filter((F.col("rank") > 1) | (F.col("size") > 1))
     )
-    ranked = cut(ranked.drop("context"), "ranked")
-    end = (F.col("lo") + F.col("hi") + width).alias("end")
-    again = found.filter("repeat").select("doc_id", "lo", end).unionByName(ranked.filter("rank > 1").select("doc_id", "lo", end))
+    repeats = found.filter("repeat").withColumns({"rank": F.lit(2), "size": F.lit(0).cast("long")})
+    ranked = cut(ranked.unionByName(repeats).drop("context", "repeat"), "ranked")
+    drop(found)
+    again = ranked.filter("rank > 1").select("doc_id", "lo", (F.col("lo") + F.col("hi") + width).alias("end"))
     opened = ranked.filter("rank = 1").groupBy("doc_id").agg(F.collect_list(F.struct("name", "lo", "hi", "at")).alias("open"))
     fetched = texts.join(opened.hint("shuffle_hash"), "doc_id").mapInArrow(_fetch(width), _ddl(TEXT))
     large = ranked.filter((F.col("rank") == 1) & (F.col("size") > hot)).select("name").distinct()
@@ -259,7 +260,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 20_000) -> DataFr
     earliest = windows.groupBy(*key).agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max(F.struct("doc_id", "lo")).alias("last")).filter("first < last").drop("last")
     many = windows.join(earliest, key).filter(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", (F.col("lo") + width).alias("end"))
     spans = cut(again.unionByName(few).unionByName(many).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "spans")
-    drop(found, ranked, fetched)
+    drop(ranked, fetched)
     done = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_finish, _ddl(RESULT))
     return done.withColumn("doc_id", unkeyed())
 
