@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from korridor.llm import exact_dedup, mixing
 from korridor.llm.common import table
+from korridor.llm.simhash import simhash_groups
 from korridor.llm.suffix_dedup import suffix_dedup
 
 
@@ -12,5 +14,17 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
-SQL: dict[str, str] = {}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op4_exact_dedup, op10_mixing)}
+SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.sql()}
