@@ -106,6 +106,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return placed.select(unkeyed(), "source", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed(docs: DataFrame, seed: int = 20240229, **options) -> DataFrame:
+    """``docs`` as the mix has them: a row for each time a document is taken; every column is kept.
+
+    A document whose words are taken 1.3 times has one row and, by a seeded hash of its doc_id, a
+    second one in 0.3 of all cases, so sources keep their shares. What has no words is not in a mix.
+    """
+    parts = mix(docs.select("doc_id", "text", "source"), seed=seed, **options).filter("taken > 0").dropDuplicates(["doc_id"])
+    luck = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 32)) / float(1 << 32)
+    times = (F.floor(F.col("taken") / F.col("size")) + (luck < F.col("taken") % F.col("size") / F.col("size")).cast("int")).cast("int")
+    parts = parts.select(F.col("doc_id").alias("_taken"), times.alias("_times")).filter("_times > 0")
+    return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("_taken"))).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def sql(seed: int = 20240229, blocks: int = 1 << 20, shard_blocks: int = 1024) -> str:
     """The same mix of ``documents`` in DuckDB, by listing every block a document overlaps."""
 
