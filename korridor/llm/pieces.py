@@ -15,13 +15,13 @@ class PieceCache:
         """The ids of each text, given as its pieces."""
         if len(self.ids) > self.most:
             self.ids.clear()
-        known, missing = self.ids, set()
+        known, seen = self.ids, set()
         for pieces in texts:
-            missing.update(p for p in pieces if p not in known)
-        if missing:
-            new = list(missing)
+            seen.update(pieces)
+        new = list(seen - known.keys())
+        if new:
             known.update(zip(new, self.encode(new), strict=True))
-        return [b"".join([known[p] for p in pieces]) for pieces in texts]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
 
 
 def groups(texts: list[str], most: int = 4 << 20) -> Iterable[list[str]]:

@@ -145,7 +145,7 @@ class Backend:
         self.bytes = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.wrong: set[str] = set()
         self.lossy: set[str] = set()
-        self.cache = PieceCache(self._encode, 400_000)
+        self.cache = PieceCache(self._encode, 300_000)
 
     @classmethod
     def of(cls, path: str) -> Backend:
@@ -176,16 +176,8 @@ class Backend:
             self.wrong.clear()
             self.lossy.clear()
             self.cache.ids.clear()
-        out = [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
-        # the original adds the prefix itself; what does not begin with it is given a line feed first, which no piece joins
-        escaped = [p[1:] if p[0] == MARK else "\n" + p for p in parts] if self.cuttable else parts
-        head = len(self.original.encode("\n"))
-        expect = self.original.encode(escaped, num_threads=1) if self.cuttable and self.plain else out
+        out, expect = self._both(parts)
         for i, (part, mine, theirs) in enumerate(zip(parts, out, expect, strict=True)):
-            if self.cuttable and self.plain and part[0] != MARK:
-                theirs = theirs[head:]
-            if part == MARK:  # the original drops a prefix without a text
-                theirs = mine
             if mine != theirs:
                 self.wrong.add(part)
                 out[i] = theirs
@@ -193,6 +185,25 @@ class Backend:
                 self.lossy.add(part)
         return [np.array(x, "<u4").tobytes() for x in out]
 
+    def _both(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of each part by this backend and by the original.
+
+        A line feed joins no piece, so many parts are encoded at a time with line feeds between.
+        """
+        feed = self.bare.encode("\n").ids if self.cuttable and self.plain else []
+        if len(feed) != 1:
+            out = [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
+            return out, out  # the original cannot be given a normalised text
+        lots, found = [parts[i : i + 200] for i in range(0, len(parts), 200)], ([], [])
+        mine = [e.ids for e in self.bare.encode_batch_fast(["\n" + "\n".join("" if p == "\n" else p for p in lot) for lot in lots], add_special_tokens=False)]
+        theirs = self.original.encode(["\n" + "\n".join("" if p == "\n" else p.replace(MARK, " ") for p in lot) for lot in lots], num_threads=1)
+        for lot, *rows in zip(lots, mine, theirs, strict=True):
+            for put, row in zip(found, rows, strict=True):
+                row = np.array(row)
+                cuts = [*np.flatnonzero(row == feed[0]).tolist(), len(row)]
+                put += [feed if p == "\n" else row[i + 1 : j].tolist() for p, i, j in zip(lot, cuts[:-1], cuts[1:], strict=True)]
+        return found
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
         """Ids (little-endian, 32 bits) of each text; whether both libraries agree; whether decoding gives the text."""
         parts = [self.parts(t) for t in texts]

@@ -39,6 +39,11 @@ _LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 _NO_CUT = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_WORD = re.compile(r" ?\S+")
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: byte-level BPE writes each byte as a character: printable ones as themselves, the rest from 256 on
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _cache: dict[str, PieceCache] = {}
 
 
@@ -74,14 +79,32 @@ def byte_bpe(path: str) -> PieceCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
+        model = tokenizer.model
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+
         def encode(texts: list[str]) -> list[bytes]:
             # a comma or full stop after an ASCII letter is a word of its own
             bare = {t: t[:-1] if t[-1:] in (".", ",") and t[-2:-1].isascii() and t[-2:-1].isalpha() else t for t in texts}
             plain = list({*bare.values(), ".", ","})
-            ids = {t: np.array(e.ids, "<u4").tobytes() for t, e in zip(plain, tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True)}
+            ids: dict[str, bytes] = {}
+            # Latin letters are one word for the pre-tokenizer, so its model can have them as they are
+            for t in plain:
+                if _LETTERS.fullmatch(t):
+                    ids[t] = np.array([x.id for x in model.tokenize(t.encode().decode("latin-1").translate(_BYTES))], "<u2").tobytes()
+            # words that hold no other white space are encoded many at a time, parted by line feeds, which are words of their own
+            alone = [t for t in plain if t not in ids and _WORD.fullmatch(t)] if len(feed) == 1 else []
+            lots = [alone[i : i + 500] for i in range(0, len(alone), 500)]
+            for lot, found in zip(lots, tokenizer.encode_batch_fast(["\n".join(lot) for lot in lots], add_special_tokens=False), strict=True):
+                row = np.array(found.ids, "<u2")
+                cuts = [-1, *np.flatnonzero(row == feed[0]).tolist(), len(row)]
+                ids.update(zip(lot, [row[i + 1 : j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+            rest = [t for t in plain if t not in ids]
+            ids.update(zip(rest, [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
             return [ids[b] if b == t else ids[b] + ids[t[-1]] for t, b in bare.items()]
 
-        _cache[path] = PieceCache(encode)
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        _cache[path] = PieceCache(encode, 400_000)
     return _cache[path]
 
 
@@ -109,10 +132,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def pack_shard(docs: list[tuple[int, bytes]], rank: np.ndarray) -> bytes:
-    ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
+    ids = np.frombuffer(b"".join(x for _, x in docs), "<u2")
     control, data = pack(rank[ids])
     head = np.array([len(docs), len(ids), len(data)], "<u8").tobytes()
-    return b"".join([MAGIC, head, np.array([d for d, _ in docs], "<i8").tobytes(), np.array([len(x) // 4 for _, x in docs], "<u8").tobytes(), control, data])
+    return b"".join([MAGIC, head, np.array([d for d, _ in docs], "<i8").tobytes(), np.array([len(x) // 2 for _, x in docs], "<u8").tobytes(), control, data])
 
 
 def unpack_shard(payload: bytes, ids_by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,14 +149,14 @@ def unpack_shard(payload: bytes, ids_by_rank: np.ndarray) -> tuple[np.ndarray, n
     return doc_id, length.astype(np.int64), ids_by_rank[unpack(payload[at:end], payload[end : end + n_data], n_tokens)]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabulary: int = 1 << 17, shard_tokens: int = 4 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabulary: int = 1 << 16, shard_tokens: int = 4 << 20) -> None:
     """Encode every whole text and write it, with ``end_id`` appended, to ``path`` in ascending doc_id order.
 
     A null text is empty and has the end id alone; a null doc_id sorts first. Rows that repeat a
     doc_id are written one after the other. An empty table has no shards. Other columns are not
     looked at. ``vocabulary`` bounds the ids.
     """
-    spark, end = docs.sparkSession, np.array([end_id], "<u4").tobytes()
+    spark, end = docs.sparkSession, np.array([end_id], "<u2").tobytes()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = byte_bpe(tokenizer)
@@ -148,9 +171,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         total = np.zeros(vocabulary, np.int64)
         for batch in parts:
             for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=vocabulary) if x.as_buffer().size > vocabulary else 0
+                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=vocabulary) if x.as_buffer().size > vocabulary else 0
             small = b"".join(x.as_py() for x in batch.column("ids") if x.as_buffer().size <= vocabulary)
-            total += np.bincount(np.frombuffer(small, "<u4"), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(small, "<u2"), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield from batches(COUNTS, {"id": seen, "n": total[seen]})
 
@@ -166,13 +189,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         held, size, before, part = [], 0, None, 0
 
         def shard() -> pa.RecordBatch:
-            return next(batches(SHARD, {"first": [held[0][0]], "part": [part], "n_docs": [len(held)], "n_tokens": [size // 4], "payload": [pack_shard(held, shared.value)]}))
+            return next(batches(SHARD, {"first": [held[0][0]], "part": [part], "n_docs": [len(held)], "n_tokens": [size // 2], "payload": [pack_shard(held, shared.value)]}))
 
         for batch in parts:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append((doc_id, ids))
                 size += len(ids)
-                if size >= 4 * shard_tokens:
+                if size >= 2 * shard_tokens:
                     part = part + 1 if before == held[0][0] else 0
                     yield shard()
                     held, size, before = [], 0, held[0][0]
