@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from korridor.llm.pieces import groups
+
 ORDER, REACH, DECAY = 4, 8, 0.7
 LETTERS = 48  #: codes of characters; 0 stands for none
 STEPS = [(0, *c) for c in combinations(range(1, REACH), ORDER - 1)]
@@ -272,20 +274,24 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in parts:
-            bags = [words(t or "") for t in batch.column("text").to_pylist()]
-            new = list({w for b in bags for w in b if w not in known})
-            for k in range(0, len(new), 20_000):
-                known.update(zip(new[k : k + 20_000], np.maximum(shared.value.margins(new[k : k + 20_000]), FLOOR).tolist(), strict=True))
-            top = np.full((len(bags), 2), FLOOR)
-            for i, bag in enumerate(bags):
-                if bag:
-                    v = np.fromiter(map(known.__getitem__, bag), float, len(bag))
-                    j = int(v.argmax())
-                    top[i, 0], v[j] = v[j], FLOOR
-                    top[i, 1] = v.max()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(top))], [*batch.schema.names, name])
-            if len(known) > 400_000:
-                known.clear()
+            scores = []
+            for texts in groups([t or "" for t in batch.column("text").to_pylist()], 1 << 20):
+                bags = [words(t) for t in texts]
+                new = list(set().union(*bags) - known.keys())
+                for k in range(0, len(new), 20_000):
+                    known.update(zip(new[k : k + 20_000], np.maximum(shared.value.margins(new[k : k + 20_000]), FLOOR).tolist(), strict=True))
+                top = np.full((len(bags), 2), FLOOR)
+                for i, bag in enumerate(bags):
+                    if bag:
+                        v = np.fromiter(map(known.__getitem__, bag), float, len(bag))
+                        j = int(v.argmax())
+                        top[i, 0], v[j] = v[j], FLOOR
+                        top[i, 1] = v.max()
+                scores.append(shared.value.score(top))
+                if len(known) > 300_000:
+                    known.clear()
+            scores = np.concatenate(scores) if scores else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
