@@ -180,7 +180,9 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
     if not rows or not 0 < y.sum() < len(y):
         prior = float(y.mean()) if len(y) else 0.0
         return Scorer(np.empty(0, np.int64), np.empty(0), FLOOR, (0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))))
-    sentences = [[words(s) for s in _SENTENCE.split(t) if s] for t, _ in rows]
+    one: dict[str, str] = {}  # each word is held once
+    sentences = [[[one.setdefault(w, w) for w in words(s)] for s in _SENTENCE.split(t) if s] for t, _ in rows]
+    rows = [("", v) for _, v in rows]
     toxic, clean = Counter(), Counter()
     for (_, v), ss in zip(rows, sentences, strict=True):
         (toxic if v else clean).update({w for s in ss for w in s})
@@ -258,7 +260,7 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = (1000, 2000)) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = (800, 1600)) -> list[tuple[str, int]]:
     """At most ``each`` (toxic, clean) labelled texts that are not held out, the least by a hash of the id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["doc_id"])
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.col("doc_id")]
