@@ -101,4 +101,6 @@ def with_roles(sql: str) -> str:
     if not head:
         return sql
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     return f"WITH {head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
