@@ -23,6 +23,7 @@ from korridor.llm.common import batches, keyed, unkeyed
 K, SHINGLE, DIGITS = 256, 5, 10  #: hashes kept, words of a shingle, hex digits of a hash
 _SPACE = 1 << 4 * DIGITS
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+_ADD = [np.uint64(int(x) * (j + 1) & (1 << 64) - 1) for j, x in enumerate(_MULTIPLY)]
 PAIRED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 BLOCKED = pa.schema([("block", pa.int64()), ("own", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -43,7 +44,7 @@ def sketch(text: str, k: int = K, shingle: int = SHINGLE) -> np.ndarray:
     n = max(1, len(word) - shingle + 1)
     total = np.zeros(n, np.uint64)
     for j in range(min(shingle, len(word))):
-        total += _mixed(word[j : n + j] + _MULTIPLY[j % 5] * np.uint64(j + 1))
+        total += _mixed(word[j : n + j] + _ADD[j % 5])
         total *= _MULTIPLY[(j + 1) % 5]
     found = _mixed(total) >> np.uint64(64 - 4 * DIGITS)
     if len(found) > 8 * k:  # a repeated hash counts once, so more than k are needed
