@@ -64,10 +64,21 @@ def ranked_sample(df: DataFrame, by: list[str], quota, ids: list[str], seed: str
     return df.withColumn("sample_rank", F.row_number().over(order)).filter(F.col("sample_rank") <= quota)
 
 
-def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int, tie: str, least: int = 0) -> DataFrame:
-    """Whole quotas that add up to ``seats``: floors, then one each to the largest remainders."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    share = F.col(weight) * seats / F.sum(weight).over(group)
-    x = df.withColumn("_share", share).withColumn("_floor", F.greatest(F.floor("_share"), F.lit(least)).cast("long"))
-    x = x.withColumn("_left", F.lit(seats) - F.sum("_floor").over(group)).withColumn("_rank", F.row_number().over(group.orderBy((F.col("_share") - F.floor("_share")).desc(), tie)))
-    return x.withColumn("quota", F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_share", "_floor", "_left", "_rank")
+def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int, tie: str, buckets: int = 4096) -> DataFrame:
+    """Whole quotas that add up to ``seats``: floors, then one each to the largest remainders.
+
+    Remainders are ranked by bucket: how many lie in higher buckets is a sum of ``buckets`` counts, so
+    no task sorts more than one bucket of a group.
+    """
+    name = by or ["_all"]
+    x = df if by else df.withColumn("_all", F.lit(0))
+    totals = x.groupBy(*name).agg(F.sum(weight).alias("_total"))
+    share = F.col(weight) * seats / F.col("_total")
+    x = x.join(F.broadcast(totals) if not by else totals, name).withColumn("_share", share).withColumn("_floor", F.floor("_share")).withColumn("_rest", F.col("_share") - F.col("_floor")).withColumn("_bucket", F.floor(F.col("_rest") * buckets))
+    counts = x.groupBy(*name, "_bucket").agg(F.count("*").alias("_n"), F.sum("_floor").alias("_sum"))
+    whole = Window.partitionBy(*name)
+    above = F.coalesce(F.sum("_n").over(whole.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_spare", F.lit(seats) - F.sum("_sum").over(whole) - above).select(*name, "_bucket", "_spare")
+    inside = Window.partitionBy(*name, "_bucket").orderBy(F.desc("_rest"), tie)
+    x = x.join(counts, [*name, "_bucket"]).withColumn("quota", F.col("_floor") + (F.row_number().over(inside) <= F.col("_spare")).cast("long"))
+    return x.select(*df.columns, "quota")

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from korridor.plans import ORACLES, QUERIES
@@ -26,7 +27,7 @@ def plain(df):
     """Rows as sorted tuples of texts, numbers rounded."""
 
     def cell(v):
-        if v is None or v is np.nan or (isinstance(v, float) and np.isnan(v)) or str(v) == "NaT":
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
