@@ -24,6 +24,20 @@ class PieceCache:
         return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
 
 
+class LazyPieces(dict):
+    """Ids of pieces, each encoded when it is first asked for; at most ``most`` are held."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = 500_000) -> None:
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 def groups(texts: list[str], most: int = 4 << 20) -> Iterable[list[str]]:
     """The texts in their order, some million characters at a time."""
     held, size = [], 0

@@ -43,12 +43,11 @@ def byte_bpe(path: str) -> Callable[[DataFrame], DataFrame]:
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from korridor.llm.pieces import groups
             from korridor.llm.token_files import byte_bpe as cached
-            from korridor.llm.token_files import pieces
 
-            cache = cached(path)
+            encoder = cached(path)
             for batch in parts:
                 at, texts = batch.schema.get_field_index("text"), batch.column("text").to_pylist()
-                n = [len(x) // 2 for g in groups(texts) for x in cache.joined([pieces(t) for t in g])]
+                n = [len(x) // 2 for g in groups(texts) for x in encoder(g)]
                 yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(np.array(n, np.int64))], [*(c for i, c in enumerate(batch.schema.names) if i != at), "tokens"])
 
         kept = [f for f in rows.schema.fields if f.name != "text"]

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korridor.llm.common import batches, cut, drop, keyed, shared_dir, unkeyed
-from korridor.llm.pieces import PieceCache, groups
+from korridor.llm.pieces import LazyPieces, groups
 
 MAGIC = b"KRTOKEN1"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -39,12 +40,11 @@ _LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 _NO_CUT = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_WORD = re.compile(r" ?\S+")
-_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: byte-level BPE writes each byte as a character: printable ones as themselves, the rest from 256 on
 _BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_cache: dict[str, PieceCache] = {}
+_SPACE, _LATIN_END = chr(_BYTES[32]), "\u0250"
+_made: dict[str, ByteBpe] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,59 +53,56 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str) -> list[str]:
-    """A text cut where byte-level BPE starts a new word anyway.
+class ByteBpe:
+    """A tokenizer file, and the ids of the words that it has met.
 
-    The word pattern takes one space with the word that follows it, and a single line feed between
-    other characters by itself. Next to other white space nothing is cut, but for spaces that stand
-    alone.
+    A text is cut where byte-level BPE starts a new word anyway: it takes one space with the word that
+    follows it, and a single line feed between other characters by itself. Next to other white
+    space nothing is cut, but for spaces that stand alone. Words are held apart by whether a space
+    goes before them.
     """
-    if _NO_CUT.search(text):
-        return _CUT.split(text)
-    out = []
-    for line in text.split("\n"):
-        first, *rest = line.split(" ")
-        out += ("\n", first)
-        out += [" " + w for w in rest]
-    return out[1:]
-
-
-def byte_bpe(path: str) -> PieceCache:
-    """The cache of this process for the tokenizer file at ``path``."""
-    if path not in _cache:
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        model = tokenizer.model
-        feed = tokenizer.encode("\n", add_special_tokens=False).ids
-
-        def encode(texts: list[str]) -> list[bytes]:
-            # a comma or full stop after an ASCII letter is a word of its own
-            bare = {t: t[:-1] if t[-1:] in (".", ",") and t[-2:-1].isascii() and t[-2:-1].isalpha() else t for t in texts}
-            plain = list({*bare.values(), ".", ","})
-            ids: dict[str, bytes] = {}
-            # Latin letters are one word for the pre-tokenizer, so its model can have them as they are
-            for t in plain:
-                if _LETTERS.fullmatch(t):
-                    ids[t] = np.array([x.id for x in model.tokenize(t.encode().decode("latin-1").translate(_BYTES))], "<u2").tobytes()
-            # words that hold no other white space are encoded many at a time, parted by line feeds, which are words of their own
-            alone = [t for t in plain if t not in ids and _WORD.fullmatch(t)] if len(feed) == 1 else []
-            lots = [alone[i : i + 500] for i in range(0, len(alone), 500)]
-            for lot, found in zip(lots, tokenizer.encode_batch_fast(["\n".join(lot) for lot in lots], add_special_tokens=False), strict=True):
-                row = np.array(found.ids, "<u2")
-                cuts = [-1, *np.flatnonzero(row == feed[0]).tolist(), len(row)]
-                ids.update(zip(lot, [row[i + 1 : j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
-            rest = [t for t in plain if t not in ids]
-            ids.update(zip(rest, [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
-            return [ids[b] if b == t else ids[b] + ids[t[-1]] for t, b in bare.items()]
-
-        if tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        _cache[path] = PieceCache(encode, 400_000)
-    return _cache[path]
+        self.model, self.bare, self.spaced = self.tokenizer.model, LazyPieces(self._encode), LazyPieces(lambda w: self._encode(" " + w), 800_000)
+
+    def _encode(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():  # letters are one word for the pre-tokenizer, so its model can have them as they are
+            if word.isascii():
+                return array("H", [x.id for x in self.model.tokenize(piece.replace(" ", _SPACE))]).tobytes()
+            if word[-1] < _LATIN_END and max(word) < _LATIN_END:
+                return array("H", [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        elif word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha():
+            return (self.bare[word[:-1]] if word is piece else self.spaced[word[:-1]]) + self.bare[word[-1]]  # such a sign after an ASCII letter is a word of its own
+        return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text, 16 bits each."""
+        if _NO_CUT.search(text):
+            return b"".join(map(self.bare.__getitem__, _CUT.split(text)))
+        feed, bare, spaced, out = self.bare["\n"], self.bare, self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out += (feed, bare[first])
+            out += map(spaced, rest)
+        return b"".join(out[1:])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(t) for t in texts]
+
+
+def byte_bpe(path: str) -> ByteBpe:
+    """The one of this process for the tokenizer file at ``path``."""
+    if path not in _made:
+        _made[path] = ByteBpe(path)
+    return _made[path]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -159,11 +156,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark, end = docs.sparkSession, np.array([end_id], "<u2").tobytes()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = byte_bpe(tokenizer)
+        encoder = byte_bpe(tokenizer)
         for batch in parts:
             at = 0
             for texts in groups(batch.column("text").to_pylist()):
-                ids = [x + end for x in cache.joined([pieces(t) for t in texts])]
+                ids = [x + end for x in encoder(texts)]
                 yield from batches(TOKENS, {"doc_id": batch.column("doc_id").slice(at, len(texts)), "ids": ids}, 2_000)
                 at += len(texts)
 
