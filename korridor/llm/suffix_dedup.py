@@ -229,7 +229,7 @@ def _finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(RESULT, out)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 1_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` (lo, end) of each document.
 
     ``width``: 64 to 128 bytes. ``hot``: continuations of one anchor beyond which its windows are
