@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,15 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Later steps read the written rows whatever executors are lost meanwhile, and the shuffle files
     of the steps before can go: their owners are released here, so that the disk holds one step.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)

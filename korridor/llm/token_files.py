@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         seen = np.flatnonzero(total)
         yield from batches(COUNTS, {"id": seen, "n": total[seen]})
 
-    tokens = cut(keyed(docs).mapInArrow(encode, "doc_id long, ids binary"), "tokens")
+    tokens = cut(keyed(docs).mapInArrow(encode, "doc_id long, ids binary"), "tokens", "zstd")
     order = tokens.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").select("id")
     seen = np.array([r.id for r in order.collect()], np.int64)  # no more rows than the vocabulary has ids
     ids_by_rank = seen.astype("<u4")
