@@ -160,7 +160,14 @@ def actual_times(r: Roles) -> DataFrame:
 
 
 portable("g06_demand_formula", "SELECT trip_id, round(CAST(20 AS DOUBLE) * CASE WHEN (CAST(floor(scheduled_s / 86400) AS BIGINT) + 3) % 7 + 1 >= 6 THEN CAST(0.72 AS DOUBLE) ELSE 1 END * CASE WHEN trip_id % 2 = 1 THEN CAST(0.62 AS DOUBLE) ELSE 1 END * CASE WHEN trip_id % 97 = 0 THEN 2 ELSE 1 END, 4) AS demand FROM trips")
-portable("g07_rider_flow", "SELECT v.trip_id, v.seq, s.n AS rider FROM visits v JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) s ON s.n <= v.boardings % 4")
+
+
+@query("g07_rider_flow", "SELECT trip_id, seq, unnest(range(1, boardings + 1)) AS rider FROM visits")
+def rider_flow(r: Roles) -> DataFrame:
+    """A row for each boarding of a visit."""
+    return r.visits.filter("boardings > 0").select("trip_id", "seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("boardings"))).alias("rider"))
+
+
 portable("g08_duties", "SELECT vehicle_id, count(*) AS duties, CAST(sum(CASE WHEN scheduled_s < busy + 3600 THEN 1 ELSE 0 END) AS BIGINT) AS clashes FROM (SELECT vehicle_id, scheduled_s, max(actual_s) OVER (PARTITION BY vehicle_id ORDER BY scheduled_s, trip_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM spine WHERE actual_s > scheduled_s) q GROUP BY vehicle_id")
 
 
