@@ -27,6 +27,13 @@ def classification(df: DataFrame, actual: str, predicted: str, labels: list) ->
     return x.select("n", F.round(accuracy, 6).alias("accuracy"), F.round(macro, 6).alias("macro_f1"), F.round(weighted, 6).alias("weighted_f1"), ((accuracy >= 0.85) | (macro >= 0.8)).alias("accepted"))
 
 
+def macro_f1(df: DataFrame, actual: str, predicted: str, labels: list) -> float:
+    """Unrounded macro F1 over the declared labels; 0 where a class divides by zero."""
+    cells = {(r.actual, r.predicted): r.n for r in confusion(df, actual, predicted).collect()}
+    sizes = [sum(n for (a, _), n in cells.items() if a == k) + sum(n for (_, p), n in cells.items() if p == k) for k in labels]
+    return sum(2 * cells.get((k, k), 0) / n if n else 0.0 for k, n in zip(labels, sizes, strict=True)) / len(labels)
+
+
 def regression(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: n, MAE, RMSE, R2 (null for fewer than two rows or a constant), MAPE over nonzero actuals."""
     a, e = F.col(actual), F.col(predicted) - F.col(actual)
@@ -50,7 +57,7 @@ def comparison(left: DataFrame, right: DataFrame, key: str, value: str) -> DataF
     )
 
 
-def silhouette(sample: DataFrame, row: str, cluster: str, features: list[str]) -> DataFrame:
+def silhouette(sample: DataFrame, row: str, cluster: str, features: list[str], digits: int | None = 6) -> DataFrame:
     """Mean Euclidean silhouette of a bounded sample (each row against each, so a few hundred rows)."""
     a, b = sample.alias("a"), F.broadcast(sample).alias("b")
     distance = F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(2)) for c in features]))
@@ -58,4 +65,5 @@ def silhouette(sample: DataFrame, row: str, cluster: str, features: list[str]) -
     means = pairs.groupBy(F.col(f"a.{row}").alias("r"), F.col(f"a.{cluster}").alias("own"), F.col(f"b.{cluster}").alias("other")).agg(F.avg(distance).alias("d"))
     per = means.groupBy("r").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("near"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("next"))
     s = F.when(F.col("near").isNull(), 0.0).otherwise((F.col("next") - F.col("near")) / F.greatest("next", "near"))
-    return per.agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("silhouette"))
+    mean = F.avg(s) if digits is None else F.round(F.avg(s), digits)
+    return per.agg(F.count("*").alias("n"), mean.alias("silhouette"))

@@ -67,9 +67,9 @@ FEATURES = ["hour", "weekday", "lag_1", "mean_7"]
 
 @query("m09_regression_run", None)
 def regression_run(r: Roles) -> DataFrame:
-    """The better of ridge and tree on validation, scored on test against the last value as baseline."""
+    """The best of all candidates on validation, scored on test against the last value as baseline."""
     train, validation, test = (x.persist() for x in _sets(r))
-    name, model = learning.best_regressor(train, validation, FEATURES, ["ridge", "tree"])
+    name, model = learning.best_regressor(train, validation, FEATURES)
     out = model.transform(test)
     return metrics.regression(out, "label", "prediction").withColumn("model", F.lit(name)).crossJoin(metrics.regression(out, "label", "lag_1").select(F.col("mae").alias("baseline_mae")))
 
@@ -77,17 +77,22 @@ def regression_run(r: Roles) -> DataFrame:
 @query("m08_classification_run", None)
 def classification_run(r: Roles) -> DataFrame:
     train, validation, test = (x.withColumn("label", (F.col("label") > 50).cast("double")).persist() for x in _sets(r))
-    name, model = learning.best_classifier(train, validation, FEATURES, ["tree", "logistic"])
+    name, model = learning.best_classifier(train, validation, FEATURES, [0.0, 1.0])
     return metrics.classification(model.transform(test), "label", "prediction", [0.0, 1.0]).withColumn("model", F.lit(name))
 
 
 @query("m16_clustering_run", None)
 def clustering_run(r: Roles) -> DataFrame:
-    x = r.spine.groupBy("route_id").agg(F.avg("boardings").alias("load"), F.avg(transit.positive_delay("actual_s", "scheduled_s")).alias("delay"), F.count("*").cast("double").alias("n")).persist()
+    """The clusters of each split's routes by every candidate; ``selected`` has the greatest silhouette on validation.
+
+    Null if a silhouette is undefined there, as when all routes of a later split are in one cluster.
+    """
+    split = F.coalesce(transit.splits("service_date", "1999-01-01", "2000-01-01", "2001-01-01"), F.lit("test"))
+    x = r.spine.groupBy(split.alias("split"), "route_id").agg(F.avg("boardings").alias("load"), F.avg(transit.positive_delay("actual_s", "scheduled_s")).alias("delay"), (F.count("*") / F.countDistinct("service_date")).alias("n")).persist()
+    best, models, scores = learning.best_clustering(x.filter("split = 'train'"), x.filter("split = 'validation'"), ["load", "delay", "n"], "route_id")
     out = None
-    for name, estimator in learning.candidates("clustering").items():
-        model = learning.fit(x, ["load", "delay", "n"], estimator)
-        part = model.transform(x).select(F.lit(name).alias("model"), "route_id", F.col("prediction").alias("cluster"))
+    for name, model in models.items():
+        part = model.transform(x).select(F.lit(name).alias("model"), "split", "route_id", F.col("prediction").alias("cluster"), F.lit(scores[name]).cast("double").alias("silhouette"), F.lit(best and name == best).cast("boolean").alias("selected"))
         out = part if out is None else out.unionByName(part)
     return out
 
