@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIORITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
-#: rule: (what is measured, against which policy value, the recurrence column)
-RULES = {
-    "increase_frequency": ("mean_occupancy_ratio", "overload_ratio", "overload_days"),
-    "higher_capacity_vehicle": ("peak_occupancy_ratio", "overload_ratio", "overload_days"),
-    "modify_schedule": ("late_fraction", "late_fraction", "late_days"),
-    "investigate_bottleneck": ("mean_delay_s", "bottleneck_delay_s", "late_days"),
-    "improve_headways": ("headway_cv", "headway_cv", "late_days"),
-}
+RULES = ("increase_frequency", "reduce_underutilized_service", "modify_schedule", "higher_capacity_vehicle", "investigate_bottleneck", "adjust_departure_time", "improve_headways")
 
 
 def band(value: Column, limits: list[float]) -> Column:
@@ -31,15 +24,34 @@ def recommend(metrics: DataFrame, entity: str, policy: dict) -> DataFrame:
     """entity, rule, status, severity, priority for every rule: TRIGGERED, NO_ACTION or NOT_READY.
 
     ``metrics`` has a row per entity with ``sample_count``, ``affected_passengers`` and the rules'
-    measures. Too few samples or a missing measure is NOT_READY, never a no. The rows of one entity
-    are made by one explode, so the metrics are read once.
+    measures. Too few samples or a missing measure is NOT_READY, never a no; a column or policy value
+    that is not there is missing for all. The rows of one entity are made by one explode, so the
+    metrics are read once.
     """
+    measure = lambda c, kind="double": F.col(c) if c in metrics.columns else F.lit(None).cast(kind)
+    limit = lambda c: F.lit(policy.get(c)).cast("double")
+    recurs = lambda c: measure(c) >= policy["minimum_days"]
+    load, before, after, shift = (measure(c) for c in ("mean_occupancy_ratio", "current_expected_wait_minutes", "alternative_expected_wait_minutes", "evaluated_shift_minutes"))
+    busy, full, under = load / limit("overload_ratio"), measure("peak_occupancy_ratio") / limit("overload_ratio"), limit("underutilization_ratio")
+    late, slow, uneven = measure("late_fraction") / limit("late_fraction"), measure("mean_delay_s") / limit("bottleneck_delay_s"), measure("headway_cv") / limit("headway_cv")
+    social, covered = measure("social_service_required", "boolean"), measure("coverage_preserved", "boolean")
+    # rule: severity, whether it holds, what else must be known
+    rules = {
+        "increase_frequency": (busy, (busy > 1) & recurs("overload_days"), []),
+        "reduce_underutilized_service": (F.when(load.isNotNull(), 1 + F.greatest(F.lit(0.0), under - load) / under), (load < under) & recurs("underutilized_days") & ~social & covered, [social, covered]),
+        "modify_schedule": (late, (late >= 1) & recurs("late_days"), []),
+        "higher_capacity_vehicle": (full, (full > 1) & recurs("overload_days"), []),
+        "investigate_bottleneck": (slow, (slow >= 1) & recurs("late_days"), []),
+        "adjust_departure_time": (F.when(before > 0, 1 + (before - after) / before).when(after.isNotNull() & before.isNotNull(), 0.0), before > after, [F.nullif(shift, F.lit(0.0)), measure("trip_id")]),
+        "improve_headways": (uneven, (uneven >= 1) & recurs("irregular_headway_days"), []),
+    }
+    days = {"increase_frequency": "overload_days", "reduce_underutilized_service": "underutilized_days", "modify_schedule": "late_days", "higher_capacity_vehicle": "overload_days", "investigate_bottleneck": "late_days", "improve_headways": "irregular_headway_days"}
     cases = []
-    for rule, (measure, limit, days) in RULES.items():
-        severity = F.col(measure) / policy[limit]
-        ready = (F.col("sample_count") >= policy["minimum_samples"]) & severity.isNotNull() & F.col(days).isNotNull()
-        strict = severity >= 1 if rule in ("modify_schedule", "investigate_bottleneck") else severity > 1
-        status = F.when(~ready | ready.isNull(), "NOT_READY").when(strict & (F.col(days) >= policy["minimum_days"]), "TRIGGERED").otherwise("NO_ACTION")
+    for rule in RULES:
+        severity, holds, known = rules[rule]
+        known = [severity, *known, *([measure(days[rule])] if rule in days else [])]
+        ready = reduce(lambda a, b: a & b, [x.isNotNull() for x in known], F.col("sample_count") >= policy["minimum_samples"])
+        status = F.when(~ready | ready.isNull(), "NOT_READY").when(holds, "TRIGGERED").otherwise("NO_ACTION")
         cases.append(F.struct(F.lit(rule).alias("rule"), status.alias("status"), severity.alias("severity")))
     out = metrics.select(entity, "affected_passengers", F.explode(F.array(*cases)).alias("c")).select(entity, "affected_passengers", "c.*")
     level = priority(F.col("affected_passengers"), F.col("severity"), policy["passenger_impact_bands"], policy["severity_bands"])

@@ -10,18 +10,59 @@ from korridor.operators import transit, whatif, windows
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
 
-POLICY = {"minimum_samples": 30, "minimum_days": 2, "overload_ratio": 1.0, "late_fraction": 0.3, "bottleneck_delay_s": 20_000_000.0, "headway_cv": 1.5, "passenger_impact_bands": [50, 20000, 66000], "severity_bands": [1.1, 1.5, 2.0]}
+POLICY = {"minimum_samples": 30, "minimum_days": 2, "overload_ratio": 1.0, "underutilization_ratio": 0.5, "late_fraction": 0.3, "bottleneck_delay_s": 20_000_000.0, "headway_cv": 1.5, "passenger_impact_bands": [50, 20000, 66000], "severity_bands": [1.1, 1.5, 2.0]}
+def states(r: Roles) -> DataFrame:
+    """A window of an hour per route: its passengers arrive evenly, two departures of 30 seats."""
+    p = r.passengers.groupBy("route_id").agg(F.count("*").cast("double").alias("p"))
+    trip = lambda m: F.struct(F.lit(float(m)).alias("minute"), F.lit(30.0).alias("capacity"))
+    profile = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(60.0).alias("end"), F.col("p").alias("passengers")))
+    return p.select("route_id", F.array(trip(30), trip(60)).alias("trips"), profile.alias("profile"), F.lit(60.0).alias("window"), F.lit(30.0).alias("cycle"))
+
+
+SCENARIOS = {
+    "baseline": ({}, "30, 60, 60, 60, 30, 30, 0, 0, 1, 0"), "increase_frequency": ({"trip_count": 4}, "15, 30, 45, 60, 30, 30, 30, 30, 1, 0"), "decrease_frequency": ({"trip_count": 1}, "60, 60, 60, 60, 30, 0, 0, 0, 1, 0"),
+    "add_vehicle": ({}, "15, 30, 45, 60, 30, 30, 30, 30, 1, 0"), "change_vehicle_capacity": ({"capacity": 60}, "30, 60, 60, 60, 60, 60, 0, 0, 1, 0"), "shift_trip_start_time": ({"trip": 1, "minutes": -10}, "20, 60, 60, 60, 30, 30, 0, 0, 1, 0"),
+    "remove_low_demand_trip": ({"trip": 1}, "60, 60, 60, 60, 30, 0, 0, 0, 1, 0"), "add_new_stop": ({"cycle": 15, "passengers": 30}, "60, 60, 60, 60, 30, 0, 0, 0, 1, 30"), "increase_predicted_demand": ({"factor": 2}, "30, 60, 60, 60, 30, 30, 0, 0, 2, 0"),
+}
+
+
+def _queue_sql(names: list[str]) -> str:
+    rows = ", ".join(f"('{n}', {SCENARIOS[n][1]})" for n in names)
+    return f"""WITH c(scenario, t1, t2, t3, t4, k1, k2, k3, k4, f, extra) AS (VALUES {rows}),
+s AS (SELECT p.route_id, c.*, p.n * c.f::DOUBLE + c.extra AS d FROM (SELECT route_id, count(*) AS n FROM passengers GROUP BY route_id) p, c),
+s1 AS (SELECT *, least(d * t1 / 60, k1) AS a1 FROM s), s2 AS (SELECT *, least(d * t2 / 60, a1 + k2) AS a2 FROM s1), s3 AS (SELECT *, least(d * t3 / 60, a2 + k3) AS a3 FROM s2), s4 AS (SELECT *, least(d * t4 / 60, a3 + k4) AS a4 FROM s3)
+SELECT route_id, scenario, round(k1 + k2 + k3 + k4, 6)::DOUBLE AS capacity, round(a4, 6) AS served, round(greatest(0, d - a4), 6) AS unserved, round((t1 * a1 + t2 * (a2 - a1) + t3 * (a3 - a2) + t4 * (a4 - a3) - a4 * a4 * 60 / (2 * d)) / a4, 6) AS wait_minutes FROM s4"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("route_id", "scenario", *(F.round(c, 6).alias(c) for c in ("capacity", "served", "unserved", "wait_minutes")))
+
+
 METRICS = """SELECT route_id, count(*) AS sample_count, CAST(sum(boardings) AS DOUBLE) AS affected_passengers, avg(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) AS mean_occupancy_ratio, max(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) AS peak_occupancy_ratio,
-count(DISTINCT CASE WHEN boardings > capacity THEN service_date END) AS overload_days, avg(CAST(CASE WHEN actual_s > scheduled_s THEN 1 ELSE 0 END AS DOUBLE)) AS late_fraction, count(DISTINCT CASE WHEN actual_s > scheduled_s THEN service_date END) AS late_days, avg(greatest(0, actual_s - scheduled_s)) AS mean_delay_s, stddev_pop(boardings) / avg(boardings) AS headway_cv FROM spine GROUP BY route_id"""
+count(DISTINCT CASE WHEN boardings > capacity THEN service_date END) AS overload_days, avg(CAST(CASE WHEN actual_s > scheduled_s THEN 1 ELSE 0 END AS DOUBLE)) AS late_fraction, count(DISTINCT CASE WHEN actual_s > scheduled_s THEN service_date END) AS late_days, avg(greatest(0, actual_s - scheduled_s)) AS mean_delay_s, stddev_pop(boardings) / avg(boardings) AS headway_cv,
+count(DISTINCT CASE WHEN capacity > 0 AND CAST(boardings AS DOUBLE) / capacity < 0.5 THEN service_date END) AS underutilized_days FROM spine GROUP BY route_id"""
+#: what the rules need besides: days of uneven boardings, stops that other routes serve too, a social mode, the first trip ten minutes earlier
+EVIDENCE = f"""SELECT m.*, d.irregular_headway_days, k.coverage_preserved, n.mode = 'AFRICA' AS social_service_required, q.wait_minutes AS w0, a.wait_minutes AS w1 FROM ({METRICS}) m
+LEFT JOIN (SELECT route_id, count(CASE WHEN cv >= 1.5 THEN 1 END) AS irregular_headway_days FROM (SELECT route_id, service_date, stddev_pop(boardings) / nullif(avg(boardings), 0) AS cv FROM spine GROUP BY route_id, service_date) x GROUP BY route_id) d ON d.route_id = m.route_id
+LEFT JOIN (SELECT x.route_id, min(y.n) > 1 AS coverage_preserved FROM (SELECT DISTINCT route_id, stop_id FROM spine) x JOIN (SELECT stop_id, count(DISTINCT route_id) AS n FROM spine GROUP BY stop_id) y ON y.stop_id = x.stop_id GROUP BY x.route_id) k ON k.route_id = m.route_id
+LEFT JOIN routes n ON n.route_id = m.route_id
+LEFT JOIN ({_queue_sql(["baseline"])}) q ON q.route_id = m.route_id LEFT JOIN ({_queue_sql(["shift_trip_start_time"])}) a ON a.route_id = m.route_id"""
 
 
 def _rules_sql() -> str:
-    parts = []
-    for rule, (measure, limit, days) in whatif.RULES.items():
-        op = ">=" if rule in ("modify_schedule", "investigate_bottleneck") else ">"
-        parts.append(f"SELECT route_id, '{rule}' AS rule, CASE WHEN sample_count < 30 THEN 'NOT_READY' WHEN {measure} / {POLICY[limit]} {op} 1 AND {days} >= 2 THEN 'TRIGGERED' ELSE 'NO_ACTION' END AS status, {measure} / {POLICY[limit]} AS severity, affected_passengers AS p FROM m")
+    # rule: severity, what must be known besides, when it holds
+    rules = {
+        "increase_frequency": ("mean_occupancy_ratio / 1.0", "overload_days", "mean_occupancy_ratio > 1.0 AND overload_days >= 2"),
+        "reduce_underutilized_service": ("CASE WHEN mean_occupancy_ratio IS NOT NULL THEN 1 + greatest(0, 0.5 - mean_occupancy_ratio) / 0.5 END", "underutilized_days + social_service_required::INT + coverage_preserved::INT", "mean_occupancy_ratio < 0.5 AND underutilized_days >= 2 AND NOT social_service_required AND coverage_preserved"),
+        "modify_schedule": ("late_fraction / 0.3", "late_days", "late_fraction / 0.3 >= 1 AND late_days >= 2"),
+        "higher_capacity_vehicle": ("peak_occupancy_ratio / 1.0", "overload_days", "peak_occupancy_ratio > 1.0 AND overload_days >= 2"),
+        "investigate_bottleneck": ("mean_delay_s / 20000000", "late_days", "mean_delay_s / 20000000 >= 1 AND late_days >= 2"),
+        "adjust_departure_time": ("CASE WHEN w0 > 0 THEN 1 + (w0 - w1) / w0 WHEN w1 IS NOT NULL THEN w0 * 0 END", "w0 + w1", "w0 > w1"),
+        "improve_headways": ("headway_cv / 1.5", "irregular_headway_days", "headway_cv / 1.5 >= 1 AND irregular_headway_days >= 2"),
+    }
+    parts = [f"SELECT route_id, '{rule}' AS rule, CASE WHEN sample_count < 30 OR ({severity}) IS NULL OR ({known}) IS NULL THEN 'NOT_READY' WHEN {holds} THEN 'TRIGGERED' ELSE 'NO_ACTION' END AS status, {severity} AS severity, affected_passengers AS p FROM m" for rule, (severity, known, holds) in rules.items()]
     banded = "(p >= 50)::INT + (p >= 20000)::INT + (p >= 66000)::INT + (severity >= 1.1)::INT + (severity >= 1.5)::INT + (severity >= 2.0)::INT"
-    return f"WITH m AS ({METRICS}), r AS ({' UNION ALL '.join(parts)}) SELECT route_id, rule, status, round(severity, 6) AS severity, CASE WHEN status = 'TRIGGERED' THEN CASE ({banded}) // 2 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END END AS priority FROM r"
+    return f"WITH m AS ({EVIDENCE}), r AS ({' UNION ALL '.join(parts)}) SELECT route_id, rule, status, round(severity, 6) AS severity, CASE WHEN status = 'TRIGGERED' THEN CASE ({banded}) // 2 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END END AS priority FROM r"
 
 
 def route_metrics(r: Roles) -> DataFrame:
@@ -31,12 +72,27 @@ def route_metrics(r: Roles) -> DataFrame:
         F.count("*").alias("sample_count"), F.sum("boardings").cast("double").alias("affected_passengers"), F.avg("utilization").alias("mean_occupancy_ratio"), F.max("utilization").alias("peak_occupancy_ratio"),
         F.countDistinct(F.when(F.col("over_capacity"), F.col("service_date"))).alias("overload_days"), F.avg(late.cast("double")).alias("late_fraction"), F.countDistinct(F.when(late, F.col("service_date"))).alias("late_days"),
         F.avg(transit.positive_delay("actual_s", "scheduled_s")).alias("mean_delay_s"), (F.stddev_pop("boardings") / F.avg("boardings")).alias("headway_cv"),
+        F.countDistinct(F.when(F.col("utilization") < POLICY["underutilization_ratio"], F.col("service_date"))).alias("underutilized_days"),
     )
 
 
+def rule_evidence(r: Roles) -> DataFrame:
+    """The metrics of each route with what the rules need besides them."""
+    spread = F.stddev_pop("boardings") / F.nullif(F.avg("boardings"), F.lit(0.0))
+    uneven = r.spine.groupBy("route_id", "service_date").agg(spread.alias("cv")).groupBy("route_id").agg(F.count_if(F.col("cv") >= POLICY["headway_cv"]).alias("irregular_headway_days"))
+    shared = r.spine.groupBy("stop_id").agg(F.collect_set("route_id").alias("on")).select(F.explode("on").alias("route_id"), F.size("on").alias("n")).groupBy("route_id").agg((F.min("n") > 1).alias("coverage_preserved"))
+    social = r.routes.select("route_id", (F.col("mode") == "AFRICA").alias("social_service_required"))
+    change = SCENARIOS["shift_trip_start_time"][0]
+    wait = lambda kind, name, **c: _shown(whatif.simulate(whatif.scenario(states(r), kind, **c))).select("route_id", F.col("wait_minutes").alias(name))
+    x = route_metrics(r).withColumns({"trip_id": F.lit(change["trip"]), "evaluated_shift_minutes": F.lit(float(change["minutes"]))})
+    for more in (uneven, shared, social, wait("baseline", "current_expected_wait_minutes"), wait("shift_trip_start_time", "alternative_expected_wait_minutes", **change)):
+        x = x.join(more, "route_id", "left")
+    return x
+
+
 @query("e01_rules", _rules_sql())
 def rules(r: Roles) -> DataFrame:
-    return whatif.recommend(route_metrics(r), "route_id", POLICY).select("route_id", "rule", "status", F.round("severity", 6).alias("severity"), "priority")
+    return whatif.recommend(rule_evidence(r), "route_id", POLICY).select("route_id", "rule", "status", F.round("severity", 6).alias("severity"), "priority")
 
 
 portable("e02_priority", "SELECT route_id, CASE CAST(floor((CASE WHEN p >= 20000 THEN 1 ELSE 0 END + CASE WHEN p >= 66000 THEN 1 ELSE 0 END + CASE WHEN p >= 70000 THEN 1 ELSE 0 END + 2) / 2) AS INT) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS priority FROM (SELECT route_id, sum(boardings) AS p FROM spine GROUP BY route_id) q")
@@ -49,33 +105,6 @@ def generate(r: Roles) -> DataFrame:
     return x.select("route_id", "rule", "priority").orderBy(order, "route_id", "rule")
 
 
-def states(r: Roles) -> DataFrame:
-    """A window of an hour per route: its passengers arrive evenly, two departures of 30 seats."""
-    p = r.passengers.groupBy("route_id").agg(F.count("*").cast("double").alias("p"))
-    trip = lambda m: F.struct(F.lit(float(m)).alias("minute"), F.lit(30.0).alias("capacity"))
-    profile = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(60.0).alias("end"), F.col("p").alias("passengers")))
-    return p.select("route_id", F.array(trip(30), trip(60)).alias("trips"), profile.alias("profile"), F.lit(60.0).alias("window"), F.lit(30.0).alias("cycle"))
-
-
-SCENARIOS = {
-    "baseline": ({}, "30, 60, 60, 60, 30, 30, 0, 0, 1, 0"), "increase_frequency": ({"trip_count": 4}, "15, 30, 45, 60, 30, 30, 30, 30, 1, 0"), "decrease_frequency": ({"trip_count": 1}, "60, 60, 60, 60, 30, 0, 0, 0, 1, 0"),
-    "add_vehicle": ({}, "15, 30, 45, 60, 30, 30, 30, 30, 1, 0"), "change_vehicle_capacity": ({"capacity": 60}, "30, 60, 60, 60, 60, 60, 0, 0, 1, 0"), "shift_trip_start_time": ({"trip": 1, "minutes": -10}, "20, 60, 60, 60, 30, 30, 0, 0, 1, 0"),
-    "remove_low_demand_trip": ({"trip": 1}, "60, 60, 60, 60, 30, 0, 0, 0, 1, 0"), "add_new_stop": ({"cycle": 15, "passengers": 30}, "60, 60, 60, 60, 30, 0, 0, 0, 1, 30"), "increase_predicted_demand": ({"factor": 2}, "30, 60, 60, 60, 30, 30, 0, 0, 2, 0"),
-}
-
-
-def _queue_sql(names: list[str]) -> str:
-    rows = ", ".join(f"('{n}', {SCENARIOS[n][1]})" for n in names)
-    return f"""WITH c(scenario, t1, t2, t3, t4, k1, k2, k3, k4, f, extra) AS (VALUES {rows}),
-s AS (SELECT p.route_id, c.*, p.n * c.f::DOUBLE + c.extra AS d FROM (SELECT route_id, count(*) AS n FROM passengers GROUP BY route_id) p, c),
-s1 AS (SELECT *, least(d * t1 / 60, k1) AS a1 FROM s), s2 AS (SELECT *, least(d * t2 / 60, a1 + k2) AS a2 FROM s1), s3 AS (SELECT *, least(d * t3 / 60, a2 + k3) AS a3 FROM s2), s4 AS (SELECT *, least(d * t4 / 60, a3 + k4) AS a4 FROM s3)
-SELECT route_id, scenario, round(k1 + k2 + k3 + k4, 6)::DOUBLE AS capacity, round(a4, 6) AS served, round(greatest(0, d - a4), 6) AS unserved, round((t1 * a1 + t2 * (a2 - a1) + t3 * (a3 - a2) + t4 * (a4 - a3) - a4 * a4 * 60 / (2 * d)) / a4, 6) AS wait_minutes FROM s4"""
-
-
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select("route_id", "scenario", *(F.round(c, 6).alias(c) for c in ("capacity", "served", "unserved", "wait_minutes")))
-
-
 @query("e04_queue", _queue_sql(["baseline"]))
 def queue(r: Roles) -> DataFrame:
     return _shown(whatif.simulate(whatif.scenario(states(r), "baseline")))

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from korridor.operators import learning, metrics
+from korridor.operators import learning, metrics, whatif
 from korridor.plans import decisions
 
 
@@ -68,3 +68,22 @@ def test_clusters_are_selected_by_silhouette(spark):
     same = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0)], "row long, a double, b double")
     assert learning.scaled_silhouette(models[name], same, ["a", "b"], "row") is None
     assert learning.best_clustering(x, same, ["a", "b"], "row")[0] is None
+
+
+def test_seven_rules_and_their_guards(spark):
+    policy = decisions.POLICY | {"overload_ratio": 1.0, "underutilization_ratio": 0.5, "headway_cv": 1.5}
+    base = {"sample_count": 40, "affected_passengers": 60.0, "mean_occupancy_ratio": 0.25, "underutilized_days": 2, "social_service_required": False, "coverage_preserved": True,
+            "current_expected_wait_minutes": 10.0, "alternative_expected_wait_minutes": 8.0, "evaluated_shift_minutes": -5.0, "trip_id": 1, "headway_cv": 1.5, "irregular_headway_days": 2, "late_days": 0}
+    under, adjust, uneven = "reduce_underutilized_service", "adjust_departure_time", "improve_headways"
+    cases = [
+        ({}, {under: ("TRIGGERED", 1.5), adjust: ("TRIGGERED", 1.2), uneven: ("TRIGGERED", 1.0)}), ({"social_service_required": None}, {under: ("NOT_READY", 1.5)}), ({"coverage_preserved": None}, {under: ("NOT_READY", 1.5)}),
+        ({"social_service_required": True}, {under: ("NO_ACTION", 1.5)}), ({"coverage_preserved": False}, {under: ("NO_ACTION", 1.5)}), ({"mean_occupancy_ratio": 0.5}, {under: ("NO_ACTION", 1.0)}), ({"underutilized_days": 1}, {under: ("NO_ACTION", 1.5)}),
+        ({"mean_occupancy_ratio": None}, {under: ("NOT_READY", None)}), ({"evaluated_shift_minutes": 0.0}, {adjust: ("NOT_READY", 1.2)}), ({"trip_id": None}, {adjust: ("NOT_READY", 1.2)}), ({"alternative_expected_wait_minutes": None}, {adjust: ("NOT_READY", None)}),
+        ({"current_expected_wait_minutes": 0.0}, {adjust: ("NO_ACTION", 0.0)}), ({"irregular_headway_days": 1, "late_days": 9}, {uneven: ("NO_ACTION", 1.0)}), ({"irregular_headway_days": None}, {uneven: ("NOT_READY", 1.0)}), ({"sample_count": 29}, {under: ("NOT_READY", 1.5), adjust: ("NOT_READY", 1.2)}),
+    ]
+    schema = "route int, sample_count int, affected_passengers double, mean_occupancy_ratio double, underutilized_days int, social_service_required boolean, coverage_preserved boolean, current_expected_wait_minutes double, alternative_expected_wait_minutes double, evaluated_shift_minutes double, trip_id int, headway_cv double, irregular_headway_days int, late_days int"
+    df = spark.createDataFrame([(i, *(base | change).values()) for i, (change, _) in enumerate(cases)], schema)
+    got = {(r.route, r.rule): (r.status, r.severity) for r in whatif.recommend(df, "route", policy).collect()}
+    assert len(got) == 7 * len(cases)
+    for i, (_, want) in enumerate(cases):
+        assert {k: got[i, k] for k in want} == {k: (s, v if v is None else pytest.approx(v)) for k, (s, v) in want.items()}, i
