@@ -192,7 +192,7 @@ def page_with_total(r: Roles) -> DataFrame:
     return r.trips.select("trip_id").orderBy("trip_id").offset(100).limit(50).crossJoin(F.broadcast(total))  # one row
 
 
-portable("o09_priority_order", "SELECT trip_id, CASE priority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS place FROM trips ORDER BY 2, trip_id LIMIT 200")
+portable("o09_priority_order", "SELECT trip_id, CASE priority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS place FROM trips ORDER BY 2, trip_id")
 portable("o10_best_model", "SELECT direction AS model, round(avg(boardings), 6) AS metric FROM spine GROUP BY direction ORDER BY 2, 1 LIMIT 1")
 portable("o11_profile_summary", "SELECT count(*) AS n, count(capacity) AS capacity_n, min(boardings) AS least, max(boardings) AS most, round(avg(boardings), 6) AS mean, round(stddev_samp(boardings), 6) AS spread, count(DISTINCT stop_id) AS stops_n FROM spine")
 

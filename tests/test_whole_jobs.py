@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from types import SimpleNamespace
 
 import pytest
 
 from korridor.operators import learning, metrics, whatif
-from korridor.plans import decisions
+from korridor.plans import QUERIES, decisions
+
+
+SF = "/root/testdata/sf0.001"
 
 
 def roles(spark, **frames):
@@ -87,3 +91,10 @@ def test_seven_rules_and_their_guards(spark):
     assert len(got) == 7 * len(cases)
     for i, (_, want) in enumerate(cases):
         assert {k: got[i, k] for k in want} == {k: (s, v if v is None else pytest.approx(v)) for k, (s, v) in want.items()}, i
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_priority_order_has_every_trip(spark):
+    got = [(r.place, r.trip_id) for r in QUERIES["o09_priority_order"](spark, SF).collect()]
+    trips = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()
+    assert got == sorted(got) and sorted(t for _, t in got) == sorted(r[0] for r in trips) and len(got) > 200
