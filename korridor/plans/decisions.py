@@ -135,7 +135,7 @@ def evidence_pointer(r: Roles) -> DataFrame:
 portable("r01_balance", "SELECT coalesce(a.trip_id, b.trip_id) AS trip_id, coalesce(b.n, 0) - coalesce(a.n, 0) AS net FROM (SELECT trip_id, CAST(sum(boardings) AS BIGINT) AS n FROM visits GROUP BY trip_id) a FULL JOIN (SELECT trip_id, CAST(sum(boardings + CASE WHEN direction = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM visits GROUP BY trip_id) b ON a.trip_id = b.trip_id WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)")
 portable("r02_boarding_deltas", "SELECT v.trip_id, v.seq, CAST(sum(CASE WHEN d.seq = v.seq THEN 1 ELSE -1 END) AS BIGINT) AS delta FROM visits v JOIN (SELECT trip_id, seq FROM visits WHERE direction = 'R') d ON d.trip_id = v.trip_id AND d.seq IN (v.seq, v.seq + 1) GROUP BY v.trip_id, v.seq")
 portable("r03_stop_overlay", "SELECT u.stop_id AS unused, p.stop_id AS donor FROM (SELECT stop_id, row_number() OVER (ORDER BY stop_id) AS r FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM visits WHERE seq > 6)) u JOIN (SELECT stop_id, row_number() OVER (ORDER BY n, stop_id) AS r FROM (SELECT stop_id, count(*) AS n FROM visits WHERE seq > 6 GROUP BY stop_id) c) p ON p.r = u.r")
-portable("r04_vehicle_overlay", "SELECT u.vehicle_id AS unused, d.vehicle_id AS donor, u.capacity FROM (SELECT vehicle_id, capacity, row_number() OVER (PARTITION BY capacity ORDER BY vehicle_id) AS r FROM vehicles WHERE vehicle_id % 3 = 0) u JOIN (SELECT vehicle_id, capacity, row_number() OVER (PARTITION BY capacity ORDER BY vehicle_id DESC) AS r FROM vehicles WHERE vehicle_id % 3 = 1) d ON d.capacity = u.capacity AND d.r = u.r")
+portable("r04_vehicle_overlay", "SELECT u.vehicle_id AS unused, d.vehicle_id AS donor, d.trip_id, d.seq, u.capacity FROM (SELECT vehicle_id, capacity, row_number() OVER (PARTITION BY capacity ORDER BY vehicle_id) AS r FROM vehicles h WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.vehicle_id = h.vehicle_id)) u JOIN (SELECT v.vehicle_id, v.trip_id, v.seq, h.capacity, row_number() OVER (PARTITION BY h.capacity ORDER BY v.vehicle_id, v.trip_id, v.seq) AS r FROM visits v JOIN vehicles h ON h.vehicle_id = v.vehicle_id JOIN (SELECT vehicle_id FROM visits GROUP BY vehicle_id HAVING count(*) > 1) m ON m.vehicle_id = v.vehicle_id) d ON d.capacity = u.capacity AND d.r = u.r")
 portable("r05_first_free_slot", "SELECT passenger_id, min(end_s) AS free_s FROM (SELECT passenger_id, scheduled_s + 86400 AS end_s, lead(scheduled_s) OVER (PARTITION BY passenger_id ORDER BY scheduled_s, trip_id) AS next_s FROM trips) q WHERE next_s IS NULL OR next_s - end_s >= 604800 GROUP BY passenger_id")
 
 

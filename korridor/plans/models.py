@@ -98,11 +98,11 @@ def clustering_run(r: Roles) -> DataFrame:
 
 
 # predictions that any engine can repeat: above 25 boardings is late
-SCORED = "SELECT trip_id * 10 + seq AS case_id, CASE WHEN actual_s > scheduled_s THEN 1 ELSE 0 END AS actual, CASE WHEN boardings > 25 THEN 1 ELSE 0 END AS predicted, CAST(boardings AS DOUBLE) / 100 AS probability, CAST(boardings AS DOUBLE) AS y, CAST(alightings * 2 AS DOUBLE) AS z FROM spine"
+SCORED = "SELECT trip_id * 10 + seq AS case_id, CASE WHEN actual_s > scheduled_s THEN 1 ELSE 0 END AS actual, CASE WHEN boardings > 25 THEN 1 ELSE 0 END AS predicted, CAST(boardings AS DOUBLE) / 100 AS probability, CAST(boardings AS DOUBLE) AS y, CAST(alightings * 2 AS DOUBLE) AS z, service_date FROM spine"
 
 
 def scored(r: Roles) -> DataFrame:
-    return r.spine.select((F.col("trip_id") * 10 + F.col("seq")).alias("case_id"), (F.col("actual_s") > F.col("scheduled_s")).cast("int").alias("actual"), (F.col("boardings") > 25).cast("int").alias("predicted"), (F.col("boardings") / 100).alias("probability"), F.col("boardings").cast("double").alias("y"), (F.col("alightings") * 2).cast("double").alias("z"))
+    return r.spine.select((F.col("trip_id") * 10 + F.col("seq")).alias("case_id"), (F.col("actual_s") > F.col("scheduled_s")).cast("int").alias("actual"), (F.col("boardings") > 25).cast("int").alias("predicted"), (F.col("boardings") / 100).alias("probability"), F.col("boardings").cast("double").alias("y"), (F.col("alightings") * 2).cast("double").alias("z"), "service_date")
 
 
 @query("m10_confusion", f"SELECT actual, predicted, count(*) AS n FROM ({SCORED}) s GROUP BY actual, predicted")
@@ -142,21 +142,21 @@ def silhouette(r: Roles) -> DataFrame:
 portable("m17_result_contract", f"SELECT count(*) AS n, count(DISTINCT case_id) AS cases, CAST(sum(CASE WHEN probability IS NULL OR probability < 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM ({SCORED}) s")
 
 
-@query("m18_handoff_rows", f"SELECT split, label, case_id FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY sha256('m18|' || case_id), case_id) AS place FROM (SELECT case_id, actual AS label, CASE WHEN case_id < 60000 THEN 'train' WHEN case_id < 90000 THEN 'validation' ELSE 'test' END AS split FROM ({SCORED}) s) q) p WHERE place <= 100")
+@query("m18_handoff_rows", f"SELECT split, label, case_id FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY sha256('m18|' || case_id), case_id) AS place FROM (SELECT case_id, actual AS label, CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END AS split FROM ({SCORED}) s) q) p WHERE place <= 100")
 def handoff_rows(r: Roles) -> DataFrame:
     from korridor.operators import windows
 
-    x = scored(r).select("case_id", F.col("actual").alias("label"), F.when(F.col("case_id") < 60000, "train").when(F.col("case_id") < 90000, "validation").otherwise("test").alias("split"))
+    x = scored(r).select("case_id", F.col("actual").alias("label"), F.coalesce(transit.splits("service_date", "1999-01-01", "2000-01-01", "2001-01-01"), F.lit("test")).alias("split"))
     return windows.ranked_sample(x, ["split", "label"], 100, ["case_id"], "m18").select("split", "label", "case_id")
 
 
 portable("m19_independent_export", f"SELECT actual AS label, count(*) AS n, round(avg(probability), 6) AS mean_probability FROM ({SCORED}) s GROUP BY actual")
 
 
-@query("c01_engine_comparison", f"WITH a AS (SELECT case_id, y AS v FROM ({SCORED}) s WHERE case_id % 7 <> 0), b AS (SELECT case_id, z AS v FROM ({SCORED}) s WHERE case_id % 5 <> 0) SELECT count(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 1 END) AS shared, count(CASE WHEN b.v IS NULL THEN 1 END) AS left_only, count(CASE WHEN a.v IS NULL THEN 1 END) AS right_only, round(avg(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN (a.v = b.v)::INT::DOUBLE END), 6) AS agreement, round(avg(abs(a.v - b.v)), 6) AS mean_delta, round(max(abs(a.v - b.v)), 6) AS max_delta FROM a FULL JOIN b ON a.case_id = b.case_id")
+@query("c01_engine_comparison", f"WITH a AS (SELECT case_id, y AS v FROM ({SCORED}) s), b AS (SELECT case_id, z AS v FROM ({SCORED}) s) SELECT count(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 1 END) AS shared, count(CASE WHEN b.v IS NULL THEN 1 END) AS left_only, count(CASE WHEN a.v IS NULL THEN 1 END) AS right_only, round(avg(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN (a.v = b.v)::INT::DOUBLE END), 6) AS agreement, round(avg(abs(a.v - b.v)), 6) AS mean_delta, round(max(abs(a.v - b.v)), 6) AS max_delta FROM a FULL JOIN b ON a.case_id = b.case_id")
 def engine_comparison(r: Roles) -> DataFrame:
     s = scored(r)
-    return metrics.comparison(s.filter("case_id % 7 <> 0").select("case_id", F.col("y").alias("v")), s.filter("case_id % 5 <> 0").select("case_id", F.col("z").alias("v")), "case_id", "v")
+    return metrics.comparison(s.select("case_id", F.col("y").alias("v")), s.select("case_id", F.col("z").alias("v")), "case_id", "v")
 
 
 portable("c02_comparison_cases", f"SELECT case_id, y = z AS same, CASE WHEN y = z THEN 'EQUAL' WHEN abs(y - z) <= 1 THEN 'ROUNDING' ELSE 'DIFFERENT' END AS reason FROM ({SCORED}) s")

@@ -40,7 +40,7 @@ def clean_rows(r: Roles) -> DataFrame:
     return joins.exclude(r.trips, r.visits.filter("direction = 'R'"), "trip_id", accept=F.col("status") == "F").select("trip_id")
 
 
-portable("p11_text_and_days", "SELECT vehicle_id, operator FROM vehicles WHERE lower(vehicle_type) LIKE '%steel%' AND vehicle_id BETWEEN 10 AND 1500")
+portable("p11_text_and_days", "SELECT vehicle_id, operator FROM vehicles WHERE lower(vehicle_type) LIKE '%steel%' AND vehicle_id IN (SELECT v.vehicle_id FROM visits v JOIN trips t ON t.trip_id = v.trip_id WHERE t.service_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')")
 
 
 @query("p12_catalog_search", "SELECT stop_id FROM stops WHERE contains(lower(concat_ws(' ', stop_id, stop_code, zone_id)), '00001')")

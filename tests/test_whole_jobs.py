@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from datetime import date
 from types import SimpleNamespace
 
 import pytest
 
 from korridor.operators import learning, metrics, whatif
-from korridor.plans import QUERIES, decisions
+from korridor.plans import QUERIES, decisions, models, registry
 
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +99,36 @@ def test_priority_order_has_every_trip(spark):
     got = [(r.place, r.trip_id) for r in QUERIES["o09_priority_order"](spark, SF).collect()]
     trips = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()
     assert got == sorted(got) and sorted(t for _, t in got) == sorted(r[0] for r in trips) and len(got) > 200
+
+
+def portable(monkeypatch, name, **frames):
+    """A query over given frames of roles in place of the tables'."""
+    for k, v in frames.items():
+        monkeypatch.setattr(registry.Roles, k, v)
+    return QUERIES[name](next(iter(frames.values())).sparkSession, "")
+
+
+def test_unused_vehicles_take_visits_of_their_capacity(spark, monkeypatch):
+    vehicles = spark.createDataFrame([(1, 30), (2, 30), (3, 30), (4, 30), (5, 50), (6, 50), (7, None)], "vehicle_id long, capacity int")
+    visits = spark.createDataFrame([(9, 1, 3), (8, 1, 3), (8, 2, 4), (7, 1, 6)], "trip_id long, seq long, vehicle_id long")
+    # 1, 2 and 5, 7 have no visit; only 3 has more than one; nothing of capacity 50 can give
+    got = [tuple(r) for r in portable(monkeypatch, "r04_vehicle_overlay", vehicles=vehicles, visits=visits).collect()]
+    assert sorted(got) == [(1, 3, 8, 1, 30), (2, 3, 9, 1, 30)]
+
+
+def test_text_and_days_takes_days(spark, monkeypatch):
+    vehicles = spark.createDataFrame([(1, "a", "Steel"), (5000, "b", "STEEL bus"), (6000, "c", "steel"), (7000, "d", "wood")], "vehicle_id long, operator string, vehicle_type string")
+    visits = spark.createDataFrame([(1, 5000), (2, 6000), (3, 1), (3, 7000), (3, 5000)], "trip_id long, vehicle_id long")
+    trips = spark.createDataFrame([(1, date(1996, 1, 1)), (2, date(2000, 1, 1)), (3, date(1999, 12, 31))], "trip_id long, service_date date")
+    got = [tuple(r) for r in portable(monkeypatch, "p11_text_and_days", vehicles=vehicles, visits=visits, trips=trips).collect()]
+    assert sorted(got) == [(1, "a"), (5000, "b")]
+
+
+def test_all_cases_are_compared_and_split_by_day(spark):
+    days = {1: date(1998, 12, 31), 35: date(1999, 1, 1), 7: date(1999, 12, 31), 50000: date(1995, 1, 1), 9: date(2000, 1, 1), 11: date(2001, 6, 1)}
+    rows = [(t, 5, 2, 1, 30, 15, d) for t, d in days.items()]
+    spine = spark.createDataFrame(rows, "trip_id long, seq long, actual_s long, scheduled_s long, boardings long, alightings long, service_date date")
+    r = models.engine_comparison(roles(spark, spine=spine)).first()
+    assert (r.shared, r.left_only, r.right_only, r.agreement) == (6, 0, 0, 1.0)
+    got = {x.case_id // 10: x.split for x in models.handoff_rows(roles(spark, spine=spine)).collect()}
+    assert got == {1: "train", 35: "validation", 7: "validation", 50000: "train", 9: "test", 11: "test"}
