@@ -129,13 +129,13 @@ def brier(r: Roles) -> DataFrame:
 portable("m14_baseline_comparison", f"SELECT round(b - m, 6) AS absolute, round((b - m) / b, 6) AS relative, m < b AS improved FROM (SELECT avg(abs(z - y)) AS m, avg(abs(25 - y)) AS b FROM ({SCORED}) s) q")
 
 
-@query("m15_silhouette", """WITH s AS (SELECT row_id, kind, target AS a, CAST(at_s AS DOUBLE) / 86400 AS b FROM observations ORDER BY sha256('500|' || row_id), row_id LIMIT 300),
+@query("m15_silhouette", """WITH s AS (SELECT row_id, kind, target AS a, CAST(at_s AS DOUBLE) / 86400 AS b FROM observations ORDER BY sha256('500|' || row_id), row_id LIMIT 500),
 d AS (SELECT x.row_id, x.kind AS own, y.kind AS other, avg(sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS d FROM s x JOIN s y ON x.row_id <> y.row_id GROUP BY x.row_id, x.kind, y.kind),
 p AS (SELECT row_id, max(CASE WHEN own = other THEN d END) AS near, min(CASE WHEN own <> other THEN d END) AS far FROM d GROUP BY row_id) SELECT count(*) AS n, round(avg(CASE WHEN near IS NULL THEN 0 ELSE (far - near) / greatest(far, near) END), 6) AS silhouette FROM p""")
 def silhouette(r: Roles) -> DataFrame:
     from korridor.functions import scalars
 
-    s = r.observations.select("row_id", "kind", F.col("target").alias("a"), (F.col("at_s").cast("double") / 86400).alias("b")).orderBy(scalars.rank_digest("500", "row_id"), "row_id").limit(300)
+    s = r.observations.select("row_id", "kind", F.col("target").alias("a"), (F.col("at_s").cast("double") / 86400).alias("b")).orderBy(scalars.rank_digest("500", "row_id"), "row_id").limit(500)
     return metrics.silhouette(s, "row_id", "kind", ["a", "b"])
 
 

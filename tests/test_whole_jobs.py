@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import os
 from datetime import date
 from types import SimpleNamespace
@@ -132,3 +134,17 @@ def test_all_cases_are_compared_and_split_by_day(spark):
     assert (r.shared, r.left_only, r.right_only, r.agreement) == (6, 0, 0, 1.0)
     got = {x.case_id // 10: x.split for x in models.handoff_rows(roles(spark, spine=spine)).collect()}
     assert got == {1: "train", 35: "validation", 7: "validation", 50000: "train", 9: "test", 11: "test"}
+
+
+def test_silhouette_takes_the_whole_sample(spark):
+    rows = [(i, "abc"[i % 3], float(i * 37 % 101), 1_704_067_200 + i * 4000) for i in range(620)]
+    observations = spark.createDataFrame(rows, "row_id long, kind string, target double, at_s long")
+    sample = sorted(rows, key=lambda r: (hashlib.sha256(f"500|{r[0]}".encode()).hexdigest(), r[0]))[:500]
+    total = 0.0
+    for i, kind, a, b in sample:
+        near = {k: [math.hypot(a - x, (b - y) / 86400) for j, q, x, y in sample if q == k and j != i] for k in "abc"}
+        mean = {k: sum(v) / len(v) for k, v in near.items()}
+        far = min(v for k, v in mean.items() if k != kind)
+        total += (far - mean[kind]) / max(far, mean[kind])
+    r = models.silhouette(roles(spark, observations=observations)).first()
+    assert r.n == 500 and abs(r.silhouette - total / 500) < 1e-6
