@@ -22,6 +22,7 @@ looked up for each character position. That table and two numbers are all that i
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,12 +181,13 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
     if not rows or not 0 < y.sum() < len(y):
         prior = float(y.mean()) if len(y) else 0.0
         return Scorer(np.empty(0, np.int64), np.empty(0), FLOOR, (0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))))
-    one: dict[str, str] = {}  # each word is held once
-    sentences = [[[one.setdefault(w, w) for w in words(s)] for s in _SENTENCE.split(t) if s] for t, _ in rows]
+    ids: dict[str, int] = {}  # each word is held once, sentences as four-byte ids
+    sentences = [[array("i", [ids.setdefault(w, len(ids)) for w in words(s)]) for s in _SENTENCE.split(t) if s] for t, _ in rows]
+    names = list(ids)
     rows = [("", v) for _, v in rows]
     toxic, clean = Counter(), Counter()
     for (_, v), ss in zip(rows, sentences, strict=True):
-        (toxic if v else clean).update({w for s in ss for w in s})
+        (toxic if v else clean).update({names[i] for s in ss for i in s})
     n1, n0 = y.sum(), len(y) - y.sum()
     lift = {w: np.log((c + 0.2) / (n1 + 0.4)) - np.log((clean[w] + 0.2) / (n0 + 0.4)) for w, c in toxic.items()}
     # a toxic document's first witnesses: the words that the fewest clean documents and the most toxic ones have
@@ -226,7 +228,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
         witness = Counter()
         for (_, v), ss in zip(rows, sentences, strict=True):
             if v:
-                top = sorted({max(s, key=lambda w: (values[w], w)) for s in ss if s}, key=lambda w: (-values[w], w))[:2]
+                top = sorted({max((names[i] for i in s), key=lambda w: (values[w], w)) for s in ss if s}, key=lambda w: (-values[w], w))[:2]
                 witness.update(top[:1] + [w for w in top[1:] if values[w] > 0.3 * values[top[0]]])
         positive = sorted(w for w in witness if clean[w] <= 0.02 * n0)
         if not positive:
@@ -249,7 +251,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
         hard = sorted({*hard, *worst})
     if scorer is None:
         return train([], landmarks)
-    top = _strongest(values, [[w for s in ss for w in s] for ss in sentences])
+    top = np.vstack([_strongest(values, [[names[i] for s in ss for i in s]]) for ss in sentences])
     a, b, c = _logistic(top, y)
     scorer.logistic = (float(a), float(b), float(c))
     return scorer
@@ -260,7 +262,7 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = (800, 1600)) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = (1000, 2000)) -> list[tuple[str, int]]:
     """At most ``each`` (toxic, clean) labelled texts that are not held out, the least by a hash of the id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["doc_id"])
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.col("doc_id")]
