@@ -64,18 +64,36 @@ def unkeyed(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 
 
-def byte_parts(batch: pa.RecordBatch, column: str = "text") -> tuple["np.ndarray", "np.ndarray"]:
+def bytes_of(column: pa.Array) -> tuple["np.ndarray", "np.ndarray"]:
     """All UTF-8 bytes of a column without nulls, and where each value ends."""
     import numpy as np
 
-    col = batch.column(column)
-    col = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
-    offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, 8 * col.offset)
-    data = col.buffers()[2]
+    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    if not len(column):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], (offsets[1:] - offsets[0]).astype(np.int64)
 
 
+def byte_parts(batch: pa.RecordBatch, column: str = "text") -> tuple["np.ndarray", "np.ndarray"]:
+    return bytes_of(batch.column(column))
+
+
+def text_groups(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """The texts in their order, some million characters at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def batches(schema: pa.Schema, columns: dict, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Columns of one length as batches of a bounded number of rows."""
     whole = pa.table({k: pa.array(columns[k], schema.field(k).type) if not isinstance(columns[k], (pa.Array, pa.ChunkedArray)) else columns[k] for k in schema.names}, schema=schema)

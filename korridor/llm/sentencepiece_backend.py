@@ -5,13 +5,15 @@ normaliser (precompiled map, spaces removed, dummy prefix, the metaspace marker)
 the merges that the scores of a BPE model imply, byte fallback, and a decoder. Texts are encoded in
 multithreaded batches.
 
-Large corpora repeat words, so texts are cut before a marker that follows another character, and
+Large corpora repeat words, so texts are cut before a space that follows another character, and
 around line feeds, if no piece of the vocabulary reaches across such a place; then no merge or
-segment can either. Each distinct part is encoded once per process and batch cache.
+segment can either. Each distinct part is encoded once a lot of texts (see ``pieces``). Models whose
+normaliser does more than mark spaces, or whose pieces reach across, have their texts encoded whole.
 
-Parity: each distinct part is also encoded by the sentencepiece library. Where the two differ (runs
-of spaces, whose pieces all have one score, can) its ids are taken, so results always are the
-library's, and the document says so in ``parity``.
+The ids are always this backend's. Parity: each distinct part (or whole text) is also encoded by the
+sentencepiece library, whatever the model, and the document says in ``parity`` whether both agree.
+They differ only where two merges that make the same piece compete for a character: the original
+takes the leftmost, a merge list has an order.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from korridor.llm.common import batches, keyed, unkeyed
-from korridor.llm.pieces import PieceCache, groups
+from korridor.llm.common import batches, bytes_of, keyed, unkeyed
+from korridor.llm.pieces import PieceEncoder, flat, groups, parted, ranges
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -90,20 +92,20 @@ def parse_model(path: str) -> Model:
 
 
 def _merges(model: Model) -> list[tuple[str, str]]:
-    """Every way to make a piece of two others, the best-scored piece first."""
+    """Every way to make a piece of two others, the best-scored piece first; of one piece, the longest left part first."""
     place = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
     found = []
     for piece, i in place.items():
         for k in range(1, len(piece)):
             left, right = place.get(piece[:k]), place.get(piece[k:])
             if left is not None and right is not None:
-                found.append((-model.pieces[i][1], i, left, right, piece[:k], piece[k:]))
-    return [(x[4], x[5]) for x in sorted(found)]
+                found.append((-model.pieces[i][1], i, -k, piece[:k], piece[k:]))
+    return [(x[3], x[4]) for x in sorted(found)]
 
 
 def rebuild(model: Model):
     """A tokenizer with the ids of the model. Only its normaliser knows of spaces."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import Tokenizer, decoders, models
 
     unknown = next((i for i, x in enumerate(model.pieces) if x[2] == UNKNOWN), 0)
     if model.bpe:
@@ -112,6 +114,16 @@ def rebuild(model: Model):
     else:
         inner = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown, byte_fallback=model.byte_fallback)
     tokenizer = Tokenizer(inner)
+    tokenizer.normalizer = normaliser(model)
+    strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
+    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    return tokenizer
+
+
+def normaliser(model: Model):
+    """What ``rebuild`` does to a text before its model sees it."""
+    from tokenizers import Regex, normalizers
+
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra_spaces:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
@@ -119,10 +131,7 @@ def rebuild(model: Model):
         steps.append(normalizers.Prepend(MARK))
     if model.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
-    tokenizer.normalizer = normalizers.Sequence(steps)
-    strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
-    return tokenizer
+    return normalizers.Sequence(steps)
 
 
 class Backend:
@@ -132,106 +141,111 @@ class Backend:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         import sentencepiece
 
-        self.model = parse_model(path)
-        self.full = rebuild(self.model)
-        self.bare = rebuild(self.model)
-        self.bare.normalizer = None
+        self.model = model = parse_model(path)
+        self.tokenizer = rebuild(model)
+        self.normaliser, self.tokenizer.normalizer = self.tokenizer.normalizer, None
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
-        texts = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
-        self.cuttable = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in texts)
-        self.plain = not self.model.charsmap and not self.model.remove_extra_spaces and self.model.dummy_prefix and self.model.escape_spaces
-        self.bytes = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        self.wrong: set[str] = set()
-        self.lossy: set[str] = set()
-        self.cache = PieceCache(self._encode, 300_000)
+        plain = not model.charsmap and not model.remove_extra_spaces and model.dummy_prefix and model.escape_spaces
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_part = plain and len(self.feed) == 1 and not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p, _, kind in model.pieces if kind in (NORMAL, USER))
+        self.parts = PieceEncoder(_part_starts, self._encode, lot=2 << 20)
+        out = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+        self.bytes, self.size = np.frombuffer(b"".join(out), np.uint8), np.array([len(x) for x in out], np.int64)
+        self.at = np.cumsum(self.size) - self.size
 
     @classmethod
     def of(cls, path: str) -> Backend:
         if path not in cls._made:
+            cls._made.clear()  # a worker holds one model
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def parts(self, text: str) -> list[str]:
-        """The normalised text, cut where no piece reaches across."""
-        if not text:
-            return []
-        if not self.cuttable:
-            return [self.full.normalizer.normalize_str(text)]
-        if self.plain and "  " not in text and MARK not in text and "\n " not in text and text[0] != " ":
-            out = []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                out += ("\n", first)
-                out += [MARK + w for w in rest]
-            out[1] = MARK + out[1]
-            return [x for x in out[1:] if x]
-        text = text.replace(" ", MARK) if self.plain else self.full.normalizer.normalize_str(text)
-        text = MARK + text if self.plain else text
-        return [x for x in re.split(f"(?<=[^{MARK}])(?={MARK})|(?<=\n)|(?=\n)", text) if x]
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        if len(self.wrong) + len(self.lossy) > 100_000:
-            self.wrong.clear()
-            self.lossy.clear()
-            self.cache.ids.clear()
-        out, expect = self._both(parts)
-        for i, (part, mine, theirs) in enumerate(zip(parts, out, expect, strict=True)):
-            if mine != theirs:
-                self.wrong.add(part)
-                out[i] = theirs
-            if b"".join(self.bytes[k] for k in out[i]) != part.replace(MARK, " ").encode():
-                self.lossy.add(part)
-        return [np.array(x, "<u4").tobytes() for x in out]
-
-    def _both(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each part by this backend and by the original.
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of parts, how many each has, and 1 for each where the original has others, 2 where decoding gives another text.
 
         A line feed joins no piece, so many parts are encoded at a time with line feeds between.
         """
-        feed = self.bare.encode("\n").ids if self.cuttable and self.plain else []
-        if len(feed) != 1:
-            out = [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
-            return out, out  # the original cannot be given a normalised text
-        lots, found = [parts[i : i + 200] for i in range(0, len(parts), 200)], ([], [])
-        mine = [e.ids for e in self.bare.encode_batch_fast(["\n" + "\n".join("" if p == "\n" else p for p in lot) for lot in lots], add_special_tokens=False)]
-        theirs = self.original.encode(["\n" + "\n".join("" if p == "\n" else p.replace(MARK, " ") for p in lot) for lot in lots], num_threads=1)
-        for lot, *rows in zip(lots, mine, theirs, strict=True):
-            for put, row in zip(found, rows, strict=True):
-                row = np.array(row)
-                cuts = [*np.flatnonzero(row == feed[0]).tolist(), len(row)]
-                put += [feed if p == "\n" else row[i + 1 : j].tolist() for p, i, j in zip(lot, cuts[:-1], cuts[1:], strict=True)]
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
-        """Ids (little-endian, 32 bits) of each text; whether both libraries agree; whether decoding gives the text."""
-        parts = [self.parts(t) for t in texts]
-        ids = self.cache.joined(parts)
-        agree = [not self.wrong or self.wrong.isdisjoint(p) for p in parts]
-        whole = [(not self.lossy or self.lossy.isdisjoint(p)) and MARK not in t for t, p in zip(texts, parts, strict=True)]
-        return ids, agree, whole
-
-    def decode(self, ids: bytes) -> str:
-        text = b"".join([self.bytes[k] for k in np.frombuffer(ids, "<u4")]).decode("utf-8", "replace")
+        lots = ["\n" + "\n".join("" if p == "\n" else p for p in parts[i : i + 200]) for i in range(0, len(parts), 200)]
+        feeds = np.array([p == "\n" for p in parts])
+        found = []
+        for rows in ([e.ids for e in self.tokenizer.encode_batch_fast([x.replace(" ", MARK) for x in lots], add_special_tokens=False)], self.original.encode(lots, num_threads=1)):
+            rows = [x[x.index(self.feed[0]) :] for x in rows]  # the original begins with its dummy prefix
+            ids, _ = flat(rows)
+            found.append((ids, parted(ids, self.feed[0], len(parts))))
+        (mine, count), (theirs, expect) = found
+        flags = np.zeros(len(parts), np.uint8)
+        if not np.array_equal(mine, theirs):
+            flags[count != expect] = 1
+            same = np.flatnonzero(count == expect)
+            one, other = (ids[ranges((np.cumsum(n + 1) - n)[same], n[same])] for ids, n in found)
+            flags[same[np.unique(np.repeat(np.arange(len(same)), count[same])[one != other])]] = 1
+        # a feed is its own id, of any other part the feed before it goes
+        start, count = np.cumsum(count + 1) - count - feeds, count + feeds
+        ids, text = mine[ranges(start, count)], [p.encode() for p in parts]
+        back, size = self._bytes(ids)
+        back = back.tobytes()
+        if back != b"".join(text):
+            reach = np.concatenate([[0], np.cumsum(size)])
+            stop = np.cumsum(count)
+            flags |= np.array([2 * (back[a:b] != t) for a, b, t in zip(reach[stop - count].tolist(), reach[stop].tolist(), text, strict=True)], np.uint8)
+        return ids, count, flags
+
+    def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of texts given as UTF-8 bytes, where each text's end, whether both libraries agree, whether decoding gives the text."""
+        size = np.diff(ends, prepend=0)
+        if not self.by_part:
+            texts = [raw[b - n : b].tobytes().decode("utf-8", "replace") for b, n in zip(ends.tolist(), size.tolist(), strict=True)]
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([self.normaliser.normalize_str(t) if t else "" for t in texts], add_special_tokens=False)]
+            ids, count = flat(rows)
+            agree = np.array([a == b for a, b in zip(rows, self.original.encode(texts, num_threads=1), strict=True)], bool)
+            return ids, np.cumsum(count), agree, np.array([self.decode(np.array(a)) == t for a, t in zip(rows, texts, strict=True)], bool)
+        some = size > 0
+        raw, ends = np.insert(raw, (ends - size)[some], 32), ends + np.cumsum(some)  # the dummy prefix
+        ids, stop, flags = self.parts.texts(raw, ends)
+        return ids, stop, flags & 1 == 0, flags & 2 == 0
+
+    def _bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ids stand for, and how many bytes each has."""
+        length = self.size[ids]
+        return self.bytes[ranges(self.at[ids], length)], length
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self._bytes(ids)[0].tobytes().decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
+def _part_starts(raw: np.ndarray) -> np.ndarray:
+    """Bytes where no piece reaches across: a space after another character, and both sides of a line feed."""
+    mark = np.zeros(len(raw), bool)
+    feed = raw == 10
+    mark[1:] = feed[1:] | feed[:-1] | (raw[1:] == 32) & (raw[:-1] != 32)
+    if len(raw) > 3:  # the marker itself is a space to the model
+        marker = np.flatnonzero((raw[:-3] == 0xE2) & (raw[1:-2] == 0x96) & (raw[2:-1] == 0x81) & (raw[3:] == 32))
+        mark[marker + 3] = False
+    return mark
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (unsigned, of little-endian 32-bit ids), round_trip, parity of each row.
 
-    ``round_trip``: decoding every id gives the text back, character for character. A null or empty
-    text has no ids. Rows that repeat a doc_id are encoded each; other columns are not looked at.
+    ``round_trip``: decoding every id gives the text back, character for character (a text with the
+    marker itself does not come back). ``parity``: the sentencepiece library gives the same ids. A
+    null or empty text has no ids. Rows that repeat a doc_id are encoded each, long texts a lot at a
+    time; other columns are not looked at, whatever their names. An empty table gives no rows.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = Backend.of(path)
         for batch in parts:
-            at = 0
-            for texts in groups(batch.column("text").to_pylist()):
-                ids, agree, _ = backend.encode(texts)
-                trip = [backend.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                yield from batches(ENCODED, {"doc_id": batch.column("doc_id").slice(at, len(texts)), "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "round_trip": trip, "parity": agree})
-                at += len(texts)
+            text = batch.column("text").cast(pa.large_binary())
+            for a, b in groups(text):
+                ids, stop, agree, whole = backend.encode(*bytes_of(text.slice(a, b - a)))
+                begin = np.concatenate([[0], stop[:-1]])
+                view = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+                yield from batches(ENCODED, {"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": stop - begin, "ids_crc32": crc, "round_trip": whole, "parity": agree})
 
     return keyed(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean").withColumn("doc_id", unkeyed())

@@ -41,14 +41,16 @@ def byte_bpe(path: str) -> Callable[[DataFrame], DataFrame]:
 
     def count(rows: DataFrame) -> DataFrame:
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from korridor.llm.common import bytes_of
             from korridor.llm.pieces import groups
             from korridor.llm.token_files import byte_bpe as cached
 
-            encoder = cached(path)
+            encoder = cached(path).pieces
             for batch in parts:
-                at, texts = batch.schema.get_field_index("text"), batch.column("text").to_pylist()
-                n = [len(x) // 2 for g in groups(texts) for x in encoder(g)]
-                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(np.array(n, np.int64))], [*(c for i, c in enumerate(batch.schema.names) if i != at), "tokens"])
+                at, text = batch.schema.get_field_index("text"), batch.column("text").cast(pa.large_binary())
+                n = [np.diff(encoder.texts(*bytes_of(text.slice(a, b - a)))[1], prepend=0) for a, b in groups(text)]
+                n = np.concatenate(n) if n else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n)], [*(c for i, c in enumerate(batch.schema.names) if i != at), "tokens"])
 
         kept = [f for f in rows.schema.fields if f.name != "text"]
         return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", tokens long")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korridor.llm.pieces import groups
+from korridor.llm.common import text_groups
 
 ORDER, REACH, DECAY = 4, 8, 0.7
 LETTERS = 48  #: codes of characters; 0 stands for none
@@ -279,7 +279,7 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
         known: dict[str, float] = {}
         for batch in parts:
             scores = []
-            for texts in groups([t or "" for t in batch.column("text").to_pylist()], 1 << 20):
+            for texts in text_groups([t or "" for t in batch.column("text").to_pylist()], 1 << 20):
                 bags = [words(t) for t in texts]
                 new = list(set().union(*bags) - known.keys())
                 for k in range(0, len(new), 20_000):

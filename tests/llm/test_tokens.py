@@ -8,7 +8,10 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+import pyarrow as pa  # noqa: E402
+
 from korridor.llm import token_files as tf  # noqa: E402
+from korridor.llm.common import bytes_of  # noqa: E402
 from korridor.llm.sentencepiece_backend import Backend, Model, encode_documents, parse_model, rebuild  # noqa: E402
 from korridor.llm.token_counts import TokenRollup, byte_bpe, words  # noqa: E402
 
@@ -40,7 +43,6 @@ def test_files_against_the_library(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     data = rows()
     got = tf.token_files(spark.createDataFrame(data, "doc_id long, text string").repartition(5), BPE).collect()
     want = sorted(((-1 if i is None else i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in data), key=lambda x: x[0])
@@ -71,15 +73,73 @@ def test_sentencepiece_against_the_library(spark):
     data = rows(3)
     got = encode_documents(spark.createDataFrame([(i, t, 1) for i, t in data], "doc_id long, text string, ids int").repartition(3), PIECES).collect()
     want = sorted((-1 if i is None else i, len(original.encode(t or "")), zlib.crc32(np.array(original.encode(t or ""), "<u4").tobytes()), (t or "").replace("▁", " ") == (t or "")) for i, t in data)
-    assert sorted((-1 if g.doc_id is None else g.doc_id, g.n_tokens, g.ids_crc32, g.round_trip) for g in got) == want
+    assert sorted((-1 if g.doc_id is None else g.doc_id, g.n_tokens, g.ids_crc32, g.round_trip) for g in got) == want and all(g.parity for g in got)
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
 
 
+def encoded(backend, some):
+    ids, stop, agree, whole = backend.encode(*bytes_of(pa.array(some, pa.large_string())))
+    return [x.tolist() for x in np.split(ids, stop[:-1])], agree.tolist(), whole.tolist()
+
+
 def test_decode_is_the_inverse():
     backend = Backend.of(PIECES)
     plain = [t for t in texts(5) if t and "▁" not in t]
-    ids, _, whole = backend.encode(plain)
-    assert [backend.decode(x) for x in ids] == plain and all(whole)
+    ids, agree, whole = encoded(backend, plain)
+    assert [backend.decode(np.array(x, np.int64)) for x in ids] == plain and all(whole) and all(agree)
+    assert [rebuild(backend.model).decode(x, skip_special_tokens=False) for x in ids] == plain  # the library's own decoder
+
+
+@pytest.mark.parametrize("lot", [7, 64])
+def test_parts_across_lots_and_runs(lot, monkeypatch):
+    backend = Backend(PIECES)
+    backend.parts.lot, backend.parts.most = lot, 5
+    r = random.Random(lot)
+    some = ["".join(r.choice(["-", "=", "0", " ", "a", "\n", "▁", "é", "    ", "th"]) for _ in range(r.randint(0, 70))) for _ in range(300)] + ["", "x" + " " * 90 + "y", "\n\n", "<s>"]
+    ids, agree, whole = encoded(backend, some)
+    assert ids == backend.original.encode(some) and all(agree)
+    assert whole == ["▁" not in t for t in some]
+
+
+def test_parity_can_fail():
+    """A tokenizer that lacks the merges into long pieces."""
+    backend = Backend(PIECES)
+    model = backend.model
+    backend.tokenizer = rebuild(Model(pieces=[(p, s, k if len(p) < 4 else 3 * (k == 1) or k) for p, s, k in model.pieces], bpe=True, byte_fallback=True))
+    backend.tokenizer.normalizer = None
+    some = ["the thing", "", "x"]
+    ids, agree, whole = encoded(backend, some)
+    assert agree == [a == b for a, b in zip(ids, backend.original.encode(some))] and not all(agree) and agree[1]
+    backend.by_part = False
+    ids, agree, whole = encoded(backend, some)
+    assert agree == [a == b for a, b in zip(ids, backend.original.encode(some))] and not all(agree) and whole == [True] * 3
+
+
+@pytest.mark.parametrize("lot", [7, 50, 1 << 22])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_byte_bpe_pieces_against_the_library(lot, as_text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    tokenizer.encode_special_tokens = as_text
+    encoder = tf.ByteBpe(BPE, as_text).pieces
+    encoder.lot, encoder.most = lot, 100
+    r = random.Random(lot)
+    signs = [*"abZé ß  \n\n\t\r\x1c\x85\xa0\u2003\u3000'’.,!?12٣ñ×中\u0308😀<|ª", "<|endoftext|>", "'s", "'ll", " the"]
+    some = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["", "<|endoftext|>", "a<|endoftext|>b"]
+    ids, stop, _ = encoder.texts(*bytes_of(pa.array(some, pa.large_string())))
+    assert [x.tolist() for x in np.split(ids, stop[:-1])] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    long = "<|endoftext|> the word " * 200_000 + "x" * 300_000
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, None, 1, 2, 3)], "doc_id long, text string, ids int, n_tokens int, range int")
+    from tokenizers import Tokenizer
+
+    want = len(Tokenizer.from_file(BPE).encode(long, add_special_tokens=False).ids) + 1
+    assert sorted((x.doc_id, x.start, x.n_tokens) for x in tf.token_files(df, BPE).collect()) == [(1, 0, want), (2, want, 1)]
+    got = {x.doc_id: x for x in encode_documents(df, PIECES).collect()}
+    assert got[1].round_trip and got[1].parity and got[2].n_tokens == 0
 
 
 def test_rebuilt_unigram_model():
@@ -111,7 +171,6 @@ def test_rollup_counts_like_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     data = [(i, t, "s", "en") for i, t in enumerate(texts(4, 40))]
     rollup = TokenRollup(spark, str(tmp_path / "r"), {"bpe": byte_bpe(BPE)})
     rollup.apply("x", spark.createDataFrame(data, "doc_id long, text string, source string, lang string"), first=True)
