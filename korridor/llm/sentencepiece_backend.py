@@ -201,7 +201,7 @@ class Backend:
             rows = [e.ids for e in self.tokenizer.encode_batch_fast([self.normaliser.normalize_str(t) if t else "" for t in texts], add_special_tokens=False)]
             ids, count = flat(rows)
             agree = np.array([a == b for a, b in zip(rows, self.original.encode(texts, num_threads=1), strict=True)], bool)
-            return ids, np.cumsum(count), agree, np.array([self.decode(np.array(a)) == t for a, t in zip(rows, texts, strict=True)], bool)
+            return ids, np.cumsum(count), agree, np.array([self.decode(np.array(a, np.int64)) == t for a, t in zip(rows, texts, strict=True)], bool)
         some = size > 0
         raw, ends = np.insert(raw, (ends - size)[some], 32), ends + np.cumsum(some)  # the dummy prefix
         ids, stop, flags = self.parts.texts(raw, ends)
