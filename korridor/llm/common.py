@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (as in tests), a temporary one."""
+    """The folder that all executors share. Where the session names none, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="korridor-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -77,6 +80,31 @@ def bytes_of(column: pa.Array) -> tuple["np.ndarray", "np.ndarray"]:
     return raw[offsets[0] : offsets[-1]], (offsets[1:] - offsets[0]).astype(np.int64)
 
 
+def fresh(docs: DataFrame, *labels: str) -> list[str]:
+    """Names like the labels that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in labels:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart, equal or not, and is the same however often it is computed.
+
+    Rows of files have their file and place in it. Rows from elsewhere are numbered and written once.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            place = docs.metadataColumn("_metadata")
+            return docs.withColumn(name, F.struct(place["file_path"], place["row_index"]))
+        except AnalysisException:  # a source that does not say
+            pass
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "identified")
+
+
 def byte_parts(batch: pa.RecordBatch, column: str = "text") -> tuple["np.ndarray", "np.ndarray"]:
     return bytes_of(batch.column(column))
 

@@ -10,8 +10,10 @@ Only quotients that can decide are ranked. With n parties and m seats the decidi
 [W / (m + n/2), W / (m - n/2)], W being all weight; seats above the band are sure, and the band holds
 about 2n quotients, however many seats there are.
 
-``blocks`` fixes how finely a mix is cut, at any size of corpus; there is a shard for each
-``shard_blocks`` of them, so a source with a third of all words has a third of all shards.
+A block has ``total / blocks`` words, but no more than ``LONGEST`` and, in a small corpus, no fewer
+than 64 unless a source would then have under 256 blocks. There is a shard for each ``shard_blocks``
+blocks, however many words there are, so a source with a third of all words has a third of all
+shards and no task sorts more than a shard.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korridor.llm.common import NO_ID, WORD, cut, unkeyed
+from korridor.llm.common import NO_ID, WORD, cut, drop, fresh, identified, unkeyed
+
+LONGEST = 1 << 16  #: words of a block at most
 
 
 def sainte_lague(parties: DataFrame, weight: str, seats: str, tie: str, group: list[str]) -> DataFrame:
@@ -53,27 +57,30 @@ def _digest(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int = 1 << 20, shard_blocks: int = 1024, seed: int = 20240229) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each row of ``docs``.
+def _length(total: str, blocks: int, least: str) -> str:
+    """SQL for the words of a block; ``least``: the words of the smallest source that has any."""
+    return f"greatest(1, least({LONGEST}, greatest(ceil(({total}) / {blocks}), least(64, floor(({least}) / 256)))))"
 
-    Sources by code point, null last, get the ``weights`` in turn and share ``share`` times all
-    words; a target stops at ``most`` times its source's size. ``taken`` counts a document's words
-    in the chosen blocks, repeats included, so never over ``most`` times its size. The same rows and
-    seed give the same mix. A null text or one without words has size 0 and takes nothing; a null
-    doc_id sorts first; repeated rows are documents of their own. Other columns are not looked at.
+
+def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, blocks: int, shard_blocks: int, seed: int, *also: str) -> DataFrame:
+    """Each row's place in the stream of its shard, and the plan of that shard.
+
+    ``also``: columns that go along. ``end`` counts words from the start of the stream, ``before[b]``
+    those of the extra blocks before block b, ``extra[b]`` says whether b is taken once more than ``rounds``.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *also)
     rows = cut(rows, "sizes")
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("place", F.row_number().over(by_name))
     sources = cut(sources, "sources")
     goal = source_targets(sources.drop("source"), weights, share, most)
-    long = F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).cast("long")
-    goal = goal.withColumn("long", long).withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / (F.col("long") * shard_blocks) + 0.5)).cast("long"))
+    goal = goal.withColumn("least", F.min(F.expr("nullif(source_size, 0)")).over(Window.partitionBy(F.lit(0)))).withColumn("long", F.expr(f"cast(coalesce({_length('total', blocks, 'least')}, 1) as long)"))
+    goal = goal.withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / (F.col("long") * shard_blocks) + 0.5)).cast("long"))
     goal = cut(sources.select("place", "source").join(goal, "place"), "targets")
 
     salt = _digest(str(seed), "document", F.col("doc_id").cast("string"))
-    dealt = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select("doc_id", rows["source"], "size", "place", "source_size", "target", "long", "shards", salt.alias("salt"))
+    dealt = rows.join(F.broadcast(goal), rows["source"].eqNullSafe(goal["source"])) if goal.count() <= 10_000 else rows.join(goal, rows["source"].eqNullSafe(goal["source"]))
+    dealt = dealt.select("doc_id", rows["source"], "size", "place", "source_size", "target", "long", "shards", salt.alias("salt"), *also)
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("salt", 1, 8), 16, 10).cast("long"), F.col("shards")))
     shards = dealt.groupBy("place", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("long").alias("long"))
     shards = cut(shards.filter("words > 0").withColumn("n", F.ceil(F.col("words") / F.col("long")).cast("long")), "shards")
@@ -87,36 +94,53 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     tile = quotas.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pick = Window.partitionBy("place", "shard").orderBy(_digest(str(seed), "block", F.col("place").cast("string"), F.col("shard").cast("string"), F.col("block").cast("string")), "block")
     tile = tile.withColumn("extra", F.row_number().over(pick) <= F.expr("quota % n"))
-    start = lambda b: F.expr(f"({b}) * words div n")
-    row = F.struct("block", "extra", start("block").alias("start"), F.when(F.col("extra"), start("block + 1") - start("block")).otherwise(F.lit(0)).alias("gain"))
-    plan = tile.groupBy("place", "shard", "words", "n", F.expr("quota div n").alias("rounds")).agg(F.sort_array(F.collect_list(row)).alias("tiles"))
-    sums = F.aggregate("tiles", F.array(F.lit(0).cast("long")), lambda done, t: F.concat(done, F.array(F.element_at(done, -1) + t["gain"])))
-    plan = cut(plan.select("place", "shard", "words", "n", "rounds", F.transform("tiles", lambda t: t["extra"]).alias("extra"), sums.alias("before")), "plan")
+    gain = F.when(F.col("extra"), F.expr("(block + 1) * words div n - block * words div n")).otherwise(F.lit(0))
+    so_far = Window.partitionBy("place", "shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tile = tile.withColumn("before", F.coalesce(F.sum(gain).over(so_far), F.lit(0)).cast("long"))
+    plan = tile.groupBy("place", "shard", "words", "n", F.expr("quota div n").alias("rounds")).agg(F.sort_array(F.collect_list(F.struct("block", "extra", "before"))).alias("tiles"))  # a shard's blocks, at most about twice shard_blocks
+    plan = cut(plan.select("place", "shard", "words", "n", "rounds", F.col("tiles.extra").alias("extra"), F.col("tiles.before").alias("before")), "plan")
 
     stream = Window.partitionBy("place", "shard").orderBy("salt", "doc_id", "size")
     placed = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(plan, ["place", "shard"], "left")
+    drop(sources, shards)
+    return placed.join(plan, ["place", "shard"], "left")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int = 1 << 20, shard_blocks: int = 1024, seed: int = 20240229) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of each row of ``docs``.
+
+    Sources by code point, null last, get the ``weights`` in turn and share ``share`` times all
+    words; a target stops at ``most`` times its source's size. ``taken`` counts a document's words
+    in the chosen blocks, repeats included, so never over ``most`` times its size. The same rows and
+    seed give the same mix. A null text or one without words has size 0 and takes nothing; a null
+    doc_id sorts first; repeated rows are documents of their own. A long text may span many blocks.
+    An empty table gives no rows. Other columns are not looked at, whatever their names.
+    """
 
     def chosen(x: str) -> Column:
         """Words of the chosen blocks before position x of the stream."""
         block = f"least((({x}) + 1) * n - 1, words * n - 1) div words"
         return F.expr(f"before[{block}] + if(extra[{block}], ({x}) - ({block}) * words div n, 0L)")
 
+    placed = _dealt(docs, weights, share, most, blocks, shard_blocks, seed)
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + chosen("end") - chosen("end - size")).otherwise(F.lit(0)).cast("long")
     return placed.select(unkeyed(), "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed(docs: DataFrame, seed: int = 20240229, **options) -> DataFrame:
-    """``docs`` as the mix has them: a row for each time a document is taken; every column is kept.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int = 1 << 20, shard_blocks: int = 1024, seed: int = 20240229) -> DataFrame:
+    """``docs`` as the mix has them: a row for each time a document is taken; every column is kept, whatever its name.
 
-    A document whose words are taken 1.3 times has one row and, by a seeded hash of its doc_id, a
-    second one in 0.3 of all cases, so sources keep their shares. What has no words is not in a mix.
+    A document is taken as often as the block in which its first word lies, so whole documents follow
+    the seeded choice of blocks and no document comes more than ``most`` times. What has no words is
+    not in a mix. Rows are told apart by where they are stored, so ids may repeat or be null.
     """
-    parts = mix(docs.select("doc_id", "text", "source"), seed=seed, **options).filter("taken > 0").dropDuplicates(["doc_id"])
-    luck = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 32)) / float(1 << 32)
-    times = (F.floor(F.col("taken") / F.col("size")) + (luck < F.col("taken") % F.col("size") / F.col("size")).cast("int")).cast("int")
-    parts = parts.select(F.col("doc_id").alias("_taken"), times.alias("_times")).filter("_times > 0")
-    return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("_taken"))).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    row, own, times = fresh(docs, "row", "row_taken", "times")
+    named = identified(docs, row)
+    placed = _dealt(named.select("doc_id", "text", "source", F.col(row).alias("row")), weights, share, most, blocks, shard_blocks, seed, "row")
+    again = F.expr("rounds + if(extra[((end - size + 1) * n - 1) div words], 1, 0)").cast("int")
+    parts = cut(placed.filter("size > 0").select(F.col("row").alias(own), again.alias(times)).filter(F.col(times) > 0), "taken")
+    out = named.join(parts, F.col(row) == F.col(own))
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*docs.columns)
 
 
 def sql(seed: int = 20240229, blocks: int = 1 << 20, shard_blocks: int = 1024) -> str:
@@ -138,7 +162,7 @@ WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
 c AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap::DOUBLE / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT place, source, source_size, least(cap::DOUBLE, max(level) OVER () * w) AS target, greatest(1, ceil(total / {blocks}))::BIGINT AS long FROM f),
+t AS (SELECT place, source, source_size, least(cap::DOUBLE, max(level) OVER () * w) AS target, coalesce({_length("total", blocks, "min(nullif(source_size, 0)) OVER ()")}, 1)::BIGINT AS long FROM f),
 u AS (SELECT *, greatest(1, floor(source_size::DOUBLE / (long * {shard_blocks}) + 0.5))::BIGINT AS shards FROM t),
 p AS (SELECT d.doc_id, d.size, u.*, md5('{seed}|document|' || d.doc_id::VARCHAR) AS salt FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
 q AS (SELECT *, ('0x' || substr(salt, 1, 8))::BIGINT % shards AS shard FROM p),

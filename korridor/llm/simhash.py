@@ -28,14 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from korridor.llm.common import batches, cut, drop, keyed, unkeyed
+from korridor.llm.common import batches, cut, drop, fresh, identified, keyed, unkeyed
 from korridor.llm.graph import components
 
 BITS = 3  #: differing bits of a link
 SHARED = 8 - BITS  #: positional bytes that a link shares at least
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 FLIPS = np.array(sorted(sum(1 << b for b in c) for n in range(1, BITS + 1) for c in combinations(range(24), n)), np.uint32)
 PAIRED = 2048  #: fingerprints in a posting up to which comparing them costs less than looking up neighbours
@@ -59,15 +59,16 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *also: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of each row, and the columns ``also``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            fps = [fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()]
-            yield from batches(FINGERPRINT, {"doc_id": batch.column("doc_id"), "fp": np.array(fps, np.uint64).view(np.int64)})
+            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *(batch.column(c) for c in also)], ["doc_id", "fp", *also])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = keyed(docs, *also)
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType()), *(rows.schema[c] for c in also)]))
 
 
 def _byte(position: int) -> Column:
@@ -182,25 +183,44 @@ def _by_key(postings: DataFrame) -> DataFrame:
     return postings.select("key", "fp", "doc").repartition("key").sortWithinPartitions("key").mapInArrow(_postings, "u long, v long")
 
 
+def _grouped(done: DataFrame, hot: int, share: int = 4096) -> DataFrame:
+    """``done`` (fp, doc_id and more) with its ``component`` (a fingerprint) and ``least``, the least doc_id in it.
+
+    A fingerprint is a node of its own name, so repeated and null ids join nothing. Fingerprints that
+    more than 1 / ``share`` of all rows have, fewer than ``share``, are broadcast; the rest is shuffled.
+    """
+    nodes = cut(done.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
+    links = components(near_links(nodes.select("fp", F.col("fp").alias("doc")), hot))
+    linked = nodes.join(links, nodes["fp"] == links["node"], "left").select("fp", "doc_id", "n", F.coalesce("component", "fp").alias("component"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = cut(linked.drop("doc_id").join(least, "component"), "named")
+    drop(nodes)
+    many = F.broadcast(named.filter(F.col("n") * share > F.lit(done.count())).drop("n"))
+    return done.join(many, "fp").unionByName(done.join(many, "fp", "left_anti").join(named.drop("n"), "fp"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, seed: int = 42, hot: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable) of each row.
 
     A null text is empty; a text without words has fingerprint zero and is linked like any other. A
-    null doc_id comes before all others. Rows that repeat a doc_id are each fingerprinted. Other
-    columns are not looked at.
+    null doc_id comes before all others. Rows that repeat a doc_id are each fingerprinted and linked
+    by their texts alone. A long text is hashed a lot of shingles at a time. An empty table gives no
+    rows. Other columns are not looked at, whatever their names.
     """
-    done = cut(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = cut(done.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
-    links = components(near_links(nodes, hot))
-    named = nodes.join(links.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
-    return done.join(named, "fp").select(unkeyed(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), unkeyed("component_id"))
+    done = _grouped(cut(fingerprints(docs, shingle, seed), "fingerprints"), hot)
+    return done.select(unkeyed(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), unkeyed("least").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, hot: int = 4096) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; every column is kept."""
-    groups = simhash_groups(docs.select("doc_id", "text"), shingle, seed, hot)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-
+    """One row of ``docs`` for each group, that with the least doc_id; every column is kept, whatever its name.
 
-__all__ = ["components", "drop", "fingerprint", "fingerprints", "near_dedup", "near_links", "simhash_groups"]
+    Nulls as in ``simhash_groups``. Of a group's rows that share the least doc_id, null or not, one
+    stays: the first by where it is stored.
+    """
+    row, own = fresh(docs, "row", "row_kept")
+    named = identified(docs, row)
+    done = cut(fingerprints(named.select("doc_id", "text", F.col(row).alias("row")), shingle, seed, "row"), "fingerprints")
+    stays = _grouped(done, hot).filter("doc_id = least").groupBy("component").agg(F.min("row").alias(own))
+    stays = cut(stays.select(own), "stays")
+    drop(done)
+    return named.join(stays, F.col(row) == F.col(own), "left_semi").select(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korridor.llm.common import text_groups
+from korridor.llm.common import fresh, text_groups
 
 ORDER, REACH, DECAY = 4, 8, 0.7
 LETTERS = 48  #: codes of characters; 0 stands for none
@@ -312,6 +312,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic; every column is kept."""
+    """The rows of ``docs`` that are not predicted to be toxic; every column is kept, whatever its name."""
+    (name,) = fresh(docs, "toxicity")
     scorer = train(labelled_sample(docs, labels))
-    return with_score(docs, scorer, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    return with_score(docs, scorer, name).filter(F.col(name) < threshold).select(*docs.columns)

@@ -25,7 +25,7 @@ def test_groups_heavy_and_light(spark, tracked):
     groups = defaultdict(list)
     for i, t, _ in rows:
         groups[ascii_lower(t)].append(-1 if i is None else i)
-    got = exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), winners=8, tracked=tracked).collect()
+    got = exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), tracked=tracked).collect()
     assert len(got) == len(rows)
     of = {i: ascii_lower(t) for i, t, _ in rows}
     for x in got:
