@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, tracked: int = 8192) -> DataFrame:
     rows = cut(docs.select(number().alias("doc_id"), digest().alias("sha")), "digests")
     heavy = F.broadcast(heavy_digests(rows, tracked))
     rest = rows.join(heavy, "sha", "left_anti")
-    light = rest.join(rest.groupBy("sha").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size")), "sha")
+    light = rest.join(rest.groupBy("sha").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size")).hint("merge"), "sha")
     done = rows.join(heavy, "sha").unionByName(light)
     return done.select(unkeyed(), unkeyed("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("doc_id") == F.col("keep")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, tracked: int = 8192) -> DataFrame:
     first = F.min(F.struct(F.bitwise_not("doc_id").alias("back"), "row")).alias("first")
     stays = cut(best.groupBy("sha").agg(first).select(F.col("first.row").alias(own)), "stays")
     drop(rows, heavy)
-    return named.join(stays, F.col(row) == F.col(own), "left_semi").select(*docs.columns)
+    return named.join(stays.hint("merge"), F.col(row) == F.col(own), "left_semi").select(*docs.columns)
 
 
 SQL = """

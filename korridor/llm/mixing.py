@@ -139,7 +139,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     placed = _dealt(named.select("doc_id", "text", "source", F.col(row).alias("row")), weights, share, most, blocks, shard_blocks, seed, "row")
     again = F.expr("rounds + if(extra[((end - size + 1) * n - 1) div words], 1, 0)").cast("int")
     parts = cut(placed.filter("size > 0").select(F.col("row").alias(own), again.alias(times)).filter(F.col(times) > 0), "taken")
-    out = named.join(parts, F.col(row) == F.col(own))
+    out = named.join(parts.hint("merge"), F.col(row) == F.col(own))
     return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*docs.columns)
 
 

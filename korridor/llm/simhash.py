@@ -223,4 +223,4 @@ def near_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, hot: int = 409
     stays = _grouped(done, hot).filter("doc_id = least").groupBy("component").agg(F.min("row").alias(own))
     stays = cut(stays.select(own), "stays")
     drop(done)
-    return named.join(stays, F.col(row) == F.col(own), "left_semi").select(*docs.columns)
+    return named.join(stays.hint("merge"), F.col(row) == F.col(own), "left_semi").select(*docs.columns)

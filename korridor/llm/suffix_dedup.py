@@ -13,14 +13,19 @@ seven sorts of a row per byte. Here ranks are doubled only where they can matter
    the first are repeats, with all their windows.
 3. First names that go on differently are past the threshold on one side only. For these the
    offset grows window by window: each 100-byte string under the anchor is named, sorted and ranked.
-   An anchor with more than ``hot`` continuations is dealt out by window instead of by anchor.
 
-Equal anchors that meet in one task are merged before the shuffle, so a passage that a third of all
-documents share costs a row per task. Names have 64 bits, and a decision always needs two of them.
+Names that more than 1 / SHARE of the rows at hand have (the ends of a passage that many documents
+share and go on from in their own ways), at most SHARE of them, are split off by a broadcast: their
+rows are dealt out by what follows, in step 2 by the whole pair, in step 3 by the single window.
+Equal anchors and equal windows that meet in one task are merged before a shuffle, so a passage that
+a third of all documents share costs a row per task. Names have 64 bits, and a decision always needs
+two of them.
 
 Nulls: a null text is empty; a null doc_id comes before all others. Empty and short texts lose
-nothing. Rows that repeat a doc_id with the same text are one document: neither is earlier, and each
-gets the document's result. Other columns are not looked at.
+nothing; a very long text is named in overlapping segments. Rows that repeat a doc_id with the same
+text are one document: neither is earlier, and each gets the document's result. Rows that repeat a
+doc_id, or have none, with different texts are documents of their own, in the order of a hash of
+their texts. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +41,13 @@ from pyspark.sql import functions as F
 from korridor.llm.anchors import KEY, LONG, anchors, window_names
 from korridor.llm.common import batches, byte_parts, cut, drop, keyed, unkeyed
 
-ANCHOR = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int32()), ("at", pa.int32()), ("repeat", pa.bool_())])
-SPAN = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("end", pa.int64())])
-TEXT = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
-WINDOW = pa.schema([("name", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64())])
+ANCHOR = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("hi", pa.int32()), ("at", pa.int32()), ("repeat", pa.bool_())])
+SPAN = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("end", pa.int64())])
+TEXT = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
+WINDOW = pa.schema([("name", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("end", pa.int64()), ("repeat", pa.bool_())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("end", pa.int64())])))])
 BUFFER, SEGMENT, FLUSH = 1 << 18, 1 << 22, 1 << 26
+SHARE = 1024  #: a name is hot with more than this part of all rows
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -85,24 +91,40 @@ def _merged(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return doc[at], lo[at], reach[np.concatenate([at[1:], [len(doc)]]) - 1] - lift[at]
 
 
-def _anchor_rows(found: list[dict], width: int) -> Iterator[pa.RecordBatch]:
-    """The first anchor of each pair, and what the others of this task cover."""
-    x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-    order = np.lexsort((x["lo"], x["doc_id"], x["context"], x["name"]))
+def _spans(x: dict[str, np.ndarray], some: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """doc_id, tie, lo, end of the rows ``some``, merged."""
+    doc_id, tie = x["doc_id"][some], x["tie"][some]
+    order = np.lexsort((tie, doc_id))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc_id[order][1:] != doc_id[order][:-1]) | (tie[order][1:] != tie[order][:-1])
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    doc, lo, end = _merged(code, x["lo"][some], end[some])
+    first = order[new]
+    return {"doc_id": doc_id[first][doc], "tie": tie[first][doc], "lo": lo, "end": end}
+
+
+def _sorted(x: dict[str, np.ndarray], *key: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """``x`` by key and place; the first row of each key; the rows that come after it elsewhere (a repeated row is no repeat)."""
+    order = np.lexsort([x[k] for k in ("lo", "tie", "doc_id", *reversed(key))])
     x = {k: v[order] for k, v in x.items()}
     first = np.ones(len(order), bool)
-    first[1:] = (x["name"][1:] != x["name"][:-1]) | (x["context"][1:] != x["context"][:-1])
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    again = ~first & ~((x["doc_id"] == x["doc_id"][lead]) & (x["lo"] == x["lo"][lead]))  # a repeated row is no repeat
-    keep = ~again
-    keep &= first | again
-    doc, lo, end = _merged(x["doc_id"][again], x["lo"][again], (x["hi"] + width)[again])
-    n = int(keep.sum())
-    gap = np.zeros(len(doc), np.int64)
+    if len(order):
+        first[1:] = np.logical_or.reduce([x[k][1:] != x[k][:-1] for k in key])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else np.empty(0, np.int64)
+    return x, first, ~np.logical_and.reduce([x[k] == x[k][lead] for k in ("doc_id", "tie", "lo")])
+
+
+def _anchor_rows(found: list[dict], width: int) -> Iterator[pa.RecordBatch]:
+    """The first anchor of each pair, and what the others of this task cover."""
+    x, _, again = _sorted({k: np.concatenate([f[k] for f in found]) for k in found[0]}, "name", "context")
+    span, keep = _spans(x, again, x["hi"] + width), ~again
+    n, gap = int(keep.sum()), np.zeros(len(span["lo"]), np.int64)
     yield from batches(ANCHOR, {
-        "name": np.concatenate([x["name"][keep], gap]), "context": np.concatenate([x["context"][keep], gap]), "doc_id": np.concatenate([x["doc_id"][keep], doc]),
-        "lo": np.concatenate([x["lo"][keep], lo]), "hi": np.concatenate([(x["hi"] - x["lo"])[keep], end - lo - width]).astype(np.int32), "at": np.concatenate([(x["at"] - x["lo"])[keep], gap]).astype(np.int32),
-        "repeat": np.arange(n + len(doc)) >= n,
+        "name": np.concatenate([x["name"][keep], gap]), "context": np.concatenate([x["context"][keep], gap]), "doc_id": np.concatenate([x["doc_id"][keep], span["doc_id"]]),
+        "tie": np.concatenate([x["tie"][keep], span["tie"]]), "lo": np.concatenate([x["lo"][keep], span["lo"]]),
+        "hi": np.concatenate([(x["hi"] - x["lo"])[keep], span["end"] - span["lo"] - width]).astype(np.int32), "at": np.concatenate([(x["at"] - x["lo"])[keep], gap]).astype(np.int32),
+        "repeat": np.arange(n + len(gap)) >= n,
     })
 
 
@@ -111,13 +133,14 @@ def _find(width: int):
         found, held = [], 0
         for batch in parts:
             raw, ends = byte_parts(batch)
-            ids = batch.column("doc_id").to_numpy()
-            for piece, stops, docs, shift in _segments(raw, ends, ids, width):
+            ids, ties = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
+            for piece, stops, docs, shift in _segments(raw, ends, np.arange(len(ids)), width):
                 x = anchors(piece, stops, width)
                 doc = x.pop("doc")
                 for k in ("lo", "hi", "at"):
                     x[k] = x[k] + shift[doc] if len(doc) else x[k]
-                found.append(x | {"doc_id": docs[doc] if len(doc) else x["lo"]})
+                of = docs[doc] if len(doc) else np.empty(0, np.int64)
+                found.append(x | {"doc_id": ids[of], "tie": ties[of]})
                 held += len(piece)
                 if held >= FLUSH:
                     yield from _anchor_rows(found, width)
@@ -133,13 +156,14 @@ def _fetch(width: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            texts, ids, lists = batch.column("text").cast(pa.large_binary()), batch.column("doc_id"), batch.column("open")
+            texts, ids, ties, lists = batch.column("text").cast(pa.large_binary()), batch.column("doc_id"), batch.column("tie"), batch.column("open")
             out = {k: [] for k in TEXT.names}
             for i in range(len(batch)):
                 text = texts[i].as_py()
                 for o in lists[i].as_py():
                     out["name"].append(o["name"])
                     out["doc_id"].append(ids[i].as_py())
+                    out["tie"].append(ties[i].as_py())
                     out["lo"].append(o["lo"])
                     out["at"].append(o["at"])
                     out["bytes"].append(text[o["lo"] : o["lo"] + o["hi"] + width])
@@ -149,34 +173,25 @@ def _fetch(width: int):
 
 
 def _windows(batch: pa.RecordBatch, width: int) -> dict[str, np.ndarray]:
-    """Each window under the anchors of a batch: name, at (place of the anchor in it), window, doc_id, lo."""
+    """Each window under the anchors of a batch: name, at (place of the anchor in it), window, doc_id, tie, lo."""
     raw, ends = byte_parts(batch, "bytes")
     if len(raw) < width:
-        return {k: np.empty(0, np.int64) for k in WINDOW.names}
+        return {k: np.empty(0, np.int64) for k in ("name", "at", "window", "doc_id", "tie", "lo")}
     sizes = np.diff(np.concatenate([[0], ends]))
     count = sizes - width + 1
     row = np.repeat(np.arange(len(sizes)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     named = window_names(raw, width)[(ends - sizes)[row] + step]
-    return {"name": batch.column("name").to_numpy()[row], "at": (batch.column("at").to_numpy()[row] - step).astype(np.int32), "window": named, "doc_id": batch.column("doc_id").to_numpy()[row], "lo": batch.column("lo").to_numpy()[row] + step}
-
-
-def _spans_of(x: dict[str, np.ndarray], later: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    doc, lo, end = _merged(x["doc_id"][later], x["lo"][later], x["lo"][later] + width)
-    yield from batches(SPAN, {"doc_id": doc, "lo": lo, "end": end})
+    own = {k: batch.column(k).to_numpy()[row] for k in ("name", "at", "doc_id", "tie", "lo")}
+    return own | {"at": (own["at"] - step).astype(np.int32), "window": named, "lo": own["lo"] + step}
 
 
 def _rank(width: int):
     """Windows ranked within the anchors of a task, a bounded number of anchors at a time."""
 
     def resolve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _windows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
-        order = np.lexsort((x["lo"], x["doc_id"], x["window"], x["at"], x["name"]))
-        x = {k: v[order] for k, v in x.items()}
-        first = np.ones(len(order), bool)
-        first[1:] = (x["name"][1:] != x["name"][:-1]) | (x["at"][1:] != x["at"][:-1]) | (x["window"][1:] != x["window"][:-1])
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        yield from _spans_of(x, (x["doc_id"] != x["doc_id"][lead]) | (x["lo"] != x["lo"][lead]), width)
+        x, _, again = _sorted(_windows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width), "name", "at", "window")
+        yield from batches(SPAN, _spans(x, again, x["lo"] + width))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -198,13 +213,29 @@ def _rank(width: int):
 
 
 def _explode(width: int):
+    """The first of each window of some rows, and what the others cover."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            yield from batches(WINDOW, _windows(batch, width))
+            for at in range(0, len(batch), 20_000):
+                x, _, again = _sorted(_windows(batch.slice(at, 20_000), width), "name", "at", "window")
+                span, keep = _spans(x, again, x["lo"] + width), ~again
+                n, gap = int(keep.sum()), np.zeros(len(span["lo"]), np.int64)
+                first = {k: np.concatenate([x[k][keep], gap]) for k in ("name", "at", "window")}
+                place = {k: np.concatenate([x[k][keep], span[k]]) for k in ("doc_id", "tie", "lo")}
+                yield from batches(WINDOW, first | place | {"at": first["at"].astype(np.int32), "end": np.concatenate([x["lo"][keep] + width, span["end"]]), "repeat": np.arange(n + len(gap)) >= n})
 
     return run
 
 
+def _hot(rows: DataFrame) -> DataFrame:
+    """The names that more than 1 / SHARE of ``rows`` have, verified; fewer than SHARE rows, for a broadcast."""
+    likely = rows.agg(F.expr(f"approx_top_k(name, {SHARE}, {8 * SHARE})").alias("top"), F.count("*").alias("all")).select(F.explode("top").alias("top"), "all")
+    likely = F.broadcast(likely.select(F.col("top.item").alias("name"), "all"))
+    found = rows.select("name").join(likely, "name").groupBy("name").agg(F.count("*").alias("n"), F.first("all").alias("all"))
+    return cut(found.filter(F.col("n") * SHARE > F.col("all")).select("name"), "hot")
+
+
 def _finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The maximal removed runs of each document, and the digest of what stays."""
     for batch in parts:
@@ -229,39 +260,41 @@ def _finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(RESULT, out)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` (lo, end) of each document.
 
-    ``width``: 64 to 128 bytes. ``hot``: continuations of one anchor beyond which its windows are
-    dealt out over all tasks; either way gives the same result.
+    ``width``: 64 to 128 bytes.
     """
     if not LONG <= width <= 2 * LONG:
         raise ValueError(f"width must be {LONG} to {2 * LONG}")
-    texts = keyed(docs)
+    place, key = ["doc_id", "tie", "lo"], ["name", "at", "window"]
+    texts = keyed(docs).withColumn("tie", F.xxhash64("text"))
     found = cut(texts.mapInArrow(_find(width), _ddl(ANCHOR)), "anchors")
-    same_name, same_pair = Window.partitionBy("name"), Window.partitionBy("name", "context").orderBy("doc_id", "lo")
-    ranked = (
-        found.filter(~F.col("repeat")).repartition("name")  # one exchange serves both windows
+    anchor = found.filter(~F.col("repeat"))
+    hot = F.broadcast(_hot(anchor))
+    same_name, same_pair = Window.partitionBy("name"), Window.partitionBy("name", "context").orderBy(*place)
+    few = (
+        anchor.join(hot, "name", "left_anti").repartition("name")  # one exchange serves both windows
         .withColumn("rank", F.rank().over(same_pair))
         .withColumn("size", F.sum((F.row_number().over(same_pair) == 1).cast("int")).over(same_name))
-        .filter((F.col("rank") > 1) | (F.col("size") > 1))
+        .filter((F.col("rank") > 1) | (F.col("size") > 1)).drop("size")
     )
-    repeats = found.filter("repeat").withColumns({"rank": F.lit(2), "size": F.lit(0).cast("long")})
-    ranked = cut(ranked.unionByName(repeats).drop("context", "repeat"), "ranked")
+    many = anchor.join(hot, "name").withColumn("rank", F.rank().over(same_pair))  # a hot name may go on in one way only: its windows then are unique
+    repeats = found.filter("repeat").withColumn("rank", F.lit(2))
+    ranked = cut(few.unionByName(many).unionByName(repeats).drop("context", "repeat"), "ranked")
     drop(found)
-    again = ranked.filter("rank > 1").select("doc_id", "lo", (F.col("lo") + F.col("hi") + width).alias("end"))
-    opened = ranked.filter("rank = 1").groupBy("doc_id").agg(F.collect_list(F.struct("name", "lo", "hi", "at")).alias("open"))
-    fetched = texts.join(opened.hint("shuffle_hash"), "doc_id").mapInArrow(_fetch(width), _ddl(TEXT))
-    large = ranked.filter((F.col("rank") == 1) & (F.col("size") > hot)).select("name").distinct()
-    fetched = cut(fetched.join(large.withColumn("large", F.lit(True)), "name", "left"), "fetched")
-    few = fetched.filter("large is null").drop("large").repartition("name").sortWithinPartitions("name").mapInArrow(_rank(width), _ddl(SPAN))
-    windows = fetched.filter("large").drop("large").mapInArrow(_explode(width), _ddl(WINDOW))
-    key = ["name", "at", "window"]
-    earliest = windows.groupBy(*key).agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max(F.struct("doc_id", "lo")).alias("last")).filter("first < last").drop("last")
-    many = windows.join(earliest, key).filter(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", (F.col("lo") + width).alias("end"))
-    spans = cut(again.unionByName(few).unionByName(many).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "spans")
-    drop(ranked, fetched)
-    done = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_finish, _ddl(RESULT))
+    again = ranked.filter("rank > 1").select(*place, (F.col("lo") + F.col("hi") + width).alias("end"))
+    opened = ranked.filter("rank = 1").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("name", "lo", "hi", "at")).alias("open"))
+    fetched = cut(texts.join(opened.hint("shuffle_hash"), ["doc_id", "tie"]).mapInArrow(_fetch(width), _ddl(TEXT)), "fetched")
+    hot = F.broadcast(_hot(fetched))
+    few = fetched.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name").mapInArrow(_rank(width), _ddl(SPAN))
+    windows = cut(fetched.join(hot, "name").mapInArrow(_explode(width), _ddl(WINDOW)), "windows")
+    order = Window.partitionBy(*key).orderBy(*place)
+    later = windows.filter(~F.col("repeat")).withColumn("rank", F.rank().over(order)).filter("rank > 1")
+    spans = again.unionByName(few).unionByName(windows.filter("repeat").select(*place, "end")).unionByName(later.select(*place, "end"))
+    spans = cut(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "spans")
+    drop(ranked, fetched, windows)
+    done = texts.join(spans.hint("shuffle_hash"), ["doc_id", "tie"], "left").mapInArrow(_finish, _ddl(RESULT))
     return done.withColumn("doc_id", unkeyed())
 
 

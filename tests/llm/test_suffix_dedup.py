@@ -43,12 +43,15 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("share", [1024, 100_000])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_every_start(spark, seed, hot):
+def test_against_every_start(spark, monkeypatch, seed, share):
+    import korridor.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "SHARE", share)  # with the larger one every name is hot
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df).collect()}
     assert got == brute(rows)
 
 
@@ -77,3 +80,33 @@ def test_repeated_rows_empty_table_and_other_columns(spark):
     got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup(df).collect())
     assert got == [(1, 0), (1, 0), (2, 0)]
     assert suffix_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [1024, 100_000])
+def test_ids_that_repeat_with_different_texts(spark, monkeypatch, share):
+    """Rows of one id with different texts are documents in some order of their own: each string goes but once."""
+    import korridor.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "SHARE", share)
+    r = random.Random(4)
+    words = lambda k: " ".join(str(r.randint(0, 10**9)) for _ in range(k))
+    passage = words(30)
+    rows = [(i, words(20) + passage + words(20)) for i in (1, 1, 2, None, None, 7, 7)] + [(7, passage)] * 2
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    removed = sorted((x.doc_id is not None, x.doc_id or 0, x.n_removed) for x in got)
+    whole = [n for _, _, n in removed if n >= len(passage)]
+    assert len(whole) == len(rows) - 1 and min(x[2] for x in removed if not x[0]) == 0  # one null id's text comes first
+    assert {x.n_removed for x in got if x.n_bytes == len(passage)} == {len(passage)}
+
+
+def test_one_very_long_text(spark, monkeypatch):
+    import korridor.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "SEGMENT", 5_000)
+    r = random.Random(6)
+    words = lambda k: " ".join(str(r.randint(0, 10**6)) for _ in range(k))
+    passage = words(60)
+    rows = [(1, words(3_000) + passage + words(2_000) + passage + words(300)), (2, passage[7:] + words(5)), (3, "x" * 20_000)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
