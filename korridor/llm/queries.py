@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from korridor.llm import exact_dedup, html_text, mixing, sketches
-from korridor.llm.common import shared_dir, table
+from korridor.llm.common import cut, drop, shared_dir, table
 from korridor.llm.sentencepiece_backend import encode_documents
 from korridor.llm.simhash import simhash_groups
 from korridor.llm.suffix_dedup import suffix_dedup
@@ -35,11 +36,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in one batch, which is then sent again, as after a lost acknowledgement."""
+    """All documents go through every kind of change, each sent twice as after a lost acknowledgement, and end as they are.
+
+    They are loaded; all counts are revised (an end mark more for each document); all documents are
+    deleted; all are inserted again with the counts that were loaded.
+    """
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}", {"words-1": words, BYTE_BPE: byte_bpe(tokenizer_path(BYTE_BPE))})
     docs = table(spark, sf_dir, "documents")
     for _ in range(2):
-        rollup.apply("load", docs, first=True)
+        rollup.apply("load", docs)
+    loaded = cut(rollup.current(), "loaded")
+    for _ in range(2):
+        rollup.apply_counts("recount", loaded.withColumn("tokens", F.col("tokens") + 1))
+    for _ in range(2):
+        rollup.apply("delete", docs, delete=True)
+    for _ in range(2):
+        rollup.apply_counts("insert again", loaded)
+    rollup.compact()
+    drop(loaded)
     return rollup.totals()
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from korridor.llm.common import batches, keyed, unkeyed
 
 K, SHINGLE, DIGITS = 256, 5, 10  #: hashes kept, words of a shingle, hex digits of a hash
+BLOCK, MOST = 16 << 20, 1 << 16  #: bytes of a block of neighbouring documents, until there are so many blocks (1 TiB); then blocks grow
 _SPACE = 1 << 4 * DIGITS
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _ADD = [np.uint64(int(x) * (j + 1) & (1 << 64) - 1) for j, x in enumerate(_MULTIPLY)]
@@ -133,10 +134,13 @@ def compare_with_next(docs: DataFrame, k: int = K, blocks: int | None = None) ->
     null text is empty and a null doc_id the smallest. Rows that share a doc_id follow one another in
     the order of their texts. Other columns are not looked at.
 
-    Texts are shuffled once, by ranges of doc_id, each with a copy of the one row it borders on.
+    Texts are shuffled once, by ranges of doc_id (a range for each BLOCK bytes, however many there are),
+    each with a copy of the one row it borders on.
     """
-    spark = docs.sparkSession
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed(docs)
+    if blocks is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST, -(-size // BLOCK)))
 
     def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, out = None, {c: [] for c in PAIRED.names}
@@ -167,6 +171,6 @@ def compare_with_next(docs: DataFrame, k: int = K, blocks: int | None = None) ->
             yield from batches(PAIRED, out)
             out = {c: [] for c in PAIRED.names}
 
-    texts = _blocked(keyed(docs), blocks)
-    dealt = texts.repartition("block").sortWithinPartitions("block", F.desc("own"), F.desc("doc_id"), "text")
+    texts = _blocked(rows, blocks)
+    dealt = texts.repartition(blocks, "block").sortWithinPartitions("block", F.desc("own"), F.desc("doc_id"), "text")
     return dealt.mapInArrow(pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumn("doc_id", unkeyed())

@@ -173,8 +173,39 @@ def test_rollup_counts_like_the_library(spark, tmp_path):
     tokenizer = Tokenizer.from_file(BPE)
     data = [(i, t, "s", "en") for i, t in enumerate(texts(4, 40))]
     rollup = TokenRollup(spark, str(tmp_path / "r"), {"bpe": byte_bpe(BPE)})
-    rollup.apply("x", spark.createDataFrame(data, "doc_id long, text string, source string, lang string"), first=True)
+    rollup.apply("x", spark.createDataFrame(data, "doc_id long, text string, source string, lang string"))
     assert rollup.totals().first().tokens == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t, _, _ in data)
+    clash = spark.createDataFrame([(None, "a b", "s", None, 1, 2, 3, 4), (1, None, None, "en", 1, 2, 3, 4), (1, "w " * 300_000, None, "en", 1, 2, 3, 4)], "doc_id long, text string, source string, lang string, tokens int, tokenizer int, bucket int, number int")
+    other = TokenRollup(spark, str(tmp_path / "c"), {"words-1": words})
+    other.apply("x", clash)
+    assert sorted((x.source or "", x.lang or "", x.documents, x.tokens) for x in other.totals().collect()) == [("", "en", 1, 300_000), ("s", "", 1, 2)]
+    assert other.apply("y", clash, delete=True) and other.totals().count() == 0
     empty = TokenRollup(spark, str(tmp_path / "e"), {"words-1": words})
     empty.apply("x", spark.createDataFrame([], "doc_id long, text string, source string, lang string"))
     assert empty.totals().count() == 0
+
+
+def test_rollup_compacts_and_takes_revised_counts(spark, tmp_path):
+    r = random.Random(3)
+    plain, compacted = (TokenRollup(spark, str(tmp_path / str(n)), {"words-1": words}, buckets=4, compact_after=n) for n in (100, 2))
+    have: dict[int, tuple[str, int]] = {}
+    for k in range(5):
+        some = [r.randint(0, 30) for _ in range(8)]
+        if k == 2:
+            change = spark.createDataFrame([(i,) for i in some], "doc_id long")
+            [x.apply(str(k), change, delete=True) for x in (plain, compacted)]
+            [have.pop(i, None) for i in some]
+        else:
+            rows = {i: (r.choice("st"), r.randint(0, 9)) for i in some}
+            have |= rows
+            if k == 3:
+                change = spark.createDataFrame([(i, "words-1", s, "en", n) for i, (s, n) in rows.items()], "doc_id long, tokenizer string, source string, lang string, tokens long")
+                [x.apply_counts(str(k), change) for x in (plain, compacted)]
+            else:
+                change = spark.createDataFrame([(i, "w " * n, s, "en") for i, (s, n) in rows.items()], "doc_id long, text string, source string, lang string")
+                [x.apply(str(k), change) for x in (plain, compacted)]
+    want = sorted((s, sum(1 for v in have.values() if v[0] == s), sum(n for t, n in have.values() if t == s)) for s in {s for s, _ in have.values()})
+    for x in (plain, compacted):
+        assert sorted((t.source, t.documents, t.tokens) for t in x.totals().collect()) == want
+        assert sorted((t.doc_id, t.source, t.tokens) for t in x.current().collect()) == sorted((i, *v) for i, v in have.items())
+    assert len(compacted._marks("snapshots")) == 2 and not plain._marks("snapshots")
