@@ -3,16 +3,19 @@
 The kernel of two words sums, over all subsequences of ORDER characters, decay ** span in the one
 times decay ** span in the other (Lodhi et al., "Text Classification using String Kernels"), spans
 limited to REACH. Gaps only lower a subsequence's weight, so an insult with other characters between
-its own, or a new ending, still lies close to the plain one. Words are scaled by what a word of that
-length weighs at most, characters that are neither letters nor digits are dropped, look-alike digits
-read as letters, and single characters in a row ("i d i o t") are one word.
+its own, or a new ending, still lies close to the plain one. A word begins with a mark of its own.
+Words are scaled by what a word of that length weighs at most, characters that are neither letters
+nor digits are dropped, look-alike signs before the last letter read as letters, and single
+characters in a row ("i d i o t") are one word. The characters that the labelled sentences have most
+often, in any script, have a code each; all others share one.
 
 Words of the labelled sentences serve as landmarks; the Nystroem map turns a word into its kernel
 values with them, times the inverse root of their own. On these features a linear SVM (squared
 hinge) is trained on sentences by multiple instances: a sentence scores as its strongest word, all
 words of sentences of clean documents are negative, and a toxic document has to own a positive word
 in some sentence; which one is chosen anew in each round. A document's score is a logistic function
-of the margins of its two strongest words, fitted on the documents of the sample.
+of the margins of its two strongest words and of its length (long texts have more words that look
+like one), fitted on the documents of the sample.
 
 Since the SVM is linear in the kernel values and the kernel is a sum over subsequences, the trained
 function is one weight per subsequence that some landmark has: a table of bounded size which is
@@ -25,7 +28,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -40,17 +43,33 @@ ORDER, REACH, DECAY = 4, 8, 0.7
 LETTERS = 48  #: codes of characters; 0 stands for none
 STEPS = [(0, *c) for c in combinations(range(1, REACH), ORDER - 1)]
 FLOOR = -2.0  #: the margin of a word that is not there
+SURE = 1.5  #: a margin above this counts the more
 LOOK_ALIKE = str.maketrans("013457@$!|", "oieastasii")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
-_CODES: dict[str, int] = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+_TAIL = re.compile(r"[\W_]+$")
+START, OTHER = LETTERS - 1, LETTERS - 2  #: the mark before a word; a letter or digit without a code of its own
 
 
-def _code(c: str) -> int:
-    """1 to 26 for a to z, a code above for any other letter or digit, 0 for the rest."""
-    if c not in _CODES:
-        _CODES[c] = 27 + ord(c) % (LETTERS - 27) if c.isalnum() else 0
-    return _CODES[c]
+class Alphabet(dict):
+    """Codes of characters: those given in order, OTHER for any other letter or digit, 0 for the rest."""
+
+    def __init__(self, letters: str = "abcdefghijklmnopqrstuvwxyz") -> None:
+        super().__init__((c, i + 1) for i, c in enumerate(letters[: OTHER - 1]))
+
+    def __missing__(self, c: str) -> int:
+        return OTHER if c.isalnum() else 0
+
+    @classmethod
+    def of(cls, some: list[str]) -> Alphabet:
+        count = Counter()
+        for w in some:
+            count.update(_plain(w))
+        return cls("".join(sorted((c for c in count if c.isalnum()), key=lambda c: (-count[c], c))))
+
+
+def _plain(w: str) -> str:
+    return _TAIL.sub("", w).translate(LOOK_ALIKE)
 
 
 def words(text: str) -> list[str]:
@@ -61,9 +80,10 @@ def words(text: str) -> list[str]:
     return out
 
 
-def _coded(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all characters that count, with REACH zeros after each word, and where words begin."""
-    plain = [bytes(filter(None, map(_code, w.translate(LOOK_ALIKE)))) for w in some]
+def _coded(some: list[str], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all characters that count, a mark before and REACH zeros after each word, and where words begin."""
+    mark, code = bytes([START]), alphabet.__getitem__
+    plain = [mark + bytes(filter(None, map(code, _plain(w)))) for w in some]
     begin = np.cumsum([0, *(len(p) + REACH for p in plain[:-1])])
     return np.frombuffer((bytes(REACH)).join(plain) + bytes(REACH), np.uint8).astype(np.int64), begin
 
@@ -77,9 +97,9 @@ def _norms(n: int) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-12))
 
 
-def _subsequences(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _subsequences(some: list[str], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, subsequence and scaled weight of every subsequence of the words."""
-    codes, begin = _coded(some)
+    codes, begin = _coded(some, alphabet)
     size = np.diff(np.concatenate([begin, [len(codes)]])) - REACH
     owner = np.repeat(np.arange(len(some)), size + REACH)
     norm = _norms(int(size.max(initial=0)))[size]
@@ -98,18 +118,19 @@ def _subsequences(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Scorer:
-    """The trained function: weights of subsequences, a bias, and the logistic of two margins."""
+    """The trained function: weights of subsequences, a bias, the logistic of two margins, and the codes."""
 
     subs: np.ndarray
     weights: np.ndarray
     bias: float
-    logistic: tuple[float, float, float]
+    logistic: tuple[float, ...]
+    alphabet: Alphabet = field(default_factory=Alphabet)
 
     def margins(self, some: list[str]) -> np.ndarray:
         """The SVM's margin of each word."""
         if not some:
             return np.empty(0)
-        codes, begin = _coded(some)
+        codes, begin = _coded(some, self.alphabet)
         size = np.diff(np.concatenate([begin, [len(codes)]])) - REACH
         table = getattr(self, "_table", None)
         if table is None:
@@ -133,8 +154,12 @@ class Scorer:
         return total / _norms(int(size.max()))[size] + self.bias
 
     def score(self, top: np.ndarray) -> np.ndarray:
-        a, b, c = self.logistic
-        return 1 / (1 + np.exp(-np.clip(a * top[:, 0] + b * top[:, 1] + c, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(_described(top) @ np.array(self.logistic), -500, 500)))
+
+
+def _described(top: np.ndarray) -> np.ndarray:
+    """What the logistic sees of a document: both margins, what the first has above SURE, the length, 1."""
+    return np.column_stack([top[:, 0], top[:, 1], np.maximum(top[:, 0] - SURE, 0), top[:, 2], np.ones(len(top))])
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -153,7 +178,6 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -166,11 +190,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _strongest(values: dict[str, float], bags: list[list[str]]) -> np.ndarray:
-    """The two greatest values among the words of each bag."""
-    out = np.full((len(bags), 2), FLOOR)
+    """The two greatest values among the words of each bag, and how many words it has (a logarithm)."""
+    out = np.full((len(bags), 3), FLOOR)
     for i, bag in enumerate(bags):
         v = sorted((values[w] for w in bag), reverse=True)[:2]
         out[i, : len(v)] = np.maximum(v, FLOOR)
+        out[i, 2] = np.log1p(len(bag))
     return out
 
 
@@ -180,10 +205,11 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
     y = np.array([v for _, v in rows], float)
     if not rows or not 0 < y.sum() < len(y):
         prior = float(y.mean()) if len(y) else 0.0
-        return Scorer(np.empty(0, np.int64), np.empty(0), FLOOR, (0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))))
+        return Scorer(np.empty(0, np.int64), np.empty(0), FLOOR, (0.0, 0.0, 0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))))
     ids: dict[str, int] = {}  # each word is held once, sentences as four-byte ids
     sentences = [[array("i", [ids.setdefault(w, len(ids)) for w in words(s)]) for s in _SENTENCE.split(t) if s] for t, _ in rows]
     names = list(ids)
+    alphabet = Alphabet.of(names)
     rows = [("", v) for _, v in rows]
     toxic, clean = Counter(), Counter()
     for (_, v), ss in zip(rows, sentences, strict=True):
@@ -197,8 +223,8 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
     usual = sorted(clean, key=lambda w: (-clean[w], w))[: landmarks // 8]
     rest = sorted({*clean, *toxic} - {*best, *usual})
     chosen = [*best, *usual, *(rest[i] for i in rng.permutation(len(rest))[: max(0, landmarks - len(best) - len(usual))])]
-    chosen = [w for w in dict.fromkeys(chosen) if len(_coded([w])[0]) - REACH >= ORDER]
-    row, sub, weight = _subsequences(chosen)
+    chosen = [w for w in dict.fromkeys(chosen) if len(_coded([w], alphabet)[0]) - REACH >= ORDER]
+    row, sub, weight = _subsequences(chosen, alphabet)
     subs, place = np.unique(sub, return_inverse=True)
     dense = np.zeros((len(chosen), len(subs)))
     np.add.at(dense, (row, place), weight)
@@ -212,7 +238,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
         out = []
         for k in range(0, len(some), 256):
             part = some[k : k + 256]
-            r, s, v = _subsequences(part)
+            r, s, v = _subsequences(part, alphabet)
             at = np.searchsorted(subs, s)
             at[at == len(subs)] = 0
             ok = subs[at] == s
@@ -220,7 +246,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
         return np.vstack(out)
 
     letters, every = "abcdefghijklmnopqrstuvwxyz", sorted({*clean, *toxic})
-    negative = [w for w in sorted(clean) if toxic[w] == 0 or clean[w] > 0]
+    negative = sorted(clean)
     hard: list[str] = [negative[i] for i in rng.permutation(len(negative))[:3000]]
     values = {w: gain.get(w, FLOOR) if lift.get(w, -9) > 1 else FLOOR for w in every}
     scorer = None
@@ -243,7 +269,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
         count = np.concatenate([np.log1p([witness[w] for w in positive]), np.ones(len(hard))])
         cost = np.where(label > 0, count * len(hard) / count[: len(positive)].sum(), 1.0) * 2.0
         w = _squared_hinge(x, label, cost)
-        scorer = Scorer(subs, project @ w[:-1], float(w[-1]), (0.0, 0.0, 0.0))
+        scorer = Scorer(subs, project @ w[:-1], float(w[-1]), (0.0,) * 5, alphabet)
         values = {}
         for k in range(0, len(every), 50_000):
             values |= dict(zip(every[k : k + 50_000], scorer.margins(every[k : k + 50_000]).tolist(), strict=True))
@@ -252,8 +278,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
     if scorer is None:
         return train([], landmarks)
     top = np.vstack([_strongest(values, [[names[i] for s in ss for i in s]]) for ss in sentences])
-    a, b, c = _logistic(top, y)
-    scorer.logistic = (float(a), float(b), float(c))
+    scorer.logistic = tuple(_logistic(_described(top), y).tolist())
     return scorer
 
 
@@ -262,13 +287,27 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = (1000, 2000)) -> list[tuple[str, int]]:
-    """At most ``each`` (toxic, clean) labelled texts that are not held out, the least by a hash of the id."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["doc_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = (1000, 2000), most_bytes: int = 24 << 20) -> list[tuple[str, int]]:
+    """At most ``each`` (toxic, clean) labelled texts that are not held out, ``most_bytes`` of them, the least by a hash of the id.
+
+    An id that is labelled both ways is toxic. Of rows that repeat an id the one whose text has the least hash is taken.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.col("doc_id")]
-    ids = known.filter("_toxic = 1").orderBy(*order).limit(each[0]).unionByName(known.filter("_toxic = 0").orderBy(*order).limit(each[1]))
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic").collect()
-    return [(r.text, r._toxic) for r in sorted(found, key=lambda r: (r.doc_id, r.text or ""))]
+    ids = known.filter("toxic = 1").orderBy(*order).limit(each[0]).unionByName(known.filter("toxic = 0").orderBy(*order).limit(each[1]))
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("hash", F.xxhash64("text"))
+    sizes = found.groupBy("doc_id").agg(F.min(F.struct("hash", F.octet_length("text").alias("size"), "toxic")).alias("x")).select("doc_id", "x.*", order[0].alias("place")).collect()  # at most a row an id
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        total += r.size or 0
+        if total > most_bytes:
+            break
+        chosen.append((r.doc_id, r.hash))
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("hash", T.LongType())]))
+    texts = found.join(F.broadcast(wanted), ["doc_id", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    return [(r.text, r.toxic) for r in sorted(texts, key=lambda r: r.doc_id)]
 
 
 def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
@@ -284,13 +323,14 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
                 new = list(set().union(*bags) - known.keys())
                 for k in range(0, len(new), 20_000):
                     known.update(zip(new[k : k + 20_000], np.maximum(shared.value.margins(new[k : k + 20_000]), FLOOR).tolist(), strict=True))
-                top = np.full((len(bags), 2), FLOOR)
+                top = np.full((len(bags), 3), FLOOR)
                 for i, bag in enumerate(bags):
+                    top[i, 2] = np.log1p(len(bag))
                     if bag:
                         v = np.fromiter(map(known.__getitem__, bag), float, len(bag))
                         j = int(v.argmax())
                         top[i, 0], v[j] = v[j], FLOOR
-                        top[i, 1] = v.max()
+                        top[i, 1] = max(v.max(), FLOOR)
                 scores.append(shared.value.score(top))
                 if len(known) > 300_000:
                     known.clear()
