@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _marks(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str]) -> DataFrame:
@@ -23,16 +25,51 @@ def _marks(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, avail
     return ask.unionByName(tell)
 
 
-def past_only_history(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7) -> DataFrame:
+def _carried(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int, width: int) -> DataFrame:
+    """The marks by key and stretch of ``width`` instants, each stretch with the ``n`` latest outcomes of all before it.
+
+    So a key with a third of all rows is dealt out by time. Within a stretch at most ``n`` outcomes
+    can matter later; only those are followed along a key, in one pass over sorted rows.
+    """
+    marks = _marks(df, keys, row, cutoff, at, available, target, ties).withColumn("_bucket", F.floor(F.col("_instant") / width))
+    names, latest = [*keys, "_bucket"], [F.col("_seen.t").desc(), *(F.col(f"_seen.{c}").desc_nulls_last() for c in ties)]
+    top = marks.filter("_asks = 0").withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*latest))).filter(F.col("_n") <= n).select(*names, "_seen", F.lit(1).alias("_later"))
+    asked = marks.filter("_asks = 1 and _bucket is not null").select(*names).distinct().select(*names, F.lit(None).cast(marks.schema["_seen"].dataType).alias("_seen"), F.lit(0).alias("_later"))
+    small = top.unionByName(asked).withColumn("_h", F.hash(F.struct(*keys)))
+    small = small.repartition(*keys).sortWithinPartitions("_h", *keys, "_bucket", "_later")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen = None, []
+        for batch in parts:
+            out = []
+            for x in batch.to_pylist():
+                now = [x[k] for k in keys]
+                if now != group:
+                    group, seen = now, []
+                if x["_later"]:
+                    s = x["_seen"]
+                    insort(seen, ((s["t"], *((s[c] is not None, s[c]) for c in ties), s["y"]), s["t"]), key=lambda v: v[0])
+                    del seen[:-n]
+                else:
+                    for order, _ in seen:
+                        out.append({**{k: x[k] for k in keys}, "_bucket": x["_bucket"], "_seen": {"t": order[0], **{c: v[1] for c, v in zip(ties, order[1:-1], strict=True)}, "y": order[-1]}})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field(c) for c in [*names, "_seen"]]))
+
+    border = small.mapInArrow(run, T.StructType([small.schema[c] for c in [*names, "_seen"]]))
+    border = border.select(*keys, F.lit(None).cast(df.schema[row].dataType).alias("_row"), (F.col("_bucket") * width).cast(marks.schema["_instant"].dataType).alias("_instant"), F.lit(-1).alias("_asks"), "_seen", "_bucket")
+    return marks.unionByName(border)
+
+
+def past_only_history(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7, width: int = 3600) -> DataFrame:
     """``lag_1`` and ``mean_n`` of the ``n`` latest outcomes that each row's cutoff may see.
 
-    Native window form: linear in rows but for groups, whose rows each hold the list of what came
-    before. For keys with more than some thousands of rows use ``past_only_history_streamed``.
+    Window form: a row holds the list of what came before it in its stretch of ``width`` instants, so
+    the cost is the square of a key's rows in one stretch; for dense keys use ``past_only_history_streamed``.
     Latest is by time, then ``ties``, nulls least recent. A null key is a group; a null cutoff sees
     nothing.
     """
-    marks = _marks(df, keys, row, cutoff, at, available, target, ties)
-    before = Window.partitionBy(*keys).orderBy("_instant").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = _carried(df, keys, row, cutoff, at, available, target, ties, n, width)
+    before = Window.partitionBy(*keys, "_bucket").orderBy("_instant").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = marks.withColumn("_list", F.collect_list("_seen").over(before)).filter("_asks = 1")
     last = F.when(F.col("_instant").isNotNull(), F.slice(F.sort_array("_list", asc=False), 1, n))
     rows = rows.withColumn("_last", last)
@@ -40,25 +77,24 @@ def past_only_history(df: DataFrame, keys: list[str], row: str, cutoff: str, at:
     return rows.select(F.col("_row").alias(row), F.when(F.size("_last") > 0, F.element_at("_last", 1)["y"]).alias("lag_1"), mean.alias(f"mean_{n}"))
 
 
-def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7) -> DataFrame:
-    """The same in one pass over rows sorted by key and instant: memory for ``n`` outcomes, whatever the group."""
-    marks = _marks(df, keys, row, cutoff, at, available, target, ties)
-    key = F.struct(*keys)
-    flat = marks.select(F.hash(key).alias("_h"), *keys, "_row", "_instant", "_asks", "_seen.t", *(F.col("_seen")[c].alias(f"_tie{i}") for i, c in enumerate(ties)), F.col("_seen")["y"].cast("double").alias("y"))
-    order = ["_h", *keys, "_instant", "_asks"]
-    dealt = flat.repartition(*keys).sortWithinPartitions(*order)
+def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7, width: int = 86_400) -> DataFrame:
+    """The same in one pass over each stretch's sorted rows: memory for ``n`` outcomes, whatever the group."""
+    marks = _carried(df, keys, row, cutoff, at, available, target, ties, n, width)
+    group = [*keys, "_bucket"]
+    flat = marks.select(F.hash(F.struct(*group)).alias("_h"), *group, "_row", "_instant", "_asks", "_seen.t", *(F.col("_seen")[c].alias(f"_tie{i}") for i, c in enumerate(ties)), F.col("_seen")["y"].cast("double").alias("y"))
+    dealt = flat.repartition(*group).sortWithinPartitions("_h", *group, "_instant", "_asks")
     kind = df.schema[row].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen = None, []
+        held, seen = None, []
         for batch in parts:
-            columns = [batch.column(c).to_pylist() for c in [*keys, "_row", "_instant", "_asks", "t", *(f"_tie{i}" for i in range(len(ties))), "y"]]
+            columns = [batch.column(c).to_pylist() for c in [*group, "_row", "_instant", "_asks", "t", *(f"_tie{i}" for i in range(len(ties))), "y"]]
             out: tuple[list, list, list] = ([], [], [])
             for values in zip(*columns, strict=True):
-                now, (asked, instant, asks, t, *tie, y) = values[: len(keys)], values[len(keys) :]
-                if now != group:
-                    group, seen = now, []
-                if not asks:
+                now, (asked, instant, asks, t, *tie, y) = values[: len(group)], values[len(group) :]
+                if now != held:
+                    held, seen = now, []
+                if asks < 1:
                     insort(seen, (t, *((x is not None, x) for x in tie), y))
                     del seen[:-n]
                     continue
@@ -71,6 +107,24 @@ def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff:
     return dealt.mapInArrow(run, f"{row} {kind}, lag_1 double, mean_{n} double")
 
 
+def running(marks: DataFrame, keys: list[str], instant: str, turn: str, values: dict[str, str], width: int = 86_400) -> DataFrame:
+    """``marks`` with each of ``values`` (column: "sum" or "max") over all rows of its key up to it, by instant, then ``turn``.
+
+    A key is dealt out by stretches of ``width`` instants; what came before a stretch is a running
+    value over its stretches' own, so no row is compared with another and no key is one task's.
+    """
+    one = {"sum": F.sum, "max": F.max}
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
+    x, group = marks.withColumn("_bucket", F.floor(F.col(instant) / width)), [*keys, "_bucket"]
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = x.groupBy(*group).agg(*(one[how](c).alias(f"_own_{c}") for c, how in values.items()))
+    carry = carry.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(group)), *(one[how](f"_own_{c}").over(before).alias(f"_before_{c}") for c, how in values.items()))
+    x = x.join(carry, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(group)])
+    inside = Window.partitionBy(*group).orderBy(instant, turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows of one instant and turn that tell something all come before those that ask, so their order is of no account
+    return x.select(*(both[how](one[how](c).over(inside), F.col(f"_before_{c}")).alias(c) if (how := values.get(c)) else F.col(c) for c in marks.columns))
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], instant: str, starts: str, ends: str, known: str | None = None) -> DataFrame:
     """Left join to every interval of the same key that contains the instant and was known by then."""
     a, b = left.alias("_a"), right.alias("_b")
@@ -104,7 +158,41 @@ def version_at(versions: DataFrame, queries: DataFrame, key: str, instant: str,
 
 
 def value_as_of(revisions: DataFrame, queries: DataFrame, key: str, instant: str, available: str, value: str, revision: str, row: str) -> DataFrame:
-    """The value of the latest revision published by each query's instant; null if none was."""
-    hit = (F.col(f"_q.{key}") == F.col(f"_r.{key}")) & (F.col(f"_r.{available}") <= F.col(f"_q.{instant}"))
-    joined = queries.alias("_q").join(revisions.alias("_r"), hit, "left")
-    return joined.groupBy(F.col(f"_q.{row}").alias(row)).agg(F.max_by(f"_r.{value}", f"_r.{revision}").alias(value))
+    """The value of the latest revision published by each query's instant; null if none was, or for a null key."""
+    told = F.struct(F.col(revision).alias("r"), F.col(value).alias("v"))
+    kind = revisions.select(told.alias("x")).schema["x"].dataType
+    tell = revisions.filter(F.col(key).isNotNull() & F.col(available).isNotNull()).select(F.col(key).alias("_key"), F.col(available).alias("_instant"), F.lit(0).alias("_turn"), told.alias("_told"), F.lit(None).cast(queries.schema[row].dataType).alias(row))
+    ask = queries.select(F.col(key).alias("_key"), F.col(instant).alias("_instant"), F.lit(1).alias("_turn"), F.lit(None).cast(kind).alias("_told"), row)
+    return running(tell.unionByName(ask), ["_key"], "_instant", "_turn", {"_told": "max"}).filter("_turn = 1").select(row, F.when(F.col("_key").isNotNull() & F.col("_instant").isNotNull(), F.col("_told.v")).alias(value))
+
+
+def late_promotion(rows: DataFrame, key: str, row: str, at: str, available: str) -> DataFrame:
+    """``pending`` and ``promoted``: earlier rows of the key that at each row's instant are not yet, or already, published. Rows that have none are left out."""
+    none = F.lit(0).cast("long")
+    base = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    ask = base.select(key, F.col(at).alias("_instant"), F.lit(1).alias("_turn"), none.alias("_all"), none.alias("_known"), none.alias("promoted"), row)
+    blank = F.lit(None).cast(rows.schema[row].dataType).alias(row)
+    came = base.select(key, (F.col(at) + 1).alias("_instant"), F.lit(0).alias("_turn"), F.lit(1).cast("long").alias("_all"), F.col(available).isNotNull().cast("long").alias("_known"), none.alias("promoted"), blank)
+    told = base.filter(F.col(available).isNotNull()).select(key, F.greatest(F.col(at) + 1, F.col(available)).alias("_instant"), F.lit(0).alias("_turn"), none.alias("_all"), none.alias("_known"), F.lit(1).cast("long").alias("promoted"), blank)
+    x = running(ask.unionByName(came).unionByName(told), [key], "_instant", "_turn", {"_all": "sum", "_known": "sum", "promoted": "sum"})
+    return x.filter("_turn = 1 and _all > 0").select(row, (F.col("_known") - F.col("promoted")).alias("pending"), "promoted")
+
+
+def overlap_counts(rows: DataFrame, key: str, own: str, starts: str, ends: str, slack: int, width: int = 86_400) -> DataFrame:
+    """How many intervals of the same key, but of another ``own``, come within ``slack`` of each ``own``'s; those that have any.
+
+    Of all intervals of the key as many overlap one as start before its end, less those that ended
+    before its start: two running counts. Only intervals of one ``own`` are held against each other.
+    """
+    base = rows.filter(F.col(key).isNotNull() & (F.col(ends) > F.col(starts))).select(key, own, F.col(starts).alias("_s"), F.col(ends).alias("_e"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    blank = F.lit(None).cast(rows.schema[own].dataType).alias(own)
+    tells = [base.select(key, blank, (F.col("_s") + 1).alias("_instant"), F.lit(0).alias("_turn"), one.alias("_begun"), none.alias("_over"), none.alias("_sign")), base.select(key, blank, (F.col("_e") + slack).alias("_instant"), F.lit(0).alias("_turn"), none.alias("_begun"), one.alias("_over"), none.alias("_sign"))]
+    asks = [base.select(key, own, (F.col("_e") + slack).alias("_instant"), F.lit(1).alias("_turn"), none.alias("_begun"), none.alias("_over"), one.alias("_sign")), base.select(key, own, F.col("_s").alias("_instant"), F.lit(1).alias("_turn"), none.alias("_begun"), none.alias("_over"), (-one).alias("_sign"))]
+    marks = reduce(DataFrame.unionByName, [*tells, *asks])
+    x = running(marks, [key], "_instant", "_turn", {"_begun": "sum", "_over": "sum"}, width).filter("_turn = 1")
+    near = x.groupBy(own).agg(F.sum(F.when(F.col("_sign") > 0, F.col("_begun")).otherwise(-F.col("_over"))).alias("_n"))
+    a, b = base.alias("_a"), base.alias("_b")
+    same = a.join(b, (F.col(f"_a.{key}") == F.col(f"_b.{key}")) & (F.col(f"_a.{own}") == F.col(f"_b.{own}")) & (F.col("_a._s") < F.col("_b._e") + slack) & (F.col("_b._s") < F.col("_a._e") + slack))
+    same = same.groupBy(F.col(f"_a.{own}").alias(own)).agg(F.count("*").alias("_same"))
+    return near.join(same, own).select(own, (F.col("_n") - F.col("_same")).alias("clashes")).filter("clashes > 0")

@@ -64,21 +64,44 @@ def ranked_sample(df: DataFrame, by: list[str], quota, ids: list[str], seed: str
     return df.withColumn("sample_rank", F.row_number().over(order)).filter(F.col("sample_rank") <= quota)
 
 
-def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int, tie: str, buckets: int = 4096) -> DataFrame:
-    """Whole quotas that add up to ``seats``: floors, then one each to the largest remainders.
+def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int, tie: str, buckets: int = 4096, minimum: int = 0) -> DataFrame:
+    """Whole quotas of groups with ``weight`` rows each: ``minimum`` for every group that has so many, the rest by largest remainder.
 
-    Remainders are ranked by bucket: how many lie in higher buckets is a sum of ``buckets`` counts, so
-    no task sorts more than one bucket of a group.
+    No more seats are given than there are rows, and none to a group beyond its own. Remainders are
+    ranked by bucket: how many lie in higher buckets is a sum of ``buckets`` counts, so no task sorts
+    more than one bucket of a group.
     """
     name = by or ["_all"]
     x = df if by else df.withColumn("_all", F.lit(0))
-    totals = x.groupBy(*name).agg(F.sum(weight).alias("_total"))
-    share = F.col(weight) * seats / F.col("_total")
+    x = x.withColumn("_base", F.least(F.col(weight), F.lit(minimum)).cast("long"))
+    totals = x.groupBy(*name).agg(F.sum(weight).alias("_total"), F.sum("_base").alias("_given"))
+    totals = totals.withColumn("_free", F.greatest(F.lit(0), F.least(F.col("_total"), F.lit(seats)) - F.col("_given")))
+    share = F.when(F.col("_total") > F.col("_given"), (F.col(weight) - F.col("_base")).cast("double") * F.col("_free") / (F.col("_total") - F.col("_given"))).otherwise(0.0)
     x = x.join(F.broadcast(totals) if not by else totals, name).withColumn("_share", share).withColumn("_floor", F.floor("_share")).withColumn("_rest", F.col("_share") - F.col("_floor")).withColumn("_bucket", F.floor(F.col("_rest") * buckets))
-    counts = x.groupBy(*name, "_bucket").agg(F.count("*").alias("_n"), F.sum("_floor").alias("_sum"))
+    counts = x.groupBy(*name, "_bucket").agg(F.count("*").alias("_n"), F.sum("_floor").alias("_sum"), F.first("_free").alias("_seats"))
     whole = Window.partitionBy(*name)
     above = F.coalesce(F.sum("_n").over(whole.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_spare", F.lit(seats) - F.sum("_sum").over(whole) - above).select(*name, "_bucket", "_spare")
+    counts = counts.withColumn("_spare", F.col("_seats") - F.sum("_sum").over(whole) - above).select(*name, "_bucket", "_spare")
     inside = Window.partitionBy(*name, "_bucket").orderBy(F.desc("_rest"), tie)
-    x = x.join(counts, [*name, "_bucket"]).withColumn("quota", F.col("_floor") + (F.row_number().over(inside) <= F.col("_spare")).cast("long"))
+    more = (F.row_number().over(inside) <= F.col("_spare")) & (F.col("_base") + F.col("_floor") < F.col(weight))
+    x = x.join(counts, [*name, "_bucket"]).withColumn("quota", F.col("_base") + F.col("_floor") + more.cast("long"))
     return x.select(*df.columns, "quota")
+
+
+def repaired_quotas(groups: dict[str, int], budget: int) -> dict[str, int]:
+    """Proportional quotas of a few groups (splits, labels): rounded shares of at least one, then moved to the budget.
+
+    While too many are given, the largest loses one (the later name of equal ones); while too few, the
+    group with most rows left gains one, the first of equal ones in the order given.
+    """
+    have = sum(groups.values())
+    budget = min(budget, have)
+    out = {g: max(1, round(budget * n / have)) for g, n in groups.items()} if have else {}
+    while sum(out.values()) > budget:
+        most = max(out, key=lambda g: (out[g], g))
+        if out[most] <= 1:
+            raise ValueError("a budget below one row a group")
+        out[most] -= 1
+    while sum(out.values()) < budget:
+        out[max(groups, key=lambda g: groups[g] - out[g])] += 1
+    return out

@@ -165,22 +165,31 @@ def stratified_sample(r: Roles) -> DataFrame:
     return windows.ranked_sample(r.trips, ["status"], 40, ["trip_id"], "7").select("status", "trip_id")
 
 
-QUOTA = "WITH g AS (SELECT {k} AS k, count(*) AS n FROM spine GROUP BY {k}), s AS (SELECT k, n, n * {m}::BIGINT::DOUBLE / sum(n) OVER () AS share FROM g), f AS (SELECT *, greatest(floor(share), 0) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, k) AS r FROM s) SELECT k, n, CAST(base + CASE WHEN r <= {m} - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f"
-
-
-@query("o04_largest_remainder", QUOTA.format(k="route_id", m=1000))
+@query("o04_largest_remainder", """WITH g AS (SELECT route_id AS k, count(*) AS n FROM spine GROUP BY route_id), b AS (SELECT *, least(n, 20) AS base, least(1000, sum(n) OVER ()) - sum(least(n, 20)) OVER () AS free, sum(n) OVER () - sum(least(n, 20)) OVER () AS left_n FROM g),
+s AS (SELECT *, CASE WHEN left_n > 0 AND free > 0 THEN (n - base)::DOUBLE * free / left_n ELSE 0 END AS share FROM b), f AS (SELECT *, floor(share) AS whole, row_number() OVER (ORDER BY share - floor(share) DESC, k) AS r FROM s)
+SELECT k, n, CAST(base + whole + CASE WHEN base + whole < n AND r <= greatest(free, 0) - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f""")
 def largest_remainder(r: Roles) -> DataFrame:
-    return windows.largest_remainder(r.spine.groupBy(F.col("route_id").alias("k")).agg(F.count("*").alias("n")), [], "n", 1000, "k")
+    """A thousand rows by route, at least twenty of each route that has them."""
+    return windows.largest_remainder(r.spine.groupBy(F.col("route_id").alias("k")).agg(F.count("*").alias("n")), [], "n", 1000, "k", minimum=20)
 
 
-@query("o05_proportional_quota", QUOTA.format(k="direction", m=777))
+@query("o05_proportional_quota", """WITH g AS (SELECT direction AS k, count(*) AS n FROM spine GROUP BY direction), q AS (SELECT *, greatest(1, round_even(777 * n / sum(n) OVER (), 0))::BIGINT AS q FROM g),
+d AS (SELECT *, sum(q) OVER () - 777 AS over, row_number() OVER (ORDER BY q DESC, k DESC) AS largest, row_number() OVER (ORDER BY n - q DESC, k) AS roomiest FROM q)
+SELECT k, n, CAST(q - CASE WHEN over > 0 AND largest = 1 THEN over WHEN over < 0 AND roomiest <= 1 THEN over ELSE 0 END AS BIGINT) AS quota FROM d""")
 def proportional_quota(r: Roles) -> DataFrame:
-    return windows.largest_remainder(r.spine.groupBy(F.col("direction").alias("k")).agg(F.count("*").alias("n")), [], "n", 777, "k")
+    """Quotas of the three directions, repaired to the budget; the driver sees three counts."""
+    counts = {x.k: x.n for x in r.spine.groupBy(F.col("direction").alias("k")).agg(F.count("*").alias("n")).orderBy("k").limit(1001).collect()}
+    if len(counts) > 1000:
+        raise ValueError("quotas are repaired for up to 1,000 groups; use largest_remainder")
+    return r.spark.createDataFrame([(k, counts[k], q) for k, q in windows.repaired_quotas(counts, 777).items()], "k string, n long, quota long")
 
 
 @query("o06_existence_probe", "SELECT EXISTS (SELECT 1 FROM spine WHERE actual_s < scheduled_s) AS any_early, EXISTS (SELECT 1 FROM spine WHERE boardings < 0) AS any_negative")
 def existence_probe(r: Roles) -> DataFrame:
-    return r.spine.agg(F.bool_or(F.col("actual_s") < F.col("scheduled_s")).alias("any_early"), F.bool_or(F.col("boardings") < 0).alias("any_negative"))
+    """Each probe reads one partition, then more while none has a hit."""
+    visits = r.table("lineitem").filter("l_quantity < 0")  # a negative sum needs a negative part
+    found = (not r.spine.filter("actual_s < scheduled_s").select("trip_id").isEmpty(), not visits.select("l_orderkey").isEmpty() and not r.spine.filter("boardings < 0").select("trip_id").isEmpty())
+    return r.spark.createDataFrame([found], "any_early boolean, any_negative boolean")
 
 
 portable("o07_latest_result", "SELECT trip_id, scheduled_s FROM trips WHERE route_id = 3 ORDER BY scheduled_s DESC, trip_id DESC LIMIT 1")

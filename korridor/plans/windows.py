@@ -122,11 +122,18 @@ def value_as_of(r: Roles) -> DataFrame:
     return asof.value_as_of(rev, q, "route_id", "at_s", "available_s", "target", "revision", "row_id").select("row_id", F.round("target", 6).alias("target"))
 
 
-portable("t01_late_promotion", "SELECT q.row_id, CAST(sum(CASE WHEN o.available_s > q.at_s THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN o.available_s <= q.at_s THEN 1 ELSE 0 END) AS BIGINT) AS promoted FROM observations q JOIN observations o ON o.route_id = q.route_id AND o.at_s < q.at_s GROUP BY q.row_id")
+@query("t01_late_promotion", "SELECT q.row_id, CAST(sum(CASE WHEN o.available_s > q.at_s THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN o.available_s <= q.at_s THEN 1 ELSE 0 END) AS BIGINT) AS promoted FROM observations q JOIN observations o ON o.route_id = q.route_id AND o.at_s < q.at_s GROUP BY q.row_id")
+def late_promotion(r: Roles) -> DataFrame:
+    return asof.late_promotion(r.observations, "route_id", "row_id", "at_s", "available_s")
+
+
 portable("t03_continuity_with_gaps", "SELECT trip_id, seq, CASE WHEN seq - before > 1 THEN 'FORGIVEN' WHEN before IS NULL THEN 'START' WHEN boardings >= carried THEN 'CONTINUOUS' ELSE 'BROKEN' END AS state FROM (SELECT trip_id, seq, boardings, lag(seq) OVER (PARTITION BY trip_id ORDER BY seq) AS before, lag(alightings) OVER (PARTITION BY trip_id ORDER BY seq) AS carried FROM visits) q")
 portable("t04_inversions", "SELECT trip_id, CAST(max(seq) AS BIGINT) AS last_seq, CAST(sum(CASE WHEN actual_s < before THEN 1 ELSE 0 END) AS BIGINT) AS inversions FROM (SELECT trip_id, seq, actual_s, lag(actual_s) OVER (PARTITION BY trip_id ORDER BY seq) AS before FROM visits) q GROUP BY trip_id")
 portable("t05_horizon_purge", "SELECT trip_id, CASE WHEN service_date < DATE '1999-01-01' AND scheduled_s + 604800 >= 915148800 THEN true WHEN service_date >= DATE '1999-01-01' AND service_date < DATE '2000-01-01' AND scheduled_s + 604800 >= 946684800 THEN true ELSE false END AS purged FROM trips")
-portable("j24_buffered_overlap", "SELECT a.trip_id, count(*) AS clashes FROM spine a JOIN spine b ON a.vehicle_id = b.vehicle_id AND a.scheduled_s < b.actual_s + 3600 AND b.scheduled_s < a.actual_s + 3600 AND a.trip_id <> b.trip_id WHERE a.actual_s > a.scheduled_s AND b.actual_s > b.scheduled_s GROUP BY a.trip_id")
+
+@query("j24_buffered_overlap", "SELECT a.trip_id, count(*) AS clashes FROM spine a JOIN spine b ON a.vehicle_id = b.vehicle_id AND a.scheduled_s < b.actual_s + 3600 AND b.scheduled_s < a.actual_s + 3600 AND a.trip_id <> b.trip_id WHERE a.actual_s > a.scheduled_s AND b.actual_s > b.scheduled_s GROUP BY a.trip_id")
+def buffered_overlap(r: Roles) -> DataFrame:
+    return asof.overlap_counts(r.spine, "vehicle_id", "trip_id", "scheduled_s", "actual_s", 3600, 86_400 * 30)
 
 
 @query("j25_least_context", """SELECT o.row_id, min(c.context_id) AS context_id FROM observations o LEFT JOIN contexts c ON o.at_s BETWEEN c.starts_s AND c.ends_s AND (c.route_id = o.route_id OR c.stop_id = o.row_id) GROUP BY o.row_id""")

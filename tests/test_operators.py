@@ -32,6 +32,33 @@ def test_past_only_history(spark, form):
     assert got == {h[0]: (h[6], h[7]) for h in HISTORY}
 
 
+@pytest.mark.parametrize("width", [5])
+def test_stretches_change_nothing(spark, width):
+    import random
+
+    r = random.Random(width)
+    rows = [(i, r.choice([1, 1, 1, 2, None]), r.choice([None, *range(30)]), r.choice([None, 1.0, 2.0, float(i)]), r.choice([None, *range(40)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id long, k long, at long, y double, available long").repartition(4)
+
+    def expect(i, k, at):
+        seen = sorted(((a, j, y) for j, g, a, y, p in rows if at is not None and g == k and None not in (a, y, p) and a < at and p <= at), reverse=True)[:7]
+        return (seen[0][2], round(sum(x[2] for x in seen) / len(seen), 9)) if seen else (None, None)
+
+    want = {i: expect(i, k, at) for i, k, at, _, _ in rows}
+    for form in (asof.past_only_history, asof.past_only_history_streamed):
+        got = {x.row_id: (x.lag_1, None if x.mean_7 is None else round(x.mean_7, 9)) for x in form(df, ["k"], "row_id", "at", "at", "available", "y", ["row_id"], width=width).collect()}
+        assert got == want
+    late = {x.row_id: (x.pending, x.promoted) for x in asof.late_promotion(df, "k", "row_id", "at", "available").collect()}
+    for i, k, at, _, _ in rows:
+        before = [p for _, g, a, _, p in rows if None not in (k, at, a) and g == k and a < at]
+        assert late.get(i) == ((sum(p is not None and p > at for p in before), sum(p is not None and p <= at for p in before)) if before else None)
+    spans = [(i, i % 40, r.choice([1, 1, 2, None]), s := r.randint(0, 60), s + r.randint(-1, 9)) for i in range(120)]
+    got = {x.trip: x.clashes for x in asof.overlap_counts(spark.createDataFrame(spans, "i long, trip long, v long, s long, e long"), "v", "trip", "s", "e", 3, width).collect()}
+    clash = lambda a, b: a[2] is not None and a[2] == b[2] and a[1] != b[1] and a[4] > a[3] and b[4] > b[3] and a[3] < b[4] + 3 and b[3] < a[4] + 3
+    want = {t: n for t in range(40) if (n := sum(clash(a, b) for a in spans if a[1] == t for b in spans))}
+    assert got == want
+
+
 def test_interval_join_includes_both_ends(spark):
     trips = spark.createDataFrame([("T1", "R1", 480), ("T2", "R1", 540), ("T3", "R9", 570)], "trip string, route string, start int")
     events = spark.createDataFrame([("E1", "R1", 420, 600, 0), ("E2", "R1", 480, 540, 480), ("E3", "R1", 360, 600, 481)], "event string, route string, starts int, ends int, known int")
@@ -67,7 +94,12 @@ def test_windows(spark):
     h = windows.headway(spark.createDataFrame([("a", 0, 0), ("a", 600, 500)], "r string, act int, sch int"), ["r"], "act", "sch", ["act"]).orderBy("act").collect()
     assert [(x.headway_s, x.headway_deviation_s) for x in h] == [(None, None), (600, 100)]
     q = windows.largest_remainder(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "k string, n int"), [], "n", 10, "k").orderBy("k")
-    assert [r.quota for r in q.collect()] == [4, 3, 3]
+    assert [r.quota for r in q.collect()] == [1, 1, 1]  # no group gets more than it has
+    quota = lambda rows, seats, least: [r.quota for r in windows.largest_remainder(spark.createDataFrame(rows, "k string, n int"), [], "n", seats, "k", minimum=least).orderBy("k").collect()]
+    assert quota([("a", 2), ("b", 3)], 100, 0) == [2, 3] and quota([("a", 10), ("b", 10), ("c", 10)], 10, 0) == [4, 3, 3]
+    assert quota([("a", 1), ("b", 99), ("c", 900)], 10, 1) == [1, 2, 7] and quota([("a", 0), ("b", 5)], 3, 1) == [0, 3]
+    assert windows.repaired_quotas({"train": 1, "validation": 1, "test": 998}, 10) == {"train": 1, "validation": 1, "test": 8}
+    assert windows.repaired_quotas({"a": 5, "b": 5, "c": 5}, 7) == {"a": 3, "b": 2, "c": 2} and windows.repaired_quotas({"a": 1, "b": 1}, 9) == {"a": 1, "b": 1}
     i = windows.islands(spark.createDataFrame([("T", s, s in (2, 3, 6)) for s in range(1, 7)], "t string, seq int, f boolean"), ["t"], "seq", F.col("f"))
     assert sorted((r.first_seq, r.last_seq, r.stops_n) for r in i.collect()) == [(2, 3, 2), (6, 6, 1)]
 
