@@ -57,6 +57,38 @@ def comparison(left: DataFrame, right: DataFrame, key: str, value: str) -> DataF
     )
 
 
+MINIMUM_CASES = 100  #: shared cases below which engines are not compared
+
+
+def aligned_cases(left: DataFrame, right: DataFrame, key: str, shift_s: int = 0) -> DataFrame:
+    """Each shared case of two engines (key, at_s, actual, prediction): whether truth, time and prediction match, and why not.
+
+    ``shift_s`` is taken off the right engine's instants before they are compared; nothing stored changes.
+    """
+    a, b = left.select(key, *(F.col(c).alias(f"_a_{c}") for c in ("at_s", "actual", "prediction"))), right.select(key, *(F.col(c).alias(f"_b_{c}") for c in ("at_s", "actual", "prediction")))
+    x = a.join(b, key).select(key, F.col("_a_actual").eqNullSafe(F.col("_b_actual")).alias("truth_match"), F.col("_a_at_s").eqNullSafe(F.col("_b_at_s") - shift_s).alias("time_match"), F.col("_a_prediction").eqNullSafe(F.col("_b_prediction")).alias("prediction_match"), (F.col("_b_prediction") - F.col("_a_prediction")).alias("delta"))
+    why = F.when(~F.col("truth_match"), "TRUTH_DIFFERS").when(~F.col("time_match"), "TIME_DIFFERS").when(F.col("prediction_match"), "AGREES").otherwise("MODELS_DIFFER")
+    return x.withColumn("explanation", why)
+
+
+def certified_comparison(left: DataFrame, right: DataFrame, key: str, policy: str, shift_s: int = 0, minimum: int = MINIMUM_CASES) -> DataFrame:
+    """One row: READY with agreement and deltas, or NOT_READY if truth or time differ anywhere or too few cases are shared."""
+    if minimum < MINIMUM_CASES:
+        raise ValueError(f"at least {MINIMUM_CASES} cases")
+    x = aligned_cases(left, right, key, shift_s).agg(F.count("*").alias("shared"), F.count_if(~(F.col("truth_match") & F.col("time_match"))).alias("misaligned"), F.count_if("prediction_match").alias("matches"), F.avg(F.abs("delta")).alias("mean"), F.max(F.abs("delta")).alias("most"))
+    ready = (F.col("shared") >= minimum) & (F.col("misaligned") == 0)
+    only = lambda c: F.when(ready, c)
+    return x.select(F.lit(policy).alias("policy"), F.when(ready, "READY").otherwise("NOT_READY").alias("status"), "shared", "misaligned", only(F.col("matches")).alias("matches"), only(F.col("shared") - F.col("matches")).alias("mismatches"), only(F.round(F.col("matches") / F.col("shared"), 6)).alias("agreement"), only(F.round("mean", 6)).alias("mean_delta"), only(F.round("most", 6)).alias("max_delta"))
+
+
+def class_report(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
+    """label, support, precision, recall, f1 of each declared label in one pass; 0 where one divides by zero."""
+    cells = [F.struct(F.lit(k).alias("label"), F.count_if((F.col(actual) == k) & (F.col(predicted) == k)).alias("hit"), F.count_if(F.col(actual) == k).alias("support"), F.count_if(F.col(predicted) == k).alias("called")) for k in labels]
+    x = df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(0.0)
+    return x.select("label", "support", share(F.col("hit"), F.col("called")).alias("precision"), share(F.col("hit"), F.col("support")).alias("recall"), share(2.0 * F.col("hit"), F.col("called") + F.col("support")).alias("f1"))
+
+
 def silhouette(sample: DataFrame, row: str, cluster: str, features: list[str], digits: int | None = 6) -> DataFrame:
     """Mean Euclidean silhouette of a bounded sample (each row against each, so a few hundred rows)."""
     a, b = sample.alias("a"), F.broadcast(sample).alias("b")

@@ -12,12 +12,16 @@ from korridor.functions import scalars
 from korridor.operators import transit
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
-from korridor.sources import files
+from korridor.sources import files, handoff
 
 
 def scratch(r: Roles) -> str:
     """A fresh folder under the one that all executors share."""
-    root = r.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="korridor-")
+    root = r.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not r.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="korridor-")
     return f"{root}/delivery-{uuid.uuid4().hex}"
 
 
@@ -153,16 +157,69 @@ def run_path(r: Roles) -> DataFrame:
     return r.spark.createDataFrame([(files.run_path("x", "a", "b-1", "c.2"),)], "path string")
 
 
-@query("k06_handoff", "SELECT split, count(*) AS n, min(service_date) AS first_day FROM (SELECT service_date, CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' WHEN service_date < DATE '2002-01-01' THEN 'test' END AS split FROM trips) q GROUP BY split")
-def handoff(r: Roles) -> DataFrame:
-    """JSON lines by split and a manifest of what each holds."""
-    path = scratch(r)
-    x = r.trips.select("trip_id", "service_date", transit.splits("service_date", "1999-01-01", "2000-01-01", "2002-01-01").alias("split"))
-    x.write.partitionBy("split").json(path)
-    return r.spark.read.schema("trip_id long, service_date date, split string").json(path).groupBy("split").agg(F.count("*").alias("n"), F.min("service_date").alias("first_day"))
+CASES = """SELECT trip_id * 10 + seq AS case_id, CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' WHEN service_date < DATE '2002-01-01' THEN 'test' END AS split, scheduled_s AS feature_cutoff_s, scheduled_s - 86400 AS value_available_s, scheduled_s AS target_s, actual_s AS target_available_s, CAST(boardings > 25 AS INTEGER) AS target, seq AS stop_sequence FROM spine WHERE actual_s >= scheduled_s"""
+
+
+def cases(r: Roles) -> DataFrame:
+    """Cases of a task by split, as a handoff has them."""
+    return r.spine.filter("actual_s >= scheduled_s").select(
+        (F.col("trip_id") * 10 + F.col("seq")).alias("case_id"), transit.splits("service_date", "1999-01-01", "2000-01-01", "2002-01-01").alias("split"), F.col("scheduled_s").alias("feature_cutoff_s"), (F.col("scheduled_s") - 86_400).alias("value_available_s"),
+        F.col("scheduled_s").alias("target_s"), F.col("actual_s").alias("target_available_s"), (F.col("boardings") > 25).cast("int").alias("target"), F.col("seq").alias("stop_sequence"),
+    )
+
 
+_LINE = """'{"case_id":' || case_id || ',"feature_cutoff_s":' || feature_cutoff_s || ',"stop_sequence":' || stop_sequence || ',"target":' || target || ',"target_available_s":' || target_available_s || ',"target_s":' || target_s || ',"value_available_s":' || value_available_s || '}'"""
 
-portable("k07_task_parquet", "SELECT route_id, direction, count(*) AS n FROM spine GROUP BY route_id, direction")
+
+@query("k06_handoff", f"SELECT split, count(*) AS n, sum(target) AS positive, CAST(sum(('0x' || substr(sha256({_LINE}), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM ({CASES}) c GROUP BY split")
+def handoff_files(r: Roles) -> DataFrame:
+    """All cases as certified JSON lines by split, read back once certificate and digests are verified."""
+    path = scratch(r)
+    manifest = handoff.write_handoff(cases(r), path, "crowding", ["stop_sequence"], {"source": "spine"})
+    digests = r.spark.createDataFrame([(s, p["digest"]) for s, p in manifest["partitions"].items()], "split string, digest string")
+    back = handoff.read_handoff(r.spark, path).groupBy("split").agg(F.count("*").alias("n"), F.sum("target").cast("long").alias("positive"))
+    return back.join(F.broadcast(digests), "split")  # a row a split
+
+
+@query("k06_tampered_handoff", "SELECT 'rows' AS changed, true AS refused UNION ALL SELECT 'manifest', true UNION ALL SELECT 'nothing', false UNION ALL SELECT 'early target', true UNION ALL SELECT 'again', true")
+def tampered_handoff(r: Roles) -> DataFrame:
+    """What is no longer as certified is not read; what breaks the contract is not written; nothing is overwritten."""
+    rows, out = cases(r), []
+
+    def refused(work) -> bool:
+        try:
+            work()
+        except (ValueError, FileExistsError):
+            return True
+        return False
+
+    for changed in ("nothing", "rows", "manifest"):
+        path = scratch(r)
+        handoff.write_handoff(rows, path, "crowding", ["stop_sequence"])
+        if changed == "rows":
+            r.spark.createDataFrame([("{}", "test")], "line string, split string").write.mode("append").partitionBy("split").text(f"{path}/rows")
+        elif changed == "manifest":
+            fs = r.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
+            fs.getFileSystem(r.spark.sparkContext._jsc.hadoopConfiguration()).delete(fs, False)
+            handoff._put(r.spark, f"{path}/manifest.json", '{"task": "other", "partitions": {}}')
+        out.append((changed, refused(lambda path=path: handoff.read_handoff(r.spark, path))))
+    out.append(("early target", refused(lambda: handoff.write_handoff(rows.withColumn("target_available_s", F.col("feature_cutoff_s") - 1), scratch(r), "crowding", ["stop_sequence"]))))
+    out.append(("again", refused(lambda: handoff.write_handoff(rows, path, "crowding", ["stop_sequence"]))))
+    return r.spark.createDataFrame(out, "changed string, refused boolean")
+
+
+@query("k07_task_parquet", """SELECT 'delay' AS task, split, count(*) AS n FROM (SELECT CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END AS split FROM spine) d GROUP BY split
+UNION ALL SELECT 'demand', split, count(*) FROM (SELECT CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END AS split FROM trips) t GROUP BY split
+UNION ALL SELECT 'clustering', NULL, count(DISTINCT route_id) FROM spine""")
+def task_parquet(r: Roles) -> DataFrame:
+    """Parquet by task and split, counted as read back; clusters are not split."""
+    path = scratch(r)
+    split = F.coalesce(transit.splits("service_date", "1999-01-01", "2000-01-01", "2001-01-01"), F.lit("test"))
+    frames = {"delay": r.spine.select("trip_id", "seq", "service_date"), "demand": r.trips.select("trip_id", "service_date"), "clustering": r.spine.groupBy("route_id").agg(F.avg("boardings").alias("load"))}
+    handoff.write_tasks(frames, set(frames), path, split, {"clustering"})
+    parts = [r.spark.read.parquet(f"{path}/task={t}").groupBy("split").agg(F.count("*").alias("n")).select(F.lit(t).alias("task"), "split", "n") for t in ("delay", "demand")]
+    whole = r.spark.read.parquet(f"{path}/task=clustering").agg(F.count("*").alias("n")).select(F.lit("clustering").alias("task"), F.lit(None).cast("string").alias("split"), "n")
+    return parts[0].unionByName(parts[1]).unionByName(whole)
 
 
 @query("k08_evidence_append", "SELECT 3 AS records")

@@ -159,4 +159,28 @@ def engine_comparison(r: Roles) -> DataFrame:
     return metrics.comparison(s.select("case_id", F.col("y").alias("v")), s.select("case_id", F.col("z").alias("v")), "case_id", "v")
 
 
-portable("c02_comparison_cases", f"SELECT case_id, y = z AS same, CASE WHEN y = z THEN 'EQUAL' WHEN abs(y - z) <= 1 THEN 'ROUNDING' ELSE 'DIFFERENT' END AS reason FROM ({SCORED}) s")
+ENGINES = f"a AS (SELECT s.case_id, t.scheduled_s AS at_s, s.actual, CAST(s.y >= 25 AS INTEGER) AS prediction FROM ({SCORED}) s JOIN trips t ON t.trip_id = s.case_id // 10), b AS (SELECT s.case_id, t.scheduled_s + 18000 AS at_s, s.actual, CAST(s.z >= 25 AS INTEGER) AS prediction FROM ({SCORED}) s JOIN trips t ON t.trip_id = s.case_id // 10)"
+
+
+def engines(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """The same cases as two engines predict them; the second keeps local time, five hours ahead."""
+    t = r.trips.select("trip_id", F.col("scheduled_s").alias("at_s"))
+    s = scored(r).withColumn("trip_id", F.expr("case_id div 10")).join(t, "trip_id")
+    return s.select("case_id", "at_s", "actual", (F.col("y") >= 25).cast("int").alias("prediction")), s.select("case_id", (F.col("at_s") + 18_000).alias("at_s"), "actual", (F.col("z") >= 25).cast("int").alias("prediction"))
+
+
+@query("c01_comparison_policies", f"""WITH {ENGINES}, x AS (SELECT p.policy, count(*) AS shared, count(*) FILTER (a.actual IS DISTINCT FROM b.actual OR a.at_s IS DISTINCT FROM b.at_s - p.shift) AS misaligned, count(*) FILTER (a.prediction = b.prediction) AS matches, avg(abs(b.prediction - a.prediction)) AS mean, max(abs(b.prediction - a.prediction)) AS most FROM a JOIN b ON a.case_id = b.case_id CROSS JOIN (VALUES ('strict', 0), ('normalised', 18000)) p(policy, shift) GROUP BY p.policy)
+SELECT policy, CASE WHEN shared >= 100 AND misaligned = 0 THEN 'READY' ELSE 'NOT_READY' END AS status, shared, misaligned, CASE WHEN shared >= 100 AND misaligned = 0 THEN matches END AS matches, CASE WHEN shared >= 100 AND misaligned = 0 THEN shared - matches END AS mismatches, CASE WHEN shared >= 100 AND misaligned = 0 THEN round(matches / shared, 6) END AS agreement, CASE WHEN shared >= 100 AND misaligned = 0 THEN round(mean, 6) END AS mean_delta, CASE WHEN shared >= 100 AND misaligned = 0 THEN most END AS max_delta FROM x""")
+def comparison_policies(r: Roles) -> DataFrame:
+    one, other = engines(r)
+    return metrics.certified_comparison(one, other, "case_id", "strict").unionByName(metrics.certified_comparison(one, other, "case_id", "normalised", 18_000))
+
+
+@query("c02_comparison_cases", f"WITH {ENGINES} SELECT a.case_id, a.actual = b.actual AS truth_match, a.at_s = b.at_s - 18000 AS time_match, a.prediction = b.prediction AS prediction_match, b.prediction - a.prediction AS delta, CASE WHEN a.prediction = b.prediction THEN 'AGREES' ELSE 'MODELS_DIFFER' END AS explanation FROM a JOIN b ON a.case_id = b.case_id")
+def comparison_cases(r: Roles) -> DataFrame:
+    return metrics.aligned_cases(*engines(r), "case_id", 18_000)
+
+
+@query("m11_class_report", f"WITH s AS ({SCORED}) SELECT k AS label, count(*) FILTER (actual = k) AS support, round(coalesce(count(*) FILTER (actual = k AND predicted = k) / nullif(count(*) FILTER (predicted = k), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (actual = k AND predicted = k) / nullif(count(*) FILTER (actual = k), 0), 0), 6) AS recall, round(coalesce(2 * count(*) FILTER (actual = k AND predicted = k) / nullif(count(*) FILTER (actual = k) + count(*) FILTER (predicted = k), 0), 0), 6) AS f1 FROM s CROSS JOIN (VALUES (0), (1)) v(k) GROUP BY k")
+def class_report(r: Roles) -> DataFrame:
+    return metrics.class_report(scored(r), "actual", "predicted", [0, 1])

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
-from korridor.operators import joins, transit, windows
+from korridor.operators import eligibility, joins, transit, windows
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
 
 DELAY = "greatest(0, actual_s - scheduled_s)"
+YEAR_1996 = (820_454_400, 852_076_800)  # seconds
 
 
 # projections and filters
@@ -28,9 +29,49 @@ def splits(r: Roles) -> DataFrame:
 
 
 portable("p04_split_label", "SELECT DISTINCT service_date, CASE WHEN service_date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN 'train' WHEN service_date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' THEN 'validation' WHEN service_date BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' THEN 'test' END AS split FROM trips")
-portable("p05_delay_eligibility", "SELECT trip_id, seq FROM spine WHERE actual_s IS NOT NULL AND scheduled_s IS NOT NULL AND route_id IS NOT NULL AND direction IN ('A', 'N', 'R') AND service_date >= DATE '1996-01-01' AND service_date < DATE '1997-01-01' AND abs(boardings) < 1e12")
+
+
+def delay_candidates(r: Roles) -> DataFrame:
+    """The spine with its delay label, calendar features and when each fact was known."""
+    day = F.floor(F.col("scheduled_s") / 86_400)
+    return r.spine.select(
+        "service_date", "trip_id", "seq", "scheduled_s", F.col("scheduled_s").alias("cutoff_s"), (F.col("scheduled_s") - 86_400).alias("known_s"), (F.col("actual_s") + 60).alias("target_available_s"),
+        transit.severity(transit.positive_delay("actual_s", "scheduled_s"), (0, 864_000, 2_592_000, 7_776_000)).alias("label"),
+        (F.floor(F.col("scheduled_s") / 3600) % 24).cast("double").alias("hour"), ((day + 3) % 7 + 1).cast("double").alias("weekday"), F.month("service_date").cast("double").alias("month"), F.when(F.col("direction") == "A", 0.0).when(F.col("direction") == "N", 1.0).alias("direction_id"), F.col("boardings").cast("double").alias("distance"),
+    )
+
+
+@query("p05_delay_eligibility", "SELECT trip_id, seq FROM spine WHERE direction IN ('A', 'N') AND actual_s IS NOT NULL AND scheduled_s >= 820454400 AND scheduled_s < 852076800 AND actual_s + 60 >= scheduled_s AND actual_s + 60 <= 852076800")
+def delay_eligibility(r: Roles) -> DataFrame:
+    return eligibility.eligible(delay_candidates(r), eligibility.delay(transit.LABELS, *YEAR_1996)).select("trip_id", "seq")
+
+
+@query("p05_exclusion_reasons", """SELECT unnest(['label known', 'begins inside', 'outcome after', 'outcome inside', 'direction_id finite']) AS reason, unnest([count(*) FILTER (actual_s IS NULL OR scheduled_s IS NULL), count(*) FILTER (NOT (scheduled_s >= 820454400 AND scheduled_s < 852076800)), count(*) FILTER (actual_s + 60 < scheduled_s), count(*) FILTER (actual_s + 60 > 852076800), count(*) FILTER (direction = 'R')]) AS n FROM spine""")
+def exclusion_reasons(r: Roles) -> DataFrame:
+    """How many rows each condition that excludes any, and three more, excludes."""
+    x = eligibility.reasons(delay_candidates(r), eligibility.delay(transit.LABELS, *YEAR_1996))
+    return x.filter("n > 0 OR reason IN ('label known', 'begins inside', 'outcome after', 'outcome inside', 'direction_id finite')")
 portable("p06_demand_eligibility", "SELECT row_id FROM observations WHERE available_s > at_s AND target >= 0 AND target < 1e300")
-portable("p07_occupancy_eligibility", "SELECT trip_id, seq FROM spine WHERE capacity > 0 AND boardings >= 0 AND actual_s >= scheduled_s AND actual_s < scheduled_s + 31536000 AND status <> 'P' AND abs(CAST(boardings AS DOUBLE) / capacity * capacity - boardings) < 1e-9 AND vehicle_id IS NOT NULL AND stop_id IS NOT NULL")
+
+
+def occupancy_candidates(r: Roles) -> DataFrame:
+    """The spine with what is recorded of each departure's vehicle and when each fact was known."""
+    ratio = F.when(F.col("capacity") > 0, F.col("boardings").cast("double") / F.col("capacity").cast("double"))
+    v = r.vehicles.select("vehicle_id", F.col("capacity").alias("assignment_capacity"))
+    return r.spine.join(v, "vehicle_id", "left").select(
+        "service_date", "seq", "stop_id", "route_id", "direction", "trip_id", "actual_s", "capacity", "assignment_capacity", F.col("scheduled_s").alias("cutoff_s"), (F.col("actual_s") + 60).alias("event_available_s"), (F.col("actual_s") + 60).alias("assignment_available_s"),
+        F.when(F.col("direction") == "R", "SUSPECT").otherwise("VALID").alias("assignment_quality"), F.when(F.col("status") == "P", "PLANNED").otherwise("ACTUAL").alias("assignment_kind"), (F.col("scheduled_s") - 86_400).alias("known_s"), (F.col("scheduled_s") - 86_400).alias("schedule_known_s"),
+        (F.col("scheduled_s") - 172_800).alias("route_known_s"), (F.col("scheduled_s") - 172_800).alias("stop_known_s"), (F.col("scheduled_s") - 604_800).alias("pattern_published_s"), (F.col("scheduled_s") - 86_400).alias("offsets_known_s"), (F.col("actual_s") + 300).alias("load_available_s"),
+        F.col("scheduled_s").alias("assignment_start_s"), (F.col("scheduled_s") + 31_536_000).alias("assignment_end_s"), F.when(F.col("capacity") > 0, "AVAILABLE").otherwise("UNAVAILABLE").alias("occupancy_status"), F.col("boardings").alias("load"), ratio.alias("utilization"), (ratio > 1.0).alias("over_capacity"),
+        F.col("boardings").cast("double").alias("distance"), F.col("seq").alias("stop_sequence"),
+    )
+
+
+@query("p07_occupancy_eligibility", f"""SELECT s.trip_id, s.seq FROM spine s JOIN vehicles h ON h.vehicle_id = s.vehicle_id
+WHERE s.route_id IS NOT NULL AND s.stop_id IS NOT NULL AND s.direction IN ('A', 'N') AND s.status IN ('O', 'F') AND h.capacity > 0 AND s.capacity = h.capacity AND s.boardings >= 0 AND s.actual_s > s.scheduled_s AND s.actual_s < s.scheduled_s + 31536000
+AND s.scheduled_s BETWEEN {YEAR_1996[0]} AND {YEAR_1996[1] - 1} AND s.actual_s + 300 <= {YEAR_1996[1]}""")
+def occupancy_eligibility(r: Roles) -> DataFrame:
+    return eligibility.eligible(occupancy_candidates(r), eligibility.occupancy(*YEAR_1996)).select("trip_id", "seq")
 portable("p08_finite_profiles", "SELECT route_id, direction FROM spine GROUP BY route_id, direction HAVING avg(boardings) IS NOT NULL AND avg(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) < 1e300")
 portable("p09_consistent_parents", "SELECT v.trip_id, v.seq FROM visits v JOIN trips t ON t.trip_id = v.trip_id JOIN passengers p ON p.passenger_id = t.passenger_id AND p.route_id = t.route_id WHERE t.status = 'O' AND t.service_date >= DATE '1996-01-01'")
 
