@@ -74,3 +74,13 @@ def best_clustering(train: DataFrame, validation: DataFrame, features: list[str]
     models = {n: fit(train, features, e) for n, e in candidates("clustering").items()}
     scores = {n: scaled_silhouette(m, validation, features, row) for n, m in models.items()}
     return None if None in scores.values() else select(scores, maximize=True), models, scores
+
+
+def legacy_regressor(categories: list[str], numbers: list[str], label: str) -> Pipeline:
+    """Categories indexed and one-hot encoded, numbers beside them, a random forest on top."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    return Pipeline(stages=[
+        StringIndexer(inputCols=categories, outputCols=[f"{c}_index" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_hot" for c in categories]),
+        VectorAssembler(inputCols=[*(f"{c}_hot" for c in categories), *numbers], outputCol="features", handleInvalid="skip"), RandomForestRegressor(labelCol=label, featuresCol="features", numTrees=20, maxDepth=5, seed=20260924),
+    ])

@@ -64,19 +64,20 @@ def arrived(minute: Column, profile: str = "profile") -> Column:
     return F.aggregate(profile, F.lit(0.0), lambda s, p: s + part(p))
 
 
-def simulate(states: DataFrame) -> DataFrame:
+def simulate(states: DataFrame, crowding: float = 1.0) -> DataFrame:
     """Add what the queue does to each state.
 
     A state has ``trips`` (minute, capacity) and ``profile`` (start, end, passengers). With A(t) the
     arrivals by t, departure i leaves S_i = min(A(t_i), S_(i-1) + capacity_i) passengers served in
     all. Served first-come first-served, their waiting adds up to the sum of t_i (S_i - S_(i-1))
-    less the sum of the first S_n arrival times, which needs no queue to be kept.
+    less the sum of the first S_n arrival times, which needs no queue to be kept. A departure is crowded
+    if more than ``crowding`` times its capacity waits for it.
     """
     step = lambda s, t: F.struct(
         F.least(arrived(t["minute"]), s["served"] + t["capacity"]).alias("served"),
         (s["left_at"] + t["minute"] * (F.least(arrived(t["minute"]), s["served"] + t["capacity"]) - s["served"])).alias("left_at"),
         F.greatest(s["peak"], (arrived(t["minute"]) - s["served"]) / t["capacity"]).alias("peak"),
-        (s["crowded"] + F.when(arrived(t["minute"]) - s["served"] > t["capacity"], 1.0).otherwise(0.0)).alias("crowded"),
+        (s["crowded"] + F.when(arrived(t["minute"]) - s["served"] > t["capacity"] * crowding, 1.0).otherwise(0.0)).alias("crowded"),
     )
     start = F.struct(F.lit(0.0).alias("served"), F.lit(0.0).alias("left_at"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("crowded"))
     came = lambda s, p: F.struct(
@@ -93,6 +94,18 @@ def simulate(states: DataFrame) -> DataFrame:
     }).drop("_r", "_came")
 
 
+def state_problem(window: float) -> Column:
+    """What keeps a state from being simulated, null if nothing: trips, their minutes and capacities, a profile that covers the window."""
+    trips, profile = F.array_sort("trips"), F.array_sort("profile")
+    ends = F.transform(profile, lambda p: p["end"])
+    gap = F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(profile))), lambda i: (i <= F.size(profile)) & (F.abs(F.try_element_at(F.transform(profile, lambda p: p["start"]), i) - F.try_element_at(ends, i - 1)) > 1e-9))
+    return (
+        F.when(F.col("trips").isNull() | (F.size("trips") < 1), "NO_TRIPS").when(F.exists(trips, lambda t: t["capacity"].isNull() | (t["capacity"] <= 0)), "CAPACITY").when(F.exists(trips, lambda t: (t["minute"] < 0) | (t["minute"] > window)), "MINUTE_OUTSIDE")
+        .when(F.col("profile").isNull() | (F.size("profile") < 1), "NO_PROFILE").when(F.exists(profile, lambda p: p["end"] <= p["start"]), "INTERVAL").when(F.exists(profile, lambda p: p["passengers"] < 0), "PASSENGERS")
+        .when((F.abs(profile[0]["start"]) > 1e-9) | (F.abs(F.array_max(ends) - window) > 1e-9), "NOT_COVERED").when(gap, "GAP")
+    )
+
+
 def respaced(window: Column, count: Column, capacity: Column) -> Column:
     """``count`` departures spread evenly over the window."""
     return F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: F.struct((i * window / count).alias("minute"), capacity.alias("capacity")))

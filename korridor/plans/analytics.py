@@ -125,8 +125,6 @@ portable("a18_conditional_sums", "SELECT route_id, CAST(sum(CASE WHEN boardings
 portable("a19_distinct_counts", "SELECT direction, count(DISTINCT route_id) AS routes_n, count(DISTINCT stop_id) AS stops_n, count(DISTINCT vehicle_id) AS vehicles_n, count(DISTINCT substr(CAST(service_date AS STRING), 1, 7)) AS months_n FROM spine GROUP BY direction")
 portable("a20_demand_by_category", f"SELECT CASE WHEN {WEEKDAY} >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, direction, count(DISTINCT trip_id) AS trips_n, CAST(sum(boardings) AS BIGINT) AS movements, round(avg(boardings), 6) AS mean FROM spine GROUP BY CASE WHEN {WEEKDAY} >= 6 THEN 'weekend' ELSE 'weekday' END, direction")
 portable("a21_event_means", "WITH hit AS (SELECT DISTINCT o.row_id FROM observations o JOIN contexts c ON c.route_id = o.route_id AND o.at_s BETWEEN c.starts_s AND c.ends_s) SELECT o.route_id, round(avg(CASE WHEN h.row_id IS NOT NULL THEN o.target END), 6) AS event_mean, round(avg(CASE WHEN h.row_id IS NULL THEN o.target END), 6) AS baseline_mean FROM observations o LEFT JOIN hit h ON h.row_id = o.row_id GROUP BY o.route_id")
-portable("a22_movement_counters", "SELECT substr(CAST(service_date AS STRING), 1, 7) AS month, direction, count(*) AS n FROM spine GROUP BY substr(CAST(service_date AS STRING), 1, 7), direction")
-portable("a23_expected_flow", "SELECT trip_id, seq, boardings * 1048576 + alightings AS packed FROM visits")
 portable("a24_position_stats", "SELECT stop_id, seq, count(*) AS events_n, count(capacity) AS observed, min(service_date) AS first_day, max(service_date) AS last_day FROM spine GROUP BY stop_id, seq")
 
 

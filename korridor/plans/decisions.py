@@ -210,7 +210,4 @@ portable("g11_preflight", "SELECT route_id, count(*) AS trips_n, CAST(count(*) *
 portable("g12_prediction_cases", "SELECT trip_id, scheduled_s AS cutoff_s, scheduled_s + 3600 AS horizon_s, scheduled_s + 3600 >= 946684800 AND scheduled_s < 946684800 AS purged FROM trips")
 
 # reports
-portable("b03_dashboard", "SELECT 'trips' AS section, CAST(count(*) AS BIGINT) AS value_n FROM trips UNION ALL SELECT 'late', count(*) FROM spine WHERE actual_s > scheduled_s UNION ALL SELECT 'overloaded', count(*) FROM spine WHERE boardings > capacity UNION ALL SELECT 'events', count(*) FROM observations")
 portable("b04_prediction_sample", "SELECT row_id, kind, target FROM observations WHERE kind = 'purchase' ORDER BY row_id LIMIT 100")
-portable("b05_acceptance", "SELECT CAST(sum(hit) AS DOUBLE) / count(*) AS accuracy, CAST(sum(hit) AS DOUBLE) / count(*) >= 0.85 AS accepted FROM (SELECT CASE WHEN (boardings > 25) = (actual_s > scheduled_s) THEN 1 ELSE 0 END AS hit FROM spine) q")
-portable("b06_thresholds", "SELECT 'movements' AS metric, CAST(sum(boardings) AS BIGINT) AS measured, sum(boardings) >= 1000000 AS met FROM spine")

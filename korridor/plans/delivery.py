@@ -41,13 +41,6 @@ def raw_schema(r: Roles) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.expr("try_cast(ts as timestamp)").isNull()).alias("unreadable"))
 
 
-@query("s03_schema_catalog", "SELECT 'trips' AS table_name, 14 + 23 AS columns_n UNION ALL SELECT 'stops', 14 + 10 UNION ALL SELECT 'gps_events', 14 + 13")
-def schema_catalog(r: Roles) -> DataFrame:
-    from korridor.schemas import schema_for
-
-    return r.spark.createDataFrame([(t, len(schema_for(t))) for t in ("trips", "stops", "gps_events")], "table_name string, columns_n int")
-
-
 @query("s04_table_roots", "SELECT 'region' AS table_name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
 def table_roots(r: Roles) -> DataFrame:
     one, other = scratch(r), scratch(r)
@@ -87,18 +80,12 @@ def evidence_log(r: Roles) -> DataFrame:
 portable("s08_projected_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
 
 
-@query("s09_discovered_files", "SELECT count(*) AS n, true AS one_file_at_least FROM nation")
-def discovered_files(r: Roles) -> DataFrame:
-    return r.table("nation").select(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), (F.countDistinct("f") >= 1).alias("one_file_at_least"))
-
-
 @query("s10_bounded_read", "SELECT r_regionkey, r_name FROM region")
 def bounded_read(r: Roles) -> DataFrame:
     return files.bounded(r.table("region"), 1000).select("r_regionkey", "r_name")
 
 
 portable("s11_projected_columns", "SELECT c_custkey, c_mktsegment FROM customer")
-portable("s12_excluded_load", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag <> 'R'")
 
 
 @query("s13_unique_keys", "SELECT trip_id, route_id FROM trips WHERE status <> 'P'")
@@ -107,15 +94,6 @@ def unique_keys(r: Roles) -> DataFrame:
     return x.withColumn("once", files.exactly_one("trip_id")).filter("once").select("trip_id", "route_id")
 
 
-@query("s14_json_package", "SELECT row_id, target FROM observations WHERE kind = 'signup'")
-def json_package(r: Roles) -> DataFrame:
-    path = scratch(r)
-    x = r.observations.filter("kind = 'signup'").select("row_id", "target")
-    files.mirror_json(x, path)
-    return r.spark.read.schema(x.schema).json(path)
-
-
-portable("s15_test_predictions", "SELECT trip_id, seq, boardings > 25 AS prediction FROM spine WHERE service_date >= DATE '2000-01-01'")
 portable("s16_catalog_page", "SELECT stop_id, stop_code FROM stops WHERE zone_id = 3 ORDER BY stop_code, stop_id LIMIT 10 OFFSET 1")
 portable("s17_latest_point", "SELECT trip_id, fare FROM trips WHERE passenger_id = 7 ORDER BY scheduled_s DESC, trip_id DESC LIMIT 1")
 

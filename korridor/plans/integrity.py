@@ -147,14 +147,6 @@ CHECKS: dict[str, dict[str, str]] = {
         "late_routes": "SELECT route_id FROM trips GROUP BY route_id HAVING min(service_date) > DATE '1995-02-01'",
         "opening": "SELECT v.stop_id FROM spine v JOIN (SELECT stop_id, min(scheduled_s) AS opened FROM spine WHERE direction = 'N' GROUP BY stop_id) o ON o.stop_id = v.stop_id WHERE v.scheduled_s < o.opened",
     },
-    "v43_dq_fixtures": {
-        "negative_balance": "SELECT 1 AS x FROM passengers WHERE balance < 0",
-        "before_schedule": "SELECT 1 AS x FROM spine WHERE actual_s < scheduled_s",
-        "over_capacity": "SELECT 1 AS x FROM spine WHERE boardings > capacity",
-        "missing_capacity": "SELECT 1 AS x FROM vehicles WHERE capacity IS NULL",
-        "repeated_lines": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
-        "sequence_gap": "SELECT trip_id FROM visits GROUP BY trip_id HAVING max(seq) > count(*)",
-    },
     "v50_relationships": {
         "distance_geometry": "SELECT trip_id FROM (SELECT trip_id, sum(boardings) OVER (PARTITION BY trip_id ORDER BY seq) AS far, seq * 10 AS straight FROM visits) q WHERE far < straight - 0.05",
         "plan_versions": "SELECT passenger_id FROM (SELECT passenger_id, scheduled_s, lead(scheduled_s) OVER (PARTITION BY passenger_id ORDER BY scheduled_s, trip_id) AS next_s FROM trips) q WHERE next_s = scheduled_s",
@@ -217,14 +209,6 @@ portable(
     """SELECT route_id, direction, CAST(sum(CASE WHEN gap < 0.25 * planned OR planned = 0 AND gap < 300 THEN 1 ELSE 0 END) AS BIGINT) AS bunched, CAST(sum(CASE WHEN gap <= 0 OR abs(gap - planned) > greatest(300, 0.5 * planned) THEN 1 ELSE 0 END) AS BIGINT) AS irregular
 FROM (SELECT route_id, direction, actual_s - lag(actual_s) OVER w AS gap, abs(scheduled_s - lag(scheduled_s) OVER w) AS planned FROM spine WHERE seq = 1 WINDOW w AS (PARTITION BY route_id, direction, service_date ORDER BY scheduled_s, trip_id)) q GROUP BY route_id, direction""",
 )
-portable("v55_schema", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT row_id) AS BIGINT) AS ids, CAST(max(row_id) - min(row_id) + 1 AS BIGINT) AS span, CAST(sum(CASE WHEN kind IS NULL OR target IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM observations")
-portable(
-    "v56_count_gate",
-    """SELECT m.metric, m.measured, g.goal, m.measured = g.goal AS met FROM (SELECT 'trips' AS metric, count(*) AS measured FROM trips UNION ALL SELECT 'stops', count(*) FROM stops UNION ALL SELECT 'vehicles', count(*) FROM vehicles UNION ALL SELECT 'passengers', count(*) FROM passengers) m
-JOIN (SELECT 'trips' AS metric, 15000 AS goal UNION ALL SELECT 'stops', 100 UNION ALL SELECT 'vehicles', 2000 UNION ALL SELECT 'passengers', 1600) g ON g.metric = m.metric""",
-)
-
-
 @query("v30_delay_derivation", """SELECT 'seconds' AS check_name, count(*) AS violations FROM spine e JOIN (SELECT l_orderkey, l_linenumber, max(l_partkey) AS assignment_id, max(epoch_us(l_shipdate) // 1000000) AS late_s FROM lineitem GROUP BY l_orderkey, l_linenumber) d ON d.l_orderkey = e.trip_id AND d.l_linenumber = e.seq
 WHERE d.assignment_id IS DISTINCT FROM e.vehicle_id OR greatest(0, d.late_s - e.scheduled_s) <> greatest(0, e.actual_s - e.scheduled_s) OR d.late_s <= e.scheduled_s""")
 def delay_derivation(r: Roles) -> DataFrame:

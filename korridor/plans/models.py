@@ -139,7 +139,6 @@ def silhouette(r: Roles) -> DataFrame:
     return metrics.silhouette(s, "row_id", "kind", ["a", "b"])
 
 
-portable("m17_result_contract", f"SELECT count(*) AS n, count(DISTINCT case_id) AS cases, CAST(sum(CASE WHEN probability IS NULL OR probability < 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM ({SCORED}) s")
 
 
 @query("m18_handoff_rows", f"SELECT split, label, case_id FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY sha256('m18|' || case_id), case_id) AS place FROM (SELECT case_id, actual AS label, CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END AS split FROM ({SCORED}) s) q) p WHERE place <= 100")

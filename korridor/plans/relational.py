@@ -95,7 +95,6 @@ def serving_filter(r: Roles) -> DataFrame:
 
 
 portable("p14_allowed_filters", "SELECT trip_id FROM trips WHERE status IN ('O', 'F') AND route_id IN (1, 2, 3)")
-portable("p15_package_contract", "SELECT passenger_id, count(DISTINCT CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END) AS splits_n FROM trips GROUP BY passenger_id HAVING count(DISTINCT CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END) > 1")
 
 # joins
 portable("j02_trip_operations", f"SELECT t.trip_id, v.seq, v.stop_id, {DELAY} AS delay_s, h.capacity FROM trips t LEFT JOIN visits v ON v.trip_id = t.trip_id LEFT JOIN vehicles h ON h.vehicle_id = v.vehicle_id")
@@ -177,14 +176,6 @@ def outer_alignment(r: Roles) -> DataFrame:
 portable("j21_loads_and_delays", f"SELECT coalesce(l.route_id, d.route_id) AS route_id, l.peak, d.delays FROM (SELECT route_id, max(boardings) AS peak FROM spine WHERE boardings > 30 GROUP BY route_id) l FULL JOIN (SELECT route_id, count(*) AS delays FROM spine WHERE {DELAY} > 31536000 GROUP BY route_id) d ON d.route_id = l.route_id")
 
 
-@query("j22_fingerprint_membership", "SELECT a.trip_id FROM trips a JOIN trips b ON a.trip_id = b.trip_id AND a.route_id IS NOT DISTINCT FROM b.route_id AND a.fare IS NOT DISTINCT FROM b.fare AND a.status = b.status")
-def fingerprint_membership(r: Roles) -> DataFrame:
-    digest = scalars.fingerprint("trip_id", "route_id", "fare", "status")
-    one, other = r.trips.select("trip_id", digest.alias("f")), r.trips.select(digest.alias("f"))
-    return one.join(other, "f", "left_semi").select("trip_id")
-
-
-# set operations
 portable("u01_union_by_name", "SELECT 'EARLY' AS rule, trip_id, seq FROM spine WHERE actual_s < scheduled_s UNION ALL SELECT 'OVERLOAD', trip_id, seq FROM spine WHERE boardings > capacity")
 portable("u02_tagged_splits", "SELECT 'train' AS split, trip_id FROM trips WHERE service_date < DATE '1999-01-01' UNION ALL SELECT 'validation', trip_id FROM trips WHERE service_date >= DATE '1999-01-01' AND service_date < DATE '2000-01-01'")
 portable("u03_union_distinct", "SELECT route_id, stop_id FROM spine WHERE seq = 1 UNION SELECT route_id, stop_id FROM spine WHERE seq = 2")
@@ -305,7 +296,6 @@ def composite_id(r: Roles) -> DataFrame:
     return made.select("trip_id", "seq", "case_id", one.alias("first_part"), two.alias("second_part"))
 
 
-portable("f19_patterns", "SELECT stop_id, CASE WHEN stop_code LIKE 'Supplier#%' THEN true ELSE false END AS component FROM stops")
 portable("f20_boolean_text", "SELECT trip_id, CAST(lower(CASE WHEN status = 'O' THEN 'TRUE' ELSE 'False' END) AS BOOLEAN) AS flag FROM trips")
 
 

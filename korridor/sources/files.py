@@ -106,3 +106,42 @@ def exactly_one(key: str) -> Column:
 
     n = F.count("*").over(Window.partitionBy(key))
     return F.when(n > 1, F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+
+
+def discover(spark: SparkSession, root: str, tables: list[str]) -> dict[str, list[str]]:
+    """The data files of each table, sorted; a table without any is an error. Driver-side listing only."""
+    jvm, out = spark.sparkContext._jvm, {}
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+        fs, found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+        if fs.exists(path):
+            walk = fs.listFiles(path, True)
+            while walk.hasNext():
+                f = walk.next()
+                if f.getLen() and re.search(r"\.(csv|csv\.gz|json|jsonl)$", f.getPath().getName()):
+                    found.append(f.getPath().toString())
+        if not found:
+            raise FileNotFoundError(f"no data files of {table} under {root}")
+        out[table] = sorted(found)
+    return out
+
+
+def load_typed(raw: DataFrame, affinities: dict[str, str], key: str, excluded: DataFrame) -> DataFrame:
+    """Text columns as INT, REAL or TEXT (unreadable values are null), without the rows whose key is excluded."""
+    kinds = {"INT": "bigint", "REAL": "double", "TEXT": "string"}
+    typed = raw.select(*(F.col(c).try_cast(kinds[a]).alias(c) for c, a in affinities.items()))
+    return typed.join(excluded.select(F.col(key).try_cast(kinds[affinities[key]]).alias(key)).distinct(), key, "left_anti").select(*affinities)
+
+
+def read_predictions(spark: SparkSession, path: str, engine: str, dataset: str) -> DataFrame:
+    """The test predictions of one engine and dataset among JSON lines; a line of another provenance is an error.
+
+    A case is named by the length of its trip's name, a colon, that name, and its event.
+    """
+    rows = spark.read.schema("engine string, dataset string, split string, case_id string, prediction boolean").json(path).filter("split = 'test'")
+    strange = rows.filter(~F.coalesce((F.col("engine") == engine) & (F.col("dataset") == dataset), F.lit(False)))
+    if not strange.isEmpty():
+        raise ValueError(f"predictions that are not of {engine} on {dataset}")
+    length = F.regexp_extract("case_id", "^([0-9]+):", 1).cast("int")
+    begin = F.length(length.cast("string")) + 2
+    return rows.select(F.substring(F.col("case_id"), begin, length).alias("trip"), F.substring(F.col("case_id"), begin + length, F.length("case_id")).alias("event"), "prediction")
