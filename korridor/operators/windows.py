@@ -64,18 +64,18 @@ def ranked_sample(df: DataFrame, by: list[str], quota, ids: list[str], seed: str
     return df.withColumn("sample_rank", F.row_number().over(order)).filter(F.col("sample_rank") <= quota)
 
 
-def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int, tie: str, buckets: int = 4096, minimum: int = 0) -> DataFrame:
+def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int | str, tie: str, buckets: int = 4096, minimum: int = 0) -> DataFrame:
     """Whole quotas of groups with ``weight`` rows each: ``minimum`` for every group that has so many, the rest by largest remainder.
 
-    No more seats are given than there are rows, and none to a group beyond its own. Remainders are
+    ``seats``: a number, or a column that is the same throughout a group. No more seats are given than there are rows, and none to a group beyond its own. Remainders are
     ranked by bucket: how many lie in higher buckets is a sum of ``buckets`` counts, so no task sorts
     more than one bucket of a group.
     """
     name = by or ["_all"]
     x = df if by else df.withColumn("_all", F.lit(0))
     x = x.withColumn("_base", F.least(F.col(weight), F.lit(minimum)).cast("long"))
-    totals = x.groupBy(*name).agg(F.sum(weight).alias("_total"), F.sum("_base").alias("_given"))
-    totals = totals.withColumn("_free", F.greatest(F.lit(0), F.least(F.col("_total"), F.lit(seats)) - F.col("_given")))
+    totals = x.groupBy(*name).agg(F.sum(weight).alias("_total"), F.sum("_base").alias("_given"), (F.first(seats) if isinstance(seats, str) else F.lit(seats)).alias("_seats"))
+    totals = totals.withColumn("_free", F.greatest(F.lit(0), F.least(F.col("_total"), F.col("_seats")) - F.col("_given"))).drop("_seats")
     share = F.when(F.col("_total") > F.col("_given"), (F.col(weight) - F.col("_base")).cast("double") * F.col("_free") / (F.col("_total") - F.col("_given"))).otherwise(0.0)
     x = x.join(F.broadcast(totals) if not by else totals, name).withColumn("_share", share).withColumn("_floor", F.floor("_share")).withColumn("_rest", F.col("_share") - F.col("_floor")).withColumn("_bucket", F.floor(F.col("_rest") * buckets))
     counts = x.groupBy(*name, "_bucket").agg(F.count("*").alias("_n"), F.sum("_floor").alias("_sum"), F.first("_free").alias("_seats"))

@@ -164,4 +164,3 @@ def anomalies(r: Roles) -> DataFrame:
 portable("d10_segments", "SELECT p.passenger_id, count(t.trip_id) AS trips_n, round(coalesce(sum(t.fare), 0), 2) AS spent, CASE WHEN count(t.trip_id) >= 15 THEN 'FREQUENT' WHEN count(t.trip_id) >= 8 THEN 'REGULAR' WHEN count(t.trip_id) > 0 THEN 'OCCASIONAL' ELSE 'NONE' END AS segment FROM passengers p LEFT JOIN trips t ON t.passenger_id = p.passenger_id GROUP BY p.passenger_id")
 portable("d11_quality_kpis", "SELECT service_date, count(*) AS n, CAST(sum(CASE WHEN capacity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS incomplete, CAST(sum(CASE WHEN actual_s < scheduled_s THEN 1 ELSE 0 END) AS BIGINT) AS inconsistent FROM spine GROUP BY service_date")
 portable("d12_executive_kpis", f"SELECT count(DISTINCT trip_id) AS trips_n, CAST(sum(boardings) AS BIGINT) AS movements, round(avg({DELAY}), 4) AS mean_delay_s, round(avg(CAST(CASE WHEN actual_s <= scheduled_s + 300 THEN 1 ELSE 0 END AS DOUBLE)), 6) AS punctual FROM spine")
-portable("m06_task_contracts", "SELECT 'delay_severity' AS task, 'stop event' AS grain, 'label' AS target UNION ALL SELECT 'demand_forecast', 'trip', 'passenger_demand' UNION ALL SELECT 'occupancy', 'stop event', 'utilization' UNION ALL SELECT 'headway', 'stop event', 'headway_s' UNION ALL SELECT 'delay_analytics', 'day, route, direction', 'mean_delay_s' UNION ALL SELECT 'route_clustering', 'route, direction', 'cluster'")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import importlib
+import math
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
-from korridor.operators import learning, metrics, transit, whatif
+from korridor.operators import learning, metrics, transit, whatif, windows
 from korridor.plans.delivery import CASES, cases, scratch
 from korridor.plans.models import SCORED, scored
 from korridor.plans.registry import portable, query
-from korridor.roles import Roles
+from korridor.roles import Roles, seconds
 from korridor.sources import files, handoff
 
 
@@ -269,4 +271,256 @@ def legacy_model(r: Roles) -> DataFrame:
     return metrics.regression(model.transform(test), "label", "prediction")
 
 
+
+@query("s08_projected_scan", "SELECT o_orderkey, o_orderstatus, true AS refused FROM orders")
+def projected_scan(r: Roles) -> DataFrame:
+    """Two columns of typed CSV; asking for one that the table lacks, or leaving a required one out, is refused."""
+    path, o = scratch(r), r.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    files.write_csv(o, path)
+    refused = 0
+    for columns, required in ((["o_orderkey", "nothing"], []), (["o_orderkey"], ["o_orderstatus"])):
+        try:
+            files.read_projected(r.spark, path, o.schema, columns, required)
+        except ValueError:
+            refused += 1
+    return files.read_projected(r.spark, path, o.schema, ["o_orderkey", "o_orderstatus"], ["o_orderkey"]).withColumn("refused", F.lit(refused == 2))
+
+
+@query("s11_projected_columns", "SELECT c_custkey, c_mktsegment FROM customer")
+def projected_columns(r: Roles) -> DataFrame:
+    """Named columns out of CSV shards that lie in several folders."""
+    path, c = scratch(r), r.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    files.write_csv(c.filter("c_mktsegment < 'C'"), f"{path}/one")
+    files.write_csv(c.filter("NOT c_mktsegment < 'C'"), f"{path}/two")
+    both = [files.read_projected(r.spark, f"{path}/{d}", c.schema, ["c_custkey", "c_mktsegment"]) for d in ("one", "two")]
+    return both[0].unionByName(both[1])
+
+
+@query("s16_catalog_page", "SELECT stop_id, stop_code FROM stops WHERE zone_id = 3 ORDER BY stop_code, stop_id LIMIT 10 OFFSET 1")
+def catalog_page(r: Roles) -> DataFrame:
+    """A page of a certified catalogue: rows that are valid on the day, one zone, in order."""
+    path, day = scratch(r), 900_000_000
+    ends = F.when(F.col("stop_id") < 0, F.lit(day)).otherwise(F.lit(2 * day)).cast("long")
+    stops = r.stops.select(F.lit("stop").alias("split"), F.col("stop_id").alias("case_id"), "stop_code", "zone_id", F.lit(0).cast("long").alias("value_available_s"), F.lit(0).cast("long").alias("feature_cutoff_s"), F.lit(0).cast("long").alias("target_s"), ends.alias("target_available_s"), F.lit(0).alias("target"))
+    handoff.write_handoff(stops, path, "catalogue", ["zone_id"])
+    x = handoff.read_handoff(r.spark, path).filter((F.col("value_available_s") <= day) & (day < F.col("target_available_s")) & (F.col("zone_id") == 3))
+    return x.orderBy("stop_code", "case_id").offset(1).limit(10).select(F.col("case_id").alias("stop_id"), "stop_code")
+
+
+@query("k04_write_once", "SELECT true AS reserved, true AS second_refused, true AS written, true AS rewrite_refused, true AS late_reserve_refused")
+def write_once(r: Roles) -> DataFrame:
+    """A path is claimed by one run, written once, and can be neither claimed nor written again."""
+    path = scratch(r)
+
+    def refused(work) -> bool:
+        try:
+            work()
+        except Exception as e:
+            if "exist" not in str(e).lower() and "delivery-" not in str(e):
+                raise
+            return True
+        return False
+
+    out = [not refused(lambda: files.reserve(r.spark, path, "run-1")), refused(lambda: files.reserve(r.spark, path, "run-2")), not refused(lambda: files.write_once(r.table("region"), path)), refused(lambda: files.write_once(r.table("region"), path)), refused(lambda: files.reserve(r.spark, path, "run-3"))]
+    return r.spark.createDataFrame([tuple(out)], "reserved boolean, second_refused boolean, written boolean, rewrite_refused boolean, late_reserve_refused boolean")
+
+
+@query("k05_run_path", "SELECT route_code AS dataset, CASE WHEN regexp_full_match(route_code, '[A-Za-z0-9][A-Za-z0-9._-]*') THEN 'x/runs/stage=features/dataset=' || route_code || '/run=r.1' END AS path FROM routes")
+def run_paths(r: Roles) -> DataFrame:
+    """The path of a run for each route's name as dataset; names that are no path components have none. One row a route."""
+    out = []
+    for (name,) in files.bounded(r.routes.select("route_code"), 1000).collect():
+        try:
+            out.append((name, files.run_path("x", "features", name, "r.1")))
+        except ValueError:
+            out.append((name, None))
+    return r.spark.createDataFrame(out, "dataset string, path string")
+
+
+@query("k08_evidence_append", "SELECT kind AS stage, count(*) AS rows, max(at_s) AS recorded_s FROM observations WHERE kind <> 'error' GROUP BY kind")
+def evidence_append(r: Roles) -> DataFrame:
+    """Each stage's record is appended when it ends; every reader takes the last successful one of a stage."""
+    path = scratch(r)
+    stages = r.observations.groupBy("kind").agg(F.count("*").alias("rows"), F.max("at_s").alias("recorded_s"))
+    for status, shift in (("STARTED", -10), ("SUCCESS", -5), ("SUCCESS", 0)):
+        done = stages.select(F.lit("run-1").alias("run_id"), F.col("kind").alias("stage"), F.when(F.col("kind") == "error", "FAILED").otherwise(status).alias("status"), (F.col("recorded_s") + shift).alias("recorded_s"), F.when(F.lit(shift == 0), F.col("rows")).otherwise(0).alias("rows"))
+        done.coalesce(1).write.mode("append").json(path)
+    log = r.spark.read.schema("run_id string, stage string, status string, recorded_s long, rows long").json(path).filter("status = 'SUCCESS'")
+    return log.groupBy("stage").agg(F.max_by("rows", "recorded_s").alias("rows"), F.max("recorded_s").alias("recorded_s"))
+
+
+@query("e07_evidence_package", "SELECT row_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(props) AS source_sha256, row_id <> 0 AND kind <> 'error' AS bound FROM observations")
+def evidence_package(r: Roles) -> DataFrame:
+    """Pointers into sources bound by digest: a source that was changed after it was bound resolves, but is not bound."""
+    bound = r.observations.select("row_id", F.sha2("props", 256).alias("source_sha256"))
+    now = r.observations.select("row_id", F.when((F.col("kind") == "error") | (F.col("row_id") == 0), F.concat("props", F.lit(" "))).otherwise(F.col("props")).alias("props"))
+    return bound.join(now, "row_id").select("row_id", scalars.pointer("props", "/k").cast("long").alias("k"), "source_sha256", (F.sha2("props", 256) == F.col("source_sha256")).alias("bound"))
+
+
+@query("r03_stop_overlay", """WITH d AS (SELECT max(service_date) AS d FROM spine), p AS (SELECT s.trip_id, s.seq, s.stop_id, s.boardings, row_number() OVER (PARTITION BY s.stop_id ORDER BY s.boardings DESC, s.trip_id, s.seq) AS busiest FROM spine s, d WHERE s.service_date > d.d - 200),
+u AS (SELECT stop_id, row_number() OVER (ORDER BY stop_id) AS r FROM stops WHERE stop_id NOT IN (SELECT s.stop_id FROM spine s, d WHERE s.service_date > d.d - 10)), f AS (SELECT *, row_number() OVER (ORDER BY boardings, trip_id, seq) AS r FROM p WHERE busiest > 1)
+SELECT f.trip_id, f.seq, f.stop_id AS donor, u.stop_id AS unused FROM f JOIN u USING (r)""")
+def stop_overlay(r: Roles) -> DataFrame:
+    """Stops without a visit in the last ten days take over the positions of least pressure of the last 200, each donor's busiest one left alone.
+
+    Rank meets rank. Only as many positions are ranked as there are unused stops, which the network bounds.
+    """
+    last = r.spine.agg(F.max("service_date").alias("d"))
+    x = r.spine.crossJoin(F.broadcast(last))  # one row
+    used = x.filter(F.col("service_date") > F.date_sub("d", 10)).select("stop_id").distinct()
+    unused = r.stops.select("stop_id").join(used, "stop_id", "left_anti").withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stop_id")))
+    busiest = F.row_number().over(Window.partitionBy("stop_id").orderBy(F.desc("boardings"), "trip_id", "seq"))
+    free = x.filter(F.col("service_date") > F.date_sub("d", 200)).withColumn("b", busiest).filter("b > 1").orderBy("boardings", "trip_id", "seq").limit(unused.count())
+    free = free.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("boardings", "trip_id", "seq")))
+    return free.join(unused.withColumnRenamed("stop_id", "unused"), "r").select("trip_id", "seq", F.col("stop_id").alias("donor"), "unused")
+
+
+@query("b04_prediction_sample", f"WITH s AS ({SCORED}) SELECT case_id, actual, predicted, (SELECT count(*) FROM s) AS cases_n, (SELECT count(*) FROM s WHERE actual = predicted) AS hits_n FROM s ORDER BY case_id LIMIT 100")
+def prediction_sample(r: Roles) -> DataFrame:
+    """A bounded sample of predictions under the audited summary of their run."""
+    s = scored(r)
+    summary = s.agg(F.count("*").alias("cases_n"), F.count_if(F.col("actual") == F.col("predicted")).alias("hits_n"))
+    return s.select("case_id", "actual", "predicted").orderBy("case_id").limit(100).crossJoin(F.broadcast(summary))  # one row
+
+
+@query("b01_capabilities", "SELECT 15 AS capabilities_n, 36 AS sections_n, 0 AS unanswered, true AS unknown_refused")
+def capabilities(r: Roles) -> DataFrame:
+    """Every section of every capability is answered by a registered query; unknown ones are refused."""
+    from korridor.plans import QUERIES
+    from korridor.serving import CAPABILITIES, answer
+
+    sections = [q for s in CAPABILITIES.values() for q in s.values()]
+    try:
+        answer(r.spark, r.sf_dir, "nothing", "at all")
+        refused = False
+    except ValueError:
+        refused = True
+    return r.spark.createDataFrame([(len(CAPABILITIES), len(sections), sum(q not in QUERIES for q in sections), refused)], "capabilities_n int, sections_n int, unanswered int, unknown_refused boolean")
+
+
+#: fixed values: task, grain, target, what a missing target means
+TASK_CONTRACTS = {
+    "delay_severity": ("row_id", "label_name", "excluded"), "demand_forecast": ("row_id", "mean_7", "no history"), "occupancy": ("trip_id, seq", "utilization", "unknown capacity"),
+    "headway": ("trip_id, seq", "headway_s", "first departure"), "delay_analytics": ("service_date, route_id, direction", "mean_delay_s", "no visit"), "route_clustering": ("route_id, direction", "load", "no visit"),
+}
+
+
+def task_frames(r: Roles) -> dict[str, DataFrame]:
+    from korridor.plans import analytics, models, windows
+
+    return {**{k: build(r) for k, build in models.TASKS.items()}, "headway": windows.headway(r), "delay_analytics": analytics.delay_analytics(r), "route_clustering": analytics.route_vector(r)}
+
+
+@query("m04_composed_tasks", "SELECT 'headway' AS task, count(*) AS n FROM spine UNION ALL SELECT 'delay_analytics', count(*) FROM (SELECT DISTINCT service_date, route_id, direction FROM spine) a UNION ALL SELECT 'route_clustering', count(*) FROM (SELECT DISTINCT route_id, direction FROM spine WHERE service_date < DATE '1999-01-01') b UNION ALL SELECT 'delay_severity', count(*) FROM observations UNION ALL SELECT 'demand_forecast', count(*) FROM observations UNION ALL SELECT 'occupancy', count(*) FROM spine")
+def composed_tasks(r: Roles) -> DataFrame:
+    """Rows of each task's frame as all are built together."""
+    parts = [x.agg(F.lit(name).alias("task"), F.count("*").alias("n")) for name, x in task_frames(r).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("m05_task_dispatcher", "SELECT 'occupancy' AS task, count(*) AS n, true AS unknown_refused FROM spine UNION ALL SELECT 'delay_severity', count(*), true FROM observations")
+def task_dispatcher(r: Roles) -> DataFrame:
+    """The tasks asked for and no others; a name that no task has is refused before any is built."""
+    from korridor.plans import models
+
+    try:
+        models.build_task(r, "weather")
+        refused = False
+    except ValueError:
+        refused = True
+    parts = [models.build_task(r, t).agg(F.lit(t).alias("task"), F.count("*").alias("n"), F.lit(refused).alias("unknown_refused")) for t in ("occupancy", "delay_severity")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("m06_task_contracts", "SELECT unnest(['delay_severity', 'demand_forecast', 'occupancy', 'headway', 'delay_analytics', 'route_clustering']) AS task, unnest(['row_id', 'row_id', 'trip_id, seq', 'trip_id, seq', 'service_date, route_id, direction', 'route_id, direction']) AS grain, 0::BIGINT AS repeated, 0::BIGINT AS without_grain")
+def task_contracts(r: Roles) -> DataFrame:
+    """Each task's grain, held against its frame: rows that repeat a grain, and rows that lack a part of it."""
+    parts = []
+    for task, x in task_frames(r).items():
+        keys = TASK_CONTRACTS[task][0].split(", ")
+        per = x.groupBy(*keys).agg(F.count("*").alias("n"))
+        gap = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        parts.append(per.agg(F.lit(task).alias("task"), F.lit(", ".join(keys)).alias("grain"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.count_if(gap).alias("without_grain")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def quotas(counts: DataFrame, budget: int) -> DataFrame:
+    """split, label, quota: the budget by split, then each split's by label, at least one of each that has rows."""
+    splits = windows.largest_remainder(counts.groupBy("split").agg(F.sum("n").alias("n")), [], "n", budget, "split", minimum=1).select("split", F.col("quota").alias("seats"))
+    return windows.largest_remainder(counts.join(splits, "split"), ["split"], "n", "seats", "label", minimum=1).select("split", "label", "quota")
+
+
+_ALLOCATE = """{p}_b AS (SELECT *, least(n, 1) AS base, least({seats}, sum(n) OVER ({w})) - sum(least(n, 1)) OVER ({w}) AS free, sum(n) OVER ({w}) - sum(least(n, 1)) OVER ({w}) AS left_n FROM {src}),
+{p}_s AS (SELECT *, CASE WHEN left_n > 0 AND free > 0 THEN (n - base)::DOUBLE * free / left_n ELSE 0 END AS share FROM {p}_b), {p}_f AS (SELECT *, floor(share) AS whole, row_number() OVER ({w} ORDER BY share - floor(share) DESC, {tie}) AS r FROM {p}_s),
+{p} AS (SELECT *, CAST(base + whole + CASE WHEN base + whole < n AND r <= greatest(free, 0) - sum(whole) OVER ({w}) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM {p}_f)"""
+
+
+def _handoff_sql(rows: str, seed: str, budget: int) -> str:
+    return f"""x AS ({rows}), c AS (SELECT split, label, count(*) AS n FROM x GROUP BY split, label), t AS (SELECT split, sum(n) AS n FROM c GROUP BY split), {_ALLOCATE.format(p="q", src="t", seats=budget, w="", tie="split")},
+d AS (SELECT c.split, c.label, c.n, q.quota AS seats FROM c JOIN q USING (split)), {_ALLOCATE.format(p="l", src="d", seats="seats", w="PARTITION BY split", tie="label")},
+k AS (SELECT x.*, row_number() OVER (PARTITION BY x.split, x.label ORDER BY sha256('{seed}|' || x.case_id), x.case_id) AS place FROM x) SELECT k.split, k.label, k.case_id FROM k JOIN l ON l.split = k.split AND l.label = k.label WHERE k.place <= l.quota"""
+
+
+_TASK_ROWS = {"crowding": ("SELECT case_id, split, target AS label FROM ({cases}) c", 500), "demand": ("SELECT case_id, split, 0 AS label FROM ({cases}) c", 300)}
+
+
+@query("m18_handoff_rows", " UNION ALL ".join(f"SELECT '{t}' AS task, * FROM (WITH {_handoff_sql(rows.format(cases=CASES), 'm18-' + t, n)}) {t}" for t, (rows, n) in _TASK_ROWS.items()) + " UNION ALL SELECT 'occupancy', 'test', 0, case_id FROM (SELECT trip_id * 10 + seq AS case_id FROM spine WHERE capacity > 0 AND actual_s > scheduled_s ORDER BY sha256('m18-occupancy|' || (trip_id * 10 + seq)), 1 LIMIT 200) o UNION ALL SELECT 'clustering', 'train', 0, route_id FROM (SELECT DISTINCT route_id FROM spine WHERE service_date < DATE '1999-01-01') k")
+def handoff_rows(r: Roles) -> DataFrame:
+    """The rows of the four handoffs: sampled by split and label, by split, the first of a seeded order, and whole."""
+    out = []
+    for task, x in (("crowding", cases(r).select("case_id", "split", F.col("target").alias("label"))), ("demand", cases(r).select("case_id", "split", F.lit(0).alias("label")))):
+        q = quotas(x.groupBy("split", "label").agg(F.count("*").alias("n")), _TASK_ROWS[task][1])
+        out.append(windows.ranked_sample(x.join(F.broadcast(q), ["split", "label"]), ["split", "label"], F.col("quota"), ["case_id"], f"m18-{task}").select(F.lit(task).alias("task"), "split", "label", "case_id"))  # a row a split and label
+    case = F.col("trip_id") * 10 + F.col("seq")
+    seen = r.spine.filter("capacity > 0 AND actual_s > scheduled_s").select(case.alias("case_id")).orderBy(scalars.rank_digest("m18-occupancy", "case_id"), "case_id").limit(200)
+    out.append(seen.select(F.lit("occupancy").alias("task"), F.lit("test").alias("split"), F.lit(0).alias("label"), "case_id"))
+    whole = r.spine.filter("service_date < DATE'1999-01-01'").select(F.col("route_id").cast("long").alias("case_id")).distinct()
+    out.append(whole.select(F.lit("clustering").alias("task"), F.lit("train").alias("split"), F.lit(0).alias("label"), "case_id"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("m19_independent_export", f"WITH {_handoff_sql(_TASK_ROWS['crowding'][0].format(cases=CASES), 'm18-crowding', 500)}")
+def independent_export(r: Roles) -> DataFrame:
+    """The crowding handoff by another way, from the raw tables: certified, written, read back."""
+    o, v = r.table("orders"), r.table("lineitem")
+    events = v.groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("seq")).agg(F.sum("l_quantity").alias("q"), seconds("min(l_shipdate)").alias("actual_s"), F.min("l_partkey").alias("vehicle_id"))
+    x = events.join(o.select(F.col("o_orderkey").alias("trip_id"), seconds("o_orderdate").alias("at_s"), F.to_date("o_orderdate").alias("day")), "trip_id").filter("actual_s >= at_s")
+    split = F.when(F.col("day") < "1999-01-01", "train").when(F.col("day") < "2000-01-01", "validation").when(F.col("day") < "2002-01-01", "test")
+    at = F.col("at_s")
+    x = x.select((F.col("trip_id") * 10 + F.col("seq")).alias("case_id"), split.alias("split"), (F.floor("q") > 25).cast("int").alias("target"), at.alias("feature_cutoff_s"), (at - 86_400).alias("value_available_s"), at.alias("target_s"), F.col("actual_s").alias("target_available_s"))
+    q = quotas(x.groupBy("split", F.col("target").alias("label")).agg(F.count("*").alias("n")), 500)
+    x = windows.ranked_sample(x.withColumn("label", F.col("target")).join(F.broadcast(q), ["split", "label"]), ["split", "label"], F.col("quota"), ["case_id"], "m18-crowding")
+    path = scratch(r)
+    handoff.write_handoff(x.drop("label", "quota", "sample_rank"), path, "crowding", [], {"producer": "raw tables"})
+    return handoff.read_handoff(r.spark, path).select("split", F.col("target").alias("label"), "case_id")
+
+
+_LAT = "round(10 + n.route_id + s * 0.01 * CASE d WHEN 0 THEN 1 ELSE -1 END, 6)"
+
+
+@query("g02_network", f"SELECT n.route_id, d AS direction_id, s AS stop_sequence, n.route_id * 100 + d * 50 + s AS route_stop_id, {_LAT} AS latitude, round(20 + s * 0.02, 6) AS longitude, round((s - 1) * 111.195 * sqrt(0.0001 + 0.0004 * power(cos(radians(10.0)), 2)), 4) AS distance_km, 'P' || n.route_id || '-' || d AS pattern_id FROM routes n, range(0, 2) t(d), range(1, 11) u(s)")
+def network(r: Roles) -> DataFrame:
+    """Stops of both patterns of each route with their places and distances along the pattern."""
+    x = r.routes.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("direction_id")).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("stop_sequence"))
+    s, step = F.col("stop_sequence"), 111.195 * (0.0001 + 0.0004 * math.cos(math.radians(10.0)) ** 2) ** 0.5
+    return x.select("route_id", "direction_id", "stop_sequence", (F.col("route_id") * 100 + F.col("direction_id") * 50 + s).alias("route_stop_id"), F.round(10 + F.col("route_id") + s * 0.01 * F.when(F.col("direction_id") == 0, 1).otherwise(-1), 6).alias("latitude"), F.round(20 + s * 0.02, 6).alias("longitude"), F.round((s - 1) * step, 4).alias("distance_km"), F.concat(F.lit("P"), F.col("route_id"), F.lit("-"), F.col("direction_id")).alias("pattern_id"))
+
+
+@query("g10_positions", "SELECT trip_id, seq, round(10 + least(100, greatest(0, boardings)) / 200, 6) AS latitude, round(20 + (seq - 1) * 0.02 + (stop_id % 7) * 0.001, 6) AS longitude, actual_s - 15 AS observed_s, CASE WHEN direction = 'R' THEN 'UNKNOWN' ELSE 'KNOWN' END AS assignment_status, CASE WHEN direction <> 'R' THEN vehicle_id END AS assignment_id FROM visits")
+def positions(r: Roles) -> DataFrame:
+    """A position shortly before each visit, with the vehicle where it is known."""
+    known = F.col("direction") != "R"
+    return r.visits.select("trip_id", "seq", F.round(10 + F.least(F.lit(100), F.greatest(F.lit(0), F.col("boardings"))) / 200, 6).alias("latitude"), F.round(20 + (F.col("seq") - 1) * 0.02 + (F.col("stop_id") % 7) * 0.001, 6).alias("longitude"), (F.col("actual_s") - 15).alias("observed_s"), F.when(known, "KNOWN").otherwise("UNKNOWN").alias("assignment_status"), F.when(known, F.col("vehicle_id")).alias("assignment_id"))
+
+
+@query("g11_preflight", """WITH p AS (SELECT count(*) AS departures, count(*) * (SELECT avg(n) FROM (SELECT count(*) AS n FROM visits GROUP BY trip_id) v) AS events, sum(CASE WHEN status <> 'P' THEN 1 ELSE 0 END) AS operated FROM trips)
+SELECT 'departures' AS metric, departures::DOUBLE AS projected, 10000.0::DOUBLE AS target, departures >= 10000 AS met FROM p UNION ALL SELECT 'events', round(events, 4), 40000.0, events >= 40000 FROM p UNION ALL SELECT 'operated', operated::DOUBLE, 9000.0, operated >= 9000 FROM p""")
+def preflight(r: Roles) -> DataFrame:
+    """What a generation would come to, from plans and mean rates alone, against its targets."""
+    rate = r.visits.groupBy("trip_id").agg(F.count("*").alias("n")).agg(F.avg("n").alias("rate"))
+    p = r.trips.agg(F.count("*").alias("departures"), F.count_if(F.col("status") != "P").alias("operated")).crossJoin(F.broadcast(rate))  # one row each
+    aims = {"departures": (F.col("departures").cast("double"), 10_000.0), "events": (F.col("departures") * F.col("rate"), 40_000.0), "operated": (F.col("operated").cast("double"), 9_000.0)}
+    return p.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value"), F.lit(t).alias("target")) for k, (v, t) in aims.items()))).alias("a")).select("a.metric", F.round("a.value", 4).alias("projected"), "a.target", (F.col("a.value") >= F.col("a.target")).alias("met"))
+
+
 __all__ = ["certified"]

@@ -126,15 +126,9 @@ def deltas(r: Roles) -> DataFrame:
     return x.filter("scenario <> 'baseline'").join(b, "route_id").select("route_id", "scenario", F.round(F.col("served") - F.col("s"), 6).alias("served_delta"), F.round(F.col("wait_minutes") - F.col("w"), 5).alias("wait_delta"))
 
 
-@query("e07_evidence_pointer", "SELECT row_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(props) AS source_sha256 FROM observations")
-def evidence_pointer(r: Roles) -> DataFrame:
-    return r.observations.select("row_id", scalars.pointer("props", "/k").cast("long").alias("k"), F.sha2("props", 256).alias("source_sha256"))
-
-
 # corrections: repaired counts are 'N' rows moved to the next stop of the trip
 portable("r01_balance", "SELECT coalesce(a.trip_id, b.trip_id) AS trip_id, coalesce(b.n, 0) - coalesce(a.n, 0) AS net FROM (SELECT trip_id, CAST(sum(boardings) AS BIGINT) AS n FROM visits GROUP BY trip_id) a FULL JOIN (SELECT trip_id, CAST(sum(boardings + CASE WHEN direction = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM visits GROUP BY trip_id) b ON a.trip_id = b.trip_id WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)")
 portable("r02_boarding_deltas", "SELECT v.trip_id, v.seq, CAST(sum(CASE WHEN d.seq = v.seq THEN 1 ELSE -1 END) AS BIGINT) AS delta FROM visits v JOIN (SELECT trip_id, seq FROM visits WHERE direction = 'R') d ON d.trip_id = v.trip_id AND d.seq IN (v.seq, v.seq + 1) GROUP BY v.trip_id, v.seq")
-portable("r03_stop_overlay", "SELECT u.stop_id AS unused, p.stop_id AS donor FROM (SELECT stop_id, row_number() OVER (ORDER BY stop_id) AS r FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM visits WHERE seq > 6)) u JOIN (SELECT stop_id, row_number() OVER (ORDER BY n, stop_id) AS r FROM (SELECT stop_id, count(*) AS n FROM visits WHERE seq > 6 GROUP BY stop_id) c) p ON p.r = u.r")
 portable("r04_vehicle_overlay", "SELECT u.vehicle_id AS unused, d.vehicle_id AS donor, d.trip_id, d.seq, u.capacity FROM (SELECT vehicle_id, capacity, row_number() OVER (PARTITION BY capacity ORDER BY vehicle_id) AS r FROM vehicles h WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.vehicle_id = h.vehicle_id)) u JOIN (SELECT v.vehicle_id, v.trip_id, v.seq, h.capacity, row_number() OVER (PARTITION BY h.capacity ORDER BY v.vehicle_id, v.trip_id, v.seq) AS r FROM visits v JOIN vehicles h ON h.vehicle_id = v.vehicle_id JOIN (SELECT vehicle_id FROM visits GROUP BY vehicle_id HAVING count(*) > 1) m ON m.vehicle_id = v.vehicle_id) d ON d.capacity = u.capacity AND d.r = u.r")
 portable("r05_first_free_slot", "SELECT passenger_id, min(end_s) AS free_s FROM (SELECT passenger_id, scheduled_s + 86400 AS end_s, lead(scheduled_s) OVER (PARTITION BY passenger_id ORDER BY scheduled_s, trip_id) AS next_s FROM trips) q WHERE next_s IS NULL OR next_s - end_s >= 604800 GROUP BY passenger_id")
 
@@ -162,12 +156,6 @@ def ids(r: Roles) -> DataFrame:
     return r.trips.select("trip_id", F.concat(F.lit("TRP-"), F.sha2(F.concat_ws("|", F.lit("trips"), F.col("trip_id")), 256)).alias("id"))
 
 
-@query("g02_network", "SELECT n.route_id, d AS direction_id, s AS stop_sequence, n.route_id * 100 + d * 50 + s AS route_stop_id FROM routes n, range(0, 2) t(d), range(1, 11) u(s)")
-def network(r: Roles) -> DataFrame:
-    x = r.routes.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("direction_id")).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("stop_sequence"))
-    return x.withColumn("route_stop_id", F.col("route_id") * 100 + F.col("direction_id") * 50 + F.col("stop_sequence"))
-
-
 @query("g03_calendar", "SELECT CAST(d AS DATE) AS service_date, isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '2025-01-01', DATE '2025-05-01') OR CAST(d AS DATE) = DATE '2025-03-01' AS runs FROM range(TIMESTAMP '2025-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY) t(d)")
 def calendar(r: Roles) -> DataFrame:
     days = r.spark.range(1).select(F.explode(F.sequence(F.lit("2025-01-01").cast("date"), F.lit("2025-12-31").cast("date"))).alias("service_date"))
@@ -205,9 +193,6 @@ def movement_budget(r: Roles) -> DataFrame:
     return windows.largest_remainder(r.visits.groupBy(F.col("trip_id").alias("k")).agg(F.sum("boardings").alias("n")), [], "n", 100_000, "k").select("k", "quota")
 
 
-portable("g10_positions", "SELECT trip_id, seq, round(10 + CAST(least(100, greatest(0, boardings)) AS DOUBLE) / 200, 6) AS latitude FROM visits")
-portable("g11_preflight", "SELECT route_id, count(*) AS trips_n, CAST(count(*) * 8 AS BIGINT) AS planned_events, CAST(count(*) * 8 * 20 AS BIGINT) AS projected_movements FROM trips GROUP BY route_id")
 portable("g12_prediction_cases", "SELECT trip_id, scheduled_s AS cutoff_s, scheduled_s + 3600 AS horizon_s, scheduled_s + 3600 >= 946684800 AND scheduled_s < 946684800 AS purged FROM trips")
 
 # reports
-portable("b04_prediction_sample", "SELECT row_id, kind, target FROM observations WHERE kind = 'purchase' ORDER BY row_id LIMIT 100")

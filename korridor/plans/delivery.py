@@ -77,7 +77,6 @@ def evidence_log(r: Roles) -> DataFrame:
     return files.last_evidence(r.spark, path, "run-1", "features")
 
 
-portable("s08_projected_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
 
 
 @query("s10_bounded_read", "SELECT r_regionkey, r_name FROM region")
@@ -85,7 +84,6 @@ def bounded_read(r: Roles) -> DataFrame:
     return files.bounded(r.table("region"), 1000).select("r_regionkey", "r_name")
 
 
-portable("s11_projected_columns", "SELECT c_custkey, c_mktsegment FROM customer")
 
 
 @query("s13_unique_keys", "SELECT trip_id, route_id FROM trips WHERE status <> 'P'")
@@ -94,7 +92,6 @@ def unique_keys(r: Roles) -> DataFrame:
     return x.withColumn("once", files.exactly_one("trip_id")).filter("once").select("trip_id", "route_id")
 
 
-portable("s16_catalog_page", "SELECT stop_id, stop_code FROM stops WHERE zone_id = 3 ORDER BY stop_code, stop_id LIMIT 10 OFFSET 1")
 portable("s17_latest_point", "SELECT trip_id, fare FROM trips WHERE passenger_id = 7 ORDER BY scheduled_s DESC, trip_id DESC LIMIT 1")
 
 
@@ -119,22 +116,6 @@ def conditional_partition(r: Roles) -> DataFrame:
     return r.spark.read.parquet(path)
 
 
-@query("k04_write_once", "SELECT true AS refused")
-def write_once(r: Roles) -> DataFrame:
-    path, refused = scratch(r), False
-    files.write_once(r.table("region"), path)
-    try:
-        files.write_once(r.table("region"), path)
-    except Exception as e:
-        refused = "PATH_ALREADY_EXISTS" in str(e)
-    return r.spark.createDataFrame([(refused,)], "refused boolean")
-
-
-@query("k05_run_path", "SELECT 'x/runs/stage=a/dataset=b-1/run=c.2' AS path")
-def run_path(r: Roles) -> DataFrame:
-    return r.spark.createDataFrame([(files.run_path("x", "a", "b-1", "c.2"),)], "path string")
-
-
 CASES = """SELECT trip_id * 10 + seq AS case_id, CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' WHEN service_date < DATE '2002-01-01' THEN 'test' END AS split, scheduled_s AS feature_cutoff_s, scheduled_s - 86400 AS value_available_s, scheduled_s AS target_s, actual_s AS target_available_s, CAST(boardings > 25 AS INTEGER) AS target, seq AS stop_sequence FROM spine WHERE actual_s >= scheduled_s"""
 
 
@@ -200,14 +181,6 @@ def task_parquet(r: Roles) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(whole)
 
 
-@query("k08_evidence_append", "SELECT 3 AS records")
-def evidence_append(r: Roles) -> DataFrame:
-    path = scratch(r)
-    for i in range(3):
-        r.spark.createDataFrame([("run-1", "stage", "SUCCESS", i)], "run_id string, stage string, status string, recorded_s long").coalesce(1).write.mode("append").json(path)
-    return r.spark.read.schema("run_id string").json(path).agg(F.count("*").cast("int").alias("records"))
-
-
 @query("k09_row_envelope", """SELECT trip_id, seq, '{"boardings":' || boardings || ',"stop_id":' || stop_id || '}' AS raw_record_text, sha256('{"boardings":' || boardings || ',"stop_id":' || stop_id || '}') AS raw_sha256, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS INTEGER) AS row_ordinal FROM visits""")
 def row_envelope(r: Roles) -> DataFrame:
     return files.envelope(r.visits, ["trip_id", "seq"], ["stop_id", "boardings"]).select("trip_id", "seq", "raw_record_text", "raw_sha256", "row_ordinal")

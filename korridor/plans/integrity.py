@@ -178,15 +178,18 @@ CHECKS: dict[str, dict[str, str]] = {
         "vehicle_change": "SELECT trip_id FROM visits GROUP BY trip_id HAVING min(vehicle_id) <> max(vehicle_id)",
         "early_arrival": "SELECT 1 AS x FROM spine WHERE actual_s < scheduled_s",
     },
-    "v57_bounded": {
-        "links": "SELECT 1 AS x FROM visits v LEFT JOIN trips t ON t.trip_id = v.trip_id LEFT JOIN stops s ON s.stop_id = v.stop_id WHERE t.trip_id IS NULL OR s.stop_id IS NULL",
-        "flow": "SELECT trip_id FROM visits GROUP BY trip_id HAVING sum(boardings) < sum(alightings)",
-        "overlap": "SELECT passenger_id FROM (SELECT passenger_id, scheduled_s, lead(scheduled_s) OVER (PARTITION BY passenger_id ORDER BY scheduled_s, trip_id) AS next_s FROM trips) q WHERE next_s < scheduled_s + 3600",
-        "ticket_copies": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey HAVING count(*) > 1",
+    "v58_inspector": {
+        "time_inside": "SELECT 1 AS x FROM observations o LEFT JOIN contexts c ON c.route_id = o.route_id AND o.at_s >= c.starts_s AND o.at_s < c.ends_s WHERE c.context_id IS NULL",
+        "position_after_duty": "SELECT 1 AS x FROM visits v JOIN trips t ON t.trip_id = v.trip_id WHERE v.actual_s NOT BETWEEN t.scheduled_s AND t.scheduled_s + 10368000",
+        "duplicate_copies": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity HAVING count(*) > 1",
+        "torn_rows": "SELECT 1 AS x FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL OR l_quantity IS NULL OR l_returnflag IS NULL",
     },
-    "v58_inspector": {"time_inside": "SELECT 1 AS x FROM observations o LEFT JOIN contexts c ON c.route_id = o.route_id AND o.at_s >= c.starts_s AND o.at_s < c.ends_s WHERE c.context_id IS NULL"},
 }
 
+#: the checks that a corrected version is held to: movements, links, timing, overlap, flow, context, fixtures
+BOUNDED = ["v01_pk_unique", "v02_foreign_keys", "v06_ticket_journey_overlap", "v07_operated_trips", "v11_plan_parents", "v12_stop_sequence", "v13_distance_order", "v14_schedule_order", "v17_event_pattern", "v18_event_time", "v19_cancellation", "v20_origin_destination", "v21_conservation", "v22_count_context", "v24_load", "v26_nonoverlap", "v27_assignment_status", "v33_business_context", "v58_inspector"]
+CHECKS["v57_bounded"] = dict(list({f"{family}.{name}": sql for family in BOUNDED for name, sql in CHECKS[family].items()}.items())[:42])
+
 for _name, _checks in CHECKS.items():
     portable(_name, "\nUNION ALL\n".join(f"SELECT '{c}' AS check_name, CAST(count(*) AS BIGINT) AS violations FROM ({sql}) v_{i}" for i, (c, sql) in enumerate(_checks.items())))
 

@@ -49,11 +49,6 @@ def build_task(r: Roles, task: str) -> DataFrame:
     return TASKS[task](r)
 
 
-@query("m05_task_dispatcher", "SELECT 'occupancy' AS task, count(*) AS n FROM spine")
-def task_dispatcher(r: Roles) -> DataFrame:
-    return build_task(r, "occupancy").agg(F.lit("occupancy").alias("task"), F.count("*").alias("n"))
-
-
 def _sets(r: Roles) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with history, split by time: the first 20 days, the next 5, the rest."""
     x = features(r, ["route_id"]).filter("lag_1 is not null and mean_7 is not null").select("row_id", "at_s", F.col("hour").cast("double").alias("hour"), F.col("weekday").cast("double").alias("weekday"), "lag_1", "mean_7", F.col("target").alias("label"))
@@ -141,15 +136,6 @@ def silhouette(r: Roles) -> DataFrame:
 
 
 
-@query("m18_handoff_rows", f"SELECT split, label, case_id FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY sha256('m18|' || case_id), case_id) AS place FROM (SELECT case_id, actual AS label, CASE WHEN service_date < DATE '1999-01-01' THEN 'train' WHEN service_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END AS split FROM ({SCORED}) s) q) p WHERE place <= 100")
-def handoff_rows(r: Roles) -> DataFrame:
-    from korridor.operators import windows
-
-    x = scored(r).select("case_id", F.col("actual").alias("label"), F.coalesce(transit.splits("service_date", "1999-01-01", "2000-01-01", "2001-01-01"), F.lit("test")).alias("split"))
-    return windows.ranked_sample(x, ["split", "label"], 100, ["case_id"], "m18").select("split", "label", "case_id")
-
-
-portable("m19_independent_export", f"SELECT actual AS label, count(*) AS n, round(avg(probability), 6) AS mean_probability FROM ({SCORED}) s GROUP BY actual")
 
 
 @query("c01_engine_comparison", f"WITH a AS (SELECT case_id, y AS v FROM ({SCORED}) s), b AS (SELECT case_id, z AS v FROM ({SCORED}) s) SELECT count(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 1 END) AS shared, count(CASE WHEN b.v IS NULL THEN 1 END) AS left_only, count(CASE WHEN a.v IS NULL THEN 1 END) AS right_only, round(avg(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN (a.v = b.v)::INT::DOUBLE END), 6) AS agreement, round(avg(abs(a.v - b.v)), 6) AS mean_delta, round(max(abs(a.v - b.v)), 6) AS max_delta FROM a FULL JOIN b ON a.case_id = b.case_id")

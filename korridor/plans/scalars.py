@@ -52,13 +52,6 @@ def pluggable_predicate(r: Roles) -> DataFrame:
     return quality.issues(r.spine, "trip_id", "ODD-LOAD", odd("boardings"), "boardings", "spine")
 
 
-@query("b01_capabilities", "SELECT 15 AS capabilities_n, 36 AS sections_n")
-def capabilities(r: Roles) -> DataFrame:
-    from korridor.serving import CAPABILITIES
-
-    return r.spark.createDataFrame([(len(CAPABILITIES), sum(map(len, CAPABILITIES.values())))], "capabilities_n int, sections_n int")
-
-
 @query("b02_dispatch", "SELECT route_id, direction, count(*) AS n FROM spine WHERE route_id = 3 AND direction = 'N' GROUP BY route_id, direction")
 def dispatch(r: Roles) -> DataFrame:
     from korridor.serving import answer
@@ -66,12 +59,3 @@ def dispatch(r: Roles) -> DataFrame:
     return answer(r.spark, r.sf_dir, "passengerFlow", "directionalSummary", {"routeId": 3, "direction": "N", "stopId": ""})
 
 
-@query("m04_composed_tasks", "SELECT 'headway' AS task, count(*) AS n FROM spine UNION ALL SELECT 'delay_analytics', count(*) FROM (SELECT DISTINCT service_date, route_id, direction FROM spine) a UNION ALL SELECT 'route_clustering', count(*) FROM (SELECT DISTINCT route_id, direction FROM spine WHERE service_date < DATE '1999-01-01') b")
-def composed_tasks(r: Roles) -> DataFrame:
-    from korridor.plans import analytics, windows
-
-    out = None
-    for name, build in (("headway", windows.headway), ("delay_analytics", analytics.delay_analytics), ("route_clustering", analytics.route_vector)):
-        part = build(r).agg(F.lit(name).alias("task"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -145,3 +145,22 @@ def read_predictions(spark: SparkSession, path: str, engine: str, dataset: str)
     length = F.regexp_extract("case_id", "^([0-9]+):", 1).cast("int")
     begin = F.length(length.cast("string")) + 2
     return rows.select(F.substring(F.col("case_id"), begin, length).alias("trip"), F.substring(F.col("case_id"), begin + length, F.length("case_id")).alias("event"), "prediction")
+
+
+def read_projected(spark: SparkSession, path: str, schema: StructType, columns: list[str], required: list[str] = ()) -> DataFrame:
+    """The ``columns`` of typed CSV shards; a required one that is not among them, or an unknown one, is an error."""
+    absent = [c for c in [*required, *columns] if c not in schema.names or c not in columns]
+    if absent:
+        raise ValueError(f"columns missing: {sorted(set(absent))}")
+    return read_csv(spark, path, schema).select(*columns)
+
+
+def reserve(spark: SparkSession, path: str, owner: str) -> None:
+    """Claim an output path: the lock beside it is created only if absent, and nothing may be there yet."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    lock = jvm.org.apache.hadoop.fs.Path(f"{path}._execution.lock")
+    if exists(spark, path):
+        raise FileExistsError(path)
+    stream = lock.getFileSystem(conf).create(lock, False)  # fails if another run was faster
+    stream.write(bytearray(owner.encode()))
+    stream.close()
