@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
@@ -98,11 +98,13 @@ def rules(r: Roles) -> DataFrame:
 portable("e02_priority", "SELECT route_id, CASE CAST(floor((CASE WHEN p >= 20000 THEN 1 ELSE 0 END + CASE WHEN p >= 66000 THEN 1 ELSE 0 END + CASE WHEN p >= 70000 THEN 1 ELSE 0 END + 2) / 2) AS INT) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS priority FROM (SELECT route_id, sum(boardings) AS p FROM spine GROUP BY route_id) q")
 
 
-@query("e03_generate", f"SELECT DISTINCT route_id, rule, priority FROM ({_rules_sql()}) q WHERE status = 'TRIGGERED'")
+@query("e03_generate", f"SELECT DISTINCT 'REC-' || sha256(route_id || '|' || rule || '|' || priority) AS recommendation_id, route_id, rule, priority FROM ({_rules_sql()}) q WHERE status = 'TRIGGERED'")
 def generate(r: Roles) -> DataFrame:
-    x = rules(r).filter("status = 'TRIGGERED'").dropDuplicates(["route_id", "rule"])
+    """Each recommendation once, by the digest of what it says, the most pressing first."""
+    digest = F.concat(F.lit("REC-"), F.sha2(F.concat_ws("|", F.col("route_id").cast("string"), "rule", "priority"), 256))
+    x = rules(r).filter("status = 'TRIGGERED'").withColumn("recommendation_id", digest).dropDuplicates(["recommendation_id"])
     order = F.array_position(F.array(*map(F.lit, reversed(whatif.PRIORITIES))), F.col("priority"))
-    return x.select("route_id", "rule", "priority").orderBy(order, "route_id", "rule")
+    return x.select("recommendation_id", "route_id", "rule", "priority").orderBy(order, "route_id", "rule")
 
 
 @query("e04_queue", _queue_sql(["baseline"]))
@@ -139,12 +141,20 @@ def recomputed_counts(r: Roles) -> DataFrame:
     return windows.onboard(x, ["trip_id"], "seq", "boardings", "alightings").select("trip_id", "seq", "onboard_departure")
 
 
-@query("r07_patched_rows", "SELECT v.trip_id, v.seq, coalesce(p.stop_id, v.stop_id) AS stop_id FROM visits v LEFT JOIN (SELECT trip_id, seq, stop_id + 1 AS stop_id FROM visits WHERE direction = 'R') p ON p.trip_id = v.trip_id AND p.seq = v.seq")
+@query("r07_patched_rows", """WITH p AS (SELECT trip_id, seq, stop_id + 1 AS stop_id FROM visits WHERE direction = 'R' AND boardings > 90), v AS (SELECT v.trip_id // 64 AS shard, count(*) AS rows_n, count(p.trip_id) AS patched_n, sum(coalesce(p.stop_id, v.stop_id))::BIGINT AS stops_sum FROM visits v LEFT JOIN p ON p.trip_id = v.trip_id AND p.seq = v.seq GROUP BY 1)
+SELECT shard, rows_n, patched_n, stops_sum, patched_n > 0 AS rewritten FROM v""")
 def patched_rows(r: Roles) -> DataFrame:
+    """Only shards that a patch touches are rewritten, whole; the others are read where they lie."""
     from korridor.sources.files import patched
 
-    patch = r.visits.filter("direction = 'R'").select("trip_id", "seq", (F.col("stop_id") + 1).alias("stop_id"))
-    return patched(r.visits.select("trip_id", "seq", "stop_id"), patch, ["trip_id", "seq"])
+    shard = F.floor(F.col("trip_id") / 64)
+    patch = r.visits.filter("direction = 'R' AND boardings > 90").select("trip_id", "seq", (F.col("stop_id") + 1).alias("stop_id"))
+    touched = patch.groupBy(shard.alias("shard")).agg(F.count("*").alias("patched_n"))
+    rows = r.visits.select(shard.alias("shard"), "trip_id", "seq", "stop_id")
+    new = patched(rows.join(touched.select("shard"), "shard", "left_semi"), patch, ["trip_id", "seq"])
+    kept = rows.join(touched.select("shard"), "shard", "left_anti")
+    x = new.select("shard", "stop_id").unionByName(kept.select("shard", "stop_id")).groupBy("shard").agg(F.count("*").alias("rows_n"), F.sum("stop_id").alias("stops_sum"))
+    return x.join(touched, "shard", "left").select("shard", "rows_n", F.coalesce("patched_n", F.lit(0)).alias("patched_n"), "stops_sum", F.col("patched_n").isNotNull().alias("rewritten"))
 
 
 portable("r08_reused_scan", "SELECT a.route_id, a.n, b.late FROM (SELECT route_id, count(*) AS n FROM spine GROUP BY route_id) a JOIN (SELECT route_id, count(*) AS late FROM spine WHERE actual_s > scheduled_s GROUP BY route_id) b ON b.route_id = a.route_id")
@@ -179,10 +189,22 @@ def actual_times(r: Roles) -> DataFrame:
 portable("g06_demand_formula", "SELECT trip_id, round(CAST(20 AS DOUBLE) * CASE WHEN (CAST(floor(scheduled_s / 86400) AS BIGINT) + 3) % 7 + 1 >= 6 THEN CAST(0.72 AS DOUBLE) ELSE 1 END * CASE WHEN trip_id % 2 = 1 THEN CAST(0.62 AS DOUBLE) ELSE 1 END * CASE WHEN trip_id % 97 = 0 THEN 2 ELSE 1 END, 4) AS demand FROM trips")
 
 
-@query("g07_rider_flow", "SELECT trip_id, seq, unnest(range(1, boardings + 1)) AS rider FROM visits")
+@query("g07_rider_flow", """WITH c AS (SELECT trip_id, seq, boardings, sum(boardings) OVER w - boardings AS before_n, sum(alightings) OVER w AS off_n FROM visits WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), r AS (SELECT trip_id, seq, unnest(range(1, boardings + 1)) AS rider, before_n FROM c WHERE boardings > 0)
+SELECT r.trip_id, r.seq, r.rider, min(c.seq) AS alights_seq, 'TK-' || r.trip_id || '-' || (r.before_n + r.rider)::BIGINT AS ticket FROM r LEFT JOIN c ON c.trip_id = r.trip_id AND c.seq > r.seq AND c.off_n >= r.before_n + r.rider GROUP BY r.trip_id, r.seq, r.rider, r.before_n""")
 def rider_flow(r: Roles) -> DataFrame:
-    """A row for each boarding of a visit."""
-    return r.visits.filter("boardings > 0").select("trip_id", "seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("boardings"))).alias("rider"))
+    """A journey and its ticket for each boarding of a visit; who boards first alights first, null if never.
+
+    A trip's riders are numbered in order of boarding; rider k alights at the first later visit by which
+    k have alighted. That is one array of a trip's few visits, not a join of riders with visits.
+    """
+    run = Window.partitionBy("trip_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = r.visits.select("trip_id", "seq", "boardings", (F.sum("boardings").over(run) - F.col("boardings")).alias("before_n"), F.collect_list(F.struct("seq", "alightings")).over(Window.partitionBy("trip_id")).alias("stops"))
+    ordered = F.array_sort("stops")
+    sums = F.aggregate(ordered, F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).cast("long").alias("off"))), lambda done, t: F.concat(done, F.array(F.struct(t["seq"].cast("int").alias("seq"), (F.element_at(done, -1)["off"] + t["alightings"]).alias("off")))))
+    x = x.withColumn("sums", sums).filter("boardings > 0").select("trip_id", "seq", "before_n", "sums", F.explode(F.sequence(F.lit(1).cast("long"), F.col("boardings"))).alias("rider"))
+    number = F.col("before_n") + F.col("rider")
+    alights = F.try_element_at(F.filter("sums", lambda t: (t["seq"] > F.col("seq")) & (t["off"] >= number)), F.lit(1))["seq"]
+    return x.select("trip_id", "seq", "rider", alights.alias("alights_seq"), F.concat_ws("-", F.lit("TK"), F.col("trip_id").cast("string"), number.cast("string")).alias("ticket"))
 
 
 portable("g08_duties", "SELECT vehicle_id, count(*) AS duties, CAST(sum(CASE WHEN scheduled_s < busy + 3600 THEN 1 ELSE 0 END) AS BIGINT) AS clashes FROM (SELECT vehicle_id, scheduled_s, max(actual_s) OVER (PARTITION BY vehicle_id ORDER BY scheduled_s, trip_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM spine WHERE actual_s > scheduled_s) q GROUP BY vehicle_id")
