@@ -22,11 +22,18 @@ def roles(spark, **frames):
 
 
 def test_every_boarding_is_a_rider(spark):
-    boardings = {(1, 1): 48, (1, 2): 0, (2, 1): 3, (2, 2): None, (3, 1): 50}
-    visits = spark.createDataFrame([(*k, n) for k, n in boardings.items()], "trip_id long, seq long, boardings long")
-    got = [tuple(x) for x in decisions.rider_flow(roles(spark, visits=visits)).collect()]
-    want = [(*k, i + 1) for k, n in boardings.items() for i in range(n or 0)]
-    assert sorted(got) == sorted(want) and len(got) == 101
+    visits = {(1, 1): (48, 0), (1, 2): (0, 20), (1, 4): (1, 27), (2, 1): (3, 0), (2, 2): (None, 3), (3, 1): (50, 0)}
+    df = spark.createDataFrame([(*k, *v) for k, v in visits.items()], "trip_id long, seq long, boardings long, alightings long")
+    got = sorted((x.trip_id, x.seq, x.rider, x.alights_seq or 0, x.ticket) for x in decisions.rider_flow(roles(spark, visits=df)).collect())
+    want = []
+    for trip in (1, 2, 3):
+        number = 0
+        for (t, seq), (on, _) in visits.items():
+            for i in range(on or 0 if t == trip else 0):
+                number += 1
+                off = [s for (u, s), _ in visits.items() if u == trip and s > seq and sum(o for (w, z), (_, o) in visits.items() if w == trip and z <= s) >= number]
+                want.append((trip, seq, i + 1, min(off, default=0), f"TK-{trip}-{number}"))
+    assert got == sorted(want) and len(got) == 102
 
 
 def test_all_candidates_compete(spark):
@@ -132,7 +139,9 @@ def test_all_cases_are_compared_and_split_by_day(spark):
     spine = spark.createDataFrame(rows, "trip_id long, seq long, actual_s long, scheduled_s long, boardings long, alightings long, service_date date")
     r = models.engine_comparison(roles(spark, spine=spine)).first()
     assert (r.shared, r.left_only, r.right_only, r.agreement) == (6, 0, 0, 1.0)
-    got = {x.case_id // 10: x.split for x in models.handoff_rows(roles(spark, spine=spine)).collect()}
+    from korridor.plans import delivery
+
+    got = {x.case_id // 10: x.split for x in delivery.cases(roles(spark, spine=spine)).collect()}
     assert got == {1: "train", 35: "validation", 7: "validation", 50000: "train", 9: "test", 11: "test"}
 
 
