@@ -3,7 +3,8 @@
 Each stage reads all that the stage before kept and is written before the next begins, so a lost
 executor costs at most the stage at hand. ``ORACLE_SQL`` is None: SQL expresses neither the trained
 classifier nor SimHash groups nor the tokenizer. ``tests/llm/test_pipeline.py`` holds each stage
-against a plain version instead.
+against a plain version instead: the same score a text at a time, sets, all pairs, SQL, the original
+library.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates."""
+    """The document with the least doc_id of each group of near duplicates (equal ids: the first stored)."""
     return near_dedup(docs)
 
 
 def weighed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes the block in which it begins."""
     return mixed(docs)
 
 

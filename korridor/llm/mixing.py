@@ -143,8 +143,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*docs.columns)
 
 
-def sql(seed: int = 20240229, blocks: int = 1 << 20, shard_blocks: int = 1024) -> str:
-    """The same mix of ``documents`` in DuckDB, by listing every block a document overlaps."""
+def sql(seed: int = 20240229, blocks: int = 1 << 20, shard_blocks: int = 1024, whole: bool = False) -> str:
+    """The same mix of ``documents`` in DuckDB, by listing every block a document overlaps; ``whole``: how often ``mixed`` has each."""
 
     def apportion(name: str, party: str, weight: str, group: str) -> str:
         return f"""
@@ -157,6 +157,11 @@ def sql(seed: int = 20240229, blocks: int = 1 << 20, shard_blocks: int = 1024) -
 {name}_g AS (SELECT place, {party} AS party, count(*) AS won FROM {name}_r WHERE r <= spare GROUP BY place, {party}),
 {name} AS (SELECT l.*, l.sure + coalesce(g.won, 0) AS quota FROM {name}_l l LEFT JOIN {name}_g g ON l.place = g.place AND l.{party} = g.party)"""
 
+    last = """e AS (SELECT o.doc_id, sum(greatest(0, least(o.finish, (y.block + 1) * y.words // y.n) - greatest(o.finish - o.size, y.block * y.words // y.n)) * (y.quota // y.n + y.extra::INT))::BIGINT AS taken
+  FROM o JOIN y ON o.place = y.place AND o.shard = y.shard AND y.block >= ((o.finish - o.size + 1) * y.n - 1) // y.words AND y.block <= (o.finish * y.n - 1) // y.words WHERE o.size > 0 GROUP BY o.doc_id)
+SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(e.taken, 0) AS taken FROM o LEFT JOIN e USING (doc_id)"""
+    if whole:
+        last = "z AS (SELECT 1) SELECT o.doc_id, y.quota // y.n + y.extra::INT AS times FROM o JOIN y ON o.place = y.place AND o.shard = y.shard AND y.block = ((o.finish - o.size + 1) * y.n - 1) // y.words WHERE o.size > 0 AND y.quota // y.n + y.extra::INT > 0"
     return f"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
@@ -176,7 +181,5 @@ v AS (SELECT place, shard, words, n, least(quota, 2 * n)::BIGINT AS quota FROM b
 x AS (SELECT *, unnest(range(0, n)) AS block FROM v),
 y AS (SELECT *, row_number() OVER (PARTITION BY place, shard ORDER BY md5('{seed}|block|' || place || '|' || shard || '|' || block), block) <= quota % n AS extra FROM x),
 o AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY salt, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS finish FROM q),
-e AS (SELECT o.doc_id, sum(greatest(0, least(o.finish, (y.block + 1) * y.words // y.n) - greatest(o.finish - o.size, y.block * y.words // y.n)) * (y.quota // y.n + y.extra::INT))::BIGINT AS taken
-  FROM o JOIN y ON o.place = y.place AND o.shard = y.shard AND y.block >= ((o.finish - o.size + 1) * y.n - 1) // y.words AND y.block <= (o.finish * y.n - 1) // y.words WHERE o.size > 0 GROUP BY o.doc_id)
-SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(e.taken, 0) AS taken FROM o LEFT JOIN e USING (doc_id)
+{last}
 """
