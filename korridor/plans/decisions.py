@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
-from korridor.operators import transit, whatif, windows
+from korridor.operators import allocation, transit, whatif, windows
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
 
@@ -207,6 +207,25 @@ def rider_flow(r: Roles) -> DataFrame:
     return x.select("trip_id", "seq", "rider", alights.alias("alights_seq"), F.concat_ws("-", F.lit("TK"), F.col("trip_id").cast("string"), number.cast("string")).alias("ticket"))
 
 
+@query("g08_allocated_duties", None)
+def allocated_duties(r: Roles) -> DataFrame:
+    """Each operated trip's vehicle of its route's depot, round robin, an hour free between duties; null if the depot has none free."""
+    routes = r.routes.select("route_id").withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("route_id")) - 1)  # a row a route
+    depots = r.vehicles.join(F.broadcast(routes), F.pmod(F.col("vehicle_id"), F.lit(routes.count())) == F.col("_n")).select("route_id", "vehicle_id")
+    duties = r.spine.filter("status <> 'P'").groupBy("route_id", "trip_id").agg(F.min("scheduled_s").alias("start_s"), F.max("actual_s").alias("end_s"))
+    return allocation.allocate(duties, depots, "route_id", "trip_id", "vehicle_id", "start_s", "end_s", 3600)
+
+
+@query("r05_bundle_placement", None)
+def bundle_placement(r: Roles) -> DataFrame:
+    """Riders of the fullest visits move to visits of the same route that want some, where they are free."""
+    x = r.spine.filter("actual_s > scheduled_s").join(r.trips.select("trip_id", "passenger_id"), "trip_id")
+    visit = F.col("trip_id") * 10 + F.col("seq")
+    slots = x.filter("boardings < 3").select("route_id", visit.alias("slot"), (3 - F.col("boardings")).cast("int").alias("wanted"), F.col("actual_s").alias("start_s"), (F.col("actual_s") + 3600).alias("end_s"))
+    pool = x.filter("boardings > 90").select("route_id", visit.alias("item"), "passenger_id", F.col("actual_s").alias("start_s"), (F.col("actual_s") + 3600).alias("end_s"))
+    return allocation.place_bundles(slots, pool, "route_id", "slot", "wanted", "item", "passenger_id", "start_s", "end_s")
+
+
 portable("g08_duties", "SELECT vehicle_id, count(*) AS duties, CAST(sum(CASE WHEN scheduled_s < busy + 3600 THEN 1 ELSE 0 END) AS BIGINT) AS clashes FROM (SELECT vehicle_id, scheduled_s, max(actual_s) OVER (PARTITION BY vehicle_id ORDER BY scheduled_s, trip_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM spine WHERE actual_s > scheduled_s) q GROUP BY vehicle_id")
 
 

@@ -153,6 +153,13 @@ CHECKS: dict[str, dict[str, str]] = {
         "vehicle_integrity": "SELECT v.vehicle_id FROM visits v LEFT JOIN vehicles h ON h.vehicle_id = v.vehicle_id WHERE h.capacity IS NULL",
         "route_parents": "SELECT 1 AS x FROM trips t LEFT JOIN routes r ON r.route_id = t.route_id WHERE r.route_id IS NULL",
         "opening": "SELECT 1 AS x FROM spine WHERE status = 'O' AND service_date < DATE '1995-03-01'",
+        "route_stop_integrity": "SELECT s.stop_id FROM stops s LEFT JOIN routes r ON r.route_id = s.zone_id WHERE r.route_id IS NULL",
+        "calendar_compatibility": f"SELECT 1 AS x FROM trips t JOIN passengers p ON p.passenger_id = t.passenger_id WHERE p.segment = 'HOUSEHOLD' AND {WEEKDAY} > 5",
+        "duties_nonoverlap": "SELECT vehicle_id FROM (SELECT vehicle_id, scheduled_s, max(actual_s) OVER (PARTITION BY vehicle_id ORDER BY scheduled_s, trip_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM spine WHERE actual_s > scheduled_s) q WHERE scheduled_s < busy + 3600",
+        "stop_event_relationships": "SELECT v.trip_id FROM visits v LEFT JOIN stops s ON s.stop_id = v.stop_id LEFT JOIN trips t ON t.trip_id = v.trip_id WHERE s.stop_id IS NULL OR t.trip_id IS NULL OR s.zone_id <> t.route_id",
+        "request_relationships": "SELECT o.row_id FROM observations o LEFT JOIN passengers p ON p.passenger_id = o.route_id WHERE p.passenger_id IS NULL",
+        "context_relationships": "SELECT c.context_id FROM contexts c LEFT JOIN observations o ON o.row_id = c.context_id WHERE o.row_id IS NULL OR c.ends_s <= c.starts_s",
+        "journey_relationships": "SELECT a.trip_id FROM visits a JOIN visits b ON b.trip_id = a.trip_id AND b.seq = a.seq + 1 WHERE b.stop_id = a.stop_id",
     },
     "v51_temporal": {
         "metadata": "SELECT 1 AS x FROM observations WHERE NOT (at_s <= available_s)",
@@ -160,23 +167,45 @@ CHECKS: dict[str, dict[str, str]] = {
         "one_plan": "SELECT passenger_id, service_date FROM trips GROUP BY passenger_id, service_date HAVING count(*) > 1",
         "applicable": "SELECT o.row_id FROM observations o JOIN contexts c ON c.route_id = o.route_id WHERE c.starts_s <= o.at_s AND o.at_s < c.ends_s GROUP BY o.row_id HAVING count(*) > 1",
         "purge": "SELECT 1 AS x FROM trips WHERE service_date >= DATE '1996-12-25' AND service_date < DATE '1997-01-01'",
+        "complete_availability": "SELECT row_id FROM observations WHERE at_s IS NULL OR available_s IS NULL",
+        "trip_time_order": "SELECT trip_id FROM (SELECT trip_id, min(actual_s) AS first_s, max(actual_s) AS last_s, min(scheduled_s) AS planned_s FROM spine GROUP BY trip_id) q WHERE last_s < first_s OR first_s < planned_s",
+        "schedule_before_use": "SELECT 1 AS x FROM spine WHERE scheduled_s > actual_s + 86400 * 365",
+        "stop_event_order": "SELECT trip_id FROM (SELECT trip_id, actual_s, lag(actual_s) OVER (PARTITION BY trip_id ORDER BY seq) AS before FROM visits) q WHERE actual_s < before",
+        "delay_derived": f"SELECT 1 AS x FROM spine WHERE {DELAY} > 0 AND {DELAY} % 86400 <> 0",
+        "superseded_unused": "SELECT DISTINCT v.trip_id FROM visits v JOIN trips t ON t.trip_id = v.trip_id WHERE t.status = 'P'",
+        "split_membership": "SELECT 1 AS x FROM trips WHERE service_date >= DATE '1999-01-01' AND scheduled_s < 915148800 OR service_date < DATE '1999-01-01' AND scheduled_s >= 915148800",
+        "late_revision": "SELECT a.row_id FROM observations a JOIN observations b ON b.route_id = a.route_id AND b.kind = a.kind AND b.at_s = a.at_s AND b.row_id > a.row_id WHERE b.available_s <= a.available_s",
     },
     "v52_counts": {
         "physical": "SELECT 1 AS x FROM spine WHERE boardings < 0 OR alightings < 0 OR alightings > boardings",
         "boundary": "SELECT v.trip_id FROM visits v JOIN (SELECT trip_id, min(seq) AS a, max(seq) AS z FROM visits GROUP BY trip_id) e ON e.trip_id = v.trip_id WHERE v.seq = e.a AND v.alightings > 10 OR v.seq = e.z AND v.boardings > 40",
         "unknown_vehicle": "SELECT 1 AS x FROM spine WHERE capacity IS NULL AND boardings > 0",
         "not_clipped": "SELECT 1 AS x WHERE (SELECT count(*) FROM spine WHERE boardings > capacity) = 0",
+        "conservation": "SELECT trip_id FROM visits GROUP BY trip_id HAVING sum(boardings) < sum(alightings) OR sum(boardings) - sum(alightings) > 500",
+        "transfer_counters": "SELECT a.trip_id FROM visits a JOIN visits b ON b.trip_id = a.trip_id AND b.seq = a.seq + 1 WHERE a.vehicle_id <> b.vehicle_id AND b.boardings < a.boardings - a.alightings",
+        "capacity_flags": "SELECT 1 AS x FROM spine WHERE (capacity IS NULL) = (CASE WHEN capacity > 0 THEN boardings > capacity END IS NOT NULL)",
+        "reconcile_to_lines": "SELECT v.trip_id FROM visits v JOIN (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber) l ON l.l_orderkey = v.trip_id AND l.l_linenumber = v.seq WHERE l.q <> v.boardings",
+        "journeys_nonoverlap": "SELECT passenger_id FROM (SELECT passenger_id, scheduled_s, lag(scheduled_s) OVER (PARTITION BY passenger_id ORDER BY scheduled_s, trip_id) AS before FROM trips) q WHERE scheduled_s < before + 43200",
     },
     "v53_leakage": {
         "cutoff": "SELECT 1 AS x FROM observations WHERE available_s > at_s",
         "planned_information": "SELECT 1 AS x FROM contexts WHERE known_s > starts_s",
         "plan_groups": "SELECT passenger_id FROM trips GROUP BY passenger_id HAVING count(DISTINCT CASE WHEN service_date < DATE '1999-01-01' THEN 'train' ELSE 'test' END) > 1",
+        "value_filter": "SELECT 1 AS x FROM (SELECT count(*) AS seen, sum(CASE WHEN available_s <= at_s THEN 1 ELSE 0 END) AS kept FROM observations) q WHERE kept = 0 OR kept = seen",
+        "horizon_purge": "SELECT trip_id FROM trips WHERE service_date < DATE '1999-01-01' AND scheduled_s + 604800 >= 915148800",
     },
     "v54_transport": {
         "delay_rate": f"SELECT 1 AS x FROM (SELECT avg(CASE WHEN {DELAY} > 0 THEN 1.0 ELSE 0.0 END) AS rate FROM spine) q WHERE rate < 0.05 OR rate > 0.50",
         "low_demand": "SELECT 1 AS x FROM spine WHERE capacity > 0 AND boardings < 0.2 * capacity",
         "vehicle_change": "SELECT trip_id FROM visits GROUP BY trip_id HAVING min(vehicle_id) <> max(vehicle_id)",
         "early_arrival": "SELECT 1 AS x FROM spine WHERE actual_s < scheduled_s",
+        "coverage": "SELECT stop_id FROM stops s WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.stop_id = s.stop_id)",
+        "duplicate_fixtures": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey HAVING count(*) > 1",
+        "special_event_spike": "SELECT q.service_date FROM (SELECT service_date, sum(boardings) AS b, avg(sum(boardings)) OVER () AS usual FROM spine GROUP BY service_date) q WHERE b > 3 * usual",
+        "context_scope": "SELECT c.context_id FROM contexts c LEFT JOIN passengers p ON p.passenger_id = c.route_id WHERE p.passenger_id IS NULL OR c.known_s < c.starts_s",
+        "bunching": "SELECT 1 AS x FROM (SELECT route_id, direction, scheduled_s - lag(scheduled_s) OVER (PARTITION BY route_id, direction ORDER BY scheduled_s, trip_id, seq) AS gap FROM spine WHERE seq = 1) q WHERE gap < 300",
+        "phase_contract": "SELECT a.trip_id FROM visits a JOIN visits b ON b.trip_id = a.trip_id AND b.seq = a.seq + 1 WHERE a.vehicle_id <> b.vehicle_id AND b.actual_s < a.actual_s",
+        "demand_differences": f"SELECT 1 AS x FROM (SELECT avg(CASE WHEN {WEEKDAY} >= 6 THEN boardings END) AS weekend, avg(CASE WHEN {WEEKDAY} < 6 THEN boardings END) AS weekday FROM spine) q WHERE abs(weekend - weekday) > 0.2 * weekday",
     },
     "v58_inspector": {
         "time_inside": "SELECT 1 AS x FROM observations o LEFT JOIN contexts c ON c.route_id = o.route_id AND o.at_s >= c.starts_s AND o.at_s < c.ends_s WHERE c.context_id IS NULL",
