@@ -89,3 +89,8 @@ def window_names(raw: np.ndarray, width: int) -> np.ndarray:
     """The name of the ``width`` bytes (64 to 128) that start at each position."""
     _, long = names(raw)
     return _pair(long[: len(raw) - width + 1], long[width - LONG :], _ODD[4]).view(np.int64)
+
+
+def pair(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+    """The name of a pair of names, apart for each ``k`` below eight."""
+    return _pair(left, right, _ODD[k])

@@ -3,23 +3,28 @@
 A byte goes if it lies in a string of ``width`` bytes that also starts earlier: in a document with a
 smaller doc_id, or earlier in the same one. All strings are judged on the input.
 
-Doubling over every position would sort the whole corpus once per doubled length: at 100 bytes
-seven sorts of a row per byte. Here ranks are doubled only where they can matter:
-
-1. Each task doubles names from 1 to 64 bytes (see ``anchors``) and keeps one *anchor* for about 35
-   positions, chosen by content, so that two equal strings keep the same one.
-2. Spark sorts the anchors by the pair (name of 32 bytes, name of the pair extended to all bytes
-   its windows cover, 100 to 168). A first name that is unique ends there. Of equal pairs all but
-   the first are repeats, with all their windows.
-3. First names that go on differently are past the threshold on one side only. For these the
-   offset grows window by window: each 100-byte string under the anchor is named, sorted and ranked.
-
-Names that more than 1 / SHARE of the rows at hand have (the ends of a passage that many documents
+Spark sorts pairs (rank of a shorter string, name of the longer one around it) at growing offsets,
+reranks, and drops what is unique, until strings are past ``width`` bytes. Doing so for every position
+would sort the whole corpus once per length, a row per byte. So ranks are kept for positions where
+they can matter:
+
+1. Each task doubles names from 1 to 32 and 64 bytes (see ``anchors``) and keeps one *anchor* for about
+   35 positions, chosen by content, so that two equal strings keep the same one.
+2. At 32 bytes: Spark sorts the anchors by the pair (name of 32 bytes, name of the pair extended to all
+   bytes its windows cover, 100 to 168). A first name that is unique is dropped, with all windows under
+   it. Of equal pairs all but the first are repeats, with all their windows.
+3. At 65 and at 89 bytes (for a ``width`` of 100): what is left has first names that go on differently. The windows under an
+   anchor are parted into bands of 36, then 12 starts; all windows of a band share 65, then 89 bytes,
+   whose name with the rank so far is the new rank. Bands whose rank is unique are dropped.
+4. At 100 bytes: each window left is named, sorted and ranked within its band's rank; all but the first
+   of equal ones are repeats.
+
+Ranks that more than 1 / SHARE of the rows at hand have (the ends of a passage that many documents
 share and go on from in their own ways), at most SHARE of them, are split off by a broadcast: their
-rows are dealt out by what follows, in step 2 by the whole pair, in step 3 by the single window.
-Equal anchors and equal windows that meet in one task are merged before a shuffle, so a passage that
-a third of all documents share costs a row per task. Names have 64 bits, and a decision always needs
-two of them.
+rows are dealt out by what follows, in step 2 by the whole pair, in step 4 by the single window; in
+step 3 they stay without being counted. Equal anchors and equal windows that meet in one task are
+merged before a shuffle, so a passage that a third of all documents share costs a row per task. Names
+have 64 bits, and a decision always needs two of them.
 
 Nulls: a null text is empty; a null doc_id comes before all others. Empty and short texts lose
 nothing; a very long text is named in overlapping segments. Rows that repeat a doc_id with the same
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korridor.llm.anchors import KEY, LONG, anchors, window_names
+from korridor.llm.anchors import KEY, LONG, anchors, pair, window_names
 from korridor.llm.common import batches, byte_parts, cut, drop, keyed, unkeyed
 
 ANCHOR = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("hi", pa.int32()), ("at", pa.int32()), ("repeat", pa.bool_())])
@@ -48,6 +53,7 @@ WINDOW = pa.schema([("name", pa.int64()), ("at", pa.int32()), ("window", pa.int6
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("end", pa.int64())])))])
 BUFFER, SEGMENT, FLUSH = 1 << 18, 1 << 22, 1 << 26
 SHARE = 1024  #: a name is hot with more than this part of all rows
+BANDS = (36, 12)  #: window starts of a band, so that its windows share all but so many bytes; the ranks grow from 32 to 65 and 89 bytes of 100
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -228,6 +234,44 @@ def _explode(width: int):
     return run
 
 
+def _refine(width: int, band: int):
+    """Each row of unresolved windows as its bands of ``band`` starts, the rank of each made longer by the bytes that its windows share."""
+    length = width - band + 1
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in range(0, len(whole), 20_000):
+                batch = whole.slice(part, 20_000)
+                raw, ends = byte_parts(batch, "bytes")
+                if not len(raw):
+                    continue
+                size = np.diff(ends, prepend=0)
+                count, at = size - width + 1, batch.column("at").to_numpy().astype(np.int64)
+                most = at // band  # the band of a window is where the anchor lies in it, divided
+                bands = most - (at - count + 1) // band + 1
+                row = np.repeat(np.arange(len(size)), bands)
+                g = most[row] - (np.arange(len(row)) - np.repeat(np.cumsum(bands) - bands, bands))
+                first = np.maximum(0, at[row] - (g + 1) * band + 1)
+                last = np.minimum(count[row] - 1, at[row] - g * band)
+                begin = (ends - size)[row]
+                shared = window_names(raw, length)[begin + at[row] - g * band].view(np.uint64)
+                rank = pair(pair(batch.column("name").to_numpy()[row].view(np.uint64), shared, 5), g.astype(np.uint64), 6)
+                text = raw.tobytes()
+                yield from batches(TEXT, {
+                    "name": rank.view(np.int64), "doc_id": batch.column("doc_id").to_numpy()[row], "tie": batch.column("tie").to_numpy()[row], "lo": batch.column("lo").to_numpy()[row] + first,
+                    "at": (at[row] - first).astype(np.int32), "bytes": [text[a:b] for a, b in zip((begin + first).tolist(), (begin + last + width).tolist(), strict=True)],
+                })
+
+    return run
+
+
+def _shared(rows: DataFrame, label: str) -> DataFrame:
+    """The rows whose rank another row has, written; one exchange, none for hot ranks."""
+    hot = F.broadcast(_hot(rows))
+    few = rows.join(hot, "name", "left_anti").repartition("name").withColumn("n", F.count("*").over(Window.partitionBy("name"))).filter("n > 1").drop("n")
+    return cut(few.unionByName(rows.join(hot, "name")), label)
+
+
 def _hot(rows: DataFrame) -> DataFrame:
     """The names that more than 1 / SHARE of ``rows`` have, verified; fewer than SHARE rows, for a broadcast."""
     likely = rows.agg(F.expr(f"approx_top_k(name, {SHARE}, {8 * SHARE})").alias("top"), F.count("*").alias("all")).select(F.explode("top").alias("top"), "all")
@@ -263,10 +307,10 @@ def _finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` (lo, end) of each document.
 
-    ``width``: 64 to 128 bytes.
+    ``width``: 99 to 128 bytes.
     """
-    if not LONG <= width <= 2 * LONG:
-        raise ValueError(f"width must be {LONG} to {2 * LONG}")
+    if not LONG + max(BANDS) - 1 <= width <= 2 * LONG:
+        raise ValueError(f"width must be {LONG + max(BANDS) - 1} to {2 * LONG}")
     place, key = ["doc_id", "tie", "lo"], ["name", "at", "window"]
     texts = keyed(docs).withColumn("tie", F.xxhash64("text"))
     found = cut(texts.mapInArrow(_find(width), _ddl(ANCHOR)), "anchors")
@@ -286,6 +330,11 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     again = ranked.filter("rank > 1").select(*place, (F.col("lo") + F.col("hi") + width).alias("end"))
     opened = ranked.filter("rank = 1").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("name", "lo", "hi", "at")).alias("open"))
     fetched = cut(texts.join(opened.hint("shuffle_hash"), ["doc_id", "tie"]).mapInArrow(_fetch(width), _ddl(TEXT)), "fetched")
+    for band in BANDS:
+        longer = cut(fetched.mapInArrow(_refine(width, band), _ddl(TEXT)), "longer")
+        drop(fetched)
+        fetched = _shared(longer, "shared")
+        drop(longer)
     hot = F.broadcast(_hot(fetched))
     few = fetched.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name").mapInArrow(_rank(width), _ddl(SPAN))
     windows = cut(fetched.join(hot, "name").mapInArrow(_explode(width), _ddl(WINDOW)), "windows")
@@ -298,4 +347,4 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     return done.withColumn("doc_id", unkeyed())
 
 
-assert KEY < LONG
+assert KEY < LONG <= 100 - max(BANDS) + 1
