@@ -22,7 +22,7 @@ they can matter:
 Ranks that more than 1 / SHARE of the rows at hand have (the ends of a passage that many documents
 share and go on from in their own ways), at most SHARE of them, are split off by a broadcast: their
 rows are dealt out by what follows, in step 2 by the whole pair, in step 4 by the single window; in
-step 3 they stay without being counted. Equal anchors and equal windows that meet in one task are
+step 3 they stay without being counted. Equal anchors, bands and windows that meet in one task are
 merged before a shuffle, so a passage that a third of all documents share costs a row per task. Names
 have 64 bits, and a decision always needs two of them.
 
@@ -50,6 +50,7 @@ ANCHOR = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("doc_id", pa
 SPAN = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("end", pa.int64())])
 TEXT = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
 WINDOW = pa.schema([("name", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("end", pa.int64()), ("repeat", pa.bool_())])
+BAND = pa.schema([*TEXT, ("end", pa.int64()), ("repeat", pa.bool_())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("end", pa.int64())])))])
 BUFFER, SEGMENT, FLUSH = 1 << 18, 1 << 22, 1 << 26
 SHARE = 1024  #: a name is hot with more than this part of all rows
@@ -256,10 +257,18 @@ def _refine(width: int, band: int):
                 begin = (ends - size)[row]
                 shared = window_names(raw, length)[begin + at[row] - g * band].view(np.uint64)
                 rank = pair(pair(batch.column("name").to_numpy()[row].view(np.uint64), shared, 5), g.astype(np.uint64), 6)
-                text = raw.tobytes()
-                yield from batches(TEXT, {
-                    "name": rank.view(np.int64), "doc_id": batch.column("doc_id").to_numpy()[row], "tie": batch.column("tie").to_numpy()[row], "lo": batch.column("lo").to_numpy()[row] + first,
-                    "at": (at[row] - first).astype(np.int32), "bytes": [text[a:b] for a, b in zip((begin + first).tolist(), (begin + last + width).tolist(), strict=True)],
+                each = window_names(raw, width).view(np.uint64)
+                x = {k: batch.column(k).to_numpy()[row] for k in ("doc_id", "tie")} | {
+                    "name": rank.view(np.int64), "lo": batch.column("lo").to_numpy()[row] + first, "at": (at[row] - first).astype(np.int32), "count": last - first + 1,
+                    "all": pair(each[begin + first], each[begin + last], 7).view(np.int64), "begin": begin + first,
+                }
+                x, _, again = _sorted(x, "name", "at", "count", "all")  # equal bands: all but the first are repeats
+                span, keep, text = _spans(x, again, x["lo"] + x["count"] - 1 + width), ~again, raw.tobytes()
+                none = np.zeros(len(span["lo"]), np.int64)
+                row_bytes = [text[a : a + n + width - 1] for a, n in zip(x["begin"][keep].tolist(), x["count"][keep].tolist(), strict=True)]
+                yield from batches(BAND, {
+                    "name": np.concatenate([x["name"][keep], none]), "at": np.concatenate([x["at"][keep], none]).astype(np.int32), "bytes": row_bytes + [b""] * len(none), **{k: np.concatenate([x[k][keep], span[k]]) for k in ("doc_id", "tie", "lo")},
+                    "end": np.concatenate([x["lo"][keep], span["end"]]), "repeat": np.arange(len(row_bytes) + len(none)) >= len(row_bytes),
                 })
 
     return run
@@ -269,7 +278,7 @@ def _shared(rows: DataFrame, label: str) -> DataFrame:
     """The rows whose rank another row has, written; one exchange, none for hot ranks."""
     hot = F.broadcast(_hot(rows))
     few = rows.join(hot, "name", "left_anti").repartition("name").withColumn("n", F.count("*").over(Window.partitionBy("name"))).filter("n > 1").drop("n")
-    return cut(few.unionByName(rows.join(hot, "name")), label)
+    return cut(few.unionByName(rows.join(hot, "name", "left_semi")), label)
 
 
 def _hot(rows: DataFrame) -> DataFrame:
@@ -323,26 +332,30 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
         .withColumn("size", F.sum((F.row_number().over(same_pair) == 1).cast("int")).over(same_name))
         .filter((F.col("rank") > 1) | (F.col("size") > 1)).drop("size")
     )
-    many = anchor.join(hot, "name").withColumn("rank", F.rank().over(same_pair))  # a hot name may go on in one way only: its windows then are unique
+    many = anchor.join(hot, "name", "left_semi").withColumn("rank", F.rank().over(same_pair))  # a hot name may go on in one way only: its windows then are unique
     repeats = found.filter("repeat").withColumn("rank", F.lit(2))
     ranked = cut(few.unionByName(many).unionByName(repeats).drop("context", "repeat"), "ranked")
     drop(found)
     again = ranked.filter("rank > 1").select(*place, (F.col("lo") + F.col("hi") + width).alias("end"))
     opened = ranked.filter("rank = 1").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("name", "lo", "hi", "at")).alias("open"))
     fetched = cut(texts.join(opened.hint("shuffle_hash"), ["doc_id", "tie"]).mapInArrow(_fetch(width), _ddl(TEXT)), "fetched")
+    merged = []
     for band in BANDS:
-        longer = cut(fetched.mapInArrow(_refine(width, band), _ddl(TEXT)), "longer")
+        longer = cut(fetched.mapInArrow(_refine(width, band), _ddl(BAND)), "longer")
         drop(fetched)
-        fetched = _shared(longer, "shared")
+        merged.append(cut(longer.filter("repeat").select(*place, "end"), "merged"))
+        fetched = _shared(longer.filter(~F.col("repeat")).select(*TEXT.names), "shared")
         drop(longer)
     hot = F.broadcast(_hot(fetched))
     few = fetched.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name").mapInArrow(_rank(width), _ddl(SPAN))
-    windows = cut(fetched.join(hot, "name").mapInArrow(_explode(width), _ddl(WINDOW)), "windows")
+    windows = cut(fetched.join(hot, "name", "left_semi").mapInArrow(_explode(width), _ddl(WINDOW)), "windows")
     order = Window.partitionBy(*key).orderBy(*place)
     later = windows.filter(~F.col("repeat")).withColumn("rank", F.rank().over(order)).filter("rank > 1")
+    for part in merged:
+        again = again.unionByName(part)
     spans = again.unionByName(few).unionByName(windows.filter("repeat").select(*place, "end")).unionByName(later.select(*place, "end"))
     spans = cut(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "spans")
-    drop(ranked, fetched, windows)
+    drop(ranked, fetched, windows, *merged)
     done = texts.join(spans.hint("shuffle_hash"), ["doc_id", "tie"], "left").mapInArrow(_finish, _ddl(RESULT))
     return done.withColumn("doc_id", unkeyed())
 
