@@ -109,19 +109,6 @@ def byte_parts(batch: pa.RecordBatch, column: str = "text") -> tuple["np.ndarray
     return bytes_of(batch.column(column))
 
 
-def text_groups(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
-    """The texts in their order, some million characters at a time."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def batches(schema: pa.Schema, columns: dict, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Columns of one length as batches of a bounded number of rows."""
     whole = pa.table({k: pa.array(columns[k], schema.field(k).type) if not isinstance(columns[k], (pa.Array, pa.ChunkedArray)) else columns[k] for k in schema.names}, schema=schema)

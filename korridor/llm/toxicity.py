@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korridor.llm.common import fresh, text_groups
+from korridor.llm.common import fresh
+from korridor.llm.pieces import groups
 
 ORDER, REACH, DECAY = 4, 8, 0.7
 LETTERS = 48  #: codes of characters; 0 stands for none
@@ -233,11 +234,12 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, rounds: int = 2, se
     root = vector[:, keep] / np.sqrt(value[keep])  # the Nystroem map
 
     project = dense.T @ root
+    del dense, value, vector
 
     def features(some: list[str]) -> np.ndarray:
         out = []
-        for k in range(0, len(some), 256):
-            part = some[k : k + 256]
+        for k in range(0, len(some), 64):
+            part = some[k : k + 64]
             r, s, v = _subsequences(part, alphabet)
             at = np.searchsorted(subs, s)
             at[at == len(subs)] = 0
@@ -317,9 +319,9 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in parts:
-            scores = []
-            for texts in text_groups([t or "" for t in batch.column("text").to_pylist()], 1 << 20):
-                bags = [words(t) for t in texts]
+            scores, column = [], batch.column("text")
+            for a, b in groups(column.fill_null("").cast(pa.large_binary()), 1 << 20):
+                bags = [words(t or "") for t in column.slice(a, b - a).to_pylist()]
                 new = list(set().union(*bags) - known.keys())
                 for k in range(0, len(new), 20_000):
                     known.update(zip(new[k : k + 20_000], np.maximum(shared.value.margins(new[k : k + 20_000]), FLOOR).tolist(), strict=True))
@@ -332,7 +334,7 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
                         top[i, 0], v[j] = v[j], FLOOR
                         top[i, 1] = max(v.max(), FLOOR)
                 scores.append(shared.value.score(top))
-                if len(known) > 300_000:
+                if len(known) > 200_000:
                     known.clear()
             scores = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
