@@ -80,6 +80,18 @@ def bytes_of(column: pa.Array) -> tuple["np.ndarray", "np.ndarray"]:
     return raw[offsets[0] : offsets[-1]], (offsets[1:] - offsets[0]).astype(np.int64)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system, for workers outlive their tasks."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fresh(docs: DataFrame, *labels: str) -> list[str]:
     """Names like the labels that no column of ``docs`` has."""
     taken, out = {c.lower() for c in docs.columns}, []

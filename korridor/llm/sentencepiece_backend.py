@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from korridor.llm.common import batches, bytes_of, keyed, unkeyed
+from korridor.llm.common import batches, bytes_of, keyed, release, unkeyed
 from korridor.llm.pieces import PieceEncoder, flat, groups, parted, ranges
 
 MARK = "▁"
@@ -247,5 +247,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 view = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
                 yield from batches(ENCODED, {"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": stop - begin, "ids_crc32": crc, "round_trip": whole, "parity": agree})
+        release()
 
     return keyed(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean").withColumn("doc_id", unkeyed())

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korridor.llm.common import batches, cut, drop, fresh, identified, keyed, unkeyed
+from korridor.llm.common import batches, cut, drop, fresh, identified, keyed, release, unkeyed
 from korridor.llm.graph import components
 
 BITS = 3  #: differing bits of a link
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *also: str)
         for batch in parts:
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *(batch.column(c) for c in also)], ["doc_id", "fp", *also])
+        release()
 
     rows = keyed(docs, *also)
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType()), *(rows.schema[c] for c in also)]))

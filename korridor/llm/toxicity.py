@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korridor.llm.common import fresh
+from korridor.llm.common import fresh, release
 from korridor.llm.pieces import groups
 
 ORDER, REACH, DECAY = 4, 8, 0.7
@@ -338,6 +338,8 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
                     known.clear()
             scores = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
+        known.clear()
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
