@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from korridor.llm import exact_dedup, html_text, mixing, sketches
 from korridor.llm.common import cut, drop, shared_dir, table
+from korridor.llm.merkle import SQL as MERKLE_SQL
+from korridor.llm.merkle import verified_rows
 from korridor.llm.minhash import SQL as MINHASH_SQL
 from korridor.llm.minhash import minhash_groups
 from korridor.llm.sentencepiece_backend import encode_documents
@@ -83,5 +85,9 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_files, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_html_text, op8_fingerprints, op9_sentencepiece, op10_mixing, op11_minhash)}
-SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.sql(), "op11_minhash": MINHASH_SQL}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_files, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_html_text, op8_fingerprints, op9_sentencepiece, op10_mixing, op11_minhash, op13_merkle_manifest)}
+SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.sql(), "op11_minhash": MINHASH_SQL, "op13_merkle_manifest": MERKLE_SQL}
