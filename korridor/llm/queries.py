@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korridor.llm import exact_dedup, html_text, mixing, sketches
+from korridor.llm.alignment import aligned
 from korridor.llm.common import cut, drop, shared_dir, table
 from korridor.llm.merkle import SQL as MERKLE_SQL
 from korridor.llm.merkle import verified_rows
@@ -85,9 +86,13 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_files, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_html_text, op8_fingerprints, op9_sentencepiece, op10_mixing, op11_minhash, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_files, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_html_text, op8_fingerprints, op9_sentencepiece, op10_mixing, op11_minhash, op12_alignment, op13_merkle_manifest)}
 SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.sql(), "op11_minhash": MINHASH_SQL, "op13_merkle_manifest": MERKLE_SQL}
