@@ -125,38 +125,6 @@ def running(marks: DataFrame, keys: list[str], instant: str, turn: str, values:
     return x.select(*(both[how](one[how](c).over(inside), F.col(f"_before_{c}")).alias(c) if (how := values.get(c)) else F.col(c) for c in marks.columns))
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: list[str], instant: str, starts: str, ends: str, known: str | None = None) -> DataFrame:
-    """Left join to every interval of the same key that contains the instant and was known by then."""
-    a, b = left.alias("_a"), right.alias("_b")
-    hit = [F.col(f"_a.{c}") == F.col(f"_b.{c}") for c in on] + [F.col(f"_a.{instant}").between(F.col(f"_b.{starts}"), F.col(f"_b.{ends}"))]
-    if known:
-        hit.append(F.col(f"_b.{known}") <= F.col(f"_a.{instant}"))
-    return a.join(b, hit, "left").select("_a.*", *(f"_b.{c}" for c in right.columns if c not in left.columns))
-
-
-def active_count(left: DataFrame, right: DataFrame, row: str, scopes: list[tuple[str, str]], context: str, instant: str, starts: str, ends: str, known: str) -> DataFrame:
-    """How many distinct contexts are active and known at each row's instant in any of the scopes.
-
-    ``scopes``: pairs of a left and a right column. "This route or this stop" as one join condition
-    would be a nested loop; a hash join per scope, united and made distinct, says the same.
-    """
-    found = None
-    for mine, theirs in scopes:
-        at = F.col(f"_a.{instant}")
-        hit = (F.col(f"_a.{mine}") == F.col(f"_b.{theirs}")) & at.between(F.col(f"_b.{starts}"), F.col(f"_b.{ends}")) & (F.col(f"_b.{known}") <= at)
-        part = left.alias("_a").join(right.alias("_b"), hit).select(f"_a.{row}", F.col(f"_b.{context}").alias("_context"))
-        found = part if found is None else found.unionByName(part)
-    counts = found.distinct().groupBy(row).agg(F.count("*").alias("active_contexts"))
-    return left.select(row).join(counts, row, "left").select(row, F.coalesce("active_contexts", F.lit(0)).alias("active_contexts"))
-
-
-def version_at(versions: DataFrame, queries: DataFrame, key: str, instant: str, starts: str, ends: str) -> DataFrame:
-    """Left join of each query to the version with starts <= instant < ends (a null end: still valid)."""
-    at, end = F.col(f"_q.{instant}"), F.coalesce(F.col(f"_v.{ends}"), F.lit((1 << 63) - 1))
-    hit = (F.col(f"_q.{key}") == F.col(f"_v.{key}")) & (F.col(f"_v.{starts}") <= at) & (at < end)
-    return queries.alias("_q").join(versions.alias("_v"), hit, "left").select("_q.*", *(f"_v.{c}" for c in versions.columns if c not in queries.columns))
-
-
 def value_as_of(revisions: DataFrame, queries: DataFrame, key: str, instant: str, available: str, value: str, revision: str, row: str) -> DataFrame:
     """The value of the latest revision published by each query's instant; null if none was, or for a null key."""
     told = F.struct(F.col(revision).alias("r"), F.col(value).alias("v"))
@@ -196,3 +164,51 @@ def overlap_counts(rows: DataFrame, key: str, own: str, starts: str, ends: str,
     same = a.join(b, (F.col(f"_a.{key}") == F.col(f"_b.{key}")) & (F.col(f"_a.{own}") == F.col(f"_b.{own}")) & (F.col("_a._s") < F.col("_b._e") + slack) & (F.col("_b._s") < F.col("_a._e") + slack))
     same = same.groupBy(F.col(f"_a.{own}").alias(own)).agg(F.count("*").alias("_same"))
     return near.join(same, own).select(own, (F.col("_n") - F.col("_same")).alias("clashes")).filter("clashes > 0")
+
+
+def _latest(df: DataFrame, keys: list[str], row: str, asks: str, at: str, ties: list[str], n: int, width: int) -> DataFrame:
+    """row, ``latest``: the last ``n`` rows of the key with ``at`` before ``asks``, latest first, each as at and ties."""
+    marks = _carried(df, keys, row, asks, at, at, "_y", ties, n, width)
+    group = [*keys, "_bucket"]
+    flat = marks.select(F.hash(F.struct(*group)).alias("_h"), *group, "_row", "_instant", "_asks", "_seen")
+    dealt = flat.repartition(*group).sortWithinPartitions("_h", *group, "_instant", "_asks")
+    item = T.StructType([T.StructField(at, df.schema[at].dataType), *(df.schema[c] for c in ties)])
+    out_type = T.StructType([T.StructField(row, df.schema[row].dataType), T.StructField("latest", T.ArrayType(item))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, held, seen = to_arrow_schema(out_type), None, []
+        for batch in parts:
+            rows, lists = [], []
+            for *now, asked, instant, asking, told in zip(*(batch.column(c).to_pylist() for c in [*group, "_row", "_instant", "_asks", "_seen"]), strict=True):
+                if now != held:
+                    held, seen = now, []
+                if asking < 1:
+                    insort(seen, (told["t"], *((told[c] is not None, told[c]) for c in ties)))
+                    del seen[:-n]
+                    continue
+                rows.append(asked)
+                lists.append([{at: x[0], **{c: v[1] for c, v in zip(ties, x[1:], strict=True)}} for x in reversed(seen)] if instant is not None else [])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, schema.field(0).type), pa.array(lists, schema.field(1).type)], schema=schema)
+
+    return dealt.mapInArrow(run, out_type)
+
+
+def earlier(df: DataFrame, keys: list[str], row: str, asks: str, at: str, valid, sums: list[str], ties: list[str], n: int, width: int = 86_400) -> DataFrame:
+    """row, ``visits``, ``sum_`` of each of ``sums`` and ``latest`` over the rows of the key that are ``valid`` and have ``at`` before the row's ``asks``.
+
+    A join would list every pair. What a row needs of its past is bounded: running sums, and the last
+    ``n`` rows (at and ``ties``, latest first). Both go through a key by stretches of ``width``
+    instants with what is carried over, so output and work grow with the rows. A null key is
+    nobody's past; a null ``asks`` sees nothing.
+    """
+    present = reduce(lambda x, k: x & F.col(k).isNotNull(), keys[1:], F.col(keys[0]).isNotNull())
+    base = df.withColumn("_y", F.when(valid & present, F.lit(1.0)))
+    zero = [F.lit(0).cast("double").alias(f"sum_{c}") for c in sums]
+    told = base.filter(F.col("_y").isNotNull() & F.col(at).isNotNull()).select(*keys, (F.col(at) + 1).alias("_instant"), F.lit(0).alias("_turn"), F.lit(1).cast("long").alias("visits"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"sum_{c}") for c in sums), F.lit(None).cast(df.schema[row].dataType).alias("_own"))
+    ask = base.filter(present & F.col(asks).isNotNull()).select(*keys, F.col(asks).alias("_instant"), F.lit(1).alias("_turn"), F.lit(0).cast("long").alias("visits"), *zero, F.col(row).alias("_own"))
+    totals = running(told.unionByName(ask), keys, "_instant", "_turn", {c: "sum" for c in ("visits", *(f"sum_{c}" for c in sums))}, width).filter("_turn = 1").drop(*keys, "_instant", "_turn")
+    latest = _latest(base, keys, row, asks, at, ties, n, width)
+    out = latest.join(totals, latest[row] == totals["_own"], "left")
+    return out.select(row, F.coalesce("visits", F.lit(0)).cast("long").alias("visits"), *(F.coalesce(f"sum_{c}", F.lit(0.0)).alias(f"sum_{c}") for c in sums), "latest")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korridor.operators import intervals
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles, seconds
 
@@ -111,11 +112,6 @@ CHECKS: dict[str, dict[str, str]] = {
         "counts": "SELECT a.trip_id FROM visits a LEFT JOIN (SELECT trip_id, vehicle_id, count(*) AS n FROM visits GROUP BY trip_id, vehicle_id) c ON c.trip_id = a.trip_id AND c.vehicle_id = a.vehicle_id WHERE c.n <> 1",
         "context": "SELECT a.trip_id FROM spine a JOIN spine b ON b.trip_id = a.trip_id AND b.seq = a.seq + 1 WHERE a.capacity IS DISTINCT FROM b.capacity",
     },
-    "v31_position_context": {
-        "context": "SELECT 1 AS x FROM observations o JOIN contexts c ON c.route_id = o.route_id WHERE o.at_s BETWEEN c.starts_s AND c.ends_s AND o.kind <> 'error'",
-        "assignment": "SELECT 1 AS x FROM observations o LEFT JOIN passengers p ON p.passenger_id = o.route_id WHERE p.passenger_id IS NULL OR o.available_s < o.at_s",
-    },
-    "v32_delay_scope": {"scopes": "SELECT DISTINCT row_id FROM (SELECT o.row_id FROM observations o JOIN contexts c ON c.route_id = o.route_id AND o.available_s BETWEEN c.starts_s AND c.ends_s UNION ALL SELECT o.row_id FROM observations o JOIN contexts c ON c.stop_id = o.row_id + 1 AND o.available_s BETWEEN c.starts_s AND c.ends_s) q"},
     "v33_business_context": {
         "tickets": "SELECT 1 AS x FROM trips t JOIN passengers p ON p.passenger_id = t.passenger_id WHERE NOT (p.route_id = t.route_id AND t.fare > 0 AND t.status IN ('O', 'F'))",
         "requests": "SELECT 1 AS x FROM observations o JOIN passengers p ON p.passenger_id = o.route_id WHERE NOT (o.kind <> 'error' AND p.balance > 0)",
@@ -231,11 +227,33 @@ UNION ALL SELECT CASE WHEN {_LOCAL_HOUR} BETWEEN 7 AND 9 OR {_LOCAL_HOUR} BETWEE
 UNION ALL SELECT 'month ' || substr(CAST(service_date AS STRING), 6, 2), trip_id, boardings FROM spine
 UNION ALL SELECT 'direction ' || direction, trip_id, boardings FROM spine) q GROUP BY category""",
 )
-portable(
-    "v40_event_demand",
-    """WITH hit AS (SELECT DISTINCT o.row_id FROM observations o JOIN contexts c ON c.route_id = o.route_id AND o.at_s BETWEEN c.starts_s AND c.ends_s)
-SELECT CASE WHEN h.row_id IS NULL THEN 'baseline' ELSE 'event' END AS side, CAST(count(*) AS BIGINT) AS n, round(avg(o.target), 6) AS mean FROM observations o LEFT JOIN hit h ON h.row_id = o.row_id GROUP BY CASE WHEN h.row_id IS NULL THEN 'baseline' ELSE 'event' END""",
-)
+@query("v31_position_context", """SELECT 'context' AS check_name, count(*) AS violations FROM observations o JOIN contexts c ON c.route_id = o.route_id WHERE o.at_s BETWEEN c.starts_s AND c.ends_s AND o.kind <> 'error'
+UNION ALL SELECT 'assignment', count(*) FROM observations o LEFT JOIN passengers p ON p.passenger_id = o.route_id WHERE p.passenger_id IS NULL OR o.available_s < o.at_s""")
+def position_context(r: Roles) -> DataFrame:
+    """Positions inside a context of their route, each context counted; positions of nobody, or published before they were taken."""
+    inside = intervals.active_counts(r.observations.filter("kind <> 'error'"), r.contexts, "row_id", [("route_id", "route_id")], "context_id", "at_s", "starts_s", "ends_s")
+    o = r.observations.join(r.passengers.select("passenger_id"), F.col("route_id") == F.col("passenger_id"), "left")
+    context = inside.agg(F.lit("context").alias("check_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+    return context.unionByName(o.agg(F.lit("assignment").alias("check_name"), F.count_if(F.expr("passenger_id IS NULL OR available_s < at_s")).alias("violations")))
+
+
+@query("v32_delay_scope", "SELECT 'scopes' AS check_name, count(*) AS violations FROM (SELECT o.row_id FROM observations o JOIN contexts c ON c.route_id = o.route_id AND o.available_s BETWEEN c.starts_s AND c.ends_s UNION SELECT o.row_id FROM observations o JOIN contexts c ON c.stop_id = o.row_id + 1 AND o.available_s BETWEEN c.starts_s AND c.ends_s) q")
+def delay_scope(r: Roles) -> DataFrame:
+    """Publications inside a context of their route, or of the stop that follows."""
+    o = r.observations.withColumn("next_id", F.col("row_id") + 1)
+    n = intervals.active_counts(o, r.contexts, "row_id", [("route_id", "route_id"), ("next_id", "stop_id")], "context_id", "available_s", "starts_s", "ends_s")
+    return n.agg(F.lit("scopes").alias("check_name"), F.count_if(F.col("n") > 0).alias("violations"))
+
+
+@query("v40_event_demand", """WITH hit AS (SELECT DISTINCT o.row_id FROM observations o JOIN contexts c ON c.route_id = o.route_id AND o.at_s BETWEEN c.starts_s AND c.ends_s)
+SELECT CASE WHEN h.row_id IS NULL THEN 'baseline' ELSE 'event' END AS side, CAST(count(*) AS BIGINT) AS n, round(avg(o.target), 6) AS mean FROM observations o LEFT JOIN hit h ON h.row_id = o.row_id GROUP BY CASE WHEN h.row_id IS NULL THEN 'baseline' ELSE 'event' END""")
+def event_demand(r: Roles) -> DataFrame:
+    """Demand inside a context of the route and outside of all."""
+    n = intervals.active_counts(r.observations, r.contexts, "row_id", [("route_id", "route_id")], "context_id", "at_s", "starts_s", "ends_s").withColumnRenamed("n", "contexts_n")
+    side = F.when(F.col("contexts_n") > 0, "event").otherwise("baseline").alias("side")
+    return r.observations.join(n, "row_id").groupBy(side).agg(F.count("*").alias("n"), F.round(F.avg("target"), 6).alias("mean"))
+
+
 portable(
     "v41_headway_irregularity",
     """SELECT route_id, direction, CAST(sum(CASE WHEN gap < 0.25 * planned OR planned = 0 AND gap < 300 THEN 1 ELSE 0 END) AS BIGINT) AS bunched, CAST(sum(CASE WHEN gap <= 0 OR abs(gap - planned) > greatest(300, 0.5 * planned) THEN 1 ELSE 0 END) AS BIGINT) AS irregular

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
-from korridor.operators import eligibility, joins, transit, windows
+from korridor.operators import asof, eligibility, intervals, joins, transit, windows
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
 
@@ -141,7 +141,22 @@ def integration_joins(r: Roles) -> DataFrame:
 
 
 portable("j10_occupancy_assignment", "SELECT v.trip_id, v.seq, CASE WHEN h.capacity > 0 THEN round(CAST(v.boardings AS DOUBLE) / h.capacity, 6) END AS utilization FROM visits v LEFT JOIN vehicles h ON h.vehicle_id = v.vehicle_id")
-portable("j11_prediction_history", "SELECT a.stop_id, a.trip_id, b.trip_id AS past_trip FROM spine a JOIN spine b ON a.stop_id = b.stop_id AND a.vehicle_id = b.vehicle_id AND b.actual_s < a.scheduled_s AND b.seq = a.seq AND b.boardings > 0")
+@query("j11_prediction_history", "SELECT a.stop_id, a.trip_id, b.trip_id AS past_trip FROM spine a JOIN spine b ON a.stop_id = b.stop_id AND a.vehicle_id = b.vehicle_id AND b.actual_s < a.scheduled_s AND b.seq = a.seq AND b.boardings > 0")
+def prediction_history(r: Roles) -> DataFrame:
+    """Every earlier visit, as the operator it stands for lists them: its output grows with the square of a key's visits."""
+    x = r.spine.select("trip_id", "stop_id", "vehicle_id", "seq", "scheduled_s", "actual_s", "boardings")
+    past = x.filter("boardings > 0").select("stop_id", "vehicle_id", "seq", F.col("trip_id").alias("past_trip"), F.col("actual_s").alias("past_s"))
+    return x.join(past, ["stop_id", "vehicle_id", "seq"]).filter("past_s < scheduled_s").select("stop_id", "trip_id", "past_trip")
+
+
+@query("j11_recent_history", """WITH p AS (SELECT a.trip_id, a.seq, b.trip_id AS past_trip, b.boardings, row_number() OVER (PARTITION BY a.trip_id, a.seq ORDER BY b.actual_s DESC, b.trip_id DESC) AS n FROM spine a JOIN spine b ON a.stop_id = b.stop_id AND b.actual_s < a.scheduled_s AND b.boardings > 0)
+SELECT a.trip_id, a.seq, CAST(coalesce(h.visits, 0) AS BIGINT) AS visits, round(h.mean_boardings, 6) AS mean_boardings, h.latest FROM spine a LEFT JOIN (SELECT trip_id, seq, max(n) AS visits, avg(boardings) AS mean_boardings, string_agg(CASE WHEN n <= 3 THEN CAST(past_trip AS VARCHAR) END, ',' ORDER BY n) AS latest FROM p GROUP BY trip_id, seq) h ON h.trip_id = a.trip_id AND h.seq = a.seq""")
+def recent_history(r: Roles) -> DataFrame:
+    """The same history as a state per stop: how many earlier visits, their mean, and the last three; as many rows as visits."""
+    x = asof.earlier(r.spine.withColumn("_row", F.struct("trip_id", "seq")), ["stop_id"], "_row", "scheduled_s", "actual_s", F.col("boardings") > 0, ["boardings"], ["trip_id"], 3, 86_400 * 30)
+    return x.select("_row.trip_id", "_row.seq", "visits", F.when(F.col("visits") > 0, F.round(F.try_divide("sum_boardings", "visits"), 6)).alias("mean_boardings"), F.when(F.col("visits") > 0, F.array_join(F.transform("latest", lambda v: v["trip_id"].cast("string")), ",")).alias("latest"))
+
+
 portable("j12_profile_join", "SELECT o.route_id, o.direction, o.load, d.demand FROM (SELECT route_id, direction, round(avg(boardings), 6) AS load FROM spine GROUP BY route_id, direction) o JOIN (SELECT route_id, direction, CAST(sum(alightings) AS BIGINT) AS demand FROM spine GROUP BY route_id, direction) d ON d.route_id = o.route_id AND d.direction = o.direction")
 portable("j13_route_metrics", "SELECT n.route_id, n.route_code, f.n, d.passengers_n FROM routes n LEFT JOIN (SELECT route_id, count(*) AS n FROM trips GROUP BY route_id) f ON f.route_id = n.route_id LEFT JOIN (SELECT route_id, count(*) AS passengers_n FROM passengers GROUP BY route_id) d ON d.route_id = n.route_id")
 
@@ -159,10 +174,8 @@ portable("j17_counts_compared", "SELECT t.trip_id, coalesce(c.n, 0) AS visits_n
 
 @query("j18_scoped_exists", "SELECT row_id, EXISTS (SELECT 1 FROM contexts c WHERE o.at_s BETWEEN c.starts_s AND c.ends_s AND (c.route_id = o.route_id OR c.stop_id = o.row_id)) AS disturbed FROM observations o")
 def scoped_exists(r: Roles) -> DataFrame:
-    o, c = r.observations.select("row_id", "route_id", "at_s").alias("o"), r.contexts.alias("c")
-    inside = F.expr("o.at_s between c.starts_s and c.ends_s")
-    hit = o.join(c, F.expr("o.route_id = c.route_id") & inside, "left_semi").unionByName(o.join(c, F.expr("o.row_id = c.stop_id") & inside, "left_semi"))
-    return r.observations.select("row_id").join(hit.select("row_id").distinct().withColumn("hit", F.lit(True)), "row_id", "left").select("row_id", F.coalesce("hit", F.lit(False)).alias("disturbed"))
+    n = intervals.active_counts(r.observations, r.contexts, "row_id", [("route_id", "route_id"), ("row_id", "stop_id")], "context_id", "at_s", "starts_s", "ends_s")
+    return n.select("row_id", (F.col("n") > 0).alias("disturbed"))
 
 
 portable("j19_null_safe", "SELECT a.trip_id, a.seq FROM spine a JOIN spine b ON b.trip_id = a.trip_id AND b.seq = a.seq + 1 WHERE a.capacity IS DISTINCT FROM b.capacity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korridor.operators import asof, transit, windows
+from korridor.operators import asof, intervals, transit, windows
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
 
@@ -95,14 +95,19 @@ portable("w14_plan_chain", "SELECT passenger_id, trip_id, scheduled_s AS from_s,
 
 @query("j01_trip_context", """SELECT o.row_id, o.route_id, c.context_id, p.segment FROM observations o LEFT JOIN contexts c ON c.route_id = o.route_id AND o.at_s BETWEEN c.starts_s AND c.ends_s AND c.known_s <= o.at_s LEFT JOIN passengers p ON p.passenger_id = o.route_id""")
 def trip_context(r: Roles) -> DataFrame:
-    x = asof.interval_join(r.observations, r.contexts.select("context_id", "route_id", "starts_s", "ends_s", "known_s"), ["route_id"], "at_s", "starts_s", "ends_s", "known_s")
+    c = r.contexts.select("context_id", "route_id", "starts_s", "ends_s", "known_s")
+    x = intervals.left_pairs(r.observations, c, [("route_id", "route_id")], "row_id", "at_s", "starts_s", "ends_s", known="known_s")
     p = r.passengers.select(F.col("passenger_id"), "segment")
     return x.join(p, x["route_id"] == p["passenger_id"], "left").select("row_id", "route_id", "context_id", "segment")
 
 
+CONTEXT_SCOPES = [("route_id", "route_id"), ("row_id", "stop_id")]  #: a context acts on a route or on a stop
+
+
 @query("j06_active_contexts", """SELECT o.row_id, CAST(count(DISTINCT c.context_id) AS BIGINT) AS active_contexts FROM observations o LEFT JOIN contexts c ON (c.route_id = o.route_id OR c.stop_id = o.row_id) AND o.at_s BETWEEN c.starts_s AND c.ends_s AND c.known_s <= o.at_s GROUP BY o.row_id""")
 def active_contexts(r: Roles) -> DataFrame:
-    return asof.active_count(r.observations, r.contexts, "row_id", [("route_id", "route_id"), ("row_id", "stop_id")], "context_id", "at_s", "starts_s", "ends_s", "known_s")
+    x = intervals.active_counts(r.observations, r.contexts, "row_id", CONTEXT_SCOPES, "context_id", "at_s", "starts_s", "ends_s", known="known_s")
+    return x.select("row_id", F.col("n").alias("active_contexts"))
 
 
 VERSIONS = "v AS (SELECT route_id, row_id AS version, at_s AS from_s, lead(at_s) OVER (PARTITION BY route_id ORDER BY at_s, row_id) AS to_s FROM observations WHERE kind = 'signup')"
@@ -112,7 +117,8 @@ VERSIONS = "v AS (SELECT route_id, row_id AS version, at_s AS from_s, lead(at_s)
 def plan_at_cutoff(r: Roles) -> DataFrame:
     s = r.observations.filter("kind = 'signup'")
     v = s.select("route_id", F.col("row_id").alias("version"), F.col("at_s").alias("from_s"), F.lead("at_s").over(Window.partitionBy("route_id").orderBy("at_s", "row_id")).alias("to_s"))
-    return asof.version_at(v, r.observations.select("row_id", "route_id", "at_s"), "route_id", "at_s", "from_s", "to_s").select("row_id", "version")
+    q = r.observations.select("row_id", "route_id", "at_s")
+    return intervals.left_pairs(q, v, [("route_id", "route_id")], "row_id", "at_s", "from_s", "to_s", closed=False, open_end=True, width=86_400).select("row_id", "version")
 
 
 @query("t02_value_as_of", """SELECT q.row_id, round(max(CASE WHEN r = 1 THEN target END), 6) AS target FROM (SELECT q.row_id, o.target, row_number() OVER (PARTITION BY q.row_id ORDER BY o.row_id DESC) AS r FROM observations q LEFT JOIN observations o ON o.route_id = q.route_id AND o.available_s <= q.at_s WHERE q.kind = 'purchase') q GROUP BY q.row_id""")
@@ -138,7 +144,10 @@ def buffered_overlap(r: Roles) -> DataFrame:
 
 @query("j25_least_context", """SELECT o.row_id, min(c.context_id) AS context_id FROM observations o LEFT JOIN contexts c ON o.at_s BETWEEN c.starts_s AND c.ends_s AND (c.route_id = o.route_id OR c.stop_id = o.row_id) GROUP BY o.row_id""")
 def least_context(r: Roles) -> DataFrame:
-    c, o = r.contexts, r.observations.select("row_id", "route_id", "at_s")
-    inside = o["at_s"].between(c["starts_s"], c["ends_s"])
-    hit = o.join(c, (o["route_id"] == c["route_id"]) & inside).select(o["row_id"], c["context_id"]).unionByName(o.join(c, (o["row_id"] == c["stop_id"]) & inside).select(o["row_id"], c["context_id"]))
+    o = r.observations.select("row_id", "route_id", "at_s")
+    hit = None
+    for scope in CONTEXT_SCOPES:
+        c = r.contexts.select("context_id", F.col(scope[1]).alias("_scope"), "starts_s", "ends_s")
+        part = intervals.pairs(o, c, [(scope[0], "_scope")], "at_s", "starts_s", "ends_s").select("row_id", "context_id")
+        hit = part if hit is None else hit.unionByName(part)
     return o.select("row_id").join(hit.groupBy("row_id").agg(F.min("context_id").alias("context_id")), "row_id", "left").select("row_id", "context_id")

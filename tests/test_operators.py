@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
-from korridor.operators import asof, joins, metrics, quality, transit, whatif, windows
+from korridor.operators import asof, intervals, joins, metrics, quality, transit, whatif, windows
 from korridor.schemas import TABLES, schema_for
 from korridor.sources import files
 
@@ -62,17 +62,17 @@ def test_stretches_change_nothing(spark, width):
 def test_interval_join_includes_both_ends(spark):
     trips = spark.createDataFrame([("T1", "R1", 480), ("T2", "R1", 540), ("T3", "R9", 570)], "trip string, route string, start int")
     events = spark.createDataFrame([("E1", "R1", 420, 600, 0), ("E2", "R1", 480, 540, 480), ("E3", "R1", 360, 600, 481)], "event string, route string, starts int, ends int, known int")
-    got = sorted((r.trip, r.event or "-") for r in asof.interval_join(trips, events, ["route"], "start", "starts", "ends", "known").collect())
+    got = sorted((r.trip, r.event or "-") for r in intervals.left_pairs(trips, events, [("route", "route")], "trip", "start", "starts", "ends", known="known", width=60).collect())
     assert got == [("T1", "E1"), ("T1", "E2"), ("T2", "E1"), ("T2", "E2"), ("T2", "E3"), ("T3", "-")]
 
 
 def test_scopes_plan_to_hash_joins(spark):
     left = spark.range(100).select(F.col("id").alias("row"), (F.col("id") % 5).alias("route"), F.col("id").alias("at"))
     right = spark.range(40).select(F.col("id").alias("context"), (F.col("id") % 5).alias("route"), F.col("id").alias("stop"), (F.col("id") - 3).alias("s"), (F.col("id") + 3).alias("e"), (F.col("id") - 3).alias("k"))
-    out = asof.active_count(left, right, "row", [("route", "route"), ("row", "stop")], "context", "at", "s", "e", "k")
+    out = intervals.active_counts(left, right, "row", [("route", "route"), ("row", "stop")], "context", "at", "s", "e", known="k", width=10)
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     want = {r: sum(1 for c in range(40) if c - 3 <= r <= c + 3 and (c % 5 == r % 5 or c == r)) for r in range(100)}
-    assert {r.row: r.active_contexts for r in out.collect()} == want
+    assert {r.row: r.n for r in out.collect()} == want
 
 
 def test_severity_bands_and_occupancy(spark):
