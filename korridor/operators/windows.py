@@ -88,20 +88,40 @@ def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int | st
     return x.select(*df.columns, "quota")
 
 
-def repaired_quotas(groups: dict[str, int], budget: int) -> dict[str, int]:
-    """Proportional quotas of a few groups (splits, labels): rounded shares of at least one, then moved to the budget.
+def levelled(groups: DataFrame, value: str, units: str, first) -> DataFrame:
+    """``groups`` with ``units`` (one number for all) taken off the greatest values, one at a time; of equal ones from that which comes ``first``.
 
-    While too many are given, the largest loses one (the later name of equal ones); while too few, the
-    group with most rows left gains one, the first of equal ones in the order given.
+    Taking one at a time from the greatest ends with all values above some level at that level or one
+    above it. A running sum over the distinct values, greatest first, finds the level; the groups
+    above it are ranked once to say which keep one more. A row a group is sorted, whatever they hold.
     """
-    have = sum(groups.values())
-    budget = min(budget, have)
-    out = {g: max(1, round(budget * n / have)) for g, n in groups.items()} if have else {}
-    while sum(out.values()) > budget:
-        most = max(out, key=lambda g: (out[g], g))
-        if out[most] <= 1:
-            raise ValueError("a budget below one row a group")
-        out[most] -= 1
-    while sum(out.values()) < budget:
-        out[max(groups, key=lambda g: groups[g] - out[g])] += 1
-    return out
+    down = Window.orderBy(F.desc(value))
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = groups.groupBy(value).agg(F.count("*").alias("_c"), F.first(units).alias("_take"))
+    steps = steps.select("_take", F.sum("_c").over(so_far).alias("_n"), F.sum(F.col(value) * F.col("_c")).over(so_far).alias("_s"), F.lead(value, 1, 0).over(down).alias("_next"))
+    reached = steps.filter(F.col("_s") - F.col("_n") * F.col("_next") >= F.col("_take")).agg(F.min(F.struct("_n", "_s", "_take")).alias("x"))
+    level = reached.select(F.floor((F.col("x._s") - F.col("x._take")) / F.col("x._n")).alias("_level"))
+    x = groups.join(F.broadcast(level))
+    above = x.filter(F.col(value) > F.col("_level"))
+    totals = above.agg(F.count("*").alias("_m"), F.sum(value).alias("_sum"))
+    ranked = above.join(F.broadcast(totals)).withColumn("_rank", F.row_number().over(Window.orderBy(first)))
+    lowered = F.col("_m") - (F.col("_sum") - F.col(units) - F.col("_m") * F.col("_level"))
+    ranked = ranked.withColumn(value, F.when(F.col("_rank") <= lowered, F.col("_level")).otherwise(F.col("_level") + 1).cast("long"))
+    return ranked.select(*groups.columns).unionByName(x.filter(~(F.col(value) > F.col("_level")) | F.col("_level").isNull()).select(*groups.columns))
+
+
+def rounded_quotas(groups: DataFrame, weight: str, budget: int, name: str) -> DataFrame:
+    """``groups`` with ``quota``: the rounded share of ``budget`` of each, at least one, then settled to the budget.
+
+    What is given in excess is taken off the largest quotas (of equal ones the later name first), down
+    to one; what is missing goes where most rows are left (of equal ones the earlier name first). No
+    more than all rows are given; fewer than one a group cannot be, and give quotas of one.
+    """
+    total = Window.partitionBy(F.lit(0))
+    seats = F.least(F.lit(budget), F.sum(weight).over(total))
+    x = groups.withColumn("_seats", seats).withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("_seats") * F.col(weight) / F.sum(weight).over(total), 0)).cast("long"))
+    given = F.sum("quota").over(total) - F.col("_seats")
+    x = x.withColumn("_over", F.least(F.greatest(F.lit(0), given), F.sum(F.col("quota") - 1).over(total))).withColumn("_short", F.greatest(F.lit(0), -given))
+    x = levelled(x.withColumn("_spare", F.col("quota") - 1), "_spare", "_over", F.desc(name)).withColumn("quota", F.col("_spare") + 1)
+    x = levelled(x.withColumn("_room", F.greatest(F.lit(0).cast("long"), F.col(weight) - F.col("quota"))).withColumn("_had", F.greatest(F.lit(0).cast("long"), F.col(weight) - F.col("quota"))), "_room", "_short", F.asc(name))
+    return x.withColumn("quota", F.col("quota") + F.col("_had") - F.col("_room")).select(*groups.columns, "quota")

@@ -10,7 +10,7 @@ from korridor.operators import allocation, transit, whatif, windows
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
 
-POLICY = {"minimum_samples": 30, "minimum_days": 2, "overload_ratio": 1.0, "underutilization_ratio": 0.5, "late_fraction": 0.3, "bottleneck_delay_s": 20_000_000.0, "headway_cv": 1.5, "passenger_impact_bands": [50, 20000, 66000], "severity_bands": [1.1, 1.5, 2.0]}
+POLICY = {"minimum_samples": 30, "minimum_days": 2, "overload_ratio": 1.0, "underutilization_ratio": 0.5, "late_fraction": 0.3, "bottleneck_delay_s": 20_000_000.0, "headway_cv": 1.0, "passenger_impact_bands": [50, 20000, 66000], "severity_bands": [1.1, 1.5, 2.0]}
 def states(r: Roles) -> DataFrame:
     """A window of an hour per route: its passengers arrive evenly, two departures of 30 seats."""
     p = r.passengers.groupBy("route_id").agg(F.count("*").cast("double").alias("p"))
@@ -38,12 +38,13 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("route_id", "scenario", *(F.round(c, 6).alias(c) for c in ("capacity", "served", "unserved", "wait_minutes")))
 
 
-METRICS = """SELECT route_id, count(*) AS sample_count, CAST(sum(boardings) AS DOUBLE) AS affected_passengers, avg(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) AS mean_occupancy_ratio, max(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) AS peak_occupancy_ratio,
-count(DISTINCT CASE WHEN boardings > capacity THEN service_date END) AS overload_days, avg(CAST(CASE WHEN actual_s > scheduled_s THEN 1 ELSE 0 END AS DOUBLE)) AS late_fraction, count(DISTINCT CASE WHEN actual_s > scheduled_s THEN service_date END) AS late_days, avg(greatest(0, actual_s - scheduled_s)) AS mean_delay_s, stddev_pop(boardings) / avg(boardings) AS headway_cv,
-count(DISTINCT CASE WHEN capacity > 0 AND CAST(boardings AS DOUBLE) / capacity < 0.5 THEN service_date END) AS underutilized_days FROM spine GROUP BY route_id"""
-#: what the rules need besides: days of uneven boardings, stops that other routes serve too, a social mode, the first trip ten minutes earlier
+GAPS = "SELECT *, actual_s - lag(actual_s) OVER (PARTITION BY route_id, direction, stop_id ORDER BY actual_s NULLS LAST, trip_id, seq) AS gap FROM spine"
+METRICS = f"""SELECT route_id, count(*) AS sample_count, CAST(sum(boardings) AS DOUBLE) AS affected_passengers, avg(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) AS mean_occupancy_ratio, max(CASE WHEN capacity > 0 THEN CAST(boardings AS DOUBLE) / capacity END) AS peak_occupancy_ratio,
+count(DISTINCT CASE WHEN boardings > capacity THEN service_date END) AS overload_days, avg(CAST(CASE WHEN actual_s > scheduled_s THEN 1 ELSE 0 END AS DOUBLE)) AS late_fraction, count(DISTINCT CASE WHEN actual_s > scheduled_s THEN service_date END) AS late_days, avg(greatest(0, actual_s - scheduled_s)) AS mean_delay_s, stddev_pop(gap) / nullif(avg(gap), 0) AS headway_cv,
+count(DISTINCT CASE WHEN capacity > 0 AND CAST(boardings AS DOUBLE) / capacity < 0.5 THEN service_date END) AS underutilized_days FROM ({GAPS}) s GROUP BY route_id"""
+#: what the rules need besides: days of uneven headways, stops that other routes serve too, a social mode, the first trip ten minutes earlier
 EVIDENCE = f"""SELECT m.*, d.irregular_headway_days, k.coverage_preserved, n.mode = 'AFRICA' AS social_service_required, q.wait_minutes AS w0, a.wait_minutes AS w1 FROM ({METRICS}) m
-LEFT JOIN (SELECT route_id, count(CASE WHEN cv >= 1.5 THEN 1 END) AS irregular_headway_days FROM (SELECT route_id, service_date, stddev_pop(boardings) / nullif(avg(boardings), 0) AS cv FROM spine GROUP BY route_id, service_date) x GROUP BY route_id) d ON d.route_id = m.route_id
+LEFT JOIN (SELECT route_id, count(CASE WHEN cv >= 1.0 THEN 1 END) AS irregular_headway_days FROM (SELECT route_id, service_date, stddev_pop(gap) / nullif(avg(gap), 0) AS cv FROM ({GAPS}) s GROUP BY route_id, service_date) x GROUP BY route_id) d ON d.route_id = m.route_id
 LEFT JOIN (SELECT x.route_id, min(y.n) > 1 AS coverage_preserved FROM (SELECT DISTINCT route_id, stop_id FROM spine) x JOIN (SELECT stop_id, count(DISTINCT route_id) AS n FROM spine GROUP BY stop_id) y ON y.stop_id = x.stop_id GROUP BY x.route_id) k ON k.route_id = m.route_id
 LEFT JOIN routes n ON n.route_id = m.route_id
 LEFT JOIN ({_queue_sql(["baseline"])}) q ON q.route_id = m.route_id LEFT JOIN ({_queue_sql(["shift_trip_start_time"])}) a ON a.route_id = m.route_id"""
@@ -58,7 +59,7 @@ def _rules_sql() -> str:
         "higher_capacity_vehicle": ("peak_occupancy_ratio / 1.0", "overload_days", "peak_occupancy_ratio > 1.0 AND overload_days >= 2"),
         "investigate_bottleneck": ("mean_delay_s / 20000000", "late_days", "mean_delay_s / 20000000 >= 1 AND late_days >= 2"),
         "adjust_departure_time": ("CASE WHEN w0 > 0 THEN 1 + (w0 - w1) / w0 WHEN w1 IS NOT NULL THEN w0 * 0 END", "w0 + w1", "w0 > w1"),
-        "improve_headways": ("headway_cv / 1.5", "irregular_headway_days", "headway_cv / 1.5 >= 1 AND irregular_headway_days >= 2"),
+        "improve_headways": ("headway_cv / 1.0", "irregular_headway_days", "headway_cv / 1.0 >= 1 AND irregular_headway_days >= 2"),
     }
     parts = [f"SELECT route_id, '{rule}' AS rule, CASE WHEN sample_count < 30 OR ({severity}) IS NULL OR ({known}) IS NULL THEN 'NOT_READY' WHEN {holds} THEN 'TRIGGERED' ELSE 'NO_ACTION' END AS status, {severity} AS severity, affected_passengers AS p FROM m" for rule, (severity, known, holds) in rules.items()]
     banded = "(p >= 50)::INT + (p >= 20000)::INT + (p >= 66000)::INT + (severity >= 1.1)::INT + (severity >= 1.5)::INT + (severity >= 2.0)::INT"
@@ -66,26 +67,38 @@ def _rules_sql() -> str:
 
 
 def route_metrics(r: Roles) -> DataFrame:
-    x = transit.occupancy(r.spine, "boardings", "capacity")
-    late = F.col("actual_s") > F.col("scheduled_s")
-    return x.groupBy("route_id").agg(
-        F.count("*").alias("sample_count"), F.sum("boardings").cast("double").alias("affected_passengers"), F.avg("utilization").alias("mean_occupancy_ratio"), F.max("utilization").alias("peak_occupancy_ratio"),
-        F.countDistinct(F.when(F.col("over_capacity"), F.col("service_date"))).alias("overload_days"), F.avg(late.cast("double")).alias("late_fraction"), F.countDistinct(F.when(late, F.col("service_date"))).alias("late_days"),
-        F.avg(transit.positive_delay("actual_s", "scheduled_s")).alias("mean_delay_s"), (F.stddev_pop("boardings") / F.avg("boardings")).alias("headway_cv"),
-        F.countDistinct(F.when(F.col("utilization") < POLICY["underutilization_ratio"], F.col("service_date"))).alias("underutilized_days"),
+    """What the rules measure of each route, from sums by route and day.
+
+    A headway is the time since the departure before at the same stop, by route and direction. Rows
+    are added up by route and day once; counts of days are then counts of rows, and no count of
+    distinct days multiplies the visits. Means and spreads follow from counts, sums and squares.
+    """
+    x = windows.headway(transit.occupancy(r.spine, "boardings", "capacity"), ["route_id", "direction", "stop_id"], "actual_s", "scheduled_s", ["trip_id", "seq"])
+    late, gap = F.col("actual_s") > F.col("scheduled_s"), F.col("headway_s").cast("double")
+    days = x.groupBy("route_id", "service_date").agg(
+        F.count("*").alias("n"), F.sum("boardings").alias("boardings"), F.count("utilization").alias("loads_n"), F.sum("utilization").alias("loads"), F.max("utilization").alias("peak"), F.count_if("over_capacity").alias("over_n"), F.count_if(late).alias("late_n"),
+        F.count_if(F.col("utilization") < POLICY["underutilization_ratio"]).alias("under_n"), F.count(transit.positive_delay("actual_s", "scheduled_s")).alias("delays_n"), F.sum(transit.positive_delay("actual_s", "scheduled_s")).alias("delay"),
+        F.count(gap).alias("gaps_n"), F.sum(gap).alias("gap"), F.sum(gap * gap).alias("gap2"), (F.stddev_pop(gap) / F.nullif(F.avg(gap), F.lit(0.0))).alias("cv"),
+    )
+    ratio = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
+    mean = ratio("gap", "gaps_n")
+    known_day = F.col("service_date").isNotNull()
+    return days.groupBy("route_id").agg(
+        F.sum("n").alias("sample_count"), F.sum("boardings").cast("double").alias("affected_passengers"), ratio("loads", "loads_n").alias("mean_occupancy_ratio"), F.max("peak").alias("peak_occupancy_ratio"),
+        F.count_if(known_day & (F.col("over_n") > 0)).alias("overload_days"), ratio("late_n", "n").alias("late_fraction"), F.count_if(known_day & (F.col("late_n") > 0)).alias("late_days"), ratio("delay", "delays_n").alias("mean_delay_s"),
+        F.try_divide(F.sqrt(F.greatest(F.lit(0.0), ratio("gap2", "gaps_n") - mean * mean)), F.nullif(mean, F.lit(0.0))).alias("headway_cv"), F.count_if(known_day & (F.col("under_n") > 0)).alias("underutilized_days"),
+        F.count_if(F.col("cv") >= POLICY["headway_cv"]).alias("irregular_headway_days"),
     )
 
 
 def rule_evidence(r: Roles) -> DataFrame:
     """The metrics of each route with what the rules need besides them."""
-    spread = F.stddev_pop("boardings") / F.nullif(F.avg("boardings"), F.lit(0.0))
-    uneven = r.spine.groupBy("route_id", "service_date").agg(spread.alias("cv")).groupBy("route_id").agg(F.count_if(F.col("cv") >= POLICY["headway_cv"]).alias("irregular_headway_days"))
     shared = r.spine.groupBy("stop_id").agg(F.collect_set("route_id").alias("on")).select(F.explode("on").alias("route_id"), F.size("on").alias("n")).groupBy("route_id").agg((F.min("n") > 1).alias("coverage_preserved"))
     social = r.routes.select("route_id", (F.col("mode") == "AFRICA").alias("social_service_required"))
     change = SCENARIOS["shift_trip_start_time"][0]
     wait = lambda kind, name, **c: _shown(whatif.simulate(whatif.scenario(states(r), kind, **c))).select("route_id", F.col("wait_minutes").alias(name))
     x = route_metrics(r).withColumns({"trip_id": F.lit(change["trip"]), "evaluated_shift_minutes": F.lit(float(change["minutes"]))})
-    for more in (uneven, shared, social, wait("baseline", "current_expected_wait_minutes"), wait("shift_trip_start_time", "alternative_expected_wait_minutes", **change)):
+    for more in (shared, social, wait("baseline", "current_expected_wait_minutes"), wait("shift_trip_start_time", "alternative_expected_wait_minutes", **change)):
         x = x.join(more, "route_id", "left")
     return x
 

@@ -218,15 +218,13 @@ def largest_remainder(r: Roles) -> DataFrame:
     return windows.largest_remainder(r.spine.groupBy(F.col("route_id").alias("k")).agg(F.count("*").alias("n")), [], "n", 1000, "k", minimum=20)
 
 
-@query("o05_proportional_quota", """WITH g AS (SELECT direction AS k, count(*) AS n FROM spine GROUP BY direction), q AS (SELECT *, greatest(1, round_even(777 * n / sum(n) OVER (), 0))::BIGINT AS q FROM g),
-d AS (SELECT *, sum(q) OVER () - 777 AS over, row_number() OVER (ORDER BY q DESC, k DESC) AS largest, row_number() OVER (ORDER BY n - q DESC, k) AS roomiest FROM q)
-SELECT k, n, CAST(q - CASE WHEN over > 0 AND largest = 1 THEN over WHEN over < 0 AND roomiest <= 1 THEN over ELSE 0 END AS BIGINT) AS quota FROM d""")
+@query("o05_proportional_quota", """WITH g AS (SELECT direction AS k, count(*) AS n FROM spine GROUP BY direction), b AS (SELECT *, least(777, sum(n) OVER ()) AS seats FROM g), q AS (SELECT *, greatest(1, round_even(seats * n / sum(n) OVER (), 0))::BIGINT AS q FROM b),
+d AS (SELECT *, sum(q) OVER () - seats AS over FROM q),
+taken AS (SELECT k, count(*) AS t FROM (SELECT k, over, row_number() OVER (ORDER BY v DESC, k DESC) AS r FROM (SELECT k, over, unnest(range(2, q + 1)) AS v FROM d) u) z WHERE r <= over GROUP BY k),
+added AS (SELECT k, count(*) AS t FROM (SELECT k, over, row_number() OVER (ORDER BY v DESC, k) AS r FROM (SELECT k, over, unnest(range(greatest(1, n - q - 777), n - q + 1)) AS v FROM d) u) z WHERE r <= -over GROUP BY k)
+SELECT d.k, d.n, CAST(d.q - coalesce(taken.t, 0) + coalesce(added.t, 0) AS BIGINT) AS quota FROM d LEFT JOIN taken ON taken.k = d.k LEFT JOIN added ON added.k = d.k""")
 def proportional_quota(r: Roles) -> DataFrame:
-    """Quotas of the three directions, repaired to the budget; the driver sees three counts."""
-    counts = {x.k: x.n for x in r.spine.groupBy(F.col("direction").alias("k")).agg(F.count("*").alias("n")).orderBy("k").limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError("quotas are repaired for up to 1,000 groups; use largest_remainder")
-    return r.spark.createDataFrame([(k, counts[k], q) for k, q in windows.repaired_quotas(counts, 777).items()], "k string, n long, quota long")
+    return windows.rounded_quotas(r.spine.groupBy(F.col("direction").alias("k")).agg(F.count("*").alias("n")), "n", 777, "k")
 
 
 @query("o06_existence_probe", "SELECT EXISTS (SELECT 1 FROM spine WHERE actual_s < scheduled_s) AS any_early, EXISTS (SELECT 1 FROM spine WHERE boardings < 0) AS any_negative")

@@ -98,8 +98,11 @@ def test_windows(spark):
     quota = lambda rows, seats, least: [r.quota for r in windows.largest_remainder(spark.createDataFrame(rows, "k string, n int"), [], "n", seats, "k", minimum=least).orderBy("k").collect()]
     assert quota([("a", 2), ("b", 3)], 100, 0) == [2, 3] and quota([("a", 10), ("b", 10), ("c", 10)], 10, 0) == [4, 3, 3]
     assert quota([("a", 1), ("b", 99), ("c", 900)], 10, 1) == [1, 2, 7] and quota([("a", 0), ("b", 5)], 3, 1) == [0, 3]
-    assert windows.repaired_quotas({"train": 1, "validation": 1, "test": 998}, 10) == {"train": 1, "validation": 1, "test": 8}
-    assert windows.repaired_quotas({"a": 5, "b": 5, "c": 5}, 7) == {"a": 3, "b": 2, "c": 2} and windows.repaired_quotas({"a": 1, "b": 1}, 9) == {"a": 1, "b": 1}
+    settled = lambda budget, **groups: {x.k: x.quota for x in windows.rounded_quotas(spark.createDataFrame(list(groups.items()), "k string, n int"), "n", budget, "k").collect()}
+    assert settled(10, train=1, validation=1, test=998) == {"train": 1, "validation": 1, "test": 8}
+    assert settled(7, a=5, b=5, c=5) == {"a": 3, "b": 2, "c": 2} and settled(9, a=1, b=1) == {"a": 1, "b": 1}
+    assert settled(6, a=1, b=1, c=1, d=40, e=41) == {"a": 1, "b": 1, "c": 1, "d": 2, "e": 1}
+    assert settled(13, a=10, b=10, c=10, d=10, e=10) == {"a": 3, "b": 3, "c": 3, "d": 2, "e": 2} and settled(2, a=9, b=9, c=9) == {"a": 1, "b": 1, "c": 1}
     i = windows.islands(spark.createDataFrame([("T", s, s in (2, 3, 6)) for s in range(1, 7)], "t string, seq int, f boolean"), ["t"], "seq", F.col("f"))
     assert sorted((r.first_seq, r.last_seq, r.stops_n) for r in i.collect()) == [(2, 3, 2), (6, 6, 1)]
 
