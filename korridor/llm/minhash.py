@@ -7,14 +7,15 @@ many seeds. Sets that link at 85 % miss all 28 bands of six with a chance of two
 
 Equal sets are one node. Nodes that share a band are candidates; 168 coordinates of one byte estimate
 the resemblance of a candidate pair, and pairs more than five deviations under the threshold go. All
-others are decided on the full sets, in three rounds: each node with the most similar of its buckets'
-pivots; then with the most similar node that it is not connected with; then every pair that is left
-between nodes not connected. A bucket of copies therefore costs a pair per node, and no link is lost:
-pairs inside one component need no test.
+others are decided on the full sets, in two rounds: each node with the most similar of its buckets'
+pivots; then, within a bucket, every two nodes that are not connected yet. Pairs inside one component
+need no test, so a bucket of copies costs a pair per node and no link is lost. In the second round the
+sets of nodes that look like a node of another component go to their buckets; a task gives a forest of
+the links it finds, never its pairs.
 
 A bucket with a third of all nodes is met by joins that Spark splits where they are skewed. In the
-later rounds the nodes that are connected with its pivot are dealt out over parts of ``PART``, and only
-those that are not are copied to each.
+second round the nodes that are connected with its pivot are dealt out over parts of ``PART`` bytes, and
+only those that are not are copied to each, they too in parts of that size.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 
 from korridor.llm.common import bytes_of, cut, drop, fresh, identified, keyed, release, unkeyed
 from korridor.llm.graph import components
-from korridor.llm.pieces import groups, white
+from korridor.llm.pieces import groups, ranges, white
 
 SHINGLE, PERCENT = 5, 85  #: words of a shingle; a link has at least so many hundredths of the union in common
 ROWS, BANDS = 6, 28
 SURE = 0.71  #: estimates under it are more than five standard deviations below the threshold
-PART = 4096  #: nodes of a bucket that one task compares at a time
+PART = 16 << 20  #: bytes of a bucket that one task compares at a time
 SHARE = 4096  #: sets that more than this part of all rows have are joined by a broadcast
 SIGMA, PI = (0x9E3779B1, 0x85EBCA77), (0x7FEB352D, 0x846CA68B)  #: odd multipliers of the two permutations
 _CHUNK, _SLICE = 1 << 16, 1 << 20  # shingles that get coordinates, bytes that are hashed at a time
@@ -203,61 +204,97 @@ def _with_pivots(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("v").agg(F.max(F.struct("about", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
 
 
-def _apart(best: bool):
-    """Pairs of candidates between components, of rows sorted by bucket and part: the best of each node, or all."""
-
-    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        kinds, code, size = np.unique(x["comp"], return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
-            return
-        order = np.flatnonzero(code != size.argmax())  # nodes of the largest component meet all others from their side
-        for k in range(0, len(order), 16):
-            some = order[k : k + 16]
-            fit = (code[some][:, None] != code) & (100 * np.minimum(x["n"][some][:, None], x["n"]) >= PERCENT * np.maximum(x["n"][some][:, None], x["n"]))
-            i, j = np.nonzero(fit)
-            about = np.concatenate([_estimated(x["sig"][some[i[a : a + 8192]]], x["sig"][j[a : a + 8192]]) for a in range(0, len(i), 8192)] or [np.empty(0)])
-            near = about >= SURE
-            i, j, about = i[near], j[near], about[near]
-            if best and len(i):
-                order_by = np.lexsort((x["node"][j], -about, i))
-                i, j, about = i[order_by], j[order_by], about[order_by]
-                first = np.concatenate([[True], i[1:] != i[:-1]])
-                i, j, about = i[first], j[first], about[first]
-            one, other = x["node"][some[i]], x["node"][j]
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(about)], ["node", "u", "v", "about"])
+def _cells(met: DataFrame, own: DataFrame, size: str) -> DataFrame:
+    """key, p, q, asks, other, node, comp: the nodes of each bucket with several components, dealt out to cells.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in parts:
-            now = {k: batch.column(k).to_numpy() for k in ("key", "part", "node", "n", "comp")} | {"sig": _bytes(batch.column("sig"))}
-            held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
-            new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["part"][1:] != held["part"][:-1])) + 1
-            for a, b in zip([0, *new[:-1]], new, strict=False):
-                yield from pairs({k: v[a:b] for k, v in held.items()})
-            held = {k: v[int(new[-1]) if len(new) else 0 :] for k, v in held.items()}
-        if held is not None and len(held["key"]):
-            yield from pairs(held)
-
-    return run
-
-
-def _between(met: DataFrame, nodes: DataFrame, joined: DataFrame, best: bool) -> DataFrame:
-    """u < v: candidates that are in different components, the best of each node or all."""
-    own = nodes.select("node", "n", "sig").join(joined, "node", "left").select("node", "n", "sig", F.coalesce("component", "node").alias("comp"))
-    pivots = own.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
-    labelled = met.join(own.select("node", "comp"), "node")
-    mixed = cut(labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key"), "mixed")
-    rows = labelled.join(mixed, "key").join(pivots, "pivot")
-    parts = F.ceil(F.col("c") / PART).cast("int")
-    all_parts = F.sequence(F.lit(0), parts - 1)
-    rows = rows.select("key", "node", F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(all_parts)).alias("part"))
-    dealt = rows.join(own, "node").select("key", "part", "node", "n", "comp", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    found = dealt.mapInArrow(_apart(best), "node long, u long, v long, about double")
-    if best:
-        found = found.groupBy("node").agg(F.max(F.struct("about", "u", "v")).alias("x")).select("x.u", "x.v")
-    out = cut(found.select("u", "v").distinct(), "candidates")
-    drop(mixed)
-    return out
+    ``own``: node, comp and ``size`` (bytes to compare). A node of the component of the bucket's pivot
+    goes to the cells of its part p; any other node asks in the cells of its q, and is met in those
+    of its p. Parts are as many as PART goes into the bucket's bytes, q as many as into those that ask.
+    """
+    labelled = met.join(own.select("node", "comp", size), "node")
+    sums = labelled.groupBy("key", "comp").agg(F.sum(size).alias("w"), F.max(F.col("node") == F.col("pivot")).alias("main"))
+    count = lambda w: F.greatest(F.lit(1), F.ceil(F.coalesce(w, F.lit(0)) / PART)).cast("int")
+    mixed = sums.groupBy("key").agg(count(F.sum("w")).alias("ps"), count(F.sum(F.when(~F.col("main"), F.col("w")))).alias("qs"), F.max(F.when(F.col("main"), F.col("comp"))).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    rows = labelled.join(cut(mixed.drop("k"), "mixed").hint("merge"), "key")
+    rows = rows.withColumns({"p": F.pmod(F.xxhash64("node"), F.col("ps")).cast("int"), "q": F.pmod(F.xxhash64("node", F.lit(1)), F.col("qs")).cast("int")})
+    cell = lambda p, q, asks, other: F.struct(p.alias("p"), q.alias("q"), asks.alias("asks"), other.alias("other"))
+    yes, no = F.lit(True), F.lit(False)
+    met_in = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: cell(F.col("p"), q, no, yes))
+    asks_in = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: cell(p, F.col("q"), yes, p == F.col("p")))
+    elsewhere = F.filter(met_in, lambda x: x["q"] != F.col("q"))
+    at = F.when(F.col("comp") == F.col("main"), met_in).otherwise(F.concat(asks_in, elsewhere))
+    return rows.select("key", "node", "comp", F.explode(at).alias("at")).select("key", "at.*", "node", "comp")
+
+
+def _by_cell(parts: Iterator[pa.RecordBatch], value) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each cell, of rows sorted by cell; ``value`` makes a column out of what is compared."""
+    held = None
+    for batch in parts:
+        now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "p", "q", "asks", "other", "node", "comp", "n")} | {"value": value(batch)}
+        held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
+        new = np.flatnonzero(np.logical_or.reduce([held[k][1:] != held[k][:-1] for k in ("key", "p", "q")])) + 1
+        for a, b in zip([0, *new[:-1]], new, strict=False):
+            yield {k: v[a:b] for k, v in held.items()}
+        held = {k: v[int(new[-1]) if len(new) else 0 :] for k, v in held.items()}
+    if held is not None and len(held["key"]):
+        yield held
+
+
+def _fits(x: dict[str, np.ndarray], i, j: np.ndarray) -> np.ndarray:
+    """Whether the sizes of two sets allow a link."""
+    return 100 * np.minimum(x["n"][i], x["n"][j]) >= PERCENT * np.maximum(x["n"][i], x["n"][j])
+
+
+def _likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that look like enough a node of another component of their cell."""
+    for x in _by_cell(parts, lambda batch: _bytes(batch.column("sig"))):
+        asks, others, found = np.flatnonzero(x["asks"]), np.flatnonzero(x["other"]), np.zeros(len(x["node"]), bool)
+        for k in range(0, len(asks), 16):
+            some = asks[k : k + 16][:, None]
+            i, j = np.nonzero((x["comp"][some] != x["comp"][others]) & _fits(x, some, others))
+            i, j = some[i, 0], others[j]
+            for a in range(0, len(i), 8192):
+                near = _estimated(x["value"][i[a : a + 8192]], x["value"][j[a : a + 8192]]) >= SURE
+                found[i[a : a + 8192][near]] = found[j[a : a + 8192][near]] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x["node"][found])], ["node"])
+
+
+def _links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the exact links between the components of each cell."""
+
+    def sets(batch: pa.RecordBatch) -> np.ndarray:
+        column, out = batch.column("shingles"), np.empty(len(batch), object)
+        for i in range(len(batch)):
+            out[i] = column[i].values.to_numpy()
+        return out
+
+    for x in _by_cell(parts, sets):
+        size = np.array([len(v) for v in x["value"]])
+        place = np.unique(np.concatenate(x["value"]), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        marked, u, v = np.zeros(int(place.max()) + 1, bool), [], []
+        others, comp = np.flatnonzero(x["other"]), x["comp"].copy()
+        for i in np.flatnonzero(x["asks"]).tolist():
+            j = others[(comp[others] != comp[i]) & _fits(x, i, others)]
+            if not len(j):
+                continue
+            own = place[start[i] : start[i] + size[i]]
+            marked[own] = True
+            shared = np.add.reduceat(marked[place[ranges(start[j], size[j])]], np.cumsum(size[j]) - size[j], dtype=np.int64)
+            marked[own] = False
+            j = j[100 * shared >= PERCENT * (size[i] + size[j] - shared)]
+            if len(j):
+                _, first = np.unique(comp[j], return_index=True)
+                u += [int(x["node"][i])] * len(first)
+                v += x["node"][j[first]].tolist()
+                comp[np.isin(comp, comp[j])] = comp[i]
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _sorted_cells(cells: DataFrame, more: DataFrame, value: str) -> DataFrame:
+    return cells.join(more.hint("merge"), "node").select("key", "p", "q", "asks", "other", "node", "comp", "n", value).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,26 +313,28 @@ def _joined(named: DataFrame, row: str, signed: DataFrame) -> tuple[DataFrame, D
     met = cut(postings.join(buckets.hint("merge"), "key"), "met")
     drop(postings, buckets)
     pairs = cut(_with_pivots(met, nodes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    left, tested, have, links, joined = [pairs], pairs, None, None, None
-    for step in ("pivot", "best", "all"):
-        if step != "pivot":
-            every = _between(met, nodes, joined, step == "best")
-            left.append(every)
-            if every.isEmpty():
-                break
-            pairs = cut(every.join(tested, ["u", "v"], "left_anti"), "candidates")
-            left, tested = [*left, pairs], tested.unionByName(pairs)
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = cut((wanted if have is None else wanted.join(have.select("node"), "node", "left_anti")).join(nodes.select("node", "row"), "node"), "wanted")
-        if have is None or not wanted.isEmpty():
-            more = _sets(named, row, wanted)
-            have, left = more if have is None else have.unionByName(more), [*left, more]
-        found = cut(_verified(pairs, have), "verified")
-        left = [*left, wanted, found]
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            joined = components(links)
-    drop(met, *left)
+
+    def of(wanted: DataFrame) -> DataFrame:
+        rows = cut(wanted.join(nodes.select("node", "row"), "node"), "wanted")
+        out = _sets(named, row, rows)
+        drop(rows)
+        return out
+
+    have = of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    links = cut(_verified(pairs, have), "verified")
+    joined = components(links)
+    drop(pairs)
+
+    own = nodes.join(joined, "node", "left").select("node", "n", "sig", F.coalesce("component", "node").alias("comp"), F.lit(ROWS * BANDS).alias("bytes"), (8 * F.col("n")).alias("set_bytes"))
+    likely = cut(_sorted_cells(_cells(met, own, "bytes"), nodes.select("node", "n", "sig"), "sig").mapInArrow(_likely, "node long").distinct(), "likely")
+    if not likely.isEmpty():
+        more = of(likely.join(have.select("node"), "node", "left_anti"))
+        cells = _cells(met.join(likely.hint("merge"), "node"), own, "set_bytes")
+        sets = have.unionByName(more).join(nodes.select("node", "n"), "node")
+        found = cut(_sorted_cells(cells, sets, "shingles").mapInArrow(_links, "u long, v long"), "links")
+        joined = components(links.unionByName(found))
+        drop(more, found)
+    drop(met, have, links, likely)
     return nodes, joined
 
 

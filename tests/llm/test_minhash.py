@@ -87,7 +87,7 @@ def test_permutations_and_estimate():
     assert m.signatures(s)[0, 5] == m._permuted(x - np.uint32(5), m.PI, np.empty_like(x)).min()
 
 
-@pytest.mark.parametrize("part", [4096, 3])
+@pytest.mark.parametrize("part", [16 << 20, 3000])
 def test_groups_against_all_pairs(spark, part, monkeypatch):
     monkeypatch.setattr(m, "PART", part)
     rows = corpus()
@@ -96,7 +96,7 @@ def test_groups_against_all_pairs(spark, part, monkeypatch):
 
 
 def test_members_that_only_link_among_themselves(spark):
-    """A ring of texts about the threshold: pivots do not link all of it, the later rounds do."""
+    """A ring of texts about the threshold: pivots do not link all of it, the second round does."""
     r = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     rows = []
