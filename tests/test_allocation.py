@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from korridor.operators.allocation import allocate, place_bundles
+import pytest
+
+from korridor.operators.allocation import _Ends, allocate, place_bundles
 
 
 def test_allocate_against_a_loop(spark):
@@ -24,6 +26,33 @@ def test_allocate_against_a_loop(spark):
     assert got == want and any(v is None for v in want.values())
 
 
+@pytest.mark.parametrize(("n", "span", "vehicles"), [(300, 3000, 5), (300, 400, 60), (200, 100_000, 3)])
+def test_stretches_are_turned_as_one_loop_would(spark, n, span, vehicles):
+    """Many cuts and none, few vehicles and more than duties: the plain loop's answer, from stretches side by side."""
+    r = random.Random(n + span)
+    duties = [(1, i, s := r.randint(0, span), s + r.randint(0, 60)) for i in range(n)]
+    got = {x.d: x.v for x in allocate(spark.createDataFrame(duties, "g int, d int, s long, e long").repartition(3), spark.createDataFrame([(1, k) for k in range(vehicles)], "g int, v int"), "g", "d", "v", "s", "e", 7, 500).collect()}
+    ends, cursor, want = [None] * vehicles, 0, {}
+    for _, i, s, e in sorted(duties, key=lambda d: (d[2], d[1])):
+        free = next((k % vehicles for k in range(cursor, cursor + vehicles) if ends[k % vehicles] is None or ends[k % vehicles] + 7 <= s), None)
+        want[i] = free
+        if free is not None:
+            ends[free], cursor = e, (free + 1) % vehicles
+    assert got == want
+
+
+def test_first_free_place():
+    r = random.Random(2)
+    for n in (1, 2, 3, 7, 20):
+        ends, plain, cursor = _Ends(n), [None] * n, 0
+        for t in range(400):
+            end = t + r.randint(0, 3 * n)
+            want = next((k % n for k in range(cursor, cursor + n) if plain[k % n] is None or plain[k % n] <= t), None)
+            assert ends.take(cursor, t, end) == want
+            if want is not None:
+                plain[want], cursor = end, (want + 1) % n
+
+
 def test_bundles_never_overlap_and_come_in_order(spark):
     r = random.Random(8)
     slots = [(r.choice([1, 2]), k, r.randint(0, 4), s := r.randint(0, 100), s + 10) for k in range(20)]
