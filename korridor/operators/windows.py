@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,11 +57,27 @@ def rolling_anomaly(df: DataFrame, by: list[str], order: str, value: str, rows:
     return df.withColumn("z", F.round(z, 6)).withColumn("anomalous", F.coalesce(F.abs(z) > limit, F.lit(False)))
 
 
-def ranked_sample(df: DataFrame, by: list[str], quota, ids: list[str], seed: str) -> DataFrame:
-    """The rows of each group with the least seeded digests, ``quota`` of them."""
+def ranked_sample(df: DataFrame, by: list[str], quota, ids: list[str], seed: str, buckets: int = 4096) -> DataFrame:
+    """The rows of each group with the least seeded digests, ``quota`` of them, and their ``sample_rank``.
+
+    ``quota``: a number, or a column that is the same throughout a group. Digests are even, so a
+    histogram of them, ``buckets`` counts a group, tells which buckets the quota reaches and how many
+    rows come before each. Only rows of those are shuffled, by group and bucket, and ranked there: no
+    task sorts a group. ``buckets``: a power of 16, 65,536 at most.
+    """
+    digits = len(f"{buckets - 1:x}")
+    limit = quota if isinstance(quota, Column) else F.lit(quota)
     digest = F.sha2(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in ids)), 256)
-    order = Window.partitionBy(*by).orderBy(digest, *ids)
-    return df.withColumn("sample_rank", F.row_number().over(order)).filter(F.col("sample_rank") <= quota)
+    x = df.withColumn("_digest", digest).withColumn("_bucket", F.conv(F.substring("_digest", 1, digits), 16, 10).cast("int"))
+    counts = x.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"), F.max(limit).alias("_quota"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("_before", before).filter("_before < _quota").select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_bucket").alias("_in"), "_before")
+    hit = F.col("_bucket") == F.col("_in")
+    for i, c in enumerate(by):
+        hit = hit & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    order = Window.partitionBy(*by, "_bucket").orderBy("_digest", *ids)
+    ranked = x.join(reached, hit).withColumn("sample_rank", (F.col("_before") + F.row_number().over(order)).cast("int"))
+    return ranked.filter(F.col("sample_rank") <= limit).select(*df.columns, "sample_rank")
 
 
 def largest_remainder(df: DataFrame, by: list[str], weight: str, seats: int | str, tie: str, buckets: int = 4096, minimum: int = 0) -> DataFrame:

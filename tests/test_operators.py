@@ -209,3 +209,21 @@ def test_streamed_history_equals_batch(spark, tmp_path):
     got = {(r.key, r.row_id): (r.lag_1, r.mean_n) for r in spark.table("history").collect()}
     want = {(k, int(i[1]) + (100 if k == "R2" else 0)): (x, m) for i, k, c, _, _, _, x, m in HISTORY if k and c}
     assert got == want
+
+
+def test_samples_by_histogram(spark):
+    """Quotas under, over and at a group's size, as numbers and as a column, with null groups and repeated ids: the plain ranking."""
+    import hashlib
+
+    rows = [(g, i % 900) for g, n in (("a", 2000), ("b", 30), (None, 500)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(4).withColumn("most", F.when(F.col("g") == "a", 700).otherwise(20))
+    for quota, limit in ((F.col("most"), {"a": 700, "b": 20, None: 20}), (30, {"a": 30, "b": 30, None: 30}), (3000, {"a": 2000, "b": 30, None: 500})):
+        for buckets in (16, 4096):
+            got = windows.ranked_sample(df, ["g"], quota, ["i"], "7", buckets)
+            assert got.columns == ["g", "i", "most", "sample_rank"]
+            found = {}
+            for x in got.collect():
+                found.setdefault(x.g, []).append((x.sample_rank, x.i))
+            for g, n in limit.items():
+                want = sorted((i for h, i in rows if h == g), key=lambda i: (hashlib.sha256(f"7|{i}".encode()).hexdigest(), i))[:n]
+                assert [i for _, i in sorted(found[g])] == want and [k for k, _ in sorted(found[g])] == list(range(1, n + 1))
