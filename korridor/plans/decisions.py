@@ -170,7 +170,17 @@ def patched_rows(r: Roles) -> DataFrame:
     return x.join(touched, "shard", "left").select("shard", "rows_n", F.coalesce("patched_n", F.lit(0)).alias("patched_n"), "stops_sum", F.col("patched_n").isNotNull().alias("rewritten"))
 
 
-portable("r08_reused_scan", "SELECT a.route_id, a.n, b.late FROM (SELECT route_id, count(*) AS n FROM spine GROUP BY route_id) a JOIN (SELECT route_id, count(*) AS late FROM spine WHERE actual_s > scheduled_s GROUP BY route_id) b ON b.route_id = a.route_id")
+@query("r08_reused_scan", "SELECT a.route_id, a.n, b.late FROM (SELECT route_id, count(*) AS n FROM spine GROUP BY route_id) a JOIN (SELECT route_id, count(*) AS late FROM spine WHERE actual_s > scheduled_s GROUP BY route_id) b ON b.route_id = a.route_id")
+def reused_scan(r: Roles) -> DataFrame:
+    """Two summaries of the same departures: the first asks for them and has them written, the second reads them."""
+    from korridor.plans.delivery import scratch
+    from korridor.sources.store import Scans
+
+    scans = Scans(r.spark, scratch(r))
+    departures = lambda: scans.get(f"{r.sf_dir}/lineitem.parquet", "departures", lambda _: r.spine.select("route_id", "actual_s", "scheduled_s"))
+    every = departures().groupBy("route_id").agg(F.count("*").alias("n"))
+    late = departures().filter("actual_s > scheduled_s").groupBy("route_id").agg(F.count("*").alias("late"))
+    return every.join(late, "route_id").select("route_id", "n", "late")
 
 
 # generation

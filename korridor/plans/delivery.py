@@ -12,7 +12,7 @@ from korridor.functions import scalars
 from korridor.operators import transit
 from korridor.plans.registry import portable, query
 from korridor.roles import Roles
-from korridor.sources import files, handoff
+from korridor.sources import files, handoff, store
 
 
 def scratch(r: Roles) -> str:
@@ -195,10 +195,11 @@ def json_mirror(r: Roles) -> DataFrame:
 
 @query("k11_rewritten_shards", "SELECT passenger_id, CASE WHEN passenger_id % 10 = 0 THEN 'PATCHED' ELSE segment END AS segment FROM passengers")
 def rewritten_shards(r: Roles) -> DataFrame:
-    path, x = scratch(r), r.passengers.select("passenger_id", "segment")
-    patch = x.filter("passenger_id % 10 = 0").select("passenger_id", F.lit("PATCHED").alias("segment"))
-    files.write_once(files.patched(x, patch, ["passenger_id"]), path)
-    return r.spark.read.parquet(path)
+    """The latest of two versions; the second wrote only the shards that the patch touches."""
+    table, x = store.Shards(r.spark, scratch(r), ["passenger_id"], 64), r.passengers.select("passenger_id", "segment")
+    table.create(x)
+    table.patch(x.filter("passenger_id % 10 = 0").select("passenger_id", F.lit("PATCHED").alias("segment")))
+    return table.read()
 
 
 @query("k12_long_report", "SELECT 'modes' AS section, CAST(row_number() OVER (ORDER BY mode) - 1 AS INTEGER) AS record_index, '{\"mode\":\"' || mode || '\",\"n\":' || n || '}' AS value_json FROM (SELECT mode, count(*) AS n FROM routes GROUP BY mode) q")
