@@ -61,3 +61,17 @@ def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key, F.lit(1).alias("_a")), right.select(key, F.lit(1).alias("_b"))
     side = F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only").otherwise("both")
     return a.join(b, key, "full_outer").select(key, side.alias("side"))
+
+
+def any_row(source: DataFrame, probe, factor: int = 4) -> bool:
+    """Whether ``probe`` of some files of ``source`` has a row: one file is read, then ``factor`` times as many while none has.
+
+    ``probe``: from a frame of some of the files' rows to a frame; it must have a row for the whole
+    source if and only if it has one for some file.
+    """
+    files, at, lot = sorted(source.inputFiles()), 0, 1
+    while at < len(files):
+        if not probe(source.sparkSession.read.schema(source.schema).parquet(*files[at : at + lot])).isEmpty():
+            return True
+        at, lot = at + lot, lot * factor
+    return False

@@ -196,16 +196,16 @@ def dq_fixtures(r: Roles) -> DataFrame:
     return out
 
 
-@query("v55_schema", "SELECT 'header' AS check_name, 0::BIGINT AS as_written, 0::BIGINT AS as_changed UNION ALL SELECT 'ordinals', 0, count(DISTINCT trip_id) FROM visits WHERE direction = 'R' UNION ALL SELECT 'raw_hash', 0, count(*) FROM visits WHERE direction = 'R' UNION ALL SELECT 'types', 0, count(*) FROM visits WHERE direction = 'R' UNION ALL SELECT 'mirror', 0, count(*) FROM visits WHERE direction = 'R'")
+@query("v55_schema", "SELECT 'header' AS check_name, 0::BIGINT AS as_written, 1::BIGINT AS as_changed UNION ALL SELECT 'ordinals', 0, count(DISTINCT trip_id) FROM visits WHERE direction = 'R' UNION ALL SELECT 'raw_hash', 0, count(*) FROM visits WHERE direction = 'R' UNION ALL SELECT 'types', 0, count(*) FROM visits WHERE direction = 'R' UNION ALL SELECT 'mirror', 0, count(*) FROM visits WHERE direction = 'R'")
 def schema_checks(r: Roles) -> DataFrame:
     """Header, ordinals, raw hashes, types and the JSON mirror of row envelopes, as written and with returned visits changed."""
     e = files.envelope(r.visits, ["trip_id", "seq"], ["stop_id", "boardings"]).select("trip_id", "row_ordinal", "raw_record_text", "raw_sha256", "direction", F.to_json(F.struct("boardings", "stop_id")).alias("mirror"))
-    returned = F.col("direction") == "R"
-    changed = e.withColumns({"row_ordinal": F.when(returned, F.col("row_ordinal") + 1000).otherwise(F.col("row_ordinal")), "raw_record_text": F.when(returned, F.lit('{"boardings":"many"}')).otherwise(F.col("raw_record_text"))})
+    returned, header = F.col("direction") == "R", ["trip_id", "row_ordinal", "raw_record_text", "raw_sha256", "direction", "mirror"]
+    changed = e.select(*reversed(header)).withColumns({"row_ordinal": F.when(returned, F.col("row_ordinal") + 1000).otherwise(F.col("row_ordinal")), "raw_record_text": F.when(returned, F.lit('{"boardings":"many"}')).otherwise(F.col("raw_record_text"))})
 
     def checks(x: DataFrame, name: str) -> DataFrame:
         parsed = F.get_json_object("raw_record_text", "$.boardings").try_cast("long")
-        rows = x.agg(F.lit(int(x.columns != e.columns)).cast("long").alias("header"), F.count_if(F.sha2("raw_record_text", 256) != F.col("raw_sha256")).alias("raw_hash"), F.count_if(parsed.isNull()).alias("types"), F.count_if(F.col("raw_record_text") != F.col("mirror")).alias("mirror"))
+        rows = x.agg(F.lit(int(x.columns != header)).cast("long").alias("header"), F.count_if(F.sha2("raw_record_text", 256) != F.col("raw_sha256")).alias("raw_hash"), F.count_if(parsed.isNull()).alias("types"), F.count_if(F.col("raw_record_text") != F.col("mirror")).alias("mirror"))
         gaps = x.groupBy("trip_id").agg((F.max("row_ordinal") - F.min("row_ordinal") + 1 != F.count("*")).alias("gap"), (F.min("row_ordinal") != 1).alias("late")).agg(F.count_if(F.col("gap") | F.col("late")).alias(name))
         return rows.unpivot([], ["header", "raw_hash", "types", "mirror"], "check_name", name).unionByName(gaps.select(F.lit("ordinals").alias("check_name"), name))
 
@@ -296,12 +296,13 @@ def projected_columns(r: Roles) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-@query("s16_catalog_page", "SELECT stop_id, stop_code FROM stops WHERE zone_id = 3 ORDER BY stop_code, stop_id LIMIT 10 OFFSET 1")
+@query("s16_catalog_page", "SELECT s_suppkey AS stop_id, s_name AS stop_code FROM supplier WHERE s_nationkey = 3 AND s_acctbal >= 0 ORDER BY s_name, s_suppkey LIMIT 10 OFFSET 1")
 def catalog_page(r: Roles) -> DataFrame:
-    """A page of a certified catalogue: rows that are valid on the day, one zone, in order."""
+    """A page of a certified catalogue: rows that are valid on the day (a stop in debt no longer is), one zone, in order."""
     path, day = scratch(r), 900_000_000
-    ends = F.when(F.col("stop_id") < 0, F.lit(day)).otherwise(F.lit(2 * day)).cast("long")
-    stops = r.stops.select(F.lit("stop").alias("split"), F.col("stop_id").alias("case_id"), "stop_code", "zone_id", F.lit(0).cast("long").alias("value_available_s"), F.lit(0).cast("long").alias("feature_cutoff_s"), F.lit(0).cast("long").alias("target_s"), ends.alias("target_available_s"), F.lit(0).alias("target"))
+    debt = r.table("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("stop_id"), F.lit(True).alias("debt"))
+    ends = F.when(F.col("debt"), F.lit(day)).otherwise(F.lit(2 * day)).cast("long")
+    stops = r.stops.join(debt, "stop_id", "left").select(F.lit("stop").alias("split"), F.col("stop_id").alias("case_id"), "stop_code", "zone_id", F.lit(0).cast("long").alias("value_available_s"), F.lit(0).cast("long").alias("feature_cutoff_s"), F.lit(0).cast("long").alias("target_s"), ends.alias("target_available_s"), F.lit(0).alias("target"))
     handoff.write_handoff(stops, path, "catalogue", ["zone_id"])
     x = handoff.read_handoff(r.spark, path).filter((F.col("value_available_s") <= day) & (day < F.col("target_available_s")) & (F.col("zone_id") == 3))
     return x.orderBy("stop_code", "case_id").offset(1).limit(10).select(F.col("case_id").alias("stop_id"), "stop_code")

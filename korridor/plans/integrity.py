@@ -48,7 +48,7 @@ CHECKS: dict[str, dict[str, str]] = {
         "capacity_missing": "SELECT 1 AS x FROM vehicles WHERE capacity IS NULL",
         "any_missing": "SELECT sum(CASE WHEN capacity IS NULL THEN 1 ELSE 0 END) AS n FROM vehicles HAVING sum(CASE WHEN capacity IS NULL THEN 1 ELSE 0 END) = 0",
     },
-    "v06_ticket_journey_overlap": {"both_channels": "SELECT 1 AS x FROM trips t JOIN observations o ON o.row_id = t.trip_id"},
+    "v06_ticket_journey_overlap": {"both_channels": "SELECT DISTINCT t.trip_id FROM trips t JOIN observations o ON o.route_id = t.passenger_id AND CAST(floor(o.at_s / 86400) AS BIGINT) = CAST(floor(t.scheduled_s / 86400) AS BIGINT) WHERE o.kind = 'purchase' AND t.status <> 'P'"},
     "v07_operated_trips": {"journeys": "SELECT 1 AS x FROM visits v JOIN trips t ON v.trip_id = t.trip_id WHERE t.status = 'P' OR v.actual_s < t.scheduled_s"},
     "v08_departures": {
         "planned": "SELECT DISTINCT passenger_id, service_date FROM trips",
@@ -66,7 +66,7 @@ CHECKS: dict[str, dict[str, str]] = {
     },
     "v13_distance_order": {"stops": "SELECT trip_id FROM (SELECT trip_id, boardings, lag(boardings) OVER (PARTITION BY trip_id ORDER BY seq) AS before FROM visits) q WHERE boardings <= before"},
     "v14_schedule_order": {
-        "order": "SELECT trip_id FROM visits GROUP BY trip_id HAVING count(*) <> max(seq)",
+        "order": "SELECT trip_id FROM (SELECT trip_id, actual_s, lag(actual_s) OVER (PARTITION BY trip_id ORDER BY seq) AS before FROM visits) q WHERE actual_s < before",
         "offsets": "SELECT 1 AS x FROM visits v JOIN trips t ON v.trip_id = t.trip_id WHERE v.actual_s - t.scheduled_s > v.seq * 86400 * 30",
     },
     "v15_calendar": {

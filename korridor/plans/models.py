@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korridor.operators import asof, learning, metrics, transit
+from korridor.plans.delivery import scratch
 from korridor.plans.registry import portable, query
 from korridor.plans.windows import HISTORY
 from korridor.roles import Roles
+from korridor.sources import files
 
 LABEL = "CASE WHEN target <= 20 THEN 'ON_TIME' WHEN target <= 40 THEN 'MINOR_DELAY' WHEN target <= 60 THEN 'MODERATE_DELAY' WHEN target <= 80 THEN 'MAJOR_DELAY' ELSE 'SEVERE_DELAY' END"
 
@@ -60,20 +62,39 @@ def _sets(r: Roles) -> tuple[DataFrame, DataFrame, DataFrame]:
 FEATURES = ["hour", "weekday", "lag_1", "mean_7"]
 
 
+def written_run(r: Roles, task: str, model: str, predictions: DataFrame, measures: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """What a run leaves: its predictions, and a result document that names the model, the measures and the predictions' path and number.
+
+    Both are written once, predictions first, so a document never names rows that are not there.
+    Returned is the document as read back. ``held``: frames kept in memory for the run, let go here.
+    """
+    path = files.run_path(scratch(r), "runs", task, "1")
+    files.write_once(predictions, f"{path}/predictions")
+    rows = r.spark.read.parquet(f"{path}/predictions")
+    result = measures.crossJoin(rows.agg(F.count("*").alias("predictions_n"))).select(F.lit(task).alias("task"), F.lit(model).alias("model"), "*", F.lit(f"{path}/predictions").alias("predictions"))  # one row each
+    result.coalesce(1).write.mode("errorifexists").json(f"{path}/result")
+    for x in held:
+        x.unpersist()
+    return r.spark.read.schema(result.schema).json(f"{path}/result").drop("predictions", "task")
+
+
 @query("m09_regression_run", None)
 def regression_run(r: Roles) -> DataFrame:
-    """The best of all candidates on validation, scored on test against the last value as baseline."""
-    train, validation, test = (x.persist() for x in _sets(r))
-    name, model = learning.best_regressor(train, validation, FEATURES)
-    out = model.transform(test)
-    return metrics.regression(out, "label", "prediction").withColumn("model", F.lit(name)).crossJoin(metrics.regression(out, "label", "lag_1").select(F.col("mae").alias("baseline_mae")))
+    """The best of all candidates on validation, scored on test against the last value as baseline; predictions and result are written."""
+    held = [x.persist() for x in _sets(r)]
+    name, model = learning.best_regressor(held[0], held[1], FEATURES)
+    out = model.transform(held[2])
+    measures = metrics.regression(out, "label", "prediction").crossJoin(metrics.regression(out, "label", "lag_1").select(F.col("mae").alias("baseline_mae")))
+    return written_run(r, "demand", name, out.select("row_id", F.col("label").alias("actual"), F.col("prediction").alias("predicted")), measures, held)
 
 
 @query("m08_classification_run", None)
 def classification_run(r: Roles) -> DataFrame:
-    train, validation, test = (x.withColumn("label", (F.col("label") > 50).cast("double")).persist() for x in _sets(r))
-    name, model = learning.best_classifier(train, validation, FEATURES, [0.0, 1.0])
-    return metrics.classification(model.transform(test), "label", "prediction", [0.0, 1.0]).withColumn("model", F.lit(name))
+    """The best classifier by validation, scored on test; predictions and result are written."""
+    held = [x.withColumn("label", (F.col("label") > 50).cast("double")).persist() for x in _sets(r)]
+    name, model = learning.best_classifier(held[0], held[1], FEATURES, [0.0, 1.0])
+    out = model.transform(held[2])
+    return written_run(r, "delay", name, out.select("row_id", F.col("label").alias("actual"), F.col("prediction").alias("predicted")), metrics.classification(out, "label", "prediction", [0.0, 1.0]), held)
 
 
 @query("m16_clustering_run", None)
@@ -89,7 +110,10 @@ def clustering_run(r: Roles) -> DataFrame:
     for name, model in models.items():
         part = model.transform(x).select(F.lit(name).alias("model"), "split", "route_id", F.col("prediction").alias("cluster"), F.lit(scores[name]).cast("double").alias("silhouette"), F.lit(best and name == best).cast("boolean").alias("selected"))
         out = part if out is None else out.unionByName(part)
-    return out
+    path = files.run_path(scratch(r), "runs", "clustering", "1")
+    files.write_once(out, path)
+    x.unpersist()
+    return r.spark.read.parquet(path)
 
 
 # predictions that any engine can repeat: above 25 boardings is late

@@ -98,7 +98,7 @@ portable("p14_allowed_filters", "SELECT trip_id FROM trips WHERE status IN ('O',
 
 # joins
 portable("j02_trip_operations", f"SELECT t.trip_id, v.seq, v.stop_id, {DELAY} AS delay_s, h.capacity FROM trips t LEFT JOIN visits v ON v.trip_id = t.trip_id LEFT JOIN vehicles h ON h.vehicle_id = v.vehicle_id")
-portable("j03_demand_operations", "SELECT o.row_id, o.kind, p.segment, t.trip_id FROM observations o LEFT JOIN passengers p ON p.passenger_id = o.route_id LEFT JOIN trips t ON t.trip_id = o.row_id")
+portable("j03_demand_operations", "SELECT o.row_id, o.kind, p.segment, t.trip_id FROM observations o LEFT JOIN passengers p ON p.passenger_id = o.route_id LEFT JOIN (SELECT passenger_id, max(trip_id) AS trip_id FROM trips WHERE status <> 'P' GROUP BY passenger_id) t ON t.passenger_id = o.route_id")
 
 
 @query("j04_operation_spine", f"SELECT v.trip_id, v.seq, t.route_id, n.route_code, n.mode, s.stop_code, h.vehicle_type, p.segment, {DELAY} AS delay_s, CASE WHEN v.actual_s IS NOT NULL AND t.scheduled_s IS NOT NULL THEN greatest(v.actual_s, t.scheduled_s) END AS known_s FROM visits v LEFT JOIN trips t ON t.trip_id = v.trip_id LEFT JOIN passengers p ON p.passenger_id = t.passenger_id LEFT JOIN routes n ON n.route_id = t.route_id LEFT JOIN stops s ON s.stop_id = v.stop_id LEFT JOIN vehicles h ON h.vehicle_id = v.vehicle_id")
@@ -108,7 +108,7 @@ def operation_spine(r: Roles) -> DataFrame:
     return x.select("trip_id", "seq", "route_id", "route_code", "mode", "stop_code", "vehicle_type", "segment", transit.positive_delay("actual_s", "scheduled_s").alias("delay_s"), transit.known_at("actual_s", "scheduled_s").alias("known_s"))
 
 
-portable("j05_planned_vehicle", "SELECT v.trip_id, v.seq, h.operator FROM visits v LEFT JOIN vehicles h ON h.vehicle_id = v.stop_id")
+portable("j05_planned_vehicle", "SELECT v.trip_id, v.seq, h.operator FROM visits v LEFT JOIN (SELECT trip_id, vehicle_id FROM visits WHERE seq = 1) p ON p.trip_id = v.trip_id LEFT JOIN vehicles h ON h.vehicle_id = p.vehicle_id")
 
 
 @query("j07_trip_demand", "SELECT t.trip_id, d.demand, p.segment, n.route_code FROM (SELECT trip_id, CAST(sum(boardings) AS BIGINT) AS demand FROM visits GROUP BY trip_id) d JOIN trips t ON t.trip_id = d.trip_id LEFT JOIN passengers p ON p.passenger_id = t.passenger_id LEFT JOIN routes n ON n.route_id = t.route_id")
@@ -229,9 +229,21 @@ def proportional_quota(r: Roles) -> DataFrame:
 
 @query("o06_existence_probe", "SELECT EXISTS (SELECT 1 FROM spine WHERE actual_s < scheduled_s) AS any_early, EXISTS (SELECT 1 FROM spine WHERE boardings < 0) AS any_negative")
 def existence_probe(r: Roles) -> DataFrame:
-    """Each probe reads one partition, then more while none has a hit."""
-    visits = r.table("lineitem").filter("l_quantity < 0")  # a negative sum needs a negative part
-    found = (not r.spine.filter("actual_s < scheduled_s").select("trip_id").isEmpty(), not visits.select("l_orderkey").isEmpty() and not r.spine.filter("boardings < 0").select("trip_id").isEmpty())
+    """Probes on raw lines, file by file while none has a hit: a visit is early if a line of it is, and negative only if a line is.
+
+    The lines' least and greatest trip bound what is read of the trips; a negative quantity is looked
+    for in files whose statistics allow one, and visits are only added up if there is any.
+    """
+    lines, orders = r.table("lineitem"), r.table("orders").select("o_orderkey", "o_orderdate")
+
+    def early(some: DataFrame) -> DataFrame:
+        x = some.select("l_orderkey", "l_shipdate")
+        low, high = x.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+        trips = orders.filter(F.col("o_orderkey").between(low, high))
+        return x.join(trips, (x["l_orderkey"] == trips["o_orderkey"]) & (x["l_shipdate"] < trips["o_orderdate"])).select("l_orderkey")
+
+    negative = joins.any_row(lines, lambda some: some.filter("l_quantity < 0").select("l_orderkey"))
+    found = (joins.any_row(lines, early), negative and not r.spine.filter("boardings < 0").select("trip_id").isEmpty())
     return r.spark.createDataFrame([found], "any_early boolean, any_negative boolean")
 
 
