@@ -187,7 +187,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode every whole text and write it, with ``end_id`` appended, to ``path`` in ascending doc_id order.
 
     A null text is empty and has the end id alone; a null doc_id sorts first. Rows that repeat a
-    doc_id are written one after the other, in the order of their ids. A long text is one row of a
+    doc_id, or have none, are written one after the other, by a hash of their tokens, in as many ranges as
+    they fill. A long text is one row of a
     shard however long it is. An empty table has no shards. Other columns are not looked at, whatever
     their names. ``vocabulary`` bounds the ids, at 65,536 at most; ``as_text``: see ``ByteBpe``.
     """
@@ -213,8 +214,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         seen = np.flatnonzero(total)
         yield from batches(COUNTS, {"id": seen, "n": total[seen]})
 
-    tokens = cut(keyed(docs).mapInArrow(encode, "doc_id long, ids binary"), "tokens", "zstd")
-    order = tokens.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # no more rows than the vocabulary has ids
+    tokens = keyed(docs).mapInArrow(encode, "doc_id long, ids binary").withColumns({"tie": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+    tokens = cut(tokens, "tokens", "zstd")
+    order = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # no more rows than the vocabulary has ids
     seen, total = np.array([r.id for r in order], np.int64), sum(r.n for r in order)
     ids_by_rank = seen.astype("<u4")
     rank = np.zeros(vocabulary, np.uint32)
@@ -239,8 +241,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     # ranges of about eight shards, however many tokens there are
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * shard_tokens)))
-    ranged = tokens.repartitionByRange(many, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ranged.mapInArrow(shards, "range long, part long, n_docs long, n_tokens long, payload binary").write.parquet(f"{path}/shards")
+    ranged = tokens.repartitionByRange(many, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
+    ranged.select("doc_id", "ids").mapInArrow(shards, "range long, part long, n_docs long, n_tokens long, payload binary").write.parquet(f"{path}/shards")
     spark.createDataFrame([(bytearray(ids_by_rank.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
     shared.unpersist()
     drop(tokens)
