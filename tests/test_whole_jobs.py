@@ -157,11 +157,3 @@ def test_silhouette_takes_the_whole_sample(spark):
         total += (far - mean[kind]) / max(far, mean[kind])
     r = models.silhouette(roles(spark, observations=observations)).first()
     assert r.n == 500 and abs(r.silhouette - total / 500) < 1e-6
-
-
-def test_toxicity_learns_from_the_stated_sample(spark):
-    toxicity = pytest.importorskip("korridor.llm.toxicity")
-    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
-    labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
-    got = [y for _, y in toxicity.labelled_sample(docs, labels)]
-    assert (got.count(1), got.count(0)) == (1000, 2000)
