@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korridor.functions import scalars
-from korridor.operators import learning, metrics, transit, whatif, windows
+from korridor.operators import eligibility, learning, metrics, transit, whatif, windows
 from korridor.plans.delivery import CASES, cases, scratch
 from korridor.plans.models import SCORED, scored
 from korridor.plans.registry import portable, query
+from korridor.plans.relational import YEAR_1996, occupancy_candidates
 from korridor.roles import Roles, seconds
 from korridor.sources import files, handoff
 
@@ -462,21 +463,34 @@ d AS (SELECT c.split, c.label, c.n, q.quota AS seats FROM c JOIN q USING (split)
 k AS (SELECT x.*, row_number() OVER (PARTITION BY x.split, x.label ORDER BY sha256('{seed}|' || x.case_id), x.case_id) AS place FROM x) SELECT k.split, k.label, k.case_id FROM k JOIN l ON l.split = k.split AND l.label = k.label WHERE k.place <= l.quota"""
 
 
-_TASK_ROWS = {"crowding": ("SELECT case_id, split, target AS label FROM ({cases}) c", 500), "demand": ("SELECT case_id, split, 0 AS label FROM ({cases}) c", 300)}
+_OCCUPANCY_CASES = f"""SELECT s.trip_id * 10 + s.seq AS case_id, CASE WHEN s.service_date < DATE '1996-07-01' THEN 'train' WHEN s.service_date < DATE '1996-10-01' THEN 'validation' ELSE 'test' END AS split, CAST(s.boardings > h.capacity AS INTEGER) AS label FROM spine s JOIN vehicles h ON h.vehicle_id = s.vehicle_id
+WHERE s.route_id IS NOT NULL AND s.stop_id IS NOT NULL AND s.direction IN ('A', 'N') AND s.status IN ('O', 'F') AND h.capacity > 0 AND s.boardings >= 0 AND s.actual_s > s.scheduled_s AND s.actual_s < s.scheduled_s + 31536000
+AND s.scheduled_s BETWEEN {YEAR_1996[0]} AND {YEAR_1996[1] - 1} AND s.actual_s + 300 <= {YEAR_1996[1]}"""
+_TASK_ROWS = {"crowding": ("SELECT case_id, split, target AS label FROM ({cases}) c", 500), "demand": ("SELECT case_id, split, 0 AS label FROM ({cases}) c", 300), "occupancy": (_OCCUPANCY_CASES, 200)}
 
 
-@query("m18_handoff_rows", " UNION ALL ".join(f"SELECT '{t}' AS task, * FROM (WITH {_handoff_sql(rows.format(cases=CASES), 'm18-' + t, n)}) {t}" for t, (rows, n) in _TASK_ROWS.items()) + " UNION ALL SELECT 'occupancy', 'test', 0, case_id FROM (SELECT trip_id * 10 + seq AS case_id FROM spine WHERE capacity > 0 AND actual_s > scheduled_s ORDER BY sha256('m18-occupancy|' || (trip_id * 10 + seq)), 1 LIMIT 200) o UNION ALL SELECT 'clustering', 'train', 0, route_id FROM (SELECT DISTINCT route_id FROM spine WHERE service_date < DATE '1999-01-01') k")
+@query("m18_handoff_rows", " UNION ALL ".join(f"SELECT '{t}' AS task, * FROM (WITH {_handoff_sql(rows.format(cases=CASES), 'm18-' + t, n)}) {t}" for t, (rows, n) in _TASK_ROWS.items()) + " UNION ALL SELECT 'clustering', 'train', 0, route_id FROM (SELECT DISTINCT route_id FROM spine WHERE service_date < DATE '1999-01-01') k")
 def handoff_rows(r: Roles) -> DataFrame:
-    """The rows of the four handoffs: sampled by split and label, by split, the first of a seeded order, and whole."""
-    out = []
-    for task, x in (("crowding", cases(r).select("case_id", "split", F.col("target").alias("label"))), ("demand", cases(r).select("case_id", "split", F.lit(0).alias("label")))):
+    """The four handoffs, each certified, written and read back: by split and label, by split, by eligibility then split and label, and whole."""
+    splits = F.when(F.col("service_date") < "1996-07-01", "train").when(F.col("service_date") < "1996-10-01", "validation").otherwise("test")
+    known = eligibility.eligible(occupancy_candidates(r), eligibility.occupancy(*YEAR_1996))
+    occupancy = known.select(
+        (F.col("trip_id") * 10 + F.col("seq")).alias("case_id"), splits.alias("split"), F.col("cutoff_s").alias("feature_cutoff_s"), F.col("known_s").alias("value_available_s"), F.col("actual_s").alias("target_s"), F.col("load_available_s").alias("target_available_s"),
+        F.col("over_capacity").cast("int").alias("target"), "stop_sequence",
+    )
+    path, out = scratch(r), []
+    for task, x, label in (("crowding", cases(r), F.col("target")), ("demand", cases(r), F.lit(0)), ("occupancy", occupancy, F.col("target"))):
+        x = x.withColumn("label", label)
         q = quotas(x.groupBy("split", "label").agg(F.count("*").alias("n")), _TASK_ROWS[task][1])
-        out.append(windows.ranked_sample(x.join(F.broadcast(q), ["split", "label"]), ["split", "label"], F.col("quota"), ["case_id"], f"m18-{task}").select(F.lit(task).alias("task"), "split", "label", "case_id"))  # a row a split and label
-    case = F.col("trip_id") * 10 + F.col("seq")
-    seen = r.spine.filter("capacity > 0 AND actual_s > scheduled_s").select(case.alias("case_id")).orderBy(scalars.rank_digest("m18-occupancy", "case_id"), "case_id").limit(200)
-    out.append(seen.select(F.lit("occupancy").alias("task"), F.lit("test").alias("split"), F.lit(0).alias("label"), "case_id"))
-    whole = r.spine.filter("service_date < DATE'1999-01-01'").select(F.col("route_id").cast("long").alias("case_id")).distinct()
-    out.append(whole.select(F.lit("clustering").alias("task"), F.lit("train").alias("split"), F.lit(0).alias("label"), "case_id"))
+        some = windows.ranked_sample(x.join(F.broadcast(q), ["split", "label"]), ["split", "label"], F.col("quota"), ["case_id"], f"m18-{task}")  # a row a split and label
+        files.write_once(some.drop("label", "quota", "sample_rank"), f"{path}/{task}-sample")  # sampled once; guards, rows and digest read it
+        handoff.write_handoff(r.spark.read.parquet(f"{path}/{task}-sample"), f"{path}/{task}", task, ["stop_sequence"], {"seed": f"m18-{task}", "budget": _TASK_ROWS[task][1]})
+        out.append(handoff.read_handoff(r.spark, f"{path}/{task}").select(F.lit(task).alias("task"), "split", label.alias("label"), "case_id"))
+    end = F.lit(915_148_800).cast("long")
+    routes = r.spine.filter("service_date < DATE'1999-01-01'").groupBy(F.col("route_id").cast("long").alias("case_id")).agg(F.avg("boardings").alias("load"))
+    routes = routes.select(F.lit("train").alias("split"), "case_id", "load", (end - 1).alias("value_available_s"), end.alias("feature_cutoff_s"), end.alias("target_s"), end.alias("target_available_s"), F.lit(0).alias("target"))  # nothing is predicted of a route
+    handoff.write_handoff(routes, f"{path}/clustering", "clustering", ["load"])
+    out.append(handoff.read_handoff(r.spark, f"{path}/clustering").select(F.lit("clustering").alias("task"), "split", F.col("target").alias("label"), "case_id"))
     return reduce(DataFrame.unionByName, out)
 
 
