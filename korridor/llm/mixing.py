@@ -68,7 +68,7 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, b
     ``also``: columns that go along. ``end`` counts words from the start of the stream, ``before[b]``
     those of the extra blocks before block b, ``extra[b]`` says whether b is taken once more than ``rounds``.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *also)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *also)
     rows = cut(rows, "sizes")
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("place", F.row_number().over(by_name))
@@ -78,7 +78,7 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, b
     goal = goal.withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / (F.col("long") * shard_blocks) + 0.5)).cast("long"))
     goal = cut(sources.select("place", "source").join(goal, "place"), "targets")
 
-    salt = _digest(str(seed), "document", F.col("doc_id").cast("string"))
+    salt = _digest(str(seed), "document", F.col("doc_id").cast("string"), F.col("digest"))
     dealt = rows.join(F.broadcast(goal), rows["source"].eqNullSafe(goal["source"])) if goal.count() <= 10_000 else rows.join(goal, rows["source"].eqNullSafe(goal["source"]))
     dealt = dealt.select("doc_id", rows["source"], "size", "place", "source_size", "target", "long", "shards", salt.alias("salt"), *also)
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("salt", 1, 8), 16, 10).cast("long"), F.col("shards")))
@@ -100,7 +100,7 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, b
     plan = tile.groupBy("place", "shard", "words", "n", F.expr("quota div n").alias("rounds")).agg(F.sort_array(F.collect_list(F.struct("block", "extra", "before"))).alias("tiles"))  # a shard's blocks, at most about twice shard_blocks
     plan = cut(plan.select("place", "shard", "words", "n", "rounds", F.col("tiles.extra").alias("extra"), F.col("tiles.before").alias("before")), "plan")
 
-    stream = Window.partitionBy("place", "shard").orderBy("salt", "doc_id", "size")
+    stream = Window.partitionBy("place", "shard").orderBy("salt", *also)
     placed = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     drop(sources, shards)
     return placed.join(plan, ["place", "shard"], "left")
@@ -112,8 +112,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     Sources by code point, null last, get the ``weights`` in turn and share ``share`` times all
     words; a target stops at ``most`` times its source's size. ``taken`` counts a document's words
     in the chosen blocks, repeats included, so never over ``most`` times its size. The same rows and
-    seed give the same mix. A null text or one without words has size 0 and takes nothing; a null
-    doc_id sorts first; repeated rows are documents of their own. A long text may span many blocks.
+    seed give the same mix in whatever order they are stored: shard and place follow from doc_id and
+    text. A null text or one without words has size 0 and takes nothing; rows that repeat a doc_id, or
+    have none, are documents of their own, equal ones next to each other in one shard. A long text may span many blocks.
     An empty table gives no rows. Other columns are not looked at, whatever their names.
     """
 
@@ -136,7 +137,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     """
     row, own, times = fresh(docs, "row", "row_taken", "times")
     named = identified(docs, row)
-    placed = _dealt(named.select("doc_id", "text", "source", F.col(row).alias("row")), weights, share, most, blocks, shard_blocks, seed, "row")
+    told = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))  # rows of one id and text, by what else they hold
+    placed = _dealt(named.select("doc_id", "text", "source", told.alias("told"), F.col(row).alias("row")), weights, share, most, blocks, shard_blocks, seed, "told", "row")
     again = F.expr("rounds + if(extra[((end - size + 1) * n - 1) div words], 1, 0)").cast("int")
     parts = cut(placed.filter("size > 0").select(F.col("row").alias(own), again.alias(times)).filter(F.col(times) > 0), "taken")
     out = named.join(parts.hint("merge"), F.col(row) == F.col(own))
@@ -163,13 +165,13 @@ SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(e.taken, 0) AS taken
     if whole:
         last = "z AS (SELECT 1) SELECT o.doc_id, y.quota // y.n + y.extra::INT AS times FROM o JOIN y ON o.place = y.place AND o.shard = y.shard AND y.block = ((o.finish - o.size + 1) * y.n - 1) // y.words WHERE o.size > 0 AND y.quota // y.n + y.extra::INT > 0"
     return f"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
 c AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap::DOUBLE / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT place, source, source_size, least(cap::DOUBLE, max(level) OVER () * w) AS target, coalesce({_length("total", blocks, "min(nullif(source_size, 0)) OVER ()")}, 1)::BIGINT AS long FROM f),
 u AS (SELECT *, greatest(1, floor(source_size::DOUBLE / (long * {shard_blocks}) + 0.5))::BIGINT AS shards FROM t),
-p AS (SELECT d.doc_id, d.size, u.*, md5('{seed}|document|' || d.doc_id::VARCHAR) AS salt FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+p AS (SELECT d.doc_id, d.size, u.*, md5('{seed}|document|' || d.doc_id::VARCHAR || '|' || d.digest) AS salt FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
 q AS (SELECT *, ('0x' || substr(salt, 1, 8))::BIGINT % shards AS shard FROM p),
 h AS (SELECT place, shard, sum(size)::BIGINT AS words, any_value(target) AS target, any_value(source_size) AS source_size, ceil(sum(size)::DOUBLE / any_value(long))::BIGINT AS n FROM q GROUP BY place, shard HAVING sum(size) > 0),
 a_0 AS (SELECT place, sum(n)::BIGINT AS n, any_value(target) * sum(n)::BIGINT / any_value(source_size) AS share FROM h GROUP BY place),
@@ -180,6 +182,6 @@ b_in AS (SELECT h.*, h.n::DOUBLE AS n_double, least(a.quota, 2 * a.n)::BIGINT AS
 v AS (SELECT place, shard, words, n, least(quota, 2 * n)::BIGINT AS quota FROM b),
 x AS (SELECT *, unnest(range(0, n)) AS block FROM v),
 y AS (SELECT *, row_number() OVER (PARTITION BY place, shard ORDER BY md5('{seed}|block|' || place || '|' || shard || '|' || block), block) <= quota % n AS extra FROM x),
-o AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY salt, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS finish FROM q),
+o AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY salt ROWS UNBOUNDED PRECEDING)::BIGINT AS finish FROM q),
 {last}
 """
