@@ -28,7 +28,7 @@ have 64 bits, and a decision always needs two of them.
 
 Nulls: a null text is empty; a null doc_id comes before all others. Empty and short texts lose
 nothing; a very long text is named in overlapping segments. Rows that repeat a doc_id with the same
-text are one document: neither is earlier, and each gets the document's result. Rows that repeat a
+text are one document: one of them goes through all steps, and each gets its result. Rows that repeat a
 doc_id, or have none, with different texts are documents of their own, in the order of a hash of
 their texts. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korridor.llm.anchors import KEY, LONG, anchors, pair, window_names
-from korridor.llm.common import batches, byte_parts, cut, drop, keyed, unkeyed
+from korridor.llm.common import batches, byte_parts, cut, drop, fresh, identified, keyed, release, unkeyed
 
 ANCHOR = pa.schema([("name", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("hi", pa.int32()), ("at", pa.int32()), ("repeat", pa.bool_())])
 SPAN = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("end", pa.int64())])
@@ -57,6 +57,16 @@ SHARE = 1024  #: a name is hot with more than this part of all rows
 BANDS = (36, 12)  #: window starts of a band, so that its windows share all but so many bytes; the ranks grow from 32 to 65 and 89 bytes of 100
 
 
+def _mapped(rows: DataFrame, run, schema: pa.Schema) -> DataFrame:
+    """``run`` over the tasks' batches; a worker gives freed memory back after each task."""
+
+    def done(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        release()
+
+    return rows.mapInArrow(done, _ddl(schema))
+
+
 def _ddl(schema: pa.Schema) -> str:
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -141,6 +151,8 @@ def _find(width: int):
         for batch in parts:
             raw, ends = byte_parts(batch)
             ids, ties = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
+            none = np.zeros(len(ids), np.int64)
+            yield from batches(ANCHOR, {"name": none, "context": none, "doc_id": ids, "tie": ties, "lo": none, "hi": none, "at": none - 1, "repeat": none > 0})  # that the row is there
             for piece, stops, docs, shift in _segments(raw, ends, np.arange(len(ids)), width):
                 x = anchors(piece, stops, width)
                 doc = x.pop("doc")
@@ -310,7 +322,29 @@ def _finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_spans"].append(len(spans))
             out["kept_sha256"].append(digest.hexdigest())
             out["spans"].append([{"lo": a, "end": b} for a, b in spans])
-        yield from batches(RESULT, out)
+        for done in batches(RESULT, out, len(batch) or 1):
+            yield done.append_column("times", batch.column("times").fill_null(1)) if "times" in batch.schema.names else done
+
+
+def _unrepeated(docs: DataFrame, texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``texts`` and the anchors ``found`` with one row for those that repeat doc_id and tie; and these keys with the row that stays and how often, if there are any.
+
+    Only keys are grouped. Where nothing repeats, as when ids are unique, no text and no anchor moves.
+    """
+    key, anchor = ["doc_id", "tie"], found.filter("at >= 0")
+    keys = cut(found.filter("at < 0").groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    if keys.isEmpty():
+        drop(keys)
+        return texts, anchor, None
+    (row,) = fresh(docs, "row")
+    named = keyed(identified(docs, row), F.col(row).alias("row")).withColumn("tie", F.xxhash64("text"))
+    first = named.select(*key, "row").join(keys, key).groupBy(*key).agg(F.min("row").alias("first"), F.first("times").alias("times"))
+    repeated = cut(first, "repeated")
+    one = named.join(repeated, key, "left").filter("first IS NULL OR row = first").select("doc_id", "text", "tie")
+    copies = anchor.join(repeated.select(*key), key, "left_semi").dropDuplicates()
+    single = cut(anchor.join(repeated.select(*key), key, "left_anti").unionByName(copies), "single")
+    drop(keys)
+    return one, single, repeated
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -322,7 +356,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
         raise ValueError(f"width must be {LONG + max(BANDS) - 1} to {2 * LONG}")
     place, key = ["doc_id", "tie", "lo"], ["name", "at", "window"]
     texts = keyed(docs).withColumn("tie", F.xxhash64("text"))
-    found = cut(texts.mapInArrow(_find(width), _ddl(ANCHOR)), "anchors")
+    written = cut(_mapped(texts, _find(width), ANCHOR), "anchors")
+    texts, found, repeated = _unrepeated(docs, texts, written)
     anchor = found.filter(~F.col("repeat"))
     hot = F.broadcast(_hot(anchor))
     same_name, same_pair = Window.partitionBy("name"), Window.partitionBy("name", "context").orderBy(*place)
@@ -335,20 +370,20 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     many = anchor.join(hot, "name", "left_semi").withColumn("rank", F.rank().over(same_pair))  # a hot name may go on in one way only: its windows then are unique
     repeats = found.filter("repeat").withColumn("rank", F.lit(2))
     ranked = cut(few.unionByName(many).unionByName(repeats).drop("context", "repeat"), "ranked")
-    drop(found)
+    drop(written, *([found] if repeated is not None else []))
     again = ranked.filter("rank > 1").select(*place, (F.col("lo") + F.col("hi") + width).alias("end"))
     opened = ranked.filter("rank = 1").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("name", "lo", "hi", "at")).alias("open"))
-    fetched = cut(texts.join(opened.hint("shuffle_hash"), ["doc_id", "tie"]).mapInArrow(_fetch(width), _ddl(TEXT)), "fetched")
+    fetched = cut(_mapped(texts.join(opened.hint("shuffle_hash"), ["doc_id", "tie"]), _fetch(width), TEXT), "fetched")
     merged = []
     for band in BANDS:
-        longer = cut(fetched.mapInArrow(_refine(width, band), _ddl(BAND)), "longer")
+        longer = cut(_mapped(fetched, _refine(width, band), BAND), "longer")
         drop(fetched)
         merged.append(cut(longer.filter("repeat").select(*place, "end"), "merged"))
         fetched = _shared(longer.filter(~F.col("repeat")).select(*TEXT.names), "shared")
         drop(longer)
     hot = F.broadcast(_hot(fetched))
-    few = fetched.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name").mapInArrow(_rank(width), _ddl(SPAN))
-    windows = cut(fetched.join(hot, "name", "left_semi").mapInArrow(_explode(width), _ddl(WINDOW)), "windows")
+    few = _mapped(fetched.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name"), _rank(width), SPAN)
+    windows = cut(_mapped(fetched.join(hot, "name", "left_semi"), _explode(width), WINDOW), "windows")
     order = Window.partitionBy(*key).orderBy(*place)
     later = windows.filter(~F.col("repeat")).withColumn("rank", F.rank().over(order)).filter("rank > 1")
     for part in merged:
@@ -356,8 +391,11 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     spans = again.unionByName(few).unionByName(windows.filter("repeat").select(*place, "end")).unionByName(later.select(*place, "end"))
     spans = cut(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "spans")
     drop(ranked, fetched, windows, *merged)
-    done = texts.join(spans.hint("shuffle_hash"), ["doc_id", "tie"], "left").mapInArrow(_finish, _ddl(RESULT))
-    return done.withColumn("doc_id", unkeyed())
+    whole = texts.join(spans.hint("shuffle_hash"), ["doc_id", "tie"], "left")
+    if repeated is None:
+        return _mapped(whole, _finish, RESULT).withColumn("doc_id", unkeyed())
+    done = _mapped(whole.join(repeated.select("doc_id", "tie", "times"), ["doc_id", "tie"], "left"), _finish, pa.schema([*RESULT, ("times", pa.int64())]))
+    return done.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times").withColumn("doc_id", unkeyed())
 
 
 assert KEY < LONG <= 100 - max(BANDS) + 1
