@@ -2,8 +2,8 @@
 
 Rows of a key wait in state until the watermark has passed their instant; then they are taken in the
 order of their instants, whatever order they came in, and answered from a bounded state. So a replay
-in any order of arrival, or after a restart, gives what the batch operators give. A timer at an
-instant wakes the key; one waking takes everything that the watermark has passed. Rows later than
+in any order of arrival, or after a restart, gives what the batch operators give. A timer at
+the first instant that waits wakes the key; it takes everything that the watermark has passed. Rows later than
 the watermark are dropped by Spark. Instants are timestamps; whole milliseconds are told apart.
 
 The session needs the RocksDB state store (``use_event_time_state``).
@@ -52,17 +52,23 @@ class Replay(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
         for part in rows:
             for instant, row_id, asks, kept in self.rows(part):
                 self.waiting.updateValue((instant, row_id, asks), kept)
-                self.handle.registerTimer(instant)
+                first = instant if first is None else min(first, instant)
+        if first is not None:
+            self.handle.registerTimer(first)  # the next is set when this one is due
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = timerValues.getCurrentWatermarkInMs()
         if self.passed.exists() and self.passed.get()[0] >= until:
             return  # another timer has taken everything
-        ready = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= until)
+        waiting = [(tuple(k), tuple(v)) for k, v in self.waiting.iterator()]
+        ready, later = [x for x in waiting if x[0][0] <= until], [x[0][0] for x in waiting if x[0][0] > until]
+        if later:
+            self.handle.registerTimer(min(later))
         ready.sort(key=lambda x: (x[0][0], x[0][2], x[0][1]))
         out = self.answer(ready)
         for k, _ in ready:
