@@ -50,11 +50,22 @@ def islands(df: DataFrame, by: list[str], order: str, flag) -> DataFrame:
 
 
 def rolling_anomaly(df: DataFrame, by: list[str], order: str, value: str, rows: int = 7, limit: float = 2.0) -> DataFrame:
-    """z-score of a value against the ``rows`` before it; anomalous beyond ``limit``."""
+    """z-score of a value against the ``rows`` before it; anomalous beyond ``limit``.
+
+    The spread is Welford's recurrence along the order, as the SQL it is held against adds it up:
+    ``stddev_pop`` rounds otherwise in its last bit, which tells where a z is the limit itself.
+    """
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(-rows, -1)
-    mean, spread = F.avg(value).over(before), F.stddev_pop(value).over(before)
-    z = F.when(spread > 0, (F.col(value) - mean) / spread)
-    return df.withColumn("z", F.round(z, 6)).withColumn("anomalous", F.coalesce(F.abs(z) > limit, F.lit(False)))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(done, x):
+        n = done["n"] + 1
+        mean = done["mean"] + (x - done["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (done["squares"] + (x - mean) * (x - done["mean"])).alias("squares"))
+
+    x = df.withColumn("_mean", F.avg(value).over(before)).withColumn("_spread", F.aggregate(F.collect_list(F.col(value).cast("double")).over(before), start, step, lambda s: F.when(s["n"] > 0, F.sqrt(s["squares"] / s["n"]))))
+    z = F.when(F.col("_spread") > 0, (F.col(value) - F.col("_mean")) / F.col("_spread"))
+    return x.withColumn("z", F.round(z, 6)).withColumn("anomalous", F.coalesce(F.abs(z) > limit, F.lit(False))).drop("_mean", "_spread")
 
 
 def ranked_sample(df: DataFrame, by: list[str], quota, ids: list[str], seed: str, buckets: int = 4096) -> DataFrame:
