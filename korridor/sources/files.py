@@ -87,10 +87,11 @@ def long_report(sections: dict[str, DataFrame], order: list[str]) -> DataFrame:
 
 
 def last_evidence(spark: SparkSession, path: str, run: str, stage: str) -> DataFrame:
-    """The last successful record of a run's stage among JSON lines in a folder and below."""
+    """The last successful record of a run's stage among JSON lines in a folder and below; of several at one instant that of the fewest rows."""
     rows = spark.read.schema("run_id string, stage string, status string, recorded_s long, rows long").option("recursiveFileLookup", "true").json(path)
     found = rows.filter((F.col("run_id") == run) & (F.col("stage") == stage) & (F.col("status") == "SUCCESS"))
-    return found.agg(F.max_by(F.struct("run_id", "stage", "recorded_s", "rows"), "recorded_s").alias("r")).filter("r is not null").select("r.*")
+    last = F.max_by(F.struct("run_id", "stage", "recorded_s", "rows"), F.struct("recorded_s", -F.col("rows")))
+    return found.filter("recorded_s is not null").agg(last.alias("r")).filter("r is not null").select("r.*")
 
 
 def bounded(df: DataFrame, most: int) -> DataFrame:
