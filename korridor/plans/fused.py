@@ -23,7 +23,7 @@ def visit_rows(r: Roles) -> DataFrame:
     Lines are dealt out by trip once; copies, visits and everything along a trip then need no other
     exchange.
     """
-    lines = r.table("lineitem").repartition("l_orderkey")
+    lines = r.lines
     torn = F.expr("l_orderkey IS NULL OR l_linenumber IS NULL OR l_quantity IS NULL OR l_returnflag IS NULL")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     copies = lines.groupBy(*key, "l_quantity").agg(F.count("*").alias("n"), F.min("l_returnflag").alias("flag"), F.min("l_shipdate").alias("shipped"), F.count_if(torn).alias("torn"))

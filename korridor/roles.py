@@ -9,6 +9,7 @@ session time zone.
 from __future__ import annotations
 
 from functools import cached_property
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ def seconds(column: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
 
 
+#: rows of a part into which a table is dealt out; a task's sorts and sums then hold no more, however large the table
+PART_ROWS = 250_000
+
+
 class Roles:
     """Frames by role over the tables of one folder; each is planned when first asked for."""
 
@@ -54,9 +59,22 @@ class Roles:
             F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("service_date"), seconds("o_orderdate").alias("scheduled_s"), F.col("o_totalprice").alias("fare"),
         )
 
+    @cached_property
+    def parts(self) -> int:
+        """In how many parts lines, or what there is one of a line, are dealt out; the file footers know their number."""
+        return max(1, ceil(self.table("lineitem").count() / PART_ROWS))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Lines dealt out by trip: what goes by trip needs no other exchange.
+
+        Nearly every line is a visit of its own, so sums before the exchange would hold as many rows as a task reads and write more than the lines themselves.
+        """
+        return self.table("lineitem").repartition(self.parts, "l_orderkey")
+
     @cached_property
     def visits(self) -> DataFrame:
-        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("seq")).agg(
+        return self.lines.groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("seq")).agg(
             F.min("l_suppkey").alias("stop_id"), F.min("l_partkey").alias("vehicle_id"), F.min("l_returnflag").alias("direction"), seconds("min(l_shipdate)").alias("actual_s"),
             F.sum("l_quantity").cast("long").alias("boardings"), F.floor(F.sum("l_quantity") / 2).cast("long").alias("alightings"),
         )
