@@ -166,49 +166,39 @@ def overlap_counts(rows: DataFrame, key: str, own: str, starts: str, ends: str,
     return near.join(same, own).select(own, (F.col("_n") - F.col("_same")).alias("clashes")).filter("clashes > 0")
 
 
-def _latest(df: DataFrame, keys: list[str], row: str, asks: str, at: str, ties: list[str], n: int, width: int) -> DataFrame:
-    """row, ``latest``: the last ``n`` rows of the key with ``at`` before ``asks``, latest first, each as at and ties."""
-    marks = _carried(df, keys, row, asks, at, at, "_y", ties, n, width)
-    group = [*keys, "_bucket"]
-    flat = marks.select(F.hash(F.struct(*group)).alias("_h"), *group, "_row", "_instant", "_asks", "_seen")
-    dealt = flat.repartition(*group).sortWithinPartitions("_h", *group, "_instant", "_asks")
-    item = T.StructType([T.StructField(at, df.schema[at].dataType), *(df.schema[c] for c in ties)])
-    out_type = T.StructType([T.StructField(row, df.schema[row].dataType), T.StructField("latest", T.ArrayType(item))])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema, held, seen = to_arrow_schema(out_type), None, []
-        for batch in parts:
-            rows, lists = [], []
-            for *now, asked, instant, asking, told in zip(*(batch.column(c).to_pylist() for c in [*group, "_row", "_instant", "_asks", "_seen"]), strict=True):
-                if now != held:
-                    held, seen = now, []
-                if asking < 1:
-                    insort(seen, (told["t"], *((told[c] is not None, told[c]) for c in ties)))
-                    del seen[:-n]
-                    continue
-                rows.append(asked)
-                lists.append([{at: x[0], **{c: v[1] for c, v in zip(ties, x[1:], strict=True)}} for x in reversed(seen)] if instant is not None else [])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, schema.field(0).type), pa.array(lists, schema.field(1).type)], schema=schema)
-
-    return dealt.mapInArrow(run, out_type)
-
-
-def earlier(df: DataFrame, keys: list[str], row: str, asks: str, at: str, valid, sums: list[str], ties: list[str], n: int, width: int = 86_400) -> DataFrame:
+def earlier(df: DataFrame, keys: list[str], row: str, asks: str, at: str, valid, sums: list[str], ties: list[str], n: int, width: int = 86_400, parts: int | None = None) -> DataFrame:
     """row, ``visits``, ``sum_`` of each of ``sums`` and ``latest`` over the rows of the key that are ``valid`` and have ``at`` before the row's ``asks``.
 
     A join would list every pair. What a row needs of its past is bounded: running sums, and the last
-    ``n`` rows (at and ``ties``, latest first). Both go through a key by stretches of ``width``
-    instants with what is carried over, so output and work grow with the rows. A null key is
-    nobody's past; a null ``asks`` sees nothing.
+    ``n`` rows (at and ``ties``, latest first). Each row tells and asks; both kinds are dealt out once
+    (in ``parts``, if given) by key and stretch of ``width`` instants, the last ``n`` that told are
+    those before in their order, and what came before a stretch is carried over by a row a stretch. A
+    null key is nobody's past; a null ``asks`` sees nothing.
     """
     present = reduce(lambda x, k: x & F.col(k).isNotNull(), keys[1:], F.col(keys[0]).isNotNull())
-    base = df.withColumn("_y", F.when(valid & present, F.lit(1.0)))
-    zero = [F.lit(0).cast("double").alias(f"sum_{c}") for c in sums]
-    told = base.filter(F.col("_y").isNotNull() & F.col(at).isNotNull()).select(*keys, (F.col(at) + 1).alias("_instant"), F.lit(0).alias("_turn"), F.lit(1).cast("long").alias("visits"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"sum_{c}") for c in sums), F.lit(None).cast(df.schema[row].dataType).alias("_own"))
-    ask = base.filter(present & F.col(asks).isNotNull()).select(*keys, F.col(asks).alias("_instant"), F.lit(1).alias("_turn"), F.lit(0).cast("long").alias("visits"), *zero, F.col(row).alias("_own"))
-    totals = running(told.unionByName(ask), keys, "_instant", "_turn", {c: "sum" for c in ("visits", *(f"sum_{c}" for c in sums))}, width).filter("_turn = 1").drop(*keys, "_instant", "_turn")
-    latest = _latest(base, keys, row, asks, at, ties, n, width)
-    out = latest.join(totals, latest[row] == totals["_own"], "left")
-    return out.select(row, F.coalesce("visits", F.lit(0)).cast("long").alias("visits"), *(F.coalesce(f"sum_{c}", F.lit(0.0)).alias(f"sum_{c}") for c in sums), "latest")
+    names, none = ["visits", *(f"sum_{c}" for c in sums)], F.lit(None)
+    item = F.struct(at, *ties)
+    told = F.struct((F.col(at) + 1).cast("long").alias("_instant"), F.lit(0).alias("_turn"), item.alias("_item"), F.lit(1).cast("long").alias("visits"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"sum_{c}") for c in sums))
+    kind = df.select(item.alias("x")).schema["x"].dataType
+    ask = F.struct(F.col(asks).cast("long").alias("_instant"), F.lit(1).alias("_turn"), none.cast(kind).alias("_item"), F.lit(0).cast("long").alias("visits"), *(F.lit(0.0).alias(f"sum_{c}") for c in sums))
+    tells = F.coalesce(valid & present & F.col(at).isNotNull(), F.lit(False))
+    marks = df.select(*keys, F.col(row).alias("_own"), F.explode(F.when(tells, F.array(told, ask)).otherwise(F.array(ask))).alias("_mark")).select(*keys, F.when(F.col("_mark._turn") == 1, F.col("_own")).alias("_own"), "_mark.*")
+    group = [*keys, "_bucket"]
+    marks = marks.withColumn("_bucket", F.floor(F.col("_instant") / width))
+    x = marks.repartition(parts, *group) if parts else marks.repartition(*group)
+
+    alike = Window.partitionBy(*group, "_turn").orderBy("_instant", "_item")
+    x = x.withColumn("_lately", F.when(F.col("_turn") == 0, F.array_compact(F.array("_item", *(F.lag("_item", k).over(alike) for k in range(1, n))))))
+    inside = Window.partitionBy(*group).orderBy("_instant", "_turn", "_item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumns({"_lately": F.last("_lately", ignorenulls=True).over(inside), **{f"_upto_{c}": F.sum(c).over(inside) for c in names}})
+
+    carry = x.groupBy(*group).agg(*(F.sum(c).alias(c) for c in names), F.max(F.when(F.col("_turn") == 0, F.struct("_item", "_lately"))).alias("_end"))
+    carry = carry.select(*group, *names, F.col("_end._lately").alias("_lately"), F.col("_end").isNotNull().alias("_told"))
+    empty = F.array().cast(x.schema["_lately"].dataType)
+    stretches, before = Window.partitionBy(*keys, "_told").orderBy("_bucket"), Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.withColumn("_lately", F.when(F.col("_told"), F.slice(F.concat("_lately", *(F.coalesce(F.lag("_lately", k).over(stretches), empty) for k in range(1, n))), 1, n)))
+    carry = carry.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(group)), *(F.sum(c).over(before).alias(f"_before_{c}") for c in names), F.last("_lately", ignorenulls=True).over(before).alias("_before"))
+    asked = x.filter("_turn = 1").join(carry, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_key{i}") for i, c in enumerate(group))), "left")
+    total = lambda c: F.col(f"_upto_{c}") + F.coalesce(F.col(f"_before_{c}"), F.lit(0))
+    latest = F.slice(F.concat(F.coalesce("_lately", empty), F.coalesce("_before", empty)), 1, n)
+    return asked.select(F.col("_own").alias(row), *(total(c).alias(c) for c in names), latest.alias("latest"))

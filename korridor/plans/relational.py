@@ -153,7 +153,7 @@ def prediction_history(r: Roles) -> DataFrame:
 SELECT a.trip_id, a.seq, CAST(coalesce(h.visits, 0) AS BIGINT) AS visits, round(h.mean_boardings, 6) AS mean_boardings, h.latest FROM spine a LEFT JOIN (SELECT trip_id, seq, max(n) AS visits, avg(boardings) AS mean_boardings, string_agg(CASE WHEN n <= 3 THEN CAST(past_trip AS VARCHAR) END, ',' ORDER BY n) AS latest FROM p GROUP BY trip_id, seq) h ON h.trip_id = a.trip_id AND h.seq = a.seq""")
 def recent_history(r: Roles) -> DataFrame:
     """The same history as a state per stop: how many earlier visits, their mean, and the last three; as many rows as visits."""
-    x = asof.earlier(r.spine.withColumn("_row", F.struct("trip_id", "seq")), ["stop_id"], "_row", "scheduled_s", "actual_s", F.col("boardings") > 0, ["boardings"], ["trip_id"], 3, 86_400 * 30)
+    x = asof.earlier(r.spine.withColumn("_row", F.struct("trip_id", "seq")), ["stop_id"], "_row", "scheduled_s", "actual_s", F.col("boardings") > 0, ["boardings"], ["trip_id"], 3, 86_400 * 30, 2 * r.parts)
     return x.select("_row.trip_id", "_row.seq", "visits", F.when(F.col("visits") > 0, F.round(F.try_divide("sum_boardings", "visits"), 6)).alias("mean_boardings"), F.when(F.col("visits") > 0, F.array_join(F.transform("latest", lambda v: v["trip_id"].cast("string")), ",")).alias("latest"))
 
 
