@@ -218,16 +218,25 @@ def rider_flow(r: Roles) -> DataFrame:
     """A journey and its ticket for each boarding of a visit; who boards first alights first, null if never.
 
     A trip's riders are numbered in order of boarding; rider k alights at the first later visit by which
-    k have alighted. That is one array of a trip's few visits, not a join of riders with visits.
+    k have alighted. So those who board at a visit are a few runs of numbers, one for each later visit
+    where some of them alight and one for who never does; only the runs are spread out to riders.
     """
-    run = Window.partitionBy("trip_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = r.visits.select("trip_id", "seq", "boardings", (F.sum("boardings").over(run) - F.col("boardings")).alias("before_n"), F.collect_list(F.struct("seq", "alightings")).over(Window.partitionBy("trip_id")).alias("stops"))
-    ordered = F.array_sort("stops")
-    sums = F.aggregate(ordered, F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).cast("long").alias("off"))), lambda done, t: F.concat(done, F.array(F.struct(t["seq"].cast("int").alias("seq"), (F.element_at(done, -1)["off"] + t["alightings"]).alias("off")))))
-    x = x.withColumn("sums", sums).filter("boardings > 0").select("trip_id", "seq", "before_n", "sums", F.explode(F.sequence(F.lit(1).cast("long"), F.col("boardings"))).alias("rider"))
-    number = F.col("before_n") + F.col("rider")
-    alights = F.try_element_at(F.filter("sums", lambda t: (t["seq"] > F.col("seq")) & (t["off"] >= number)), F.lit(1))["seq"]
-    return x.select("trip_id", "seq", "rider", alights.alias("alights_seq"), F.concat_ws("-", F.lit("TK"), F.col("trip_id").cast("string"), number.cast("string")).alias("ticket"))
+    along = Window.partitionBy("trip_id").orderBy("seq")
+    run = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = r.visits.select("trip_id", "seq", "boardings", (F.sum("boardings").over(run) - F.col("boardings")).alias("before_n"), F.sum("alightings").over(run).alias("off_n"))
+    x = x.withColumn("stops", F.collect_list(F.struct("seq", "off_n")).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("boardings > 0")
+    kind, last = "struct<seq:int,first:bigint,last:bigint>", F.col("before_n") + F.col("boardings")
+    part = lambda seq, first, end: F.array(F.struct(seq.cast("int").alias("seq"), first.alias("first"), end.alias("last")).cast(kind))
+
+    def alight(done, t):
+        some = (t["seq"] > F.col("seq")) & (t["off_n"] > done["at"])
+        end = F.least(t["off_n"], last)
+        return F.struct(F.when(some, end).otherwise(done["at"]).alias("at"), F.when(some & (done["at"] < last), F.concat(done["runs"], part(t["seq"], done["at"] + 1, end))).otherwise(done["runs"]).alias("runs"))
+
+    start = F.struct(F.col("before_n").alias("at"), F.array().cast(f"array<{kind}>").alias("runs"))
+    runs = F.aggregate("stops", start, alight, lambda done: F.when(done["at"] < last, F.concat(done["runs"], part(F.lit(None), done["at"] + 1, last))).otherwise(done["runs"]))
+    x = x.select("trip_id", "seq", "before_n", F.explode(runs).alias("run")).select("trip_id", "seq", "before_n", F.col("run.seq").alias("alights_seq"), F.explode(F.sequence("run.first", "run.last")).alias("number"))
+    return x.select("trip_id", "seq", (F.col("number") - F.col("before_n")).alias("rider"), "alights_seq", F.concat_ws("-", F.lit("TK"), F.col("trip_id").cast("string"), F.col("number").cast("string")).alias("ticket"))
 
 
 @query("g08_allocated_duties", None)
