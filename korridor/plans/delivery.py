@@ -143,7 +143,10 @@ def handoff_files(r: Roles) -> DataFrame:
 @query("k06_tampered_handoff", "SELECT 'rows' AS changed, true AS refused UNION ALL SELECT 'manifest', true UNION ALL SELECT 'nothing', false UNION ALL SELECT 'early target', true UNION ALL SELECT 'again', true")
 def tampered_handoff(r: Roles) -> DataFrame:
     """What is no longer as certified is not read; what breaks the contract is not written; nothing is overwritten."""
-    rows, out = cases(r), []
+    kept, path, out = scratch(r), scratch(r), []
+    files.write_once(cases(r), kept)  # guards, rows and digest read it
+    rows = r.spark.read.parquet(kept)
+    handoff.write_handoff(rows, path, "crowding", ["stop_sequence"], compression="gzip")
 
     def refused(work) -> bool:
         try:
@@ -152,16 +155,19 @@ def tampered_handoff(r: Roles) -> DataFrame:
             return True
         return False
 
-    for changed in ("nothing", "rows", "manifest"):
-        path = scratch(r)
-        handoff.write_handoff(rows, path, "crowding", ["stop_sequence"])
-        if changed == "rows":
-            r.spark.createDataFrame([("{}", "test")], "line string, split string").write.mode("append").partitionBy("split").text(f"{path}/rows")
-        elif changed == "manifest":
-            fs = r.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
-            fs.getFileSystem(r.spark.sparkContext._jsc.hadoopConfiguration()).delete(fs, False)
-            handoff._put(r.spark, f"{path}/manifest.json", '{"task": "other", "partitions": {}}')
-        out.append((changed, refused(lambda path=path: handoff.read_handoff(r.spark, path))))
+    def replaced(text: str) -> None:
+        manifest = r.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
+        manifest.getFileSystem(r.spark.sparkContext._jsc.hadoopConfiguration()).delete(manifest, False)
+        handoff._put(r.spark, f"{path}/manifest.json", text)
+
+    # one handoff, changed and put right again: the manifest first, since rows are only read once it is as certified
+    out.append(("nothing", refused(lambda: handoff.read_handoff(r.spark, path))))
+    certified = handoff._get(r.spark, f"{path}/manifest.json")
+    replaced('{"task": "other", "partitions": {}}')
+    out.append(("manifest", refused(lambda: handoff.read_handoff(r.spark, path))))
+    replaced(certified)
+    r.spark.createDataFrame([("{}", "test")], "line string, split string").write.mode("append").partitionBy("split").text(f"{path}/rows")
+    out.append(("rows", refused(lambda: handoff.read_handoff(r.spark, path))))
     out.append(("early target", refused(lambda: handoff.write_handoff(rows.withColumn("target_available_s", F.col("feature_cutoff_s") - 1), scratch(r), "crowding", ["stop_sequence"]))))
     out.append(("again", refused(lambda: handoff.write_handoff(rows, path, "crowding", ["stop_sequence"]))))
     return r.spark.createDataFrame(out, "changed string, refused boolean")

@@ -50,7 +50,7 @@ def contract(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
 
 
-def write_handoff(cases: DataFrame, path: str, task: str, features: list[str], provenance: dict | None = None) -> dict:
+def write_handoff(cases: DataFrame, path: str, task: str, features: list[str], provenance: dict | None = None, compression: str = "none") -> dict:
     """Write ``cases`` (split, case_id, the columns of GUARDS, features) and certify them; returns the manifest.
 
     Nothing is overwritten. Repeated cases and rows that fail a guard stop the export.
@@ -64,7 +64,7 @@ def write_handoff(cases: DataFrame, path: str, task: str, features: list[str], p
     if any(bad.values()):
         raise ValueError(f"cases that break the contract: { {k: v for k, v in bad.items() if v} }")
     lines = cases.select("split", _line(columns).alias("line"))
-    lines.write.partitionBy("split").text(f"{path}/rows")
+    lines.write.partitionBy("split").option("compression", compression).text(f"{path}/rows")
     kept = spark.read.schema("line string, split string").option("basePath", f"{path}/rows").text(f"{path}/rows").withColumnRenamed("value", "line")
     manifest = {"task": task, "features": features, "target": "target", "schema": cases.select(*sorted(columns)).schema.simpleString()[7:-1], "partitions": _by_split(kept), "provenance": provenance or {}}
     _put(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
