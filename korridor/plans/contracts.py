@@ -479,8 +479,10 @@ def handoff_rows(r: Roles) -> DataFrame:
         F.col("over_capacity").cast("int").alias("target"), "stop_sequence",
     )
     path, out = scratch(r), []
-    for task, x, label in (("crowding", cases(r), F.col("target")), ("demand", cases(r), F.lit(0)), ("occupancy", occupancy, F.col("target"))):
-        x = x.withColumn("label", label)
+    for name, x in (("cases", cases(r)), ("eligible", occupancy)):
+        files.write_once(x, f"{path}/{name}")  # worked out once; quotas, histogram and sample read it
+    for task, name, label in (("crowding", "cases", F.col("target")), ("demand", "cases", F.lit(0)), ("occupancy", "eligible", F.col("target"))):
+        x = r.spark.read.parquet(f"{path}/{name}").withColumn("label", label)
         q = quotas(x.groupBy("split", "label").agg(F.count("*").alias("n")), _TASK_ROWS[task][1])
         some = windows.ranked_sample(x.join(F.broadcast(q), ["split", "label"]), ["split", "label"], F.col("quota"), ["case_id"], f"m18-{task}")  # a row a split and label
         files.write_once(some.drop("label", "quota", "sample_rank"), f"{path}/{task}-sample")  # sampled once; guards, rows and digest read it
