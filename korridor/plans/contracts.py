@@ -499,17 +499,20 @@ def handoff_rows(r: Roles) -> DataFrame:
 @query("m19_independent_export", f"WITH {_handoff_sql(_TASK_ROWS['crowding'][0].format(cases=CASES), 'm18-crowding', 500)}")
 def independent_export(r: Roles) -> DataFrame:
     """The crowding handoff by another way, from the raw tables: certified, written, read back."""
-    o, v = r.table("orders"), r.table("lineitem")
+    o, v = r.table("orders"), r.lines
     events = v.groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("seq")).agg(F.sum("l_quantity").alias("q"), seconds("min(l_shipdate)").alias("actual_s"), F.min("l_partkey").alias("vehicle_id"))
     x = events.join(o.select(F.col("o_orderkey").alias("trip_id"), seconds("o_orderdate").alias("at_s"), F.to_date("o_orderdate").alias("day")), "trip_id").filter("actual_s >= at_s")
     split = F.when(F.col("day") < "1999-01-01", "train").when(F.col("day") < "2000-01-01", "validation").when(F.col("day") < "2002-01-01", "test")
     at = F.col("at_s")
     x = x.select((F.col("trip_id") * 10 + F.col("seq")).alias("case_id"), split.alias("split"), (F.floor("q") > 25).cast("int").alias("target"), at.alias("feature_cutoff_s"), (at - 86_400).alias("value_available_s"), at.alias("target_s"), F.col("actual_s").alias("target_available_s"))
+    path = scratch(r)
+    files.write_once(x, f"{path}/cases")  # worked out once; quotas, histogram and sample read it
+    x = r.spark.read.parquet(f"{path}/cases")
     q = quotas(x.groupBy("split", F.col("target").alias("label")).agg(F.count("*").alias("n")), 500)
     x = windows.ranked_sample(x.withColumn("label", F.col("target")).join(F.broadcast(q), ["split", "label"]), ["split", "label"], F.col("quota"), ["case_id"], "m18-crowding")
-    path = scratch(r)
-    handoff.write_handoff(x.drop("label", "quota", "sample_rank"), path, "crowding", [], {"producer": "raw tables"})
-    return handoff.read_handoff(r.spark, path).select("split", F.col("target").alias("label"), "case_id")
+    files.write_once(x.drop("label", "quota", "sample_rank"), f"{path}/sample")  # sampled once; guards, rows and digest read it
+    handoff.write_handoff(r.spark.read.parquet(f"{path}/sample"), f"{path}/crowding", "crowding", [], {"producer": "raw tables"})
+    return handoff.read_handoff(r.spark, f"{path}/crowding").select("split", F.col("target").alias("label"), "case_id")
 
 
 _LAT = "round(10 + n.route_id + s * 0.01 * CASE d WHEN 0 THEN 1 ELSE -1 END, 6)"
