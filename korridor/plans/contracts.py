@@ -266,10 +266,13 @@ def certification_hook(r: Roles) -> DataFrame:
 @query("m07_legacy_model", None)
 def legacy_model(r: Roles) -> DataFrame:
     """The legacy regression of boardings on categories and calendar, scored on later days."""
-    x = r.spine.select(F.col("route_id").cast("string").alias("route"), "direction", transit.hour("scheduled_s").cast("double").alias("event_hour"), transit.iso_weekday("scheduled_s").cast("double").alias("weekday"), F.col("boardings").cast("double").alias("label"), "service_date")
+    x = r.spine.select(F.col("route_id").cast("string").alias("route"), "direction", transit.hour("scheduled_s").cast("double").alias("event_hour"), transit.iso_weekday("scheduled_s").cast("double").alias("weekday"), F.col("boardings").cast("double").alias("label"), "service_date").persist()  # fitting reads it several times
     train, test = x.filter("service_date < DATE'1999-01-01'"), x.filter("service_date >= DATE'1999-01-01'")
     model = learning.legacy_regressor(["route", "direction"], ["event_hour", "weekday"], "label").fit(train)
-    return metrics.regression(model.transform(test), "label", "prediction")
+    path = scratch(r)
+    files.write_once(metrics.regression(model.transform(test), "label", "prediction"), path)
+    x.unpersist()
+    return r.spark.read.parquet(path)
 
 
 

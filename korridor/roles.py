@@ -81,8 +81,13 @@ class Roles:
 
     @cached_property
     def spine(self) -> DataFrame:
-        v = self.visits.join(self.trips, "trip_id").join(self.vehicles.select("vehicle_id", "capacity"), "vehicle_id", "left")
-        return v.select("trip_id", "seq", "stop_id", "vehicle_id", "direction", "actual_s", "boardings", "alightings", "route_id", "status", "service_date", "scheduled_s", "capacity")
+        """Visits with their trips and capacities; where vehicles are too many to be sent to every task, in as many parts as the lines."""
+        v, h = self.visits.join(self.trips, "trip_id"), self.vehicles.select("vehicle_id", "capacity")
+        if self.table("part").count() > PART_ROWS:
+            v = v.repartition(self.parts, "vehicle_id")
+        else:
+            h = F.broadcast(h)
+        return v.join(h, "vehicle_id", "left").select("trip_id", "seq", "stop_id", "vehicle_id", "direction", "actual_s", "boardings", "alightings", "route_id", "status", "service_date", "scheduled_s", "capacity")
 
     @cached_property
     def observations(self) -> DataFrame:

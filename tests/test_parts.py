@@ -23,3 +23,34 @@ def test_parts_follow_the_rows_and_keep_trips_whole(spark, monkeypatch, rows):
     assert sum(len(keys) for _, keys in parts) == r.lines.select("l_orderkey").distinct().count()
     plan = r.visits._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # no sums before the lines are dealt out
+
+
+def test_parts_of_the_spine_hold_where_vehicles_are_many(spark, monkeypatch):
+    few = roles.Roles(spark, SF)
+    want = sorted(map(str, few.spine.collect()))
+    monkeypatch.setattr(roles, "PART_ROWS", 150)  # fewer than there are vehicles
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = roles.Roles(spark, SF)
+        sizes = [len(x) for x in r.spine.rdd.glom().collect()]
+        assert len(sizes) >= ceil(r.table("lineitem").count() / 150)
+        assert sorted(map(str, r.spine.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_legacy_model_works_its_rows_out_once(spark, monkeypatch):
+    from korridor.operators import learning
+    from korridor.plans import contracts
+
+    plans, build = [], learning.legacy_regressor
+
+    def watched(*args):
+        pipeline = build(*args)
+        monkeypatch.setattr(pipeline, "fit", lambda train: plans.append(train._jdf.queryExecution().executedPlan().toString()) or type(pipeline).fit(pipeline, train))
+        return pipeline
+
+    monkeypatch.setattr(learning, "legacy_regressor", watched)
+    assert contracts.legacy_model(roles.Roles(spark, SF)).first().n > 0
+    assert "InMemoryTableScan" in plans[0]
