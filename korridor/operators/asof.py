@@ -25,16 +25,29 @@ def _marks(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, avail
     return ask.unionByName(tell)
 
 
-def _carried(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int, width: int) -> DataFrame:
+#: rows of a key up to which it is one stretch: cut by time, a key of few rows would carry more than it has
+KEY_ROWS = 50_000
+
+
+def _carried(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int, width: int, most: int = 0) -> DataFrame:
     """The marks by key and stretch of ``width`` instants, each stretch with the ``n`` latest outcomes of all before it.
 
     So a key with a third of all rows is dealt out by time. Within a stretch at most ``n`` outcomes
-    can matter later; only those are followed along a key, in one pass over sorted rows.
+    can matter later; only those are followed along a key, in one pass over sorted rows. Keys of at
+    most ``most`` rows are one stretch each; the others, no more than one in ``most`` rows, are known to every task.
     """
-    marks = _marks(df, keys, row, cutoff, at, available, target, ties).withColumn("_bucket", F.floor(F.col("_instant") / width))
+    marks = _marks(df, keys, row, cutoff, at, available, target, ties)
+    stretch = F.floor(F.col("_instant") / width)
+    if most:
+        busy = df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > most).drop("_rows").withColumn("_busy", F.lit(True))
+        marks = marks.join(F.broadcast(busy), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys))), "left").drop(*(f"_key{i}" for i in range(len(keys))))
+        stretch = F.when(F.col("_busy") | F.col("_instant").isNull(), stretch).otherwise(F.lit(0).cast("long"))
+    marks = marks.withColumn("_bucket", stretch)
     names, latest = [*keys, "_bucket"], [F.col("_seen.t").desc(), *(F.col(f"_seen.{c}").desc_nulls_last() for c in ties)]
-    top = marks.filter("_asks = 0").withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*latest))).filter(F.col("_n") <= n).select(*names, "_seen", F.lit(1).alias("_later"))
-    asked = marks.filter("_asks = 1 and _bucket is not null").select(*names).distinct().select(*names, F.lit(None).cast(marks.schema["_seen"].dataType).alias("_seen"), F.lit(0).alias("_later"))
+    cut = marks.filter("_busy").drop("_busy") if most else marks
+    marks = marks.drop("_busy")
+    top = cut.filter("_asks = 0").withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*latest))).filter(F.col("_n") <= n).select(*names, "_seen", F.lit(1).alias("_later"))
+    asked = cut.filter("_asks = 1 and _bucket is not null").select(*names).distinct().select(*names, F.lit(None).cast(marks.schema["_seen"].dataType).alias("_seen"), F.lit(0).alias("_later"))
     small = top.unionByName(asked).withColumn("_h", F.hash(F.struct(*keys)))
     small = small.repartition(*keys).sortWithinPartitions("_h", *keys, "_bucket", "_later")
 
@@ -77,9 +90,9 @@ def past_only_history(df: DataFrame, keys: list[str], row: str, cutoff: str, at:
     return rows.select(F.col("_row").alias(row), F.when(F.size("_last") > 0, F.element_at("_last", 1)["y"]).alias("lag_1"), mean.alias(f"mean_{n}"))
 
 
-def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7, width: int = 86_400) -> DataFrame:
-    """The same in one pass over each stretch's sorted rows: memory for ``n`` outcomes, whatever the group."""
-    marks = _carried(df, keys, row, cutoff, at, available, target, ties, n, width)
+def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7, width: int = 86_400, most: int = KEY_ROWS) -> DataFrame:
+    """The same in one pass over each stretch's sorted rows: memory for ``n`` outcomes, whatever the group. Keys of at most ``most`` rows are not cut."""
+    marks = _carried(df, keys, row, cutoff, at, available, target, ties, n, width, most)
     group = [*keys, "_bucket"]
     flat = marks.select(F.hash(F.struct(*group)).alias("_h"), *group, "_row", "_instant", "_asks", "_seen.t", *(F.col("_seen")[c].alias(f"_tie{i}") for i, c in enumerate(ties)), F.col("_seen")["y"].cast("double").alias("y"))
     dealt = flat.repartition(*group).sortWithinPartitions("_h", *group, "_instant", "_asks")

@@ -19,7 +19,7 @@ def features(r: Roles, keys: list[str]) -> DataFrame:
     """Calendar, label and past-only history of each observation."""
     o = r.observations
     h = asof.past_only_history_streamed(o, keys, "row_id", "at_s", "at_s", "available_s", "target", ["row_id"])
-    x = o.join(h, "row_id")
+    x = o.join(h.repartition(r.observation_parts, "row_id"), "row_id")
     return x.withColumns({"hour": transit.hour("at_s"), "weekday": transit.iso_weekday("at_s"), "label_name": transit.severity(F.col("target"), (20, 40, 60, 80))})
 
 
@@ -51,39 +51,38 @@ def build_task(r: Roles, task: str) -> DataFrame:
     return TASKS[task](r)
 
 
-def _sets(r: Roles) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with history, split by time: the first 20 days, the next 5, the rest."""
-    x = features(r, ["route_id"]).filter("lag_1 is not null and mean_7 is not null").select("row_id", "at_s", F.col("hour").cast("double").alias("hour"), F.col("weekday").cast("double").alias("weekday"), "lag_1", "mean_7", F.col("target").alias("label"))
+def _sets(r: Roles) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows with history, kept in memory, and their split by time: the first 20 days, the next 5, the rest."""
+    x = features(r, ["route_id"]).filter("lag_1 is not null and mean_7 is not null").select("row_id", "at_s", F.col("hour").cast("double").alias("hour"), F.col("weekday").cast("double").alias("weekday"), "lag_1", "mean_7", F.col("target").alias("label")).persist()
     start = 1_704_067_200
     a, b = start + 20 * 86_400, start + 25 * 86_400
-    return x.filter(F.col("at_s") < a), x.filter((F.col("at_s") >= a) & (F.col("at_s") < b)), x.filter(F.col("at_s") >= b)
+    return x, [x.filter(F.col("at_s") < a), x.filter((F.col("at_s") >= a) & (F.col("at_s") < b)), x.filter(F.col("at_s") >= b)]
 
 
 FEATURES = ["hour", "weekday", "lag_1", "mean_7"]
 
 
-def written_run(r: Roles, task: str, model: str, predictions: DataFrame, measures: DataFrame, held: list[DataFrame]) -> DataFrame:
+def written_run(r: Roles, task: str, model: str, predictions: DataFrame, measures: DataFrame, held: DataFrame) -> DataFrame:
     """What a run leaves: its predictions, and a result document that names the model, the measures and the predictions' path and number.
 
     Both are written once, predictions first, so a document never names rows that are not there.
-    Returned is the document as read back. ``held``: frames kept in memory for the run, let go here.
+    Returned is the document as read back. ``held``: the frame kept in memory for the run, let go here.
     """
     path = files.run_path(scratch(r), "runs", task, "1")
     files.write_once(predictions, f"{path}/predictions")
     rows = r.spark.read.parquet(f"{path}/predictions")
     result = measures.crossJoin(rows.agg(F.count("*").alias("predictions_n"))).select(F.lit(task).alias("task"), F.lit(model).alias("model"), "*", F.lit(f"{path}/predictions").alias("predictions"))  # one row each
     result.coalesce(1).write.mode("errorifexists").json(f"{path}/result")
-    for x in held:
-        x.unpersist()
+    held.unpersist()
     return r.spark.read.schema(result.schema).json(f"{path}/result").drop("predictions", "task")
 
 
 @query("m09_regression_run", None)
 def regression_run(r: Roles) -> DataFrame:
     """The best of all candidates on validation, scored on test against the last value as baseline; predictions and result are written."""
-    held = [x.persist() for x in _sets(r)]
-    name, model = learning.best_regressor(held[0], held[1], FEATURES)
-    out = model.transform(held[2])
+    held, (train, validation, test) = _sets(r)
+    name, model = learning.best_regressor(train, validation, FEATURES)
+    out = model.transform(test)
     measures = metrics.regression(out, "label", "prediction").crossJoin(metrics.regression(out, "label", "lag_1").select(F.col("mae").alias("baseline_mae")))
     return written_run(r, "demand", name, out.select("row_id", F.col("label").alias("actual"), F.col("prediction").alias("predicted")), measures, held)
 
@@ -91,9 +90,10 @@ def regression_run(r: Roles) -> DataFrame:
 @query("m08_classification_run", None)
 def classification_run(r: Roles) -> DataFrame:
     """The best classifier by validation, scored on test; predictions and result are written."""
-    held = [x.withColumn("label", (F.col("label") > 50).cast("double")).persist() for x in _sets(r)]
-    name, model = learning.best_classifier(held[0], held[1], FEATURES, [0.0, 1.0])
-    out = model.transform(held[2])
+    held, sets = _sets(r)
+    train, validation, test = (x.withColumn("label", (F.col("label") > 50).cast("double")) for x in sets)
+    name, model = learning.best_classifier(train, validation, FEATURES, [0.0, 1.0])
+    out = model.transform(test)
     return written_run(r, "delay", name, out.select("row_id", F.col("label").alias("actual"), F.col("prediction").alias("predicted")), metrics.classification(out, "label", "prediction", [0.0, 1.0]), held)
 
 

@@ -94,6 +94,11 @@ class Roles:
         e = self.table("events")
         return e.select(F.col("event_id").alias("row_id"), F.col("user_id").alias("route_id"), F.col("event_type").alias("kind"), seconds("ts").alias("at_s"), F.col("value").alias("target"), (seconds("ts") + F.col("event_id") % 5 * 3600).alias("available_s"), F.col("props"))
 
+    @cached_property
+    def observation_parts(self) -> int:
+        """In how many parts what there is one of an observation is dealt out."""
+        return max(1, ceil(self.table("events").count() / PART_ROWS))
+
     @cached_property
     def contexts(self) -> DataFrame:
         """Disturbances: [starts, ends] on a route, known ten minutes after they start."""
