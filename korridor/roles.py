@@ -96,8 +96,8 @@ class Roles:
 
     @cached_property
     def observation_parts(self) -> int:
-        """In how many parts what there is one of an observation is dealt out."""
-        return max(1, ceil(self.table("events").count() / PART_ROWS))
+        """In how many parts what there is one of an observation is dealt out: no fewer than the session's, for models are fitted on them."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ceil(self.table("events").count() / PART_ROWS))
 
     @cached_property
     def contexts(self) -> DataFrame:
