@@ -411,8 +411,12 @@ TASK_CONTRACTS = {
 
 
 def task_frames(r: Roles) -> dict[str, DataFrame]:
+    """Each task's frame. The spine is written down once, four tasks read it."""
     from korridor.plans import analytics, models, windows
 
+    path = scratch(r)
+    files.write_once(r.spine.drop("vehicle_id", "alightings", "status"), path)  # what no task reads
+    r.spine = r.spark.read.parquet(path)
     return {**{k: build(r) for k, build in models.TASKS.items()}, "headway": windows.headway(r), "delay_analytics": analytics.delay_analytics(r), "route_clustering": analytics.route_vector(r)}
 
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from korridor import roles
 from korridor.operators import asof, learning
-from korridor.plans import models
+from korridor.plans import contracts, models
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ASK = (["k"], "id", "cut", "at", "avail", "y", ["id"])
@@ -54,3 +54,10 @@ def test_a_run_works_its_history_out_once(spark, monkeypatch, run, best):
     monkeypatch.setattr(learning, best, watched)
     assert run(roles.Roles(spark, SF)).first().n > 0
     assert len(calls) == 1 and all("InMemoryRelation" in x for x in seen)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_tasks_share_one_spine(spark):
+    frames = contracts.task_frames(roles.Roles(spark, SF))
+    for name in ("occupancy", "headway", "delay_analytics", "route_clustering"):
+        assert "lineitem" not in " ".join(frames[name].inputFiles()), name
