@@ -6,7 +6,9 @@ from bisect import insort
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,32 +92,57 @@ def past_only_history(df: DataFrame, keys: list[str], row: str, cutoff: str, at:
     return rows.select(F.col("_row").alias(row), F.when(F.size("_last") > 0, F.element_at("_last", 1)["y"]).alias("lag_1"), mean.alias(f"mean_{n}"))
 
 
-def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7, width: int = 86_400, most: int = KEY_ROWS) -> DataFrame:
-    """The same in one pass over each stretch's sorted rows: memory for ``n`` outcomes, whatever the group. Keys of at most ``most`` rows are not cut."""
+def past_only_history_streamed(df: DataFrame, keys: list[str], row: str, cutoff: str, at: str, available: str, target: str, ties: list[str], n: int = 7, width: int = 86_400, most: int = KEY_ROWS, parts: int | None = None) -> DataFrame:
+    """The same in one pass over each stretch's sorted rows: memory for ``n`` outcomes, whatever the group. Keys of at most ``most`` rows are not cut.
+
+    Marks, two of a row, are dealt out in ``parts``, if given. A batch is worked out at once: the latest outcome is
+    a running maximum of places in their order, the next one of what that maximum let go, and so on.
+    """
     marks = _carried(df, keys, row, cutoff, at, available, target, ties, n, width, most)
-    group = [*keys, "_bucket"]
+    group, order = [*keys, "_bucket"], ["t", *(f"_tie{i}" for i in range(len(ties))), "y"]
     flat = marks.select(F.hash(F.struct(*group)).alias("_h"), *group, "_row", "_instant", "_asks", "_seen.t", *(F.col("_seen")[c].alias(f"_tie{i}") for i, c in enumerate(ties)), F.col("_seen")["y"].cast("double").alias("y"))
-    dealt = flat.repartition(*group).sortWithinPartitions("_h", *group, "_instant", "_asks")
+    dealt = (flat.repartition(parts, *group) if parts else flat.repartition(*group)).sortWithinPartitions("_h", *group, "_instant", "_asks")
     kind = df.schema[row].dataType.simpleString()
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = None, []
-        for batch in parts:
-            columns = [batch.column(c).to_pylist() for c in [*group, "_row", "_instant", "_asks", "t", *(f"_tie{i}" for i in range(len(ties))), "y"]]
-            out: tuple[list, list, list] = ([], [], [])
-            for values in zip(*columns, strict=True):
-                now, (asked, instant, asks, t, *tie, y) = values[: len(group)], values[len(group) :]
-                if now != held:
-                    held, seen = now, []
-                if asks < 1:
-                    insort(seen, (t, *((x is not None, x) for x in tie), y))
-                    del seen[:-n]
-                    continue
-                last = seen if instant is not None else []
-                out[0].append(asked)
-                out[1].append(last[-1][-1] if last else None)
-                out[2].append(sum(x[-1] for x in reversed(last)) / len(last) if last else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("_row").type), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], [row, "lag_1", f"mean_{n}"])
+    def slots(value: np.ndarray, base: np.ndarray) -> Iterator[np.ndarray]:
+        """By row the greatest value of its group up to it, then the second, to the ``n``-th; ``base``, which is above all values of the group before, where there is none."""
+        for _ in range(n):
+            top = np.maximum.accumulate(value)
+            yield top
+            value = np.minimum(value, np.maximum(np.concatenate((base[:1], top[:-1])), base))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # outcomes of the last group that can still matter
+        for batch in batches:
+            x = batch if held is None else pa.concat_batches([held, batch])
+            size, begins = x.num_rows, np.zeros(x.num_rows, bool)
+            begins[:1] = True
+            for c in group:
+                here, before = x.column(c).slice(1), x.column(c).slice(0, max(size - 1, 0))
+                same = pc.or_(pc.fill_null(pc.equal(here, before), False), pc.and_(here.is_null(), before.is_null()))
+                begins[1:] |= ~same.to_numpy(zero_copy_only=False)
+            base = np.cumsum(begins) * (size + 1)
+            asks, told = x.column("_asks").to_numpy(), np.flatnonzero(x.column("_asks").to_numpy() < 1)
+            told = told[pc.sort_indices(pa.Table.from_batches([x.select(order).take(pa.array(told))]), sort_keys=[(c, "ascending") for c in order], null_placement="at_start").to_numpy()]
+            value = base.copy()
+            value[told] += np.arange(1, len(told) + 1)
+            y = np.concatenate(([0.0], x.column("y").to_numpy(zero_copy_only=False)[told]))
+            asked = np.flatnonzero(asks == 1)
+            sees = x.column("_instant").is_valid().to_numpy(zero_copy_only=False)[asked]
+            total, low, seen, lag, last = np.zeros(len(asked)), np.zeros(len(asked)), np.zeros(len(asked), int), None, []
+            with np.errstate(all="ignore"):
+                for top in slots(value, base):
+                    place = top - base
+                    last.extend(told[place[-1:][place[-1:] > 0] - 1])
+                    place = np.where(sees, place[asked], 0)
+                    one, seen = y[place], seen + (place > 0)
+                    lag = one if lag is None else lag
+                    both = total + one  # what rounding loses is kept apart, as Python's sum does
+                    low += np.where(np.abs(total) >= np.abs(one), (total - both) + one, (one - both) + total)
+                    total = both
+                mean = np.where(np.isfinite(low), total + low, total) / seen
+            held = x.take(pa.array(last, pa.int64())) if last else None
+            yield pa.RecordBatch.from_arrays([x.column("_row").take(pa.array(asked)), pa.array(lag, pa.float64(), mask=seen == 0), pa.array(mean, pa.float64(), mask=seen == 0)], [row, "lag_1", f"mean_{n}"])
 
     return dealt.mapInArrow(run, f"{row} {kind}, lag_1 double, mean_{n} double")
 

@@ -18,7 +18,7 @@ LABEL = "CASE WHEN target <= 20 THEN 'ON_TIME' WHEN target <= 40 THEN 'MINOR_DEL
 def features(r: Roles, keys: list[str]) -> DataFrame:
     """Calendar, label and past-only history of each observation."""
     o = r.observations
-    h = asof.past_only_history_streamed(o, keys, "row_id", "at_s", "at_s", "available_s", "target", ["row_id"])
+    h = asof.past_only_history_streamed(o, keys, "row_id", "at_s", "at_s", "available_s", "target", ["row_id"], parts=r.mark_parts)
     x = o.join(h.repartition(r.observation_parts, "row_id"), "row_id")
     return x.withColumns({"hour": transit.hour("at_s"), "weekday": transit.iso_weekday("at_s"), "label_name": transit.severity(F.col("target"), (20, 40, 60, 80))})
 

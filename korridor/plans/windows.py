@@ -26,7 +26,7 @@ def history(r: Roles) -> DataFrame:
 
 @query("w03_past_only_history_streamed", HISTORY)
 def history_streamed(r: Roles) -> DataFrame:
-    return _rounded(asof.past_only_history_streamed(r.observations, ["route_id"], "row_id", "at_s", "at_s", "available_s", "target", ["row_id"]))
+    return _rounded(asof.past_only_history_streamed(r.observations, ["route_id"], "row_id", "at_s", "at_s", "available_s", "target", ["row_id"], parts=r.mark_parts))
 
 
 @query("w01_headway", """SELECT trip_id, seq, headway_s, scheduled_headway_s, headway_s - scheduled_headway_s AS headway_deviation_s FROM (SELECT trip_id, seq,

@@ -8,7 +8,7 @@ session time zone.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,8 @@ def seconds(column: str) -> Column:
 
 #: rows of a part into which a table is dealt out; a task's sorts and sums then hold no more, however large the table
 PART_ROWS = 250_000
+#: parts from which on lines are grouped by hashing, and values up to which their directions are numbered for it
+HASHED_PARTS, CODES = 10, 16
 
 
 class Roles:
@@ -72,10 +74,24 @@ class Roles:
         """
         return self.table("lineitem").repartition(self.parts, "l_orderkey")
 
+    @cached_property
+    def directions(self) -> list[str] | None:
+        """The directions in their order where lines are many and directions few, so that the least one is the least number."""
+        if self.parts < HASHED_PARTS:
+            return None
+        some = self.table("lineitem").filter("l_returnflag is not null").select("l_returnflag").distinct().take(CODES + 1)
+        return sorted(x.l_returnflag for x in some) if 0 < len(some) <= CODES else None
+
     @cached_property
     def visits(self) -> DataFrame:
+        """Lines by trip and place in it. To find the least of strings Spark sorts all lines, the least of their numbers it finds by hashing."""
+        flag = F.col("l_returnflag")
+        direction = F.min(flag)
+        if self.directions:
+            number = F.min(reduce(lambda w, x: w.when(flag == x[1], x[0]), enumerate(self.directions), F.when(F.lit(False), -1)))
+            direction = reduce(lambda w, x: w.when(number == x[0], x[1]), enumerate(self.directions), F.when(F.lit(False), ""))
         return self.lines.groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("seq")).agg(
-            F.min("l_suppkey").alias("stop_id"), F.min("l_partkey").alias("vehicle_id"), F.min("l_returnflag").alias("direction"), seconds("min(l_shipdate)").alias("actual_s"),
+            F.min("l_suppkey").alias("stop_id"), F.min("l_partkey").alias("vehicle_id"), direction.alias("direction"), seconds("min(l_shipdate)").alias("actual_s"),
             F.sum("l_quantity").cast("long").alias("boardings"), F.floor(F.sum("l_quantity") / 2).cast("long").alias("alightings"),
         )
 
@@ -99,6 +115,11 @@ class Roles:
         """In how many parts what there is one of an observation is dealt out: no fewer than the session's, for models are fitted on them."""
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ceil(self.table("events").count() / PART_ROWS))
 
+    @cached_property
+    def mark_parts(self) -> int:
+        """In how many parts what there are two of an observation is dealt out: when it asks and when it tells."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * self.table("events").count() / PART_ROWS))
+
     @cached_property
     def contexts(self) -> DataFrame:
         """Disturbances: [starts, ends] on a route, known ten minutes after they start."""

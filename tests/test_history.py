@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import random
+import re
+from math import ceil
 
 import pytest
 from korridor import roles
 from korridor.operators import asof, learning
-from korridor.plans import contracts, models
+from korridor.plans import contracts, models, windows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ASK = (["k"], "id", "cut", "at", "avail", "y", ["id"])
@@ -61,3 +63,28 @@ def test_tasks_share_one_spine(spark):
     frames = contracts.task_frames(roles.Roles(spark, SF))
     for name in ("occupancy", "headway", "delay_analytics", "route_clustering"):
         assert "lineitem" not in " ".join(frames[name].inputFiles()), name
+
+
+def test_batches_hand_their_outcomes_on(spark, rows):
+    """Against a plain loop, in batches that end inside keys and instants."""
+    told, want = [tuple(x) for x in rows.select("k", "id", "cut", "at", "avail", "y").collect()], {}
+    for k, i, cut, *_ in told:
+        seen = sorted(((at, j, y) for key, j, _, at, avail, y in told if key == k and cut is not None and at < cut and avail <= cut), reverse=True)[:7]
+        want[i] = (seen[0][2], round(sum(x[2] for x in seen) / len(seen), 9)) if seen else (None, None)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = asof.past_only_history_streamed(rows, *ASK, width=1000, most=100, parts=3).collect()
+    finally:
+        spark.conf.set(name, old)
+    assert {x.id: (x.lag_1, x.mean_7 and round(x.mean_7, 9)) for x in got} == want and len(got) == len(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_parts_of_a_history_and_of_grains_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(roles, "PART_ROWS", 200)
+    r = roles.Roles(spark, SF)
+    assert windows.history_streamed(r).rdd.getNumPartitions() == ceil(2 * r.table("events").count() / 200)
+    plan = contracts.task_contracts(r)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(trip_id#\d+L, seq#\d+, {r.parts}\)", plan)

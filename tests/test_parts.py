@@ -7,6 +7,7 @@ from math import ceil
 
 import pytest
 from korridor import roles
+from pyspark.sql import functions as F
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -40,6 +41,20 @@ def test_parts_of_the_spine_hold_where_vehicles_are_many(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_many_lines_are_grouped_without_a_sort(spark, monkeypatch, tmp_path):
+    flags = ["", "é", "\uffee", "\U0001f600"]
+    x = spark.read.parquet(f"{SF}/lineitem.parquet").withColumns({"l_linenumber": F.expr("l_linenumber % 2 + 1"), "l_returnflag": F.element_at(F.array(*map(F.lit, [*flags, None])), F.expr("cast(l_partkey % 5 + 1 as int)"))})
+    x.write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(map(str, roles.Roles(spark, str(tmp_path)).visits.collect()))
+    monkeypatch.setattr(roles, "PART_ROWS", 100)
+    r = roles.Roles(spark, str(tmp_path))
+    assert "Sort" not in r.visits._jdf.queryExecution().executedPlan().toString()
+    assert r.directions == flags and sorted(map(str, r.visits.collect())) == want
+    monkeypatch.setattr(roles, "CODES", 3)  # more directions than are numbered
+    many = roles.Roles(spark, str(tmp_path))
+    assert many.directions is None and sorted(map(str, many.visits.collect())) == want
+
+
 def test_the_legacy_model_works_its_rows_out_once(spark, monkeypatch):
     from korridor.operators import learning
     from korridor.plans import contracts
